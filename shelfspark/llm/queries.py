@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, warc
+from . import bpe, mixing, quality_rules, warc
+from .shared import durable
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -29,12 +30,19 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(placed, taken).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    counted = durable(quality_rules.counts(docs).drop("text"))
+    judged = quality_rules.judge(counted, durable(quality_rules.thresholds(counted)))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return warc.round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_mixing": op2_mixing, "op10_warc": op10_warc}
+QUERIES = {"op1_bpe": op1_bpe, "op2_mixing": op2_mixing, "op7_quality": op7_quality, "op10_warc": op10_warc}
 
 SQL = {
     "op2_mixing": """
@@ -54,6 +62,35 @@ p AS (SELECT d.doc_id, d.source, d.size, t.source_size, t.target, round(t.target
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
        (least(greatest(goal - a, 0), size) + least(greatest(goal - a - source_size, 0), size))::BIGINT AS taken FROM p""",
+    "op7_quality": """
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS text,
+             regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS (SELECT r, i, w[i] || chr(10) || w[i + 1] || chr(10) || w[i + 2] AS g
+      FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM t)),
+h AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM g) WHERE n > 1),
+c AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS j FROM h) GROUP BY r),
+l AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n FROM (SELECT r, unnest(string_split(text, chr(10))) AS l FROM t)
+      WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]') GROUP BY r),
+f AS (SELECT t.r, doc_id, lang, source, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]+', '', 'g'))::BIGINT AS word_chars,
+        length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(l.n_lines, 0)::BIGINT AS n_lines,
+        coalesce(l.n, 0)::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words
+      FROM t LEFT JOIN l ON t.r = l.r LEFT JOIN c ON t.r = c.r),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+        1000 * n_symbols // greatest(n_words, 1) AS x1, 1000 * n_dup_lines // greatest(n_lines, 1) AS x2,
+        1000 * n_repeat_words // greatest(n_words, 1) AS x3, 100 * word_chars // greatest(n_words, 1) AS x4 FROM f),
+u AS (SELECT lang, source, k, x FROM (SELECT lang, source, unnest([1, 2, 3, 4]) AS k, unnest([x1, x2, x3, x4]) AS x FROM b WHERE NOT base_failed)),
+q AS (SELECT lang, source, k, 1 AS level, count(*) AS n, quantile_disc(x, 0.25) AS a, quantile_disc(x, 0.5) AS m FROM u GROUP BY ALL
+      UNION ALL SELECT lang, NULL, k, 2, count(*), quantile_disc(x, 0.25), quantile_disc(x, 0.5) FROM u GROUP BY ALL
+      UNION ALL SELECT NULL, NULL, k, 3, count(*), quantile_disc(x, 0.25), quantile_disc(x, 0.5) FROM u GROUP BY ALL),
+z AS (SELECT o.lang, o.source, o.k,
+        CASE WHEN o.n >= 200 THEN o.m WHEN p.n >= 200 THEN p.m ELSE e.m END AS m,
+        CASE WHEN o.n >= 200 THEN o.a WHEN p.n >= 200 THEN p.a ELSE e.a END AS a
+      FROM q o JOIN q p ON o.lang IS NOT DISTINCT FROM p.lang AND o.k = p.k AND p.level = 2 JOIN q e ON o.k = e.k AND e.level = 3 WHERE o.level = 1),
+y AS (SELECT lang, source, max(CASE WHEN k = 1 THEN m + greatest((m - a) * 16, 100) END) AS t1, max(CASE WHEN k = 2 THEN m + greatest((m - a) * 16, 500) END) AS t2,
+        max(CASE WHEN k = 3 THEN m + greatest((m - a) * 16, 400) END) AS t3, max(CASE WHEN k = 4 THEN m + greatest((m - a) * 16, 200) END) AS t4 FROM z GROUP BY ALL)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT coalesce(x1 > t1, false) AND NOT coalesce(x2 > t2, false) AND NOT coalesce(x3 > t3, false) AND NOT coalesce(x4 > t4, false) AS kept
+FROM b LEFT JOIN y ON b.lang IS NOT DISTINCT FROM y.lang AND b.source IS NOT DISTINCT FROM y.source""",
     "op10_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce(html, '')))::BIGINT AS n, sha1(coalesce(html, '')) AS d FROM pages),
 m AS (SELECT d, max(page_id) AS last FROM p WHERE n >= 1000 GROUP BY d)

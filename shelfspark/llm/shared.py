@@ -90,6 +90,23 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool) -> np.ndarray:
+    """A 64-bit hash of the bytes of each of some ascending spans that don't overlap."""
+    out = np.zeros(len(start), _U)
+    table = _BYTE_LOWER if lower else _BYTE
+    i = 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + STEP_BYTES, "right")))
+        lo, hi = int(start[i]), int(end[j - 1])
+        up, down = _power(hi - lo + 1)
+        total = np.zeros(hi - lo + 1, _U)
+        np.cumsum(table[data[lo:hi]] * up[: hi - lo], out=total[1:])
+        s, e = start[i:j] - lo, end[i:j] - lo
+        out[i:j] = mix((total[e] - total[s]) * down[s])
+        i = j
+    return out
+
+
 class Words:
     """The words of a batch of texts.
 
@@ -111,18 +128,7 @@ class Words:
         self.start = np.flatnonzero(word & (~before | cut[:-1]))
         self.end = np.flatnonzero(word & (~after | cut[1:])) + 1
         self.first = np.searchsorted(self.start, offsets)
-        self.hash = np.empty(len(self.start), _U)
-        table = _BYTE_LOWER if lower else _BYTE
-        i = 0
-        while i < len(self.start):
-            j = max(i + 1, int(np.searchsorted(self.end, self.start[i] + STEP_BYTES, "right")))
-            lo, hi = int(self.start[i]), int(self.end[j - 1])
-            up, down = _power(hi - lo + 1)
-            total = np.zeros(hi - lo + 1, _U)
-            np.cumsum(table[data[lo:hi]] * up[: hi - lo], out=total[1:])
-            s, e = self.start[i:j] - lo, self.end[i:j] - lo
-            self.hash[i:j] = mix((total[e] - total[s]) * down[s])
-            i = j
+        self.hash = span_hash(data, self.start, self.end, lower)
 
 
 _PLACE = mix((np.arange(64, dtype=_U) + _U(77)) * _U(_BASE)) | _U(1)
