@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality_rules, warc
+from . import bpe, mixing, ngram_join, quality_rules, warc
 from .shared import durable
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -30,6 +30,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(placed, taken).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
     counted = durable(quality_rules.counts(docs).drop("text"))
@@ -42,7 +46,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_mixing": op2_mixing, "op7_quality": op7_quality, "op10_warc": op10_warc}
+QUERIES = {"op1_bpe": op1_bpe, "op2_mixing": op2_mixing, "op5_ngram_join": op5_ngram_join, "op7_quality": op7_quality, "op10_warc": op10_warc}
 
 SQL = {
     "op2_mixing": """
@@ -62,6 +66,16 @@ p AS (SELECT d.doc_id, d.source, d.size, t.source_size, t.target, round(t.target
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
        (least(greatest(goal - a, 0), size) + least(greatest(goal - a - source_size, 0), size))::BIGINT AS taken FROM p""",
+    "op5_ngram_join": """
+WITH RECURSIVE t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT r, array_to_string(w[i:i + 4], chr(10)) AS g FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM t WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM g GROUP BY r),
+c AS (SELECT x.r AS a, y.r AS b, count(*) AS c FROM g x JOIN g y ON x.g = y.g AND x.r < y.r GROUP BY ALL),
+e AS (SELECT a, b FROM c JOIN n p ON c.a = p.r JOIN n q ON c.b = q.r WHERE 100 * c >= 75 * (p.n + q.n - c)),
+s AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach(a, b) AS (SELECT a, b FROM s UNION SELECT reach.a, s.b FROM reach JOIN s ON reach.b = s.a),
+m AS (SELECT reach.a AS r, min(t.doc_id) AS least FROM reach JOIN t ON reach.b = t.r GROUP BY 1)
+SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(doc_id, m.least)::BIGINT AS component_id FROM t LEFT JOIN n ON t.r = n.r LEFT JOIN m ON t.r = m.r""",
     "op7_quality": """
 WITH t AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS text,
              regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),

@@ -153,7 +153,7 @@ def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     out[full] = rolled[pos[full]]
     for d in np.flatnonzero((n > 0) & (n < size)):
         w = h[first[d] : first[d + 1]]
-        out[at[d]] = (w * _PLACE[: len(w)]).sum(dtype=_U) + _U(len(w)) * _PLACE[40]
+        out[at[d]] = np.append(w * _PLACE[: len(w)], _PLACE[40 + len(w) : 41 + len(w)]).sum(dtype=_U)
     return mix(out), at
 
 
