@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, ngram_join, quality_rules, warc
+from . import bpe, mixing, ngram_join, quality_rules, secret_scan, warc
 from .shared import durable
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -34,6 +34,13 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = secret_scan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [secret_scan.count_kind(k).alias(f"n_{k}") for k in secret_scan.BASE]
+    digest = F.sha2(secret_scan.spans_text(F.col("base_spans")).cast("binary"), 256)
+    return scanned.select("doc_id", *counts, digest.alias("base_sha256"), secret_scan.spans_text(F.col("spans")).alias("spans"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
     counted = durable(quality_rules.counts(docs).drop("text"))
@@ -46,7 +53,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_mixing": op2_mixing, "op5_ngram_join": op5_ngram_join, "op7_quality": op7_quality, "op10_warc": op10_warc}
+QUERIES = {"op1_bpe": op1_bpe, "op2_mixing": op2_mixing, "op5_ngram_join": op5_ngram_join, "op6_secrets": op6_secrets, "op7_quality": op7_quality, "op10_warc": op10_warc}
 
 SQL = {
     "op2_mixing": """
@@ -76,6 +83,35 @@ s AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 reach(a, b) AS (SELECT a, b FROM s UNION SELECT reach.a, s.b FROM reach JOIN s ON reach.b = s.a),
 m AS (SELECT reach.a AS r, min(t.doc_id) AS least FROM reach JOIN t ON reach.b = t.r GROUP BY 1)
 SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(doc_id, m.least)::BIGINT AS component_id FROM t LEFT JOIN n ON t.r = n.r LEFT JOIN m ON t.r = m.r""",
+    "op6_secrets": """
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+p(kind, place, pat, grp, least) AS (VALUES
+  ('assign', 1, '(?i)(password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2, 6),
+  ('access', 2, 'AKIA[A-Z0-9]+', 0, 20), ('hex', 3, '[0-9a-f]{24,}', 0, 24), ('entropy', 4, '[A-Za-z0-9+/_=-]{20,}', 0, 20)),
+f AS (
+  SELECT r, kind, place, least, m, v, b FROM (
+    SELECT r, 'assign' AS kind, regexp_extract_all(text, '(?i)(password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)') AS m,
+           regexp_extract_all(text, '(?i)(password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2) AS v,
+           string_split_regex(text, '(?i)(password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)') AS b FROM t
+    UNION ALL SELECT r, 'access', regexp_extract_all(text, 'AKIA[A-Z0-9]+'), regexp_extract_all(text, 'AKIA[A-Z0-9]+'), string_split_regex(text, 'AKIA[A-Z0-9]+') FROM t
+    UNION ALL SELECT r, 'hex', regexp_extract_all(text, '[0-9a-f]{24,}'), regexp_extract_all(text, '[0-9a-f]{24,}'), string_split_regex(text, '[0-9a-f]{24,}') FROM t
+    UNION ALL SELECT r, 'entropy', regexp_extract_all(text, '[A-Za-z0-9+/_=-]{20,}'), regexp_extract_all(text, '[A-Za-z0-9+/_=-]{20,}'), string_split_regex(text, '[A-Za-z0-9+/_=-]{20,}') FROM t) x
+  JOIN p USING (kind)),
+i AS (SELECT r, kind, place, least, m, v, b, unnest(range(1, len(m) + 1)) AS i FROM f WHERE len(m) > 0),
+s AS (SELECT r, kind, place, m[i] AS m,
+        (list_sum(list_transform(b[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::BIGINT AS a
+      FROM i WHERE length(v[i]) >= least),
+w AS (SELECT r, a, m, unnest(range(0, length(m) - 19)) AS j FROM s WHERE kind = 'entropy'
+        AND NOT regexp_matches(m, '^[A-Za-z]?[a-z]*(?:[-_/=+]+[A-Za-z]?[a-z]*)*$') AND NOT regexp_matches(m, '^[A-Z]*(?:[-_/=+]+[A-Z]*)*$')
+        AND NOT regexp_matches(m, '^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$')
+        AND NOT regexp_matches(m, '^/?(?:[A-Za-z0-9_-]{1,16}/){2,}[A-Za-z0-9_-]{0,16}$') AND NOT regexp_matches(m, '^[0-9=_+/-]*$')),
+h AS (SELECT r, a, min(j) AS lo, max(j) AS hi FROM w
+      WHERE list_aggregate(string_split(m[j + 1:j + 20], ''), 'entropy') >= CASE WHEN regexp_matches(m, '^[0-9a-fA-F]*$') THEN 3.0 ELSE 3.9 END GROUP BY ALL),
+z AS (SELECT r, kind, place, a, a + length(m) AS e FROM s WHERE kind <> 'entropy' UNION ALL SELECT r, 'entropy', 4, a + lo, a + hi + 20 FROM h),
+g AS (SELECT r, string_agg(kind || ':' || a || ':' || e, ',' ORDER BY a, place, e) AS spans, string_agg(kind || ':' || a || ':' || e, ',' ORDER BY a, place, e) FILTER (place < 4) AS base,
+        count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex FROM z GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN g ON t.r = g.r""",
     "op7_quality": """
 WITH t AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS text,
              regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
