@@ -11,8 +11,8 @@ result is exact whatever the text. A text of one chunk is one piece. Decoding
 concatenates the bytes of the ids.
 
 Null and empty texts have no ids. Rows are never dropped or merged; repeated
-rows give repeated results. All columns of the input are kept but for those
-whose names the results take.
+rows give repeated results. All columns of the input are kept but for the text
+and any whose names the results take.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .shared import small_batches
@@ -117,6 +118,16 @@ def _encoder(path: str, pattern: str):
     return encode
 
 
+def _pieces_encoder(path: str, pattern: str):
+    @F.arrow_udf("array<int>")
+    def encode(texts: pa.Array) -> pa.Array:
+        ids = encode_texts(texts.flatten().to_pylist(), path, pattern)
+        firsts = np.concatenate([[0], np.cumsum(texts.value_lengths().to_numpy(zero_copy_only=False))])
+        return pa.ListArray.from_arrays(pa.array(ids.offsets.to_numpy()[firsts].astype(np.int32)), ids.values)
+
+    return encode
+
+
 def _decoder(path: str):
     @F.arrow_udf("binary")
     def decode(ids: pa.Array) -> pa.Array:
@@ -126,25 +137,21 @@ def _decoder(path: str):
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids", step: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """Add the ids of every whole text as column out (array of int, never null)."""
+    """Put the ids of every whole text (array of int, never null), as column out, in place of the text."""
     spark = docs.sparkSession
     small_batches(spark, 256)
     size = F.coalesce(F.length(F.col(text)), F.lit(0))
-    rest = [c for c in docs.columns if c != out]
+    rest = [c for c in docs.columns if c not in (text, out)]
     one = docs.where(size <= step + overlap).withColumn(out, _encoder(path, pattern)(F.col(text))).select(*rest, out)
-    # a row of its own for each long text; repeated rows are told apart by their number
-    long = docs.where(size > step + overlap).select(*rest, F.col(text).alias("_text"))
-    whole = F.sha2(F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}), 256)
-    long = long.withColumn("_row", whole)
-    counted = long.groupBy("_row").agg(F.count("*").alias("_copies"), *[F.first(c).alias(f"_keep_{c}") for c in rest if c != text])
-    chunks = long.select("_row", "_text").dropDuplicates(["_row"]).mapInArrow(lambda b: _cut(b, step, overlap), "_row string, _seq int, _start long, _last boolean, _chunk string")
-    marks = chunks.repartition("_row", "_seq").mapInArrow(lambda b: _marks(b, pattern, step, overlap), "_row string, _seq int, _start long, _last boolean, _chunk string, _head array<long>, _tail array<long>")
-    from pyspark.sql import Window as W
-
+    # long texts go by their digest, so that equal ones are encoded once; only chunks travel with text
+    long = docs.where(size > step + overlap).withColumn("_row", F.sha2(F.col(text), 256))
+    cut = long.select("_row", F.col(text).alias("_text")).mapInArrow(lambda b: _cut(b, step, overlap), "_row string, _seq int, _start long, _last boolean, _chunk string")
+    chunks = cut.groupBy("_row", "_seq").agg(*[F.first(c).alias(c) for c in ("_start", "_last", "_chunk")])
+    marks = chunks.mapInArrow(lambda b: _marks(b, pattern, step, overlap), "_row string, _seq int, _start long, _last boolean, _chunk string, _head array<long>, _tail array<long>")
     by = W.partitionBy("_row").orderBy("_seq")
     so_far = by.rowsBetween(W.unboundedPreceding, 0)
     meets = F.array_min(F.array_intersect(F.col("_head"), F.lag("_tail").over(by)))
-    cut = (
+    placed = (
         marks.withColumn("_meets", F.when(F.col("_seq") == 0, F.lit(0)).otherwise(meets))
         .withColumn("_sure", F.max(F.col("_meets").isNull()).over(so_far) == F.lit(False))
         .withColumn("_from", F.when(F.col("_sure"), F.col("_meets")).otherwise(F.col("_start")))
@@ -152,16 +159,12 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: st
         .withColumn("_to", F.lead("_from").over(by))
     )
     taken = F.expr("substring(_chunk, int(_from - _start + 1), int(coalesce(_to - _from, length(_chunk))))")
-    parts = cut.select("_row", "_piece", "_seq", taken.alias("_part"))
+    parts = placed.select("_row", "_piece", "_seq", taken.alias("_part"))
     piece = parts.groupBy("_row", "_piece").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_seq", "_part"))), lambda x: x["_part"]), "").alias("_text"))
-    coded = piece.withColumn("_ids", _encoder(path, pattern)(F.col("_text"))).select("_row", "_piece", "_ids", "_text")
-    joined = coded.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_piece", "_ids", "_text"))).alias("_all"))
-    many = (
-        counted.join(joined, "_row")
-        .withColumn(out, F.flatten(F.transform("_all", lambda x: x["_ids"])))
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-        .select(*[F.array_join(F.transform("_all", lambda x: x["_text"]), "").alias(c) if c == text else F.col(f"_keep_{c}").alias(c) for c in rest], out)
-    )
+    pieces = piece.groupBy("_row").agg(F.transform(F.array_sort(F.collect_list(F.struct("_piece", "_text"))), lambda x: x["_text"]).alias("_pieces"))
+    # joined before they are encoded: what Python returns has no known partitioning and would be shuffled again
+    many = long.select(F.col("_row").alias("_of"), *rest).join(pieces, F.col("_of") == F.col("_row"))
+    many = many.withColumn(out, _pieces_encoder(path, pattern)(F.col("_pieces"))).select(*rest, out)
     return one.unionByName(many)
 
 

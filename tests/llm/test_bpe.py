@@ -26,8 +26,8 @@ def test_chunks_give_the_ids_of_the_whole_text(spark):
     df = spark.createDataFrame(cases(), SCHEMA)
     for step, overlap in ((200, 64), (64, 16), (1000, 100)):
         rows = bpe.decode(bpe.encode(df, PATH, P.PATTERN, step=step, overlap=overlap), PATH).collect()
-        got = sorted((str(x.doc_id), x.text or "", " ".join(map(str, x.ids)), hashlib.sha256(bytes(x.decoded)).hexdigest()) for x in rows)
-        assert got == sorted((str(i), t or "", *expected(t)) for i, t, *_ in cases())
+        got = sorted((str(x.doc_id), " ".join(map(str, x.ids)), hashlib.sha256(bytes(x.decoded)).hexdigest()) for x in rows)
+        assert got == sorted((str(i), *expected(t)) for i, t, *_ in cases())
 
 
 def test_empty_table(spark):
