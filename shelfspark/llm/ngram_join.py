@@ -21,9 +21,12 @@ enough segments without that. Should a set run out of segments first (the hash w
 throw nearly all its elements together), the universe is cut anew with another seed.
 
 Documents with the same set are one node. Nodes that share an indexed content
-are candidates; they are verified exactly, first against the first node of
-each content, and then, where nodes of one content are still in different
-components, each against each that it was not compared with.
+are candidates. The contents with the same first node are taken together as
+one group, so that pairs which share many contents are looked at once. Large
+groups are dealt out as pairs of blocks. Within a block pair, a bound on the overlap, from
+counts of shingles by hash range, rules most pairs out; only for nodes that have
+a partner left are the sets themselves fetched, and compared exactly unless the two are
+connected already. A block pair sends on no more links than join its nodes.
 
 Null and empty texts have empty sets and link with nothing. Rows are never
 dropped; repeated rows and rows with a null id are members like others, but
@@ -47,7 +50,7 @@ from .shared import Words, buffers, durable, mix, pieces, shingles, small_batche
 #: Words in a shingle, and the least similarity.
 SHINGLE, SIMILARITY = 5, Fraction(3, 4)
 #: Bits of a shingle's hash by which shingles are counted for the cost of segments.
-COST_BITS = 12
+COST_BITS = 16
 #: Bands below this have more segments, with one-deletion neighbourhoods.
 SMALL_BAND = 6
 _U = np.uint64
@@ -71,15 +74,15 @@ def fingerprint(s: np.ndarray) -> int:
 def _summary(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """(doc_id, text_key, n, fp) for each document and, at the end, one row with the counts of shingles by hash."""
     counts = np.zeros(1 << COST_BITS, np.int64)
-    names = ["doc_id", "text_key", "n", "fp", "counts"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+    names = ["doc_id", "text_key", "n", "fp", "sketch", "counts"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
     for batch in pieces(batches, "text"):
         sets = sets_of(batch.column("text"), size)
         for s in sets:
             counts += np.bincount((s >> _U(64 - COST_BITS)).astype(np.int64), minlength=len(counts))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64()), pa.nulls(len(sets), kinds[4])], names)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary()), pa.nulls(len(sets), kinds[5])], names)
     if counts.any():
-        yield pa.RecordBatch.from_arrays([*(pa.nulls(1, k) for k in kinds[:4]), pa.array([counts.tolist()], kinds[4])], names)
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(1, k) for k in kinds[:5]), pa.array([counts.tolist()], kinds[5])], names)
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
@@ -141,72 +144,180 @@ def _index(batches: Iterator[pa.RecordBatch], size: int, cost: np.ndarray, seed:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig)), pa.array(np.concatenate(fp))], ["sig", "fp"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches, "text"):
-        sets = sets_of(batch.column("text"), size)
-        offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-        values = pa.array(np.concatenate([np.zeros(0, _U), *sets]).view(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), values)], ["fp", "set"])
-
-
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets (fp, set) link."""
-    x = pairs.join(sets.select(F.col("fp").alias("a"), F.col("set").alias("_sa")), "a")
-    x = x.join(sets.select(F.col("fp").alias("b"), F.col("set").alias("_sb")), "b")
-    both = F.size(F.array_intersect("_sa", "_sb"))
-    union = F.size("_sa") + F.size("_sb") - both
-    return x.where(both * SIMILARITY.denominator >= union * SIMILARITY.numerator).select("a", "b")
+def sketch(s: np.ndarray) -> bytes | None:
+    """How many elements fall in each of about n / 3 hash ranges; None if a byte can't count them."""
+    bits = max(len(s).bit_length() - 2, 0)
+    n = np.bincount((s >> _U(64 - bits)).astype(np.int64), minlength=1 << bits) if bits else np.array([len(s)])
+    return n.astype(np.uint8).tobytes() if n.max(initial=0) < 256 else None
+
+
+def similar(na: np.ndarray, nb: np.ndarray, overlap: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes with this overlap link."""
+    return overlap * SIMILARITY.denominator >= (na + nb - overlap) * SIMILARITY.numerator
+
+
+def survivors(n: np.ndarray, side: np.ndarray, sketches: list[bytes | None], across: bool) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row, the later rows that sizes and sketches leave as partners; across: of the other side only."""
+    width = np.array([len(x) if x is not None else 0 for x in sketches])
+    order = np.lexsort((np.arange(len(n)), -width))  # rows without a sketch come last and pass
+    table: dict[int, np.ndarray] = {}
+    for w in sorted(set(width[width > 0].tolist()), reverse=True):
+        table[w] = np.array([np.frombuffer(x, np.uint8).reshape(w, -1).sum(axis=1, dtype=np.int32) if x is not None and len(x) >= w else np.zeros(w, np.int32) for x in sketches])
+    for k, i in enumerate(order):
+        rest = order[k + 1 :]
+        if across:
+            rest = rest[side[rest] != side[i]]
+        rest = rest[similar(n[i], n[rest], np.minimum(n[i], n[rest]))]
+        if not len(rest):
+            continue
+        fine = np.ones(len(rest), bool)
+        for w in set(width[rest].tolist()) - {0}:
+            some = np.flatnonzero(width[rest] == w)
+            if width[i]:
+                fine[some] = similar(n[i], n[rest[some]], np.minimum(table[w][i], table[w][rest[some]]).sum(axis=1))
+        if fine.any():
+            yield int(i), rest[fine]
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Rows that follow each other with the same keys, as one table each."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        change = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            change[1:] |= c[1:] != c[:-1]
+        cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            key = tuple(c[lo] for c in columns)
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+BLOCK_KEYS = ("leader", "i", "j")
+
+
+def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of block pairs that have a partner left."""
+    for t in _groups(batches, BLOCK_KEYS):
+        n, side = t.column("n").to_numpy(), t.column("side").to_numpy()
+        alive = np.zeros(len(n), bool)
+        for i, partners in survivors(n, side, t.column("sketch").to_pylist(), t.column("i")[0] != t.column("j")[0]):
+            alive[i] = True
+            alive[partners] = True
+        if alive.any():
+            yield from t.select([*BLOCK_KEYS, "side", "fp"]).filter(pa.array(alive)).combine_chunks().to_batches()
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) that connect the rows of each block pair as all its links do."""
+    for t in _groups(batches, BLOCK_KEYS):
+        column = t.column("set").combine_chunks()
+        at = column.offsets.to_numpy()
+        values = column.values.to_numpy()
+        n = np.diff(at)
+        _, ids = np.unique(values[at[0] : at[-1]], return_inverse=True)
+        at = at - at[0]
+        members = [ids[at[k] : at[k + 1]] for k in range(len(n))]
+        sketches = [sketch(values[at[k] + column.offsets[0].as_py() : at[k + 1] + column.offsets[0].as_py()].view(_U)) for k in range(len(n))]
+        fp, side = t.column("fp").to_numpy(), t.column("side").to_numpy()
+        mark, root = np.zeros(int(ids.max(initial=0)) + 1, bool), np.arange(len(n))
+        a, b = [], []
+        for i, partners in survivors(n, side, sketches, t.column("i")[0] != t.column("j")[0]):
+            partners = partners[root[partners] != root[i]]
+            if not len(partners):
+                continue
+            mark[members[i]] = True
+            total = np.add.reduceat(mark[np.concatenate([members[k] for k in partners])].astype(np.int64), np.concatenate([[0], np.cumsum(n[partners])[:-1]]))
+            mark[members[i]] = False
+            for k in partners[similar(n[i], n[partners], total)]:
+                if root[k] != root[i]:
+                    root[root == root[k]] = root[i]
+                    a.append(fp[i])
+                    b.append(fp[k])
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+#: Rows in a block; bits of the filter by which texts are told that no set is wanted of.
+BLOCK, FILTER_BITS = 1_024, 25
+
+
+def block_pairs(members: DataFrame) -> DataFrame:
+    """Deal rows (leader, ...) out as pairs of blocks: each row once for each block that its own is paired with."""
+    blocks = F.ceil(F.count("*").over(W.partitionBy("leader")) / BLOCK).cast("int")
+    m = members.withColumn("_blocks", blocks).withColumn("side", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("_blocks")).cast("int"))
+    m = m.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    return m.withColumn("i", F.least("side", "_other")).withColumn("j", F.greatest("side", "_other")).drop("_blocks", "_other")
+
+
+def grouped(rows: DataFrame) -> DataFrame:
+    """Rows of one block pair together and in order."""
+    return rows.repartition(*BLOCK_KEYS).sortWithinPartitions(*BLOCK_KEYS, "fp")
+
+
+def key_filter(keys: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """A filter of 2^bits bits with those of the column key set, folded in Spark to as many words at most."""
+    slot = F.col("key").bitwiseAND(F.lit((1 << bits) - 1))
+    words = keys.select(F.shiftright(slot, 5).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(key & 31 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
+    out = np.zeros(1 << (bits - 5), np.uint32)
+    out[words.column("word").to_numpy()] = words.column("bit").to_numpy().astype(np.uint32)
+    return out
 
 
-def fits() -> F.Column:
-    """Whether the sizes na and nb allow a link at all."""
-    return F.least("na", "nb") * SIMILARITY.denominator >= F.greatest("na", "nb") * SIMILARITY.numerator
+def _sets(batches: Iterator[pa.RecordBatch], size: int, wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        key = batch.column("text_key").to_numpy()
+        slot = key & (len(wanted) * 32 - 1)
+        batch = batch.filter(pa.array((wanted[slot >> 5] >> (key & 31).astype(np.uint32)) & 1 == 1))
+        for part in pieces(iter([batch]), "text"):
+            sets = sets_of(part.column("text"), size)
+            offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+            values = pa.array(np.concatenate([np.zeros(0, _U), *sets]).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), values)], ["fp", "set"])
 
 
 def join(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, component_id) of rows (doc_id, text)."""
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     keyed = docs.withColumn("text_key", F.xxhash64("text"))
-    seen = durable(keyed.mapInArrow(lambda b: _summary(b, size), "doc_id long, text_key long, n long, fp long, counts array<long>"))
+    seen = durable(keyed.mapInArrow(lambda b: _summary(b, size), "doc_id long, text_key long, n long, fp long, sketch binary, counts array<long>"))
     summary = seen.where("counts IS NULL").drop("counts")
-    usual = seen.where("counts IS NOT NULL").select(F.posexplode("counts").alias("bin", "n")).groupBy("bin").agg(F.sum("n").alias("n"))
-    cost = np.zeros(1 << COST_BITS, np.int64)
-    for row in usual.collect():  # as many rows as there are bins
-        cost[row["bin"]] = row["n"]
-    cost = levels(cost)
+    usual = seen.where("counts IS NOT NULL").select(F.posexplode("counts").alias("bin", "n")).groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
+    cost = np.zeros(1 << COST_BITS, np.int64)  # as many rows as there are bins
+    cost[usual.column("bin").to_numpy()] = usual.column("n").to_numpy()
+    cost = spark.sparkContext.broadcast(levels(cost))
 
     seed = 0
     while True:
-        rows = docs.select("text").mapInArrow(lambda b, seed=seed: _index(b, size, cost, seed), "sig long, fp long")
+        rows = docs.select("text").mapInArrow(lambda b, seed=seed: _index(b, size, cost.value, seed), "sig long, fp long")
         by = W.partitionBy("sig")
-        met = rows.withColumn("first", F.min("fp").over(by)).withColumn("_last", F.max("fp").over(by))
-        met = durable(met.where("first <> _last OR fp = 0 AND sig = 0").select("sig", "fp", "first"))
-        if met.where("sig = 0 AND fp = 0").isEmpty():
+        met = rows.withColumn("leader", F.min("fp").over(by)).withColumn("_last", F.max("fp").over(by))
+        met = durable(met.where("leader <> _last OR fp = 0 AND sig = 0").select("leader", "fp").distinct())
+        if met.where("fp = 0").isEmpty():
             break
         seed += 1
-    nodes = summary.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("text_key").alias("text_key"), F.first("n").alias("n"))
-    nodes = durable(nodes)
-    meeting = met.select("fp").distinct()
-    known = durable(nodes.join(meeting, "fp", "left_semi"))
-    sizes = lambda p: p.join(known.select(F.col("fp").alias("a"), F.col("n").alias("na")), "a").join(known.select(F.col("fp").alias("b"), F.col("n").alias("nb")), "b").where(fits()).select("a", "b")
-    wanted = known.select("text_key").distinct()
-    texts = keyed.join(wanted, "text_key", "left_semi").select("text_key", "text")
-    sets = durable(texts.mapInArrow(lambda b: _sets(b, size), "fp long, set array<long>").groupBy("fp").agg(F.first("set").alias("set")))
-
-    # every node against the first of the contents it shares
-    stars = durable(met.where("fp <> first").select(F.col("first").alias("a"), F.col("fp").alias("b")).distinct())
-    links = durable(verify(sizes(stars), sets))
-    at = components(links).select(F.col("node").alias("fp"), "root")
-    # contents whose nodes are still in different components: all pairs of these that were not looked at
-    named = met.select("sig", "fp").join(at, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = named.withColumn("_a", F.min("root").over(by)).withColumn("_b", F.max("root").over(by)).where("_a <> _b").select("sig", "fp", "root")
-    left, right = named.select("sig", F.col("fp").alias("a"), F.col("root").alias("ra")), named.select("sig", F.col("fp").alias("b"), F.col("root").alias("rb"))
-    rest = left.join(right, "sig").where("a < b AND ra <> rb").select("a", "b").distinct()
-    rest = rest.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    roots = components(links.union(verify(sizes(rest), sets)))
-    grouped = nodes.select("fp", "least").join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = grouped.join(least, "root").select("fp", "component_id")
+    nodes = durable(summary.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("text_key").alias("text_key"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    candidates = block_pairs(met.join(nodes.select("fp", "n", "sketch"), "fp"))
+    alive = durable(grouped(candidates.select(*BLOCK_KEYS, "side", "fp", "n", "sketch")).mapInArrow(_prune, "leader long, i int, j int, side int, fp long"))
+    wanted = nodes.join(alive.select("fp").distinct(), "fp", "left_semi").select("fp", F.col("text_key").alias("key"))
+    bits = spark.sparkContext.broadcast(key_filter(wanted))
+    sets = keyed.select("text_key", "text").mapInArrow(lambda b: _sets(b, size, bits.value), "fp long, set array<long>")
+    sets = sets.join(wanted.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.first("set").alias("set"))
+    links = grouped(alive.join(sets, "fp")).mapInArrow(_verify, "a long, b long")
+    roots = components(links)
+    named = nodes.select("fp", "least").join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = named.join(least, "root").select("fp", "component_id")
     out = summary.where("n > 0").join(named, "fp", "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return out.unionByName(summary.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
