@@ -50,7 +50,7 @@ from .shared import Words, buffers, durable, mix, pieces, shingles, small_batche
 #: Words in a shingle, and the least similarity.
 SHINGLE, SIMILARITY = 5, Fraction(3, 4)
 #: Bits of a shingle's hash by which shingles are counted for the cost of segments.
-COST_BITS = 16
+COST_BITS = 17
 #: Bands below this have more segments, with one-deletion neighbourhoods.
 SMALL_BAND = 6
 _U = np.uint64
@@ -75,14 +75,14 @@ def _summary(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Record
     """(doc_id, text_key, n, fp) for each document and, at the end, one row with the counts of shingles by hash."""
     counts = np.zeros(1 << COST_BITS, np.int64)
     names = ["doc_id", "text_key", "n", "fp", "sketch", "counts"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32())]
     for batch in pieces(batches, "text"):
         sets = sets_of(batch.column("text"), size)
         for s in sets:
             counts += np.bincount((s >> _U(64 - COST_BITS)).astype(np.int64), minlength=len(counts))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary()), pa.nulls(len(sets), kinds[5])], names)
     if counts.any():
-        yield pa.RecordBatch.from_arrays([*(pa.nulls(1, k) for k in kinds[:5]), pa.array([counts.tolist()], kinds[5])], names)
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(1, k) for k in kinds[:5]), pa.array([np.minimum(counts, 2**31 - 1).astype(np.int32)], kinds[5])], names)
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
@@ -291,7 +291,7 @@ def join(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     keyed = docs.withColumn("text_key", F.xxhash64("text"))
-    seen = durable(keyed.mapInArrow(lambda b: _summary(b, size), "doc_id long, text_key long, n long, fp long, sketch binary, counts array<long>"))
+    seen = durable(keyed.mapInArrow(lambda b: _summary(b, size), "doc_id long, text_key long, n long, fp long, sketch binary, counts array<int>"))
     summary = seen.where("counts IS NULL").drop("counts")
     usual = seen.where("counts IS NOT NULL").select(F.posexplode("counts").alias("bin", "n")).groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
     cost = np.zeros(1 << COST_BITS, np.int64)  # as many rows as there are bins
@@ -308,7 +308,12 @@ def join(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
             break
         seed += 1
     nodes = durable(summary.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("text_key").alias("text_key"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
-    candidates = block_pairs(met.join(nodes.select("fp", "n", "sketch"), "fp"))
+    # in a group, nodes without any of a size that can link; then blocks; the sketches come last, as they are the widest
+    sized = W.partitionBy("leader").orderBy("n", "fp")
+    fits = lambda a, b: a * SIMILARITY.denominator >= b * SIMILARITY.numerator
+    partner = fits(F.lag("n").over(sized), F.col("n")) | fits(F.col("n"), F.lead("n").over(sized))
+    candidates = met.join(nodes.select("fp", "n"), "fp").withColumn("_fits", partner).where("_fits").drop("_fits")
+    candidates = block_pairs(candidates).join(nodes.select("fp", "sketch"), "fp")
     alive = durable(grouped(candidates.select(*BLOCK_KEYS, "side", "fp", "n", "sketch")).mapInArrow(_prune, "leader long, i int, j int, side int, fp long"))
     wanted = nodes.join(alive.select("fp").distinct(), "fp", "left_semi").select("fp", F.col("text_key").alias("key"))
     bits = spark.sparkContext.broadcast(key_filter(wanted))
