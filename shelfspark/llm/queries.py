@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed_dedup, html_extract, langid, mixing, ngram_join, quality_rules, secret_scan, warc
+from . import bpe, embed_dedup, html_extract, langid, mixing, ngram_join, quality_rules, secret_scan, substring_dedup, warc
 from .shared import durable
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -56,6 +56,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = html_extract.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return read.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
@@ -66,7 +70,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_mixing": op2_mixing, "op3_langid": op3_langid, "op4_embed_dedup": op4_embed_dedup, "op5_ngram_join": op5_ngram_join, "op6_secrets": op6_secrets, "op7_quality": op7_quality, "op9_html": op9_html, "op10_warc": op10_warc}
+QUERIES = {"op1_bpe": op1_bpe, "op2_mixing": op2_mixing, "op3_langid": op3_langid, "op4_embed_dedup": op4_embed_dedup, "op5_ngram_join": op5_ngram_join, "op6_secrets": op6_secrets, "op7_quality": op7_quality, "op8_substring_dedup": op8_substring_dedup, "op9_html": op9_html, "op10_warc": op10_warc}
 
 SQL = {
     "op2_mixing": """
