@@ -285,8 +285,11 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int, wanted: np.ndarray) -> I
             yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), values)], ["fp", "set"])
 
 
-def join(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of rows (doc_id, text)."""
+def classes(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """(doc_id, text_key, n_shingles, root, component_id) of rows (doc_id, text).
+
+    text_key is the xxhash64 of the text, and root tells components apart; it is null for empty sets.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -323,6 +326,12 @@ def join(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     roots = components(links)
     named = nodes.select("fp", "least").join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "root").select("fp", "component_id")
-    out = summary.where("n > 0").join(named, "fp", "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return out.unionByName(summary.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    named = named.join(least, "root").select("fp", "root", "component_id")
+    n = F.col("n").alias("n_shingles")
+    out = summary.where("n > 0").join(named, "fp", "left").select("doc_id", "text_key", n, "root", "component_id")
+    return out.unionByName(summary.where("n = 0").select("doc_id", "text_key", n, F.lit(None).cast("long").alias("root"), F.col("doc_id").alias("component_id")))
+
+
+def join(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of rows (doc_id, text)."""
+    return classes(docs, size).select("doc_id", "n_shingles", "component_id")
