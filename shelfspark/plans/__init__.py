@@ -1,0 +1,4 @@
+"""The registered queries over the reference's operators."""
+
+from . import text_queries  # noqa: F401
+from .registry import QUERIES, SQL  # noqa: F401
