@@ -54,14 +54,12 @@ def _keys(minima: np.ndarray, bands: tuple[int, int], kind: int) -> np.ndarray:
 
 
 def _fingerprints(sets: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Hashes of the distinct values (first) of each row."""
+    """Hashes of the distinct values (first) of each row, as ngram_join.fingerprint gives them."""
     return mix((mix(sets ^ _U(0x5DEECE66D)) * first).sum(axis=1, dtype=_U) + first.sum(axis=1).astype(_U)).view(np.int64)
 
 
-def paragraphs(texts: pa.Array) -> list[tuple[np.ndarray, ...]]:
-    """Of the lines and the stretches of a batch: text number, first word, behind the last word, fingerprint, band keys, and a function that gives the set of each."""
-    data, offsets = buffers(texts)
-    words = Words(data, offsets, lower=True)
+def paragraphs(data: np.ndarray, offsets: np.ndarray, words: Words, keyed: bool = False) -> list[tuple[np.ndarray, ...]]:
+    """Of the lines and the stretches of a batch: text number, first word, behind the last word, fingerprint, band keys if asked for, and a function that gives the set of each."""
     shingle, at = shingles(words, SHINGLE)
     first, many = words.first, np.diff(words.first)
     of_word = np.repeat(np.arange(len(many)), many)
@@ -78,8 +76,8 @@ def paragraphs(texts: pa.Array) -> list[tuple[np.ndarray, ...]]:
     rich = np.array([len(s) >= LEAST_SHINGLES for s in sets], bool)
     sets = [s for s, k in zip(sets, rich, strict=True) if k]
     n = LINE_BANDS[0] * LINE_BANDS[1]
-    minima = np.array([(s[:, None] * _FACTORS[:n]).min(axis=0) for s in sets], _U).reshape(-1, n)
-    out.append((text[rich], start[rich], end[rich], np.array([fingerprint(s) for s in sets], np.int64), _keys(minima, LINE_BANDS, 1), sets.__getitem__))
+    keys = _keys(np.array([(s[:, None] * _FACTORS[:n]).min(axis=0) for s in sets], _U).reshape(-1, n), LINE_BANDS, 1) if keyed else None
+    out.append((text[rich], start[rich], end[rich], np.array([fingerprint(s) for s in sets], np.int64), keys, sets.__getitem__))
     # stretches from anchors
     h = words.hash
     if len(h) >= WINDOW:
@@ -98,15 +96,16 @@ def paragraphs(texts: pa.Array) -> list[tuple[np.ndarray, ...]]:
         rich = distinct.sum(axis=1) >= LEAST_SHINGLES
         start, text, table, distinct = start[rich], text[rich], table[rich], distinct[rich]
         n = WINDOW_BANDS[0] * WINDOW_BANDS[1]
-        minima = np.stack([(table * _FACTORS[i]).min(axis=1) for i in range(n)], axis=1) if len(table) else np.zeros((0, n), _U)
-        out.append((text, start, start + WINDOW, _fingerprints(table, distinct), _keys(minima, WINDOW_BANDS, 2), lambda i: table[i][distinct[i]]))
+        keys = _keys(np.stack([(table * _FACTORS[i]).min(axis=1) for i in range(n)], axis=1) if len(table) else np.zeros((0, n), _U), WINDOW_BANDS, 2) if keyed else None
+        out.append((text, start, start + WINDOW, _fingerprints(table, distinct), keys, lambda i: table[i][distinct[i]]))
     return out
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, "text"):
         ids = batch.column("doc_id").to_numpy()
-        for text, _, _, fp, keys, _ in paragraphs(batch.column("text")):
+        data, offsets = buffers(batch.column("text"))
+        for text, _, _, fp, keys, _ in paragraphs(data, offsets, Words(data, offsets, lower=True), keyed=True):
             n = keys.shape[1]
             yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(fp, n)), pa.array(np.repeat(ids[text], n))], ["key", "fp", "doc_id"])
 
@@ -118,7 +117,8 @@ def _passes(fp: np.ndarray, bits: np.ndarray) -> np.ndarray:
 
 def _sets(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, "text"):
-        for _, _, _, fp, _, of in paragraphs(batch.column("text")):
+        data, offsets = buffers(batch.column("text"))
+        for _, _, _, fp, _, of in paragraphs(data, offsets, Words(data, offsets, lower=True)):
             some = np.flatnonzero(_passes(fp, bits))
             _, once = np.unique(fp[some], return_index=True)
             some = some[once]
@@ -133,7 +133,7 @@ def _spans(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.R
         lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
         words = Words(data, offsets, lower=True)
         ids = batch.column("doc_id").to_numpy()
-        for text, start, end, fp, _, _ in paragraphs(batch.column("text")):
+        for text, start, end, fp, _, _ in paragraphs(data, offsets, words):
             k = np.flatnonzero(_passes(fp, bits))
             t, a, b = text[k], start[k], end[k]
             base = lead[offsets[t]]
