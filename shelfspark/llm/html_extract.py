@@ -43,7 +43,7 @@ BAD_WORDS = frozenset(
 )
 GOOD_TAGS, BAD_TAGS = frozenset(["article", "main"]), frozenset(["nav", "footer", "aside", "form", "fieldset", "dialog", "menu", "header"])
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|$)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*(?=>|$)|[^>]*)(?:>|$)", re.S)
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
@@ -58,7 +58,7 @@ def _speaks(tag: str, attributes: str, inside_good: bool) -> int:
         word = 0 if tag == "header" and inside_good else -1
     else:
         word = 0
-    if attributes and ("=" in attributes or "hidden" in attributes):
+    if "=" in attributes or "hidden" in attributes.lower():
         if _HIDDEN.search(attributes):
             return -1
         names = {x.lower() for m in _NAMES.finditer(attributes) for x in _SPLIT.split(next(filter(None, m.groups()), ""))}
@@ -201,7 +201,7 @@ def judge(tree: list[tuple], x: np.ndarray) -> np.ndarray:
 # ----------------------------------------------------------- labelled table
 
 
-def label_table(pages: int = 400, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+def label_table(pages: int = 800, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     """Described blocks and their labels, from pages laid out by rule.
 
     Each page draws one layout for its article and any of the usual surroundings; a
@@ -213,7 +213,7 @@ def label_table(pages: int = 400, seed: int = 11) -> tuple[np.ndarray, np.ndarra
     links = lambda n: "".join(f"<li><a href='/'>{text('N', 1, 4)}</a></li>" for _ in range(n))
 
     def article() -> str:
-        return f"<h1>{text('Y', 2, 14)}</h1>" + "".join(r.choice([p("Y", 1, 8), p("Y", 10, 90), p("Y", 10, 90), f"<h2>{text('Y', 1, 6)}</h2>", f"<ul><li>{text('Y', 2, 15)}</li></ul>", f"<p>{text('Y', 5, 30)} <a href='/'>link</a> w w</p>", f"<p><b>{text('Y', 5, 30)}<br>"]) for _ in range(r.randint(1, 9)))
+        return r.choice(["", f"<h1>{text('Y', 2, 14)}</h1>"]) + "".join(r.choice([p("Y", 1, 8), p("Y", 10, 90), p("Y", 10, 90), f"<h2>{text('Y', 1, 6)}</h2>", f"<ul><li>{text('Y', 2, 15)}</li></ul>", f"<p>{text('Y', 5, 30)} <a href='/'>link</a> w w</p>", f"<p><b>{text('Y', 5, 30)}<br>"]) for _ in range(r.randint(1, 9)))
 
     def junk() -> str:
         return r.choice([f"<div class='ad'>{text('N', 2, 25)}</div>", f"<div class='cookie-notice'>{text('N', 3, 30)}</div>", f"<aside>{p('N', 3, 30)}</aside>", f"<div id='sidebar'><h3>{text('N', 1, 4)}</h3><ul>{links(3)}</ul></div>", f"<form>{text('N', 1, 8)}<input></form>", f"<section class='comments'>{p('N', 3, 50)}{p('N', 3, 50)}</section>", f"<div class='share'><a href='/'>{text('N', 1, 3)}</a></div>", f"<ul>{links(4)}</ul>"])
@@ -222,7 +222,11 @@ def label_table(pages: int = 400, seed: int = 11) -> tuple[np.ndarray, np.ndarra
     for _ in range(pages):
         inner = article() + "".join(junk() for _ in range(r.choice([0, 0, 0, 1, 2])))
         body = r.choice([f"<article>{inner}</article>", f"<main>{inner}</main>", f"<div class='post-content'>{inner}</div>", f"<div>{inner}</div>"])
-        page = f"<body>{r.choice(['', f'<header>{p('N', 1, 10)}</header>'])}<nav><ul>{links(r.randint(2, 6))}</ul></nav>" + "".join(junk() for _ in range(r.randint(0, 3))) + body + "".join(junk() for _ in range(r.randint(0, 3))) + f"<footer>{text('N', 3, 20)}</footer></body>"
+        plain = "".join(p("N", 2, 40) for _ in range(r.randint(0, 2))) if not body.startswith("<div>") else ""
+        head = r.choice(["", f"<header>{p('N', 1, 10)}</header>"]) + (f"<nav><ul>{links(r.randint(2, 6))}</ul></nav>" if r.random() < 0.7 else "")
+        foot = f"<footer>{text('N', 3, 20)}</footer>" if r.random() < 0.7 else ""
+        around = [*("" if r.random() < 0.5 else junk() for _ in range(4)), plain if r.random() < 0.5 else "", plain if r.random() < 0.5 else ""]
+        page = f"<body>{around[4]}{head}{around[0]}{around[1]}{body}{around[2]}{around[3]}{around[5]}{foot}</body>"
         found = blocks(page)
         keep = [x for x in found if x[0][:2] in ("Y ", "N ") or x[0] in ("Y", "N")]
         rows.append(describe([(x[0][2:] or "w", max(0, x[1] - 2), *x[2:]) for x in keep]))
