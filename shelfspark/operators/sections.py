@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -109,37 +110,52 @@ def chunk_books(blocks: DataFrame, target: int = 350, overlap: int = 60, least:
 
     Blocks are cut into paragraphs, and these, if they are too long, into runs of words;
     runs of one chapter are packed into chunks, which never cross chapters. The packing
-    looks back at what it has packed, so each book is one Python group: a book is
-    as much as one task holds.
+    looks back at what it has packed, so a book's blocks go to one task in order; it
+    holds one book at a time.
     """
     let_workers_import(blocks.sparkSession)
+    columns = ["id", "book_id", "chapter", "page", "loc_start", "loc_end", "text"]
+
+    def units_of(rows: list[tuple]) -> list[tuple]:
+        units, offset = [], 0
+        for chapter, page, text in rows:
+            text, at = text or "", 0
+            for m in [*re.finditer(r"\n[ \t]*\n", text), None]:
+                part = text[at : m.start() if m else len(text)]
+                words, start = part.split(), offset + at + len(part) - len(part.lstrip())
+                for k in range(0, len(words), target):
+                    some = words[k : k + target]
+                    piece = part.strip() if len(words) <= target else " ".join(some)
+                    units.append((chapter, page, start, piece, len(some)))
+                    start += len(piece) + 1
+                at = m.end() if m else len(text)
+            offset += len(text) + 2
+        return units
+
+    def chunks_of(book: str, rows: list[tuple]) -> list[tuple]:
+        units, out, i = units_of(rows), [], 0
+        while i < len(units):
+            j = i
+            while j < len(units) and units[j][0] == units[i][0]:
+                j += 1
+            for a, z in pack([u[4] for u in units[i:j]], target, overlap, least):
+                group = units[i + a : i + z]
+                out.append((f"{book}:{len(out)}", book, group[0][0], group[0][1], group[0][2], group[-1][2] + len(group[-1][3]), "\n\n".join(u[3] for u in group)))
+            i = j
+        return out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import re
-
+        """Rows come in the order of books and positions; a book may go on in the next batch."""
+        book, held = None, []
         for pdf in batches:
-            book, units, offset = pdf.book_id.iloc[0], [], 0
-            for b in pdf.sort_values("pos").itertuples():
-                text, at = b.text or "", 0
-                for m in [*re.finditer(r"\n[ \t]*\n", text), None]:
-                    part = text[at : m.start() if m else len(text)]
-                    words = part.split()
-                    start = offset + at + len(part) - len(part.lstrip())
-                    for k in range(0, len(words), target):
-                        piece = part.strip() if len(words) <= target else " ".join(words[k : k + target])
-                        units.append((b.chapter, b.page, start, piece, len(words[k : k + target])))
-                        start += len(piece) + 1
-                    at = m.end() if m else len(text)
-                offset += len(text) + 2
-            rows, i = [], 0
-            while i < len(units):
-                j = i
-                while j < len(units) and units[j][0] == units[i][0]:
-                    j += 1
-                for a, z in pack([u[4] for u in units[i:j]], target, overlap, least):
-                    group = units[i + a : i + z]
-                    rows.append((f"{book}:{len(rows)}", book, group[0][0], group[0][1], group[0][2], group[-1][2] + len(group[-1][3]), "\n\n".join(u[3] for u in group)))
-                i = j
-            yield pd.DataFrame(rows, columns=["id", "book_id", "chapter", "page", "loc_start", "loc_end", "text"])
-
-    return blocks.groupBy("book_id").applyInPandas(lambda pdf: next(run(iter([pdf]))), "id string, book_id string, chapter string, page long, loc_start long, loc_end long, text string")
+            out = []
+            for b, chapter, page, text in zip(pdf.book_id, pdf.chapter.astype(object).where(pdf.chapter.notna(), None), pdf.page.astype(object).where(pdf.page.notna(), None), pdf.text, strict=True):
+                if b != book:
+                    out += chunks_of(book, held)
+                    book, held = b, []
+                held.append((chapter, page, text))
+            yield pd.DataFrame(out, columns=columns).astype({"page": "Int64"})
+        yield pd.DataFrame(chunks_of(book, held), columns=columns).astype({"page": "Int64"})
+
+    ordered = blocks.where("book_id IS NOT NULL").select("book_id", "pos", "chapter", "page", "text").repartition("book_id").sortWithinPartitions("book_id", "pos")
+    return ordered.mapInPandas(run, "id string, book_id string, chapter string, page long, loc_start long, loc_end long, text string")
