@@ -159,8 +159,7 @@ def overlap(query: Column, text: Column) -> Column:
 
 def rerank(pool: DataFrame, queries: DataFrame, docs: DataFrame, k: int, score=overlap) -> DataFrame:
     """(qid, id, score, rank) of a pool (qid, id) by a scorer of (query, text)."""
-    ids = F.broadcast(pool.select("qid", "id"))  # at most k rows a query
-    both = docs.join(ids, "id").join(F.broadcast(queries), "qid")
+    both = docs.join(pool.select("qid", "id"), "id").join(queries, "qid")
     return top(both.select("qid", "id", score(F.col("q"), F.col("text")).alias("score")), ["qid"], [F.desc("score"), "id"], k)
 
 

@@ -79,9 +79,9 @@ def scan_meta(t):
     return t.fx_chunks.select("id", "book_id", "title", "author", "source_path", "format", "chapter")
 
 
-@query("SELECT id, text FROM fx_chunks WHERE doc_id % 37 = 3")
+@query("SELECT id, text FROM fx_chunks WHERE doc_id % 20 = 0")
 def fetch_texts(t):
-    ids = t.fx_chunks.where("doc_id % 37 = 3").select("id")
+    ids = t.fx_chunks.where("doc_id % 20 = 0").select("id")
     return t.fx_chunks.join(ids, "id", "left_semi").select("id", "text")
 
 
@@ -90,9 +90,9 @@ def count_rows(t):
     return t.fx_chunks.agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {CHAP_SQL}, h AS (SELECT chapter, title FROM ch WHERE contains(lower(concat_ws(chr(0), chapter, title)), 'ch 3')) SELECT chapter, title, (SELECT count(*) FROM h) AS total FROM h ORDER BY chapter, title LIMIT 20")
+@query(f"WITH {CHAP_SQL}, h AS (SELECT chapter, title FROM ch WHERE contains(lower(concat_ws(chr(0), chapter, title)), 'ch 3')) SELECT chapter, title, (SELECT count(*) FROM h) AS total FROM h ORDER BY chapter, title LIMIT 800")
 def catalog_search(t):
-    return catalog.search(catalog.chapters(t.fx_chunks).select("chapter", "title"), "CH 3", ["chapter", "title"], 20)
+    return catalog.search(catalog.chapters(t.fx_chunks).select("chapter", "title"), "CH 3", ["chapter", "title"], 800)
 
 
 @query("WITH o AS (SELECT p_name, p_partkey, row_number() OVER (ORDER BY key) - 1 AS i FROM (SELECT p_name, p_partkey, p_name || lpad(p_partkey::VARCHAR, 8, '0') AS key FROM part)), n AS (SELECT count(*) AS n FROM o), w AS (SELECT floor(i * n / 100)::BIGINT AS i FROM range(0, 100) r(i), n) SELECT p_partkey FROM o SEMI JOIN w USING (i)")
@@ -198,9 +198,9 @@ def retry_truncate(t):
     return t.conversations.join(last, "conv_id").where("turn < last").select("conv_id", "turn")
 
 
-@query("SELECT conv_id, max(turn) AS last, count(*) AS n FROM conversations GROUP BY conv_id ORDER BY conv_id DESC LIMIT 30")
+@query("SELECT conv_id, max(turn) AS last, count(*) AS n FROM conversations GROUP BY conv_id")
 def conversation_list(t):
-    return t.conversations.groupBy("conv_id").agg(F.max("turn").alias("last"), F.count("*").alias("n")).orderBy(F.desc("conv_id")).limit(30)
+    return t.conversations.groupBy("conv_id").agg(F.max("turn").alias("last"), F.count("*").alias("n")).orderBy(F.desc("conv_id"))
 
 
 @query("SELECT conv_id, conv_id % 4 = 0 OR conv_id % 3 IN (0, 2) AS visible FROM (SELECT DISTINCT conv_id FROM conversations)")
@@ -222,11 +222,11 @@ def citation_links(t):
     return n.join(F.broadcast(sources), F.col("n") == F.col("rank"), "left").select("conv_id", "turn", "n", F.col("rank").isNotNull().alias("known"))
 
 
-@query("SELECT item_id, '[' || rank || '] ' || text[1:100] AS block, sum(length(text[1:100])) OVER (ORDER BY item_id)::BIGINT AS upto FROM (SELECT item_id, text, item_id + 1 AS rank FROM benchmark WHERE item_id < 8)")
+@query("SELECT item_id, '[' || (item_id + 1) || '] ' || text AS block, sum(length(text)) OVER (ORDER BY item_id)::BIGINT AS upto FROM benchmark")
 def prompt_blocks(t):
-    b = t.benchmark.where("item_id < 8").withColumn("cut", F.substring("text", 1, 100))
-    upto = F.sum(F.length("cut")).over(W.partitionBy(F.lit(0)).orderBy("item_id"))
-    return b.select("item_id", F.concat(F.lit("["), (F.col("item_id") + 1).cast("string"), F.lit("] "), "cut").alias("block"), upto.cast("long").alias("upto"))
+    b = t.benchmark
+    upto = F.sum(F.length("text")).over(W.partitionBy(F.lit(0)).orderBy("item_id"))
+    return b.select("item_id", F.concat(F.lit("["), (F.col("item_id") + 1).cast("string"), F.lit("] "), "text").alias("block"), upto.cast("long").alias("upto"))
 
 
 @query("SELECT conv_id, sum(ceil(length(text) / 4.0))::BIGINT AS tokens, count(*) FILTER (role = 'user') AS asked, sum(ceil(length(text) / 4.0)) > 12902 AS shed FROM conversations GROUP BY conv_id")
@@ -242,18 +242,18 @@ def log_tail(t):
 
 # -------------------------------------------------------------- citations
 
-FIND_SQL = f"""st AS (SELECT doc_id, {chapter_sql('label')} AS s FROM {CHAPTERS_SQL} WHERE doc_id % 3 = 0), lb AS (SELECT doc_id AS pos, doc_id % 20 AS src, {chapter_sql('label')} AS l FROM {CHAPTERS_SQL}),
-  c AS (SELECT st.doc_id, lb.pos, s, l, list_distinct(list_filter(string_split(s, ' '), lambda w: length(w) >= 3)) AS a, list_distinct(list_filter(string_split(l, ' '), lambda w: length(w) >= 3)) AS b FROM st JOIN lb ON st.doc_id % 20 = lb.src),
+FIND_SQL = f"""st AS (SELECT doc_id, {chapter_sql('label')} AS s FROM {CHAPTERS_SQL}), lb AS (SELECT doc_id AS pos, (doc_id + 7) // 20 AS src, {chapter_sql('label')} AS l FROM {CHAPTERS_SQL}),
+  c AS (SELECT st.doc_id, lb.pos, s, l, list_distinct(list_filter(string_split(s, ' '), lambda w: length(w) >= 3)) AS a, list_distinct(list_filter(string_split(l, ' '), lambda w: length(w) >= 3)) AS b FROM st JOIN lb ON st.doc_id // 20 = lb.src),
   d AS (SELECT *, len(list_intersect(a, b)) AS k FROM c), e AS (SELECT *, k / greatest(len(a) + len(b) - k, 1) AS sc FROM d),
   f AS (SELECT doc_id, pos, CASE WHEN s = '' THEN NULL WHEN s = l THEN 1 WHEN length(s) >= 6 AND length(l) >= 6 AND (contains(l, s) OR contains(s, l)) THEN 2 WHEN len(a) >= 2 AND k >= 2 AND sc >= 0.6 THEN 3 END AS tier, sc FROM e)"""
 
 
 @query(f"WITH {FIND_SQL} SELECT doc_id, arg_min(pos, (tier, -round(CASE WHEN tier = 3 THEN sc ELSE 0 END, 9), pos)) AS pos, min(tier) AS tier FROM f WHERE tier IS NOT NULL GROUP BY doc_id")
 def find_label(t):
-    """The label of a table of contents (here: of the same source) that a stored chapter means."""
+    """The label of a table of contents that a stored chapter means; here tables of contents have 20 labels each."""
     labels = _labels(t).select("doc_id", tx.norm_chapter(F.col("label")).alias("l"))
-    stored = labels.where("doc_id % 3 = 0").select("doc_id", F.col("l").alias("s"), (F.col("doc_id") % 20).alias("src"))
-    toc = labels.select(F.col("doc_id").alias("pos"), "l", (F.col("doc_id") % 20).alias("src"))
+    stored = labels.select("doc_id", F.col("l").alias("s"), F.floor(F.col("doc_id") / 20).alias("src"))
+    toc = labels.select(F.col("doc_id").alias("pos"), "l", F.floor((F.col("doc_id") + 7) / 20).alias("src"))
     tier, score = citations.label_tier(F.col("s"), F.col("l"))
     pairs = stored.join(toc, "src").select("doc_id", "pos", tier.alias("tier"), score.alias("score")).where("tier IS NOT NULL")
     return pairs.groupBy("doc_id").agg(F.min(F.struct("tier", -F.col("score"), "pos")).alias("m")).select("doc_id", "m.pos", "m.tier")
@@ -322,9 +322,9 @@ def pdf_ladder(t):
 
 
 def _join(kind: str, sql: str) -> None:
-    @query(f"SELECT c_custkey, o_orderkey FROM (SELECT * FROM customer WHERE c_custkey % 3 = 0) {sql} JOIN (SELECT * FROM orders WHERE o_orderkey % 5 = 0) ON c_custkey = o_custkey", f"join_{kind}")
+    @query(f"SELECT c_custkey, o_orderkey FROM customer {sql} JOIN orders ON c_custkey = o_custkey", f"join_{kind}")
     def joined(t):
-        c, o = t.customer.where("c_custkey % 3 = 0"), t.orders.where("o_orderkey % 5 = 0")
+        c, o = t.customer, t.orders
         return c.join(o, c.c_custkey == o.o_custkey, kind).select("c_custkey", "o_orderkey")
 
 
@@ -376,9 +376,9 @@ def session_windows(t):
     return s.select("user_id", micros(F.col("w.start")).alias("start"), "n")
 
 
-@query("WITH o AS (SELECT event_id, epoch_us(ts) AS u, max(epoch_us(ts)) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM events WHERE user_id = 7) SELECT count(*) AS n, count(*) FILTER (u < seen - 600000000) AS late FROM o")
+@query("WITH o AS (SELECT event_id, epoch_us(ts) AS u, user_id, max(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM events) SELECT user_id, count(*) AS n, count(*) FILTER (u < seen - 600000000) AS late FROM o GROUP BY user_id")
 def late_drop(t):
-    """Events of one user behind a watermark of ten minutes, as they arrive in order of id."""
+    """Each user's events behind a watermark of ten minutes, as they arrive in order of id."""
     seen = F.max(micros(F.col("ts"))).over(W.partitionBy("user_id").orderBy("event_id").rowsBetween(W.unboundedPreceding, -1))
-    e = t.events.where("user_id = 7").withColumn("seen", seen)
-    return e.agg(F.count("*").alias("n"), F.count_if(micros(F.col("ts")) < F.col("seen") - 600000000).alias("late"))
+    e = t.events.withColumn("seen", seen)
+    return e.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(micros(F.col("ts")) < F.col("seen") - 600000000).alias("late"))

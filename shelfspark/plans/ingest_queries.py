@@ -233,10 +233,10 @@ def maint_apply(t):
     return kept.join(state.bad_stamps(kept).select("book_id", "to"), "book_id", "left").select("book_id", "source_path", F.coalesce("to", "format").alias("format"))
 
 
-@query("SELECT id, text FROM fx_chunks WHERE doc_id % 4 <> 1 UNION ALL SELECT 'new:' || id, text[1:40] FROM fx_chunks WHERE doc_id % 4 = 1")
+@query("SELECT id, text FROM fx_chunks WHERE doc_id % 4 <> 1 UNION ALL SELECT 'new:' || id, 'again: ' || text FROM fx_chunks WHERE doc_id % 4 = 1")
 def reindex_replace(t):
     c = t.fx_chunks.select("id", "source_path", "text", "doc_id")
-    fresh = c.where("doc_id % 4 = 1").withColumn("id", F.concat(F.lit("new:"), "id")).withColumn("text", F.substring("text", 1, 40))
+    fresh = c.where("doc_id % 4 = 1").withColumn("id", F.concat(F.lit("new:"), "id")).withColumn("text", F.concat(F.lit("again: "), "text"))
     return state.replace_books(c, fresh).select("id", "text")
 
 
@@ -270,21 +270,22 @@ def purge_sentinels(t):
     return t.fx_candidates.where(~fm.is_sentinel(F.col("fp"))).select("pos", "fp")
 
 
-@query("SELECT count(*) AS n, count(DISTINCT i) AS kinds, min(i) AS lo, max(i) AS hi, count(*) = 40 AND count(DISTINCT i) = 40 AS whole FROM (SELECT event_id % 40 AS i FROM events WHERE event_id < 40)")
+@query("SELECT source, count(*) AS n, count(DISTINCT doc_id) AS kinds, min(doc_id) AS lo, max(doc_id) AS hi, count(*) = count(DISTINCT doc_id) AS whole FROM documents GROUP BY source")
 def sidecar_validate(t):
-    """Whether a helper's outcomes name each of 40 inputs once."""
-    line = t.events.where("event_id < 40").select(F.to_json(F.struct((F.col("event_id") % 40).alias("index"), F.lit("ok").alias("outcome"))).alias("j"))
-    i = line.select(F.from_json("j", "index long, outcome string")["index"].alias("i"))
-    return i.agg(F.count("*").alias("n"), F.countDistinct("i").alias("kinds"), F.min("i").alias("lo"), F.max("i").alias("hi")).withColumn("whole", (F.col("n") == 40) & (F.col("kinds") == 40))
+    """Whether the lines of a helper's outcomes, read from JSON, name each input of a source once."""
+    line = t.documents.select("source", F.to_json(F.struct(F.col("doc_id").alias("index"), F.lit("ok").alias("outcome"))).alias("j"))
+    i = line.select("source", F.from_json("j", "index long, outcome string")["index"].alias("i"))
+    seen = i.groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("i").alias("kinds"), F.min("i").alias("lo"), F.max("i").alias("hi"))
+    return seen.withColumn("whole", F.col("n") == F.col("kinds"))
 
 
-@query(f"SELECT doc_id, {FAM.format('format')} AS format, text[1:20] AS text FROM fx_chunks")
+@query(f"SELECT doc_id, {FAM.format('format')} AS format, text FROM fx_chunks")
 def import_strict(t):
     """Import of rows with an unknown format fails and names the row; known ones pass with their family."""
     c = t.fx_chunks
     f = fm.family(F.col("format"))
     checked = F.when(f.isNull(), F.raise_error(F.concat(F.lit("unknown format "), "format", F.lit(" of book "), "book_id")).cast("string")).otherwise(f)
-    return c.select("doc_id", checked.alias("format"), F.substring("text", 1, 20).alias("text"))
+    return c.select("doc_id", checked.alias("format"), "text")
 
 
 @query("SELECT doc_id, CASE WHEN ext IN ('pages') THEN 'converter' ELSE 'direct' END AS part FROM fx_books")

@@ -69,10 +69,10 @@ def _rst(text):
 
 FUNCTIONS = {
     "rst_sections": _rst,
-    "md_match": lambda text: models.md_match(text[:300], models.md_blocks("# Head\n\n" + text)),
+    "md_match": lambda text: models.md_match(text, models.md_blocks("# Head\n\n" + text)),
     "slice_offsets": lambda text: len(models.slices(text.replace("\n", "\n\n"), 500)),
     "trim_tail": lambda text: models.trim_tail(text, 101),
-    "decode_text": lambda text: __import__("shelfspark.sources.readers", fromlist=["decode"]).decode(text[:200].encode("utf-8")),
+    "decode_text": lambda text: __import__("shelfspark.sources.readers", fromlist=["decode"]).decode(text.encode("utf-8")),
 }
 for _name, _kind in (("rst_sections", "long"), ("md_match", "boolean"), ("slice_offsets", "long"), ("trim_tail", "string"), ("decode_text", "string")):
     _python(_name, _kind)

@@ -83,13 +83,13 @@ def norm_text(t):
     return _spaced(t).select("doc_id", tx.norm_text(F.col("text")).alias("text"))
 
 
-CHAPTERS_SQL = "(SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'Chapter ' || doc_id || ': ' WHEN 1 THEN 'Part IV. ' WHEN 2 THEN doc_id || '.2 — ' WHEN 3 THEN 'xii. ' WHEN 4 THEN 'Глава 3 ' ELSE '' END || text[1:40] AS label FROM documents)"
+CHAPTERS_SQL = "(SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'Chapter ' || doc_id || ': ' WHEN 1 THEN 'Part IV. ' WHEN 2 THEN doc_id || '.2 — ' WHEN 3 THEN 'xii. ' WHEN 4 THEN 'Глава 3 ' ELSE '' END || string_split(text, chr(10))[1] AS label FROM documents)"
 
 
 def _labels(t: Library) -> DataFrame:
     k, d = F.col("doc_id") % 6, F.col("doc_id").cast("string")
     head = F.when(k == 0, F.concat(F.lit("Chapter "), d, F.lit(": "))).when(k == 1, "Part IV. ").when(k == 2, F.concat(d, F.lit(".2 — "))).when(k == 3, "xii. ").when(k == 4, "Глава 3 ").otherwise("")
-    return t.documents.select("doc_id", F.concat(head, F.substring("text", 1, 40)).alias("label"))
+    return t.documents.select("doc_id", F.concat(head, F.split("text", "\n")[0]).alias("label"))
 
 
 def chapter_sql(c: str) -> str:
@@ -127,13 +127,13 @@ def estimate_tokens(t):
     return t.conversations.select("conv_id", "turn", tx.estimate_tokens(F.col("text")).alias("tokens"))
 
 
-QUESTION_SQL = "(SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'Why, ' || text WHEN 1 THEN text ELSE text[1:18] END AS q, (conv_id % 100) / 100.0::DOUBLE AS cosine FROM conversations)"
+QUESTION_SQL = "(SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'Why, ' || text WHEN 1 THEN text ELSE role END AS q, (conv_id % 100) / 100.0::DOUBLE AS cosine FROM conversations)"
 PRONOUN_SQL = "lower(regexp_replace(coalesce(w[1], ''), '^[^\\pL\\pN]+|[^\\pL\\pN]+$', '', 'g')) IN ('" + "', '".join(tx.PRONOUNS) + "')"
 
 
 def _questions(t: Library) -> DataFrame:
     k = F.col("turn") % 3
-    q = F.when(k == 0, F.concat(F.lit("Why, "), "text")).when(k == 1, F.col("text")).otherwise(F.substring("text", 1, 18))
+    q = F.when(k == 0, F.concat(F.lit("Why, "), "text")).when(k == 1, F.col("text")).otherwise(F.col("role"))
     return t.conversations.select("conv_id", "turn", q.alias("q"), ((F.col("conv_id") % 100) / 100.0).alias("cosine"))
 
 
@@ -210,10 +210,10 @@ def citation(t):
     return c.select("doc_id", tx.citation(F.col("title"), none("author"), none("chapter"), page, fm.family(F.col("format")), F.col("loc_start")).alias("citation"))
 
 
-@query("SELECT a.item_id AS a, b.item_id AS b, levenshtein(regexp_replace(a.text[1:60], '[^ -~]', '?', 'g'), regexp_replace(b.text[1:60], '[^ -~]', '?', 'g'))::BIGINT AS d FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1")
+@query("SELECT a.item_id AS a, b.item_id AS b, levenshtein(regexp_replace(a.text, '[^ -~]', '?', 'g'), regexp_replace(b.text, '[^ -~]', '?', 'g'))::BIGINT AS d FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1")
 def edit_distance(t):
     a, b = t.benchmark.alias("a"), t.benchmark.alias("b")
-    plain = lambda c: F.regexp_replace(F.substring(c, 1, 60), "[^ -~]", "?")  # noqa: E731  SQL counts bytes
+    plain = lambda c: F.regexp_replace(c, "[^ -~]", "?")  # noqa: E731  SQL counts bytes
     d = F.levenshtein(plain("a.text"), plain("b.text")).cast("long")
     return a.join(b, F.col("b.item_id") == F.col("a.item_id") + 1).select(F.col("a.item_id").alias("a"), F.col("b.item_id").alias("b"), d.alias("d"))
 
@@ -382,7 +382,7 @@ def fnv1a(t):
 # ------------------------------------------------------------- generators
 
 
-@query("""WITH l AS (SELECT doc_id, i, CASE WHEN i % 5 = 3 THEN '## ' || lines[i][1:20] ELSE lines[i] END AS line FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents))),
+@query("""WITH l AS (SELECT doc_id, i, CASE WHEN i % 5 = 3 THEN '## ' || lines[i] ELSE lines[i] END AS line FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents))),
   s AS (SELECT *, regexp_matches(line, '^#{1,2} +\\S') AS head FROM l), g AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY i) AS sec FROM s)
   SELECT doc_id, sec::BIGINT AS sec, max(CASE WHEN head THEN trim(regexp_replace(line, '^#+ +', '')) END) AS heading, coalesce(string_agg(CASE WHEN NOT head THEN line END, chr(10) ORDER BY i), '') AS body FROM g GROUP BY doc_id, sec""")
 def md_sections(t):
@@ -390,12 +390,12 @@ def md_sections(t):
 
     i = F.col("i")
     lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).withColumn("i", i + 1)
-    lines = lines.withColumn("line", F.when(i % 5 == 3, F.concat(F.lit("## "), F.substring("line", 1, 20))).otherwise(F.col("line")))
+    lines = lines.withColumn("line", F.when(i % 5 == 3, F.concat(F.lit("## "), "line")).otherwise(F.col("line")))
     return by_heading(lines, r"^#{1,2} +\S", r"^#+ +")
 
 
 def _heading_query(name: str, mark: str, is_head: str, strip: str):
-    sql = f"""WITH l AS (SELECT doc_id, i, CASE WHEN i % 4 = 2 THEN '{mark}' || lines[i][1:15] ELSE lines[i] END AS line FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents))),
+    sql = f"""WITH l AS (SELECT doc_id, i, CASE WHEN i % 4 = 2 THEN '{mark}' || lines[i] ELSE lines[i] END AS line FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents))),
       s AS (SELECT *, regexp_matches(line, '{is_head}') AS head FROM l), g AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY i) AS sec FROM s)
       SELECT doc_id, sec::BIGINT AS sec, max(CASE WHEN head THEN trim(regexp_replace(line, '{strip}', '')) END) AS heading, coalesce(string_agg(CASE WHEN NOT head THEN line END, chr(10) ORDER BY i), '') AS body FROM g GROUP BY doc_id, sec"""
 
@@ -404,7 +404,7 @@ def _heading_query(name: str, mark: str, is_head: str, strip: str):
         from ..operators.sections import by_heading
 
         lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).withColumn("i", F.col("i") + 1)
-        lines = lines.withColumn("line", F.when(F.col("i") % 4 == 2, F.concat(F.lit(mark), F.substring("line", 1, 15))).otherwise(F.col("line")))
+        lines = lines.withColumn("line", F.when(F.col("i") % 4 == 2, F.concat(F.lit(mark), "line")).otherwise(F.col("line")))
         return by_heading(lines, is_head, strip)
 
 
@@ -489,12 +489,12 @@ def chapter_at(t):
     return as_of(pages, toc, ["source"], "page", "p", "chapter").withColumn("chapter", F.coalesce("chapter", F.lit("")))
 
 
-@query("""WITH c AS (SELECT source, doc_id, lower(text[1:30]) AS text, 'Ch ' || (doc_id // 60 % 3) AS chapter FROM documents), l AS (SELECT *, coalesce(chapter <> lag(chapter) OVER (PARTITION BY source ORDER BY doc_id), true) AS new FROM c), g AS (SELECT *, sum(new::INT) OVER (PARTITION BY source ORDER BY doc_id) AS island FROM l),
+@query("""WITH c AS (SELECT source, doc_id, lower(text) AS text, 'Ch ' || (doc_id // 60 % 3) AS chapter FROM documents), l AS (SELECT *, coalesce(chapter <> lag(chapter) OVER (PARTITION BY source ORDER BY doc_id), true) AS new FROM c), g AS (SELECT *, sum(new::INT) OVER (PARTITION BY source ORDER BY doc_id) AS island FROM l),
   f AS (SELECT *, min(island) OVER (PARTITION BY source, chapter) AS first FROM g) SELECT source, chapter, string_agg(text, '' ORDER BY doc_id) AS text FROM f WHERE island = first GROUP BY source, chapter""")
 def first_runs(t):
     from ..operators.sections import first_run_texts
 
-    c = t.documents.select("source", "doc_id", F.lower(F.substring("text", 1, 30)).alias("text"), F.concat(F.lit("Ch "), (F.floor(F.col("doc_id") / 60) % 3).cast("string")).alias("chapter"))
+    c = t.documents.select("source", "doc_id", F.lower("text").alias("text"), F.concat(F.lit("Ch "), (F.floor(F.col("doc_id") / 60) % 3).cast("string")).alias("chapter"))
     return first_run_texts(c, ["source"], "doc_id", "chapter", "text")
 
 
@@ -503,9 +503,9 @@ def find_in_doc(t):
     return t.documents.select("doc_id", F.regexp_count(F.lower("text"), F.lit("the ")).cast("long").alias("n")).where("n > 0")
 
 
-@query("""SELECT source, string_agg(CASE WHEN prev IS DISTINCT FROM chapter THEN '## ' || chapter || chr(10) || chr(10) ELSE '' END || text, chr(10) || chr(10) ORDER BY doc_id) AS preview FROM (SELECT source, doc_id, text[1:50] AS text, 'Ch ' || (doc_id // 60 % 3) AS chapter, lag('Ch ' || (doc_id // 60 % 3)) OVER (PARTITION BY source ORDER BY doc_id) AS prev FROM documents) GROUP BY source""")
+@query("""SELECT source, string_agg(CASE WHEN prev IS DISTINCT FROM chapter THEN '## ' || chapter || chr(10) || chr(10) ELSE '' END || text, chr(10) || chr(10) ORDER BY doc_id) AS preview FROM (SELECT source, doc_id, text, 'Ch ' || (doc_id // 60 % 3) AS chapter, lag('Ch ' || (doc_id // 60 % 3)) OVER (PARTITION BY source ORDER BY doc_id) AS prev FROM documents) GROUP BY source""")
 def preview_text(t):
     from ..operators.sections import preview
 
-    c = t.documents.select("source", "doc_id", F.substring("text", 1, 50).alias("text"), F.concat(F.lit("Ch "), (F.floor(F.col("doc_id") / 60) % 3).cast("string")).alias("chapter"))
+    c = t.documents.select("source", "doc_id", "text", F.concat(F.lit("Ch "), (F.floor(F.col("doc_id") / 60) % 3).cast("string")).alias("chapter"))
     return preview(c, "source", "doc_id", "chapter", "text")
