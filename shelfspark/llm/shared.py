@@ -17,7 +17,7 @@ from ..session import let_workers_import
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Text bytes that one vectorised step works on; longer texts are cut at white space.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -160,7 +160,7 @@ def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     return mix(out), at
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about most text bytes, at least a row each."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
