@@ -42,8 +42,13 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the rows that one Arrow batch carries to a Python worker, and let workers import this package."""
+    """Bound the rows that one Arrow batch carries to a Python worker, and let workers import this package.
+
+    Texts are wide, so the columnar reader takes fewer rows at once too: with its
+    usual batch, a column of texts is one array of many megabytes.
+    """
     let_workers_import(spark)
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", 512)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
