@@ -51,6 +51,8 @@ from .shared import Words, buffers, durable, mix, pieces, shingles, small_batche
 SHINGLE, SIMILARITY = 5, Fraction(3, 4)
 #: Bits of a shingle's hash by which shingles are counted for the cost of segments.
 COST_BITS = 17
+#: Tasks that add up the counts of all.
+COUNT_TASKS = 32
 #: Bands below this have more segments, with one-deletion neighbourhoods.
 SMALL_BAND = 6
 _U = np.uint64
@@ -85,6 +87,15 @@ def _summary(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([*(pa.nulls(1, k) for k in kinds[:5]), pa.array([np.minimum(counts, 2**31 - 1).astype(np.int32)], kinds[5])], names)
 
 
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row of counts: the sum of all."""
+    total = np.zeros(1 << COST_BITS, np.int64)
+    for batch in batches:
+        for row in batch.column(0):
+            total += row.values.to_numpy()
+    yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.int64()))], ["counts"])
+
+
 def levels(counts: np.ndarray) -> np.ndarray:
     """The cost of each hash range: 0 for the usual, more for each doubling beyond."""
     usual = max(float(np.median(counts)), 1.0)
@@ -296,7 +307,9 @@ def classes(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     keyed = docs.withColumn("text_key", F.xxhash64("text"))
     seen = durable(keyed.mapInArrow(lambda b: _summary(b, size), "doc_id long, text_key long, n long, fp long, sketch binary, counts array<int>"))
     summary = seen.where("counts IS NULL").drop("counts")
-    usual = seen.where("counts IS NOT NULL").select(F.posexplode("counts").alias("bin", "n")).groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
+    # each task's counts are added in a few tasks first, so that what is added bin by bin does not grow with the tasks
+    few = seen.where("counts IS NOT NULL").select("counts").repartition(COUNT_TASKS).mapInArrow(_added, "counts array<long>")
+    usual = few.select(F.posexplode("counts").alias("bin", "n")).groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
     cost = np.zeros(1 << COST_BITS, np.int64)  # as many rows as there are bins
     cost[usual.column("bin").to_numpy()] = usual.column("n").to_numpy()
     cost = spark.sparkContext.broadcast(levels(cost))
