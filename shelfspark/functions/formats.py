@@ -18,6 +18,21 @@ CLOUD = (
     ("/Library/Mobile Documents", "iCloud Drive"), ("/Library/CloudStorage/", "a cloud drive (File Provider)"), ("/Dropbox", "Dropbox"), ("/.dropbox", "Dropbox"),
     ("/Google Drive", "Google Drive"), ("/GoogleDrive", "Google Drive"), ("/OneDrive", "OneDrive"), ("/pCloud", "pCloud"),
 )
+# Formats that a pipeline leaves to the other, and the reason that is recorded.
+SKIPS = {
+    "cpu": {"xps": "xps: handled by Fast (GPU) indexing where available"},
+    "gpu": {
+        "doc": ".doc: handled by standard indexing where a converter is available",
+        "pages": ".pages: handled by standard indexing — needs an embedded PDF preview",
+        "webarchive": ".webarchive: handled by standard indexing",
+        "djvu": "djvu/chm: handled by standard indexing where djvutxt/7z is installed",
+    },
+}
+# How formats are rendered for the citation metric.
+RENDERED = {
+    "book": ("epub", "fb2", "fb2.zip"), "book-unverifiable": ("mobi", "azw3"), "text": ("md", "markdown", "txt", "text"), "pdf": ("pdf",),
+    "unverified": ("html", "htm", "docx", "rtf", "odt", "doc", "pages", "webarchive", "djvu", "rst", "adoc", "org", "tex", "ipynb", "xps"),
+}
 #: Longest first, so that a compound extension wins over its last part.
 EXT_PATTERN = "|".join(sorted((e.replace(".", r"\.") for e in FAMILY), key=lambda e: (-len(e), e)))
 
@@ -63,7 +78,7 @@ def book_id(path: Column) -> Column:
 
 
 def fingerprint(length: Column, mtime: Column) -> Column:
-    return F.coalesce(F.concat_ws(":", F.nullif(length.cast("string"), F.lit("")), mtime.cast("string")), F.lit("missing"))
+    return F.coalesce(F.concat(length.cast("string"), F.lit(":"), mtime.cast("string")), F.lit("missing"))
 
 
 def is_sentinel(signature: Column) -> Column:
@@ -85,6 +100,16 @@ def cloud_marker(path: Column) -> Column:
 
 def directed_skip(ext: Column, pipeline: Column) -> Column:
     """Why a pipeline does not take a format; null if it does."""
-    cpu = F.when(ext == "xps", F.lit("unsupported format: xps"))
-    gpu = F.when(ext.isin("doc", "pages", "webarchive", "djvu"), F.concat(F.lit("unsupported format: "), ext))
-    return F.when(pipeline == "gpu", gpu).otherwise(cpu)
+    out = F.lit(None).cast("string")
+    for name, reasons in SKIPS.items():
+        for e, reason in reasons.items():
+            out = F.when((pipeline == name) & (ext == e), F.lit(reason)).otherwise(out)
+    return out
+
+
+def render_family(ext: Column) -> Column:
+    """How a citation of a format is shown, which is how it can be verified."""
+    out = F.lit("unknown")
+    for name, exts in RENDERED.items():
+        out = F.when(ext.isin(*exts), F.lit(name)).otherwise(out)
+    return out

@@ -17,6 +17,9 @@ NO_CHAT = (
     "rerank", "clip", "moderation", "-vae", "upscal", "controlnet", "guard",
 )
 FUSION_COSINE = 0.33
+# What an answer without passages says, and what precedes one on a whole book.
+NO_HITS = "I couldn't find any matching passages in the selected collection(s)."
+WHOLE_CAVEAT = "*Heads up: this answers from a handful of retrieved passages, not the full text, so a whole-book summary can miss things. Ask about specific topics for the most reliable answers.*\n\n"
 
 
 def let(value: Column, body) -> Column:
@@ -137,7 +140,8 @@ def line_norm(line: Column) -> Column:
 
 
 def is_noise_line(line: Column) -> Column:
-    return one_line(line).rlike(r"^[\s\d\W_]*$")
+    """Empty lines, page numbers and rules."""
+    return one_line(line).rlike(r"^[0-9\s.·—–|-]*$")
 
 
 def script_mix(text: Column) -> Column:
@@ -148,14 +152,16 @@ def script_mix(text: Column) -> Column:
 
 
 def cer(truth: Column, read: Column) -> Column:
-    a, b = one_line(truth), one_line(read)
-    return F.levenshtein(a, b) / F.greatest(F.length(a), F.lit(1))
+    """Edit distance over the length of the truth, white space and case aside."""
+    a, b = F.lower(one_line(truth)), F.lower(one_line(read))
+    return F.when(a == "", F.when(b == "", 0.0).otherwise(1.0)).otherwise(F.levenshtein(a, b) / F.greatest(F.length(a), F.lit(1)))
 
 
 def word_recall(truth: Column, read: Column) -> Column:
     """The share of the truth's words of four letters or more that were read."""
-    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}_]+"), lambda w: F.length(w) >= 4))
-    return let(words(truth), lambda t: F.when(F.size(t) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(t, words(read))) / F.size(t)))
+    words = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}_]+"), lambda w: F.length(w) >= 4)
+    share = lambda t, g: F.when(F.size(t) == 0, F.lit(1.0)).otherwise(F.size(F.filter(t, lambda w: F.array_contains(g, w))) / F.size(t))
+    return let(words(truth), lambda t: let(F.array_distinct(words(read)), lambda g: share(t, g)))
 
 
 def group_letter(name: Column) -> Column:
@@ -174,6 +180,53 @@ def json_array(text: Column) -> Column:
     return F.nullif(F.regexp_replace(F.regexp_extract(text, r"(?s)(\[.*\])", 1), r"[\x00-\x1f]", " "), F.lit(""))
 
 
+def stream_line(line: Column, provider: Column) -> Column:
+    """struct(content, reasoning, in_tokens, out_tokens, done) of a line of a provider's answer stream: ollama, anthropic, or else OpenAI's form."""
+    data = F.trim(F.regexp_extract(F.ltrim(line), r"(?s)^data:(.*)$", 1))
+    body = F.when(provider == "ollama", F.trim(line)).when(data == "[DONE]", None).otherwise(F.nullif(data, F.lit("")))
+
+    def read(x: Column) -> Column:
+        text = lambda path: F.nullif(F.get_json_object(x["body"], path), F.lit(""))
+        number = lambda path: F.get_json_object(x["body"], path).try_cast("long")
+        row = lambda content, reasoning, read, wrote, done: F.struct(content.alias("content"), reasoning.alias("reasoning"), read.alias("in_tokens"), wrote.alias("out_tokens"), done.alias("done"))
+        kind = text("$.type")
+        delta = kind == "content_block_delta"
+        ollama = row(text("$.response"), text("$.thinking"), number("$.prompt_eval_count"), number("$.eval_count"), F.coalesce(F.get_json_object(x["body"], "$.done") == "true", F.lit(False)))
+        anthropic = row(F.when(delta, text("$.delta.text")), F.when(delta, text("$.delta.thinking")), F.when(kind == "message_start", number("$.message.usage.input_tokens")), F.when(kind == "message_delta", number("$.usage.output_tokens")), F.lit(False))
+        thought = F.coalesce(text("$.choices[0].delta.reasoning_content"), text("$.choices[0].delta.reasoning"))
+        openai = row(text("$.choices[0].delta.content"), thought, number("$.usage.prompt_tokens"), number("$.usage.completion_tokens"), x["data"] == "[DONE]")
+        return F.when(x["provider"] == "ollama", ollama).when(x["provider"] == "anthropic", anthropic).otherwise(openai)
+
+    return let(F.struct(body.alias("body"), data.alias("data"), provider.alias("provider")), read)
+
+
+def progress_line(line: Column) -> Column:
+    """struct(kind, title, chunks, path) of a helper's line: a book's, one of a skipped file, or another."""
+    rest = F.trim(F.regexp_extract(F.trim(line), r"(?s)^\[[^\]]*\](.*)$", 1))
+    ours, skip = F.trim(line).rlike(r"(?s)^\[[^\]]*\]"), rest.startswith("skip")
+    title = F.when(rest.contains(": "), F.regexp_replace(rest, r"(?s)^(.*): .*$", "$1")).otherwise(rest)
+    chunks = F.coalesce(F.regexp_extract(rest, r"(?s)^.*: \s*(\S+)", 1).try_cast("long"), F.lit(0).cast("long"))
+    return F.struct(
+        F.when(~ours, "other").when(skip, "skip").otherwise("book").alias("kind"),
+        F.when(ours & ~skip, title).alias("title"),
+        F.when(ours & ~skip, chunks).alias("chunks"),
+        F.when(ours & skip, F.regexp_extract(rest, r"(\S*)$", 1)).alias("path"),
+    )
+
+
+def chat_error(status: Column, body: Column) -> Column:
+    snippet = F.when(F.trim(body) == "", "").otherwise(F.concat(F.lit(" — "), F.substring(F.trim(body), 1, 200)))
+    say = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    code = status.cast("string")
+    return (
+        F.when(status.isin(401, 403), say("That model doesn't support chat — image and embedding models return ", code, ". Pick a chat model, or check the API key in Settings.", snippet))
+        .when(status == 404, say("Model not found (", code, "). Check the model id in Settings.", snippet))
+        .when(status == 400, say("The provider rejected the request (", code, ").", snippet))
+        .when(status == 429, say("Rate limited (", code, "). Try again in a moment."))
+        .otherwise(say("Provider error (", code, ").", snippet))
+    )
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a.cast("array<double>"), b.cast("array<double>"), lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
 

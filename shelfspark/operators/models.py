@@ -110,3 +110,27 @@ def trim_tail(text: str, most: int) -> str:
     """The last bytes of a text, from a character's first byte on."""
     data = text.encode()
     return text if len(data) <= most else data[-most:].decode(errors="ignore")
+
+
+def fnv1a(data: bytes, value: int = 0xCBF29CE484222325) -> int:
+    """64-bit FNV-1a."""
+    for b in data:
+        value = (value ^ b) * 0x100000001B3 % (1 << 64)
+    return value
+
+
+def copy_key(data: bytes, sample: int = 64 * 1024) -> str:
+    """The name of a file's searchable copy: FNV-1a of its length, its first bytes and, if it is longer, its last."""
+    h = fnv1a(data[:sample], fnv1a(len(data).to_bytes(8, "little")))
+    return f"{fnv1a(data[-sample:], h) if len(data) > sample else h:016x}"
+
+
+def dehyphenate(lines: list[str]) -> list[str]:
+    """Join a line that ends in a hyphen behind a letter with the next if that begins with one."""
+    out: list[str] = []
+    for line in lines:
+        if out and re.search(r"[^\W\d_]-$", out[-1]) and re.match(r"[^\W\d_]", line):
+            out[-1] = out[-1][:-1] + line
+        else:
+            out.append(line)
+    return out

@@ -45,7 +45,7 @@ def book_id(t):
 @query("SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN 'missing' ELSE n_chars || ':' || (1700000000 + doc_id) END AS fp FROM documents")
 def fingerprint(t):
     d = t.documents
-    return d.select("doc_id", fm.fingerprint(F.when(F.col("doc_id") % 50 != 0, F.col("n_chars")), F.when(F.col("doc_id") % 50 != 0, F.col("doc_id") + 1700000000)).alias("fp")).withColumn("fp", F.when(F.col("fp") == "", "missing").otherwise(F.col("fp")))
+    return d.select("doc_id", fm.fingerprint(F.when(F.col("doc_id") % 50 != 0, F.col("n_chars")), F.when(F.col("doc_id") % 50 != 0, F.col("doc_id") + 1700000000)).alias("fp"))
 
 
 @query("""SELECT doc_id, printf('%x', length(text)) || ':' || sha256(length(text) || '|' || text[1:1024] || CASE WHEN length(text) > 2048 THEN text[-1024:] ELSE '' END) AS csig FROM documents""")
@@ -236,13 +236,11 @@ def sigmoid(t):
     return t.events.select("event_id", F.round(tx.sigmoid(F.col("value") / 10), 9).alias("p"))
 
 
-@query("""SELECT doc_id, CASE ext WHEN 'pdf' THEN 'pdf' WHEN 'md' THEN 'text' WHEN 'markdown' THEN 'text' WHEN 'txt' THEN 'text' WHEN 'html' THEN 'text' WHEN 'docx' THEN 'office' WHEN 'pages' THEN 'converted' ELSE 'book' END AS family,
+@query("""SELECT doc_id, CASE WHEN ext = 'pdf' THEN 'pdf' WHEN ext IN ('md', 'markdown', 'txt') THEN 'text' WHEN ext IN ('html', 'docx', 'pages') THEN 'unverified' WHEN ext = 'mobi' THEN 'book-unverifiable' ELSE 'book' END AS family,
   CASE WHEN doc_id % 9 = 0 THEN 'ru' ELSE 'en' END AS script FROM fx_books""")
 def strata(t):
-    ext = F.col("ext")
-    fam = F.when(ext == "pdf", "pdf").when(ext.isin("md", "markdown", "txt", "html"), "text").when(ext == "docx", "office").when(ext == "pages", "converted").otherwise("book")
     title = F.when(F.col("doc_id") % 9 == 0, "Чистый Python").otherwise(F.concat(F.lit("Effective "), "source"))
-    return t.fx_books.select("doc_id", fam.alias("family"), tx.script_of(title).alias("script"))
+    return t.fx_books.select("doc_id", fm.render_family(F.col("ext")).alias("family"), tx.script_of(title).alias("script"))
 
 
 LINES_SQL = "(SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)"
@@ -257,7 +255,7 @@ def line_norm(t):
     return _lines(t).groupBy(tx.line_norm(F.col("line")).alias("line")).agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT doc_id, count(*) FILTER (regexp_matches(trim(regexp_replace(line, '\\s+', ' ', 'g')), '^[^A-Za-z]*$')) AS noise FROM {LINES_SQL} GROUP BY doc_id")
+@query(f"SELECT doc_id, count(*) FILTER (regexp_matches(trim(regexp_replace(line, '\\s+', ' ', 'g')), '^[0-9\\s.·—–|-]*$')) AS noise FROM {LINES_SQL} GROUP BY doc_id")
 def noise_line(t):
     return _lines(t).groupBy("doc_id").agg(F.count_if(tx.is_noise_line(F.col("line"))).alias("noise"))
 
@@ -267,13 +265,13 @@ def script_mix(t):
     return t.documents.select("doc_id", tx.script_mix(F.col("text")).alias("mix"))
 
 
-@query("SELECT item_id, round(levenshtein(a, b) / greatest(length(a), 1), 9) AS cer FROM (SELECT item_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS a, trim(regexp_replace(replace(text, 'th', 'tb'), '\\s+', ' ', 'g')) AS b FROM benchmark)")
+@query("SELECT item_id, round(levenshtein(lower(a), lower(b)) / greatest(length(a), 1), 9) AS cer FROM (SELECT item_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS a, trim(regexp_replace(replace(text, 'th', 'tb'), '\\s+', ' ', 'g')) AS b FROM benchmark)")
 def cer(t):
     return t.benchmark.select("item_id", F.round(tx.cer(F.col("text"), F.replace("text", F.lit("th"), F.lit("tb"))), 9).alias("cer"))
 
 
 @query("""SELECT item_id, round(CASE WHEN len(a) = 0 THEN 1.0 ELSE len(list_filter(a, lambda x: list_contains(b, x))) / len(a) END, 9) AS recall FROM (
-  SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\pL\\pN_]+'), lambda x: length(x) >= 4)) AS a, list_filter(regexp_split_to_array(lower(replace(text, 'on', 'om')), '[^\\pL\\pN_]+'), lambda x: length(x) >= 4) AS b FROM benchmark)""")
+  SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\\pL\\pN_]+'), lambda x: length(x) >= 4) AS a, list_filter(regexp_split_to_array(lower(replace(text, 'on', 'om')), '[^\\pL\\pN_]+'), lambda x: length(x) >= 4) AS b FROM benchmark)""")
 def word_recall(t):
     return t.benchmark.select("item_id", F.round(tx.word_recall(F.col("text"), F.replace("text", F.lit("on"), F.lit("om"))), 9).alias("recall"))
 
@@ -294,32 +292,46 @@ def json_salvage(t):
     return t.events.select("event_id", tx.json_array(raw).alias("json"))
 
 
-@query("SELECT event_id, event_id % 40 AS i, 40::BIGINT AS n, 'T: ' || event_type AS title, event_id % 7 AS chunks FROM events WHERE event_id % 3 <> 0")
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'skip' WHEN 1 THEN 'book' ELSE 'other' END AS kind, CASE WHEN event_id % 3 = 1 THEN 'T: ' || event_type END AS title, CASE WHEN event_id % 3 = 1 THEN event_id % 7 END AS chunks, CASE WHEN event_id % 3 = 0 THEN '/lib/' || event_id || '.pdf' END AS path FROM events")
 def parse_progress(t):
-    """Lines [i/n] title: k chunks of a helper's log."""
-    e = t.events
     s = F.col("event_id")
-    line = F.when(s % 3 == 0, F.lit("skip nothing")).otherwise(F.format_string("[%d/40] T: %s: %d chunks", s % 40, F.col("event_type"), s % 7))
-    p = r"^\[(\d+)/(\d+)\] (.*): (\d+) chunks$"
-    part = lambda g: F.regexp_extract("line", p, g)
-    return e.select("event_id", line.alias("line")).where(F.col("line").rlike(p)).select("event_id", part(1).cast("long").alias("i"), part(2).cast("long").alias("n"), part(3).alias("title"), part(4).cast("long").alias("chunks"))
+    line = F.when(s % 3 == 0, F.format_string("[%d/40] skip (no extractable text) /lib/%d.pdf", s % 40, s)).when(s % 3 == 1, F.format_string("[%d/40] T: %s: %d chunks ", s % 40, F.col("event_type"), s % 7)).otherwise("loading the model")
+    return t.events.select("event_id", tx.progress_line(line).alias("x")).select("event_id", "x.*")
 
 
-@query("SELECT event_id, event_type AS content, CASE WHEN event_id % 5 = 0 THEN event_id END AS out_tokens, event_id % 5 = 0 AS done FROM events")
+@query("""SELECT event_id, CASE WHEN k < 3 THEN event_type END AS content, CASE WHEN k < 3 AND event_id % 5 = 0 THEN 'so' END AS reasoning, CASE WHEN k IN (0, 3) THEN event_id END AS in_tokens, CASE WHEN k IN (0, 4) THEN 7::BIGINT END AS out_tokens, k IN (0, 5) AS done FROM (SELECT *, event_id % 6 AS k FROM events)""")
 def parse_llm_lines(t):
-    """Lines of streamed JSON: text, tokens where the last line tells them, and whether it is the last."""
-    last = F.col("event_id") % 5 == 0
-    line = F.to_json(F.struct(F.struct(F.col("event_type").alias("content")).alias("message"), F.when(last, F.col("event_id")).alias("eval_count"), last.alias("done")))
-    e = t.events.select("event_id", line.alias("line"))
-    x = F.from_json("line", "message struct<content:string>, eval_count long, done boolean")
-    return e.select("event_id", x["message"]["content"].alias("content"), x["eval_count"].alias("out_tokens"), x["done"].alias("done"))
-
-
-@query("SELECT event_id, CASE WHEN s IN (401, 403) THEN 'the key was refused' WHEN s = 404 THEN 'no such model' WHEN s = 429 THEN 'too many requests' WHEN s >= 500 THEN 'the provider failed' ELSE 'HTTP ' || s END AS error FROM (SELECT event_id, [400, 401, 403, 404, 429, 500, 503][(event_id % 7 + 1)::INT] AS s FROM events)")
+    """Lines of three providers' streams: text and thought, tokens, and whether they end it."""
+    k, n = F.col("event_id") % 6, F.col("event_id")
+    thought = F.when(n % 5 == 0, "so")
+    js = lambda *c: F.to_json(F.struct(*c))
+    sse = lambda c: F.concat(F.lit("data: "), c)
+    line = (
+        F.when(k == 0, js(F.col("event_type").alias("response"), thought.alias("thinking"), n.alias("prompt_eval_count"), F.lit(7).alias("eval_count"), F.lit(True).alias("done")))
+        .when(k == 1, sse(js(F.lit("content_block_delta").alias("type"), F.struct(F.col("event_type").alias("text"), thought.alias("thinking")).alias("delta"))))
+        .when(k == 2, sse(js(F.array(F.struct(F.struct(F.col("event_type").alias("content"), thought.alias("reasoning")).alias("delta"))).alias("choices"))))
+        .when(k == 3, sse(js(F.lit("message_start").alias("type"), F.struct(F.struct(n.alias("input_tokens")).alias("usage")).alias("message"))))
+        .when(k == 4, sse(js(F.lit("message_delta").alias("type"), F.struct(F.lit(7).alias("output_tokens")).alias("usage"))))
+        .otherwise("data: [DONE]")
+    )
+    provider = F.when(k == 0, "ollama").when(k.isin(1, 3, 4), "anthropic").otherwise("openai")
+    return t.events.select("event_id", tx.stream_line(line, provider).alias("x")).select("event_id", "x.*")
+
+
+@query("""SELECT event_id, CASE WHEN s IN (401, 403) THEN 'That model doesn''t support chat — image and embedding models return ' || s || '. Pick a chat model, or check the API key in Settings. — ' || event_type WHEN s = 404 THEN 'Model not found (404). Check the model id in Settings. — ' || event_type
+  WHEN s = 400 THEN 'The provider rejected the request (400). — ' || event_type WHEN s = 429 THEN 'Rate limited (429). Try again in a moment.' ELSE 'Provider error (' || s || '). — ' || event_type END AS error FROM (SELECT *, [400, 401, 403, 404, 429, 500, 503][(event_id % 7 + 1)::INT] AS s FROM events)""")
 def chat_error(t):
     s = F.element_at(F.array(*map(F.lit, (400, 401, 403, 404, 429, 500, 503))), (F.col("event_id") % 7 + 1).cast("int"))
-    text = F.when(s.isin(401, 403), "the key was refused").when(s == 404, "no such model").when(s == 429, "too many requests").when(s >= 500, "the provider failed").otherwise(F.concat(F.lit("HTTP "), s.cast("string")))
-    return t.events.select("event_id", text.alias("error"))
+    return t.events.select("event_id", tx.chat_error(s, F.concat(F.lit(" "), "event_type")).alias("error"))
+
+
+@query(f"SELECT conv_id, turn, CASE WHEN turn % 4 = 3 THEN 'I couldn''t find any matching passages in the selected collection(s).' WHEN NOT {_any('lower(q)', tx.LOCAL_ASKS)} AND {_any('lower(q)', tx.WHOLE_ASKS)} THEN '{tx.WHOLE_CAVEAT.strip()}' || chr(10) || chr(10) ELSE '' END AS opening FROM {ASK_SQL}")
+def answer_envelope(t):
+    """What an answer opens with: the message for no hits, a caveat on whole books, or nothing."""
+    k = F.col("conv_id") % 5
+    head = F.when(k == 0, "Give an overview of ").when(k == 1, "Summarize CHAPTER 3 of ").when(k == 2, "The gist of ").when(k == 3, "Key takeaways? ").otherwise("")
+    opening = F.when(F.col("turn") % 4 == 3, tx.NO_HITS).when(tx.is_aggregative(F.concat(head, "text")), tx.WHOLE_CAVEAT).otherwise("")
+    return t.conversations.select("conv_id", "turn", opening.alias("opening"))
 
 
 @query("SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'iCloud Drive' WHEN 1 THEN 'a cloud drive (File Provider)' WHEN 2 THEN 'Dropbox' WHEN 3 THEN 'pCloud' END AS provider FROM documents")
@@ -329,7 +341,7 @@ def cloud_marker(t):
     return t.fx_books.select("doc_id", fm.cloud_marker(F.concat(root, "path")).alias("provider"))
 
 
-@query("SELECT doc_id, CASE WHEN ext = 'pages' THEN 'unsupported format: pages' END AS gpu, CAST(NULL AS VARCHAR) AS cpu FROM fx_books")
+@query("SELECT doc_id, CASE WHEN ext = 'pages' THEN '.pages: handled by standard indexing — needs an embedded PDF preview' END AS gpu, CAST(NULL AS VARCHAR) AS cpu FROM fx_books")
 def directed_skip(t):
     return t.fx_books.select("doc_id", fm.directed_skip(F.col("ext"), F.lit("gpu")).alias("gpu"), fm.directed_skip(F.col("ext"), F.lit("cpu")).alias("cpu"))
 
@@ -368,14 +380,14 @@ def looks_scanned(t):
     return t.documents.groupBy("source").agg(thin.alias("thin"), F.count("*").alias("pages"), (thin / F.count("*") >= 0.1).alias("scanned"))
 
 
-@query("""SELECT doc_id, h::UBIGINT::VARCHAR AS hash FROM (SELECT doc_id, list_reduce(list_prepend(1469598103934665603::HUGEINT, list_transform(string_split('b' || doc_id, ''), lambda c: ascii(c)::HUGEINT)), lambda a, c: (xor(a, c) * 1099511628211) % 18446744073709551616) AS h FROM documents)""")
+@query("""SELECT doc_id, h::UBIGINT::VARCHAR AS hash FROM (SELECT doc_id, list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(string_split('b' || doc_id, ''), lambda c: ascii(c)::HUGEINT)), lambda a, c: (xor(a, c) * 1099511628211) % 18446744073709551616) AS h FROM documents)""")
 def fnv1a(t):
     """64-bit FNV-1a of a key. The 128-bit product is made of decimals; the exclusive or of the low byte is in plain longs."""
     prime, modulus = F.lit("1099511628211").cast("decimal(20,0)"), F.lit("18446744073709551616").cast("decimal(20,0)")
     low = lambda a: (a % F.lit(256).cast("decimal(20,0)")).cast("int")
     step = lambda a, c: (((a - low(a).cast("decimal(20,0)") + low(a).bitwiseXOR(F.ascii(c)).cast("decimal(20,0)")).cast("decimal(20,0)") * prime.cast("decimal(14,0)")).cast("decimal(38,0)") % modulus).cast("decimal(20,0)")
     key = F.concat(F.lit("b"), F.col("doc_id").cast("string"))
-    h = F.aggregate(F.split(key, ""), F.lit("1469598103934665603").cast("decimal(20,0)"), step)
+    h = F.aggregate(F.split(key, ""), F.lit("14695981039346656037").cast("decimal(20,0)"), step)
     return t.documents.select("doc_id", h.cast("string").alias("hash"))
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from shelfspark.functions import formats as fm
 from shelfspark.functions import text as tx
 from shelfspark.operators import citations, planner, state
-from shelfspark.operators.models import md_blocks, md_match, slices, trim_tail
+from shelfspark.operators.models import copy_key, dehyphenate, md_blocks, md_match, slices, trim_tail
 from shelfspark.operators.sections import pack
 
 
@@ -83,6 +83,11 @@ def test_pack(tokens, want):
     assert pack(tokens, 10, 3, 3) == want
 
 
+def test_keys_and_hyphens():
+    assert copy_key(bytes(i % 251 for i in range(200_000))) == "cfc6243be73dcb78"
+    assert dehyphenate(["пере-", "нос", "1-", "x", "a-", "1"]) == ["перенос", "1-", "x", "a-", "1"]
+
+
 def test_markdown_matching():
     blocks = md_blocks("# Head\n\ntext **bold** and [1, 2] `code`\ngoes on\n\n- item\n1. one\n```\nx = 1\n```")
     assert blocks == ["Head", "text bold and  code goes on", "item", "one", "x = 1"]
