@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .components import components
-from .ngram_join import _verify, block_pairs, fingerprint, grouped, key_filter
+from .ngram_join import _verify, block_pairs, grouped, key_filter
 from .shared import SPACE, Words, buffers, durable, mix, pieces, shingles, small_batches
 
 SHINGLE = 5
@@ -71,13 +71,28 @@ def paragraphs(data: np.ndarray, offsets: np.ndarray, words: Words, keyed: bool
     end = np.append(start[1:], len(of_word))
     keep = end - start >= LEAST_WORDS
     start, end = start[keep], end[keep]
-    text = of_word[start] if len(start) else np.zeros(0, np.int64)
-    sets = [np.unique(shingle[a + s : b - SHINGLE + 1 + s]) for a, b, s in zip(start, end, shift[text], strict=True)]
-    rich = np.array([len(s) >= LEAST_SHINGLES for s in sets], bool)
-    sets = [s for s, k in zip(sets, rich, strict=True) if k]
-    n = LINE_BANDS[0] * LINE_BANDS[1]
-    keys = _keys(np.array([(s[:, None] * _FACTORS[:n]).min(axis=0) for s in sets], _U).reshape(-1, n), LINE_BANDS, 1) if keyed else None
-    out.append((text[rich], start[rich], end[rich], np.array([fingerprint(s) for s in sets], np.int64), keys, sets.__getitem__))
+    if len(start):
+        text = of_word[start]
+        many_of = end - start - SHINGLE + 1
+        bound = np.concatenate([[0], np.cumsum(many_of)])
+        flat = shingle[np.arange(bound[-1]) + np.repeat(start + shift[text] - bound[:-1], many_of)]
+        for lo, hi in zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True):
+            flat[lo:hi].sort()
+        first_of = np.ones(len(flat), bool)
+        first_of[1:] = flat[1:] != flat[:-1]
+        first_of[bound[:-1]] = True
+        total = lambda v: np.add.reduceat(v, bound[:-1])
+        n_distinct = total(first_of.astype(np.int64))
+        fp = mix(total(mix(flat ^ _U(0x5DEECE66D)) * first_of) + n_distinct.astype(_U)).view(np.int64)
+        n = LINE_BANDS[0] * LINE_BANDS[1]
+        long = np.flatnonzero(n_distinct >= LEAST_SHINGLES)
+        keys = _keys(np.stack([np.minimum.reduceat(flat * _FACTORS[i], bound[:-1]) for i in range(n)], axis=1)[long], LINE_BANDS, 1) if keyed else None
+
+        def line_set(i: int) -> np.ndarray:
+            lo, hi = bound[long[i]], bound[long[i] + 1]
+            return flat[lo:hi][first_of[lo:hi]]
+
+        out.append((text[long], start[long], end[long], fp[long], keys, line_set))
     # stretches from anchors
     h = words.hash
     if len(h) >= WINDOW:
