@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import small_batches
+from .shared import release, small_batches
 
 #: Code points that a chunk starts after its predecessor, and that it runs on beyond its successor's start.
 CHUNK, OVERLAP = 16_384, 1_024
@@ -61,6 +61,7 @@ def boundaries(text: str, pattern: str) -> list[int]:
 
 
 def encode_texts(texts: list[str | None], path: str, pattern: str) -> pa.Array:
+    release()
     enc = encoding(path, pattern)
     ids = [enc.encode_to_numpy(t, disallowed_special=()) if t else np.zeros(0, np.uint32) for t in texts]
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
@@ -69,6 +70,7 @@ def encode_texts(texts: list[str | None], path: str, pattern: str) -> pa.Array:
 
 
 def decode_ids(column: pa.Array, path: str) -> pa.Array:
+    release()
     data, at = token_table(path)
     out = []
     for ids in column:

@@ -165,6 +165,11 @@ def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     return mix(out), at
 
 
+def release() -> None:
+    """Give back what Arrow's memory pool holds in reserve, as a worker that waits for its next task would keep it."""
+    pa.default_memory_pool().release_unused()
+
+
 def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about most text bytes, at least a row each."""
     for batch in batches:
@@ -174,3 +179,4 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 20) ->
             j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, "right")))
             yield batch.slice(i, j - i)
             i = j
+        release()
