@@ -97,10 +97,12 @@ def paragraphs(data: np.ndarray, offsets: np.ndarray, words: Words, keyed: bool
     h = words.hash
     if len(h) >= WINDOW:
         pair = mix(h[:-1] * _U(3) + h[1:] * _U(5))
-        least = np.ones(len(pair), bool)
-        for k in range(1, REACH + 1):
-            least[k:] &= pair[k:] <= pair[:-k]
-            least[:-k] &= pair[:-k] < pair[k:]
+        pair[of_word[1:] != of_word[:-1]] = _U(0xFFFFFFFFFFFFFFFF)
+        least, of_pair = np.ones(len(pair), bool), of_word[:-1]
+        for k in range(1, REACH + 1):  # neighbours of the same text only, so that the batch does not matter
+            other = of_pair[k:] != of_pair[:-k]
+            least[k:] &= other | (pair[k:] <= pair[:-k])
+            least[:-k] &= other | (pair[:-k] < pair[k:])
         start = np.flatnonzero(least)
         start = start[start + WINDOW <= len(h)]
         start = start[of_word[start] == of_word[start + WINDOW - 1]]
