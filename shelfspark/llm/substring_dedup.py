@@ -3,7 +3,8 @@
 Texts are cut into paragraphs in two ways: lines of LEAST_WORDS words or more,
 and, as repeated passages may begin and end anywhere, stretches of WINDOW words that
 begin at anchors. An anchor is a word whose pair hash is the least for some
-words around, so that a passage has the same anchors wherever it stands. A
+words around, ties included, so that a passage has the same anchors wherever it stands,
+and one that repeats a few words has one in each period. A
 paragraph is the set of its five-word shingles. MinHash values in bands give the keys under
 which paragraphs meet: eight bands of two for lines, which finds 99.9 % of pairs of
 similarity 3/4, and one band of two for stretches, of which any passage has several. Paragraphs that meet are
@@ -12,7 +13,7 @@ compared exactly and linked at a similarity of 3/4; components of links are clus
 A cluster with paragraphs of two documents or more is a repeated passage: it stays in the
 document of the smallest id, and is to be removed from the others. Spans of a
 document that overlap or touch are merged. Only documents with a repeated
-passage are in the result. Paragraphs of few distinct shingles (a word over and over) are not compared.
+passage are in the result. Paragraphs of few distinct shingles (a word over and over) are compared like others.
 
 Null and empty texts have no paragraphs. A passage that repeats inside one document only is none.
 Rows without an id are left out. Rows of the same id and text give the same spans once.
@@ -33,8 +34,8 @@ from .ngram_join import _verify, block_pairs, grouped, key_filter
 from .shared import SPACE, Words, buffers, durable, mix, pieces, shingles, small_batches
 
 SHINGLE = 5
-#: Words of a line from which it is a paragraph; words of a stretch; words on each side that an anchor outdoes; least distinct shingles.
-LEAST_WORDS, WINDOW, REACH, LEAST_SHINGLES = 24, 24, 3, 10
+#: Words of a line from which it is a paragraph; words of a stretch; words on each side that no anchor exceeds.
+LEAST_WORDS, WINDOW, REACH = 24, 24, 3
 #: (bands, rows) for lines and for stretches.
 LINE_BANDS, WINDOW_BANDS = (8, 2), (1, 2)
 _U = np.uint64
@@ -85,14 +86,13 @@ def paragraphs(data: np.ndarray, offsets: np.ndarray, words: Words, keyed: bool
         n_distinct = total(first_of.astype(np.int64))
         fp = mix(total(mix(flat ^ _U(0x5DEECE66D)) * first_of) + n_distinct.astype(_U)).view(np.int64)
         n = LINE_BANDS[0] * LINE_BANDS[1]
-        long = np.flatnonzero(n_distinct >= LEAST_SHINGLES)
-        keys = _keys(np.stack([np.minimum.reduceat(flat * _FACTORS[i], bound[:-1]) for i in range(n)], axis=1)[long], LINE_BANDS, 1) if keyed else None
+        keys = _keys(np.stack([np.minimum.reduceat(flat * _FACTORS[i], bound[:-1]) for i in range(n)], axis=1), LINE_BANDS, 1) if keyed else None
 
         def line_set(i: int) -> np.ndarray:
-            lo, hi = bound[long[i]], bound[long[i] + 1]
+            lo, hi = bound[i], bound[i + 1]
             return flat[lo:hi][first_of[lo:hi]]
 
-        out.append((text[long], start[long], end[long], fp[long], keys, line_set))
+        out.append((text, start, end, fp, keys, line_set))
     # stretches from anchors
     h = words.hash
     if len(h) >= WINDOW:
@@ -102,7 +102,7 @@ def paragraphs(data: np.ndarray, offsets: np.ndarray, words: Words, keyed: bool
         for k in range(1, REACH + 1):  # neighbours of the same text only, so that the batch does not matter
             other = of_pair[k:] != of_pair[:-k]
             least[k:] &= other | (pair[k:] <= pair[:-k])
-            least[:-k] &= other | (pair[:-k] < pair[k:])
+            least[:-k] &= other | (pair[:-k] <= pair[k:])
         start = np.flatnonzero(least)
         start = start[start + WINDOW <= len(h)]
         start = start[of_word[start] == of_word[start + WINDOW - 1]]
@@ -110,8 +110,6 @@ def paragraphs(data: np.ndarray, offsets: np.ndarray, words: Words, keyed: bool
         table = np.sort(shingle[(start + shift[text])[:, None] + np.arange(WINDOW - SHINGLE + 1)], axis=1)
         distinct = np.ones(table.shape, bool)
         distinct[:, 1:] = table[:, 1:] != table[:, :-1]
-        rich = distinct.sum(axis=1) >= LEAST_SHINGLES
-        start, text, table, distinct = start[rich], text[rich], table[rich], distinct[rich]
         n = WINDOW_BANDS[0] * WINDOW_BANDS[1]
         keys = _keys(np.stack([(table * _FACTORS[i]).min(axis=1) for i in range(n)], axis=1) if len(table) else np.zeros((0, n), _U), WINDOW_BANDS, 2) if keyed else None
         out.append((text, start, start + WINDOW, _fingerprints(table, distinct), keys, lambda i: table[i][distinct[i]]))
@@ -123,8 +121,10 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = batch.column("doc_id").to_numpy()
         data, offsets = buffers(batch.column("text"))
         for text, _, _, fp, keys, _ in paragraphs(data, offsets, Words(data, offsets, lower=True), keyed=True):
+            # a passage that repeats inside a text gives the same rows again and again
+            _, once = np.unique(mix(fp.view(_U)) ^ text.astype(_U), return_index=True)
             n = keys.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(fp, n)), pa.array(np.repeat(ids[text], n))], ["key", "fp", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[once].reshape(-1).view(np.int64)), pa.array(np.repeat(fp[once], n)), pa.array(np.repeat(ids[text[once]], n))], ["key", "fp", "doc_id"])
 
 
 def _passes(fp: np.ndarray, bits: np.ndarray) -> np.ndarray:
@@ -152,9 +152,14 @@ def _spans(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.R
         ids = batch.column("doc_id").to_numpy()
         for text, start, end, fp, _, _ in paragraphs(data, offsets, words):
             k = np.flatnonzero(_passes(fp, bits))
-            t, a, b = text[k], start[k], end[k]
+            k = k[np.lexsort((start[k], fp[k], text[k]))]
+            t, a, b, f = text[k], start[k], end[k], fp[k]
+            # equal stretches of a text that overlap or touch, as in a word over and over, are one
+            new = np.ones(len(k), bool)
+            new[1:] = (t[1:] != t[:-1]) | (f[1:] != f[:-1]) | (a[1:] > b[:-1])
+            t, a, b, f = t[new], a[new], b[np.append(new[1:], True)[: len(k)]], f[new]
             base = lead[offsets[t]]
-            columns = [ids[t], fp[k], lead[words.start[a]] - base, lead[words.end[b - 1]] - base, a - words.first[t], b - words.first[t]]
+            columns = [ids[t], f, lead[words.start[a]] - base, lead[words.end[b - 1]] - base, a - words.first[t], b - words.first[t]]
             yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["doc_id", "fp", "start", "end", "from_word", "to_word"])
 
 

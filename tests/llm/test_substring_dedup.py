@@ -47,3 +47,19 @@ def test_nasty_rows(spark):
     base = {6, 7, 8, 9, 11}
     assert {x.doc_id for x in rows} == base and {x.doc_id for x in rows if not x.removed} == {6}
     assert s.repeats(nasty.table(spark, [])).collect() == []
+
+
+def test_passages_of_few_distinct_shingles(spark):
+    r = random.Random(8)
+    passages = [" ".join((nasty.prose(r, period).split() * 60)[:60]) for period in range(1, 10)]
+    data = [(i, f"{nasty.prose(r, 80)} {passages[i % 9]} {nasty.prose(r, 80)}") for i in range(18)]
+    data += [(20 + i, f"{nasty.prose(r, 80)}\n{passages[i % 2 + 3]}\n{nasty.prose(r, 80)}") for i in range(4)] + [(30, nasty.prose(r, 300))]
+    rows = s.repeats(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert {x.doc_id for x in rows} == {x[0] for x in data} - {30}
+    text = dict(data)
+    for i in range(18):
+        at = text[i].index(passages[i % 9])
+        main = max((x for x in rows if x.doc_id == i), key=lambda x: x.n_words)
+        assert main.removed == (i >= 9) and main.first_doc == i % 9 and main.n_docs == (4 if i % 9 in (3, 4) else 2)
+        # a stretch may reach up to three words beyond the passage
+        assert main.n_words >= 36 and at - 30 <= main.start and main.end <= at + len(passages[i % 9]) + 30
