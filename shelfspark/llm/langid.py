@@ -11,9 +11,13 @@ is that of the lowest cross-entropy per character, the first by name in a tie.
 Rejection is calibrated: a text is not accepted where its cross-entropy exceeds what
 all but a few of the language's own training documents have.
 
-Counting covers all documents and is a partial aggregate. The model is broadcast;
-CELLS bounds its size: while the n-grams times the languages are more, the order of
-the models is lowered by one, down to 1.
+Counting covers all documents and is a partial aggregate. The model is broadcast
+whole while the n-grams times the languages are CELLS at most. Beyond that it is cut into
+shards by the last character of the context, which an n-gram, its shorter ends and all
+their contexts share; only single characters, discounts and the alphabet are common to
+all. The shards are broadcast one after the other, each adds up its part of each text's
+cross-entropy, and the parts are added by text, so the order is the same at any size. The n-grams
+of one context character are the unit that must fit. train() alone can still lower the order to fit.
 
 Null texts and texts without a letter get the language und, score 0, and are
 not accepted. Rows are judged each for itself. Documents without an id count as
@@ -171,8 +175,17 @@ def _discount(n: np.ndarray) -> float:
     return one / (one + 2 * two) if one and two else 0.5
 
 
-def fit(counts: dict[str, tuple[np.ndarray, np.ndarray]], order: int) -> Model:
-    """The models of the languages from the counts of their packed n-grams of that order."""
+@dataclass
+class Whole:
+    """What all shards of a model share."""
+
+    alphabet: int
+    discounts: dict[tuple[str, int], float]  #: by language and order
+    single: dict[str, tuple[np.ndarray, np.ndarray]]  #: continuation counts of characters by language
+
+
+def fit(counts: dict[str, tuple[np.ndarray, np.ndarray]], order: int, whole: Whole | None = None) -> Model:
+    """The models of the languages from the counts of their packed n-grams of that order; with whole, of a shard's n-grams."""
     langs = sorted(counts)
     L = len(langs)
     per: list[dict] = []
@@ -181,8 +194,10 @@ def fit(counts: dict[str, tuple[np.ndarray, np.ndarray]], order: int) -> Model:
         levels = {order: (keys, n)}
         for k in range(order - 1, 0, -1):  # continuation counts: distinct n-grams one longer
             levels[k] = np.unique(levels[k + 1][0] & _U((1 << 16 * k) - 1), return_counts=True)
+        if whole:
+            levels[1] = whole.single[lang]
         per.append(levels)
-    alphabet = max(1, len(np.unique(np.concatenate([p[1][0] for p in per])))) + 1
+    alphabet = whole.alphabet if whole else max(1, len(np.unique(np.concatenate([p[1][0] for p in per])))) + 1
     model = Model(langs, order, np.zeros(L, np.float32), [], [])
     for k in range(1, order + 1):
         union = np.unique(np.concatenate([p[k][0] for p in per]))
@@ -191,7 +206,7 @@ def fit(counts: dict[str, tuple[np.ndarray, np.ndarray]], order: int) -> Model:
         lower = np.exp2(model.log2(union & _U((1 << 16 * (k - 1)) - 1), k - 1).astype(float)) if k > 1 else np.full((len(union), L), 1 / alphabet)
         for i, p in enumerate(per):
             keys, n = p[k]
-            d = _discount(n)
+            d = whole.discounts[langs[i], k] if whole else _discount(n)
             of = np.searchsorted(contexts, keys >> _U(16)) if k > 1 else np.zeros(len(keys), np.int64)
             total, kinds = np.bincount(of, n, len(contexts)), np.bincount(of, minlength=len(contexts))
             share = np.where(total > 0, d * kinds / np.maximum(total, 1), 1.0)
@@ -208,6 +223,16 @@ def fit(counts: dict[str, tuple[np.ndarray, np.ndarray]], order: int) -> Model:
     return model
 
 
+def _by_lang(table: pa.Table) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    lang = np.array(table.column("lang").to_pylist(), object)
+    gram, n = table.column("gram").to_numpy().view(_U), table.column("n").to_numpy()
+    by = {}
+    for x in dict.fromkeys(lang):
+        order_by = np.argsort(gram[lang == x])
+        by[x] = gram[lang == x][order_by], n[lang == x][order_by]
+    return by
+
+
 def train(docs: DataFrame, order: int = ORDER, cells: int = CELLS) -> Model | None:
     """The model of all rows (lang, text) that have both; None without any."""
     counts = durable(gram_counts(docs, order))
@@ -217,27 +242,26 @@ def train(docs: DataFrame, order: int = ORDER, cells: int = CELLS) -> Model | No
         short = F.col("gram").bitwiseAND(F.lit((1 << 16 * order) - 1))
         counts = durable(counts.withColumn("gram", short).groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     table = counts.toArrow()  # at most cells / langs rows
-    lang = np.array(table.column("lang").to_pylist(), object)
-    gram, n = table.column("gram").to_numpy().view(_U), table.column("n").to_numpy()
-    by = {}
-    for x in dict.fromkeys(lang):
-        order_by = np.argsort(gram[lang == x])
-        by[x] = gram[lang == x][order_by], n[lang == x][order_by]
+    by = _by_lang(table)
     return fit(by, order) if by else None
 
 
 def score_texts(texts: list[str | None], model: Model | None) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Of each text its language, its score, and its cross-entropy in bits per character."""
-    pred, score, bits = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
     if model is None or not texts:
-        return pred, score, bits
+        return _judged(np.zeros((len(texts), 1)), np.zeros(len(texts), int), [UNKNOWN])
     keys, at = grams(*fold(texts), model.order)
-    sums = np.zeros((len(texts), len(model.langs)))
+    return _judged(_sums(keys, at, model), np.diff(at), model.langs)
+
+
+def _sums(keys: np.ndarray, at: np.ndarray, model: Model) -> np.ndarray:
+    """Of each text, whose n-grams begin at at, the sum of log2 by language."""
+    many = len(at) - 1
+    sums = np.zeros((many, len(model.langs)))
     step = 1 << 19
-    total = np.zeros(len(model.langs))
     # whole texts together, in steps of about so many characters; a longer text in several
     d = 0
-    while d < len(texts):
+    while d < many:
         e = max(d + 1, int(np.searchsorted(at, at[d] + step, "right")) - 1)
         if e == d + 1:
             for lo in range(at[d], at[e], step):
@@ -248,11 +272,16 @@ def score_texts(texts: list[str | None], model: Model | None) -> tuple[list[str]
             if len(full):
                 sums[full] = np.add.reduceat(values, at[full] - at[d], axis=0)
         d = e
-    n = np.diff(at)
+    return sums
+
+
+def _judged(sums: np.ndarray, n: np.ndarray, langs: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Languages, scores and cross-entropies from sums of log2 over n characters."""
+    pred, score, bits = [UNKNOWN] * len(n), np.zeros(len(n)), np.zeros(len(n))
     for d in np.flatnonzero(n > 0):
         cross = -sums[d] / n[d]
         best = int(cross.argmin())
-        pred[d], bits[d] = model.langs[best], cross[best]
+        pred[d], bits[d] = langs[best], cross[best]
         score[d] = 1 / np.exp2(-(cross - cross[best]) * min(int(n[d]), EVIDENCE)).sum()
     return pred, score, bits
 
@@ -274,6 +303,82 @@ def classify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
     return part.mapInArrow(run, schema)
 
 
+def _parts(counts: DataFrame, langs: int, cells: int) -> tuple[np.ndarray, int]:
+    """The shard of each context character, and how many there are; one of more than cells is a shard alone."""
+    rows = counts.groupBy(_context("gram").alias("c")).agg(F.count("*").alias("n")).orderBy("c").toArrow()
+    shard_of, shard, held = np.zeros(1 << 16, np.int32), 0, 0
+    for c, n in zip(rows.column("c").to_pylist(), rows.column("n").to_pylist(), strict=True):
+        if held and (held + n) * langs > cells:
+            shard, held = shard + 1, 0
+        shard_of[c], held = shard, held + n
+    return shard_of, shard + 1
+
+
+def _context(gram: str) -> Column:
+    return F.shiftright(F.col(gram), 16).bitwiseAND(F.lit(0xFFFF)).cast("int")
+
+
+def _whole(counts: DataFrame, order: int) -> Whole:
+    level, discounts = counts, {}
+    for k in range(order, 0, -1):
+        if k < order:
+            short = F.col("gram").bitwiseAND(F.lit((1 << 16 * k) - 1))
+            level = level.select("lang", short.alias("gram")).groupBy("lang", "gram").agg(F.count("*").alias("n"))
+        for r in level.groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("one"), F.count_if(F.col("n") == 2).alias("two")).collect():
+            discounts[r.lang, k] = r.one / (r.one + 2 * r.two) if r.one and r.two else 0.5
+    single = _by_lang(level.toArrow())  # at most 65,536 rows a language
+    return Whole(len(np.unique(np.concatenate([g for g, _ in single.values()]))) + 1, discounts, single)
+
+
+def classify_in_shards(docs: DataFrame, counts: DataFrame, order: int, cells: int) -> DataFrame:
+    """As classify() with a model of all counts, of which no more than one shard is held at a time.
+
+    What a text gets depends on the text alone, so parts are added by two hashes of it.
+    """
+    spark = docs.sparkSession
+    whole = _whole(counts, order)
+    langs = sorted(whole.single)
+    shard_of, shards = _parts(counts, len(langs), cells)
+    keyed = docs.withColumn("_a", F.xxhash64("text")).withColumn("_b", F.xxhash64(F.lit(1), "text"))
+    texts = keyed.select("_a", "_b", "text").where("text IS NOT NULL")
+    small_batches(spark)
+    lookup = spark.sparkContext.broadcast(shard_of)
+    of_char = F.udf(lambda c: int(lookup.value[c]), "int")
+    sharded = durable(counts.join(F.broadcast(counts.select(_context("gram").alias("_c")).distinct().withColumn("shard", of_char("_c"))), _context("gram") == F.col("_c")).drop("_c"))
+    added = None
+    for shard in range(shards):
+        by = _by_lang(sharded.where(F.col("shard") == shard).select("lang", "gram", "n").toArrow())
+        none = np.zeros(0, _U), np.zeros(0, np.int64)
+        held = spark.sparkContext.broadcast(fit({x: by.get(x, none) for x in langs}, order, whole))
+
+        def run(batches: Iterator[pa.RecordBatch], held=held, shard=shard) -> Iterator[pa.RecordBatch]:
+            for batch in pieces(batches, "text"):
+                keys, at = grams(*fold(batch.column("text").to_pylist()), order)
+                mine = lookup.value[(keys >> _U(16)) & _U(0xFFFF)] == shard
+                start = np.concatenate([[0], np.cumsum(mine)])[at]
+                yield pa.RecordBatch.from_arrays([batch.column("_a"), batch.column("_b"), pa.array(np.diff(start)), pa.array(list(_sums(keys[mine], start, held.value)), pa.list_(pa.float64()))], ["_a", "_b", "n", "sums"])
+
+        part = texts.mapInArrow(run, "_a long, _b long, n long, sums array<double>").where("n > 0")
+        part = part.groupBy("_a", "_b").agg(F.first("n").alias("n"), F.first("sums").alias("sums"))
+        if added is not None:
+            both = added.unionByName(part).groupBy("_a", "_b").agg(F.sum("n").alias("n"), F.collect_list("sums").alias("_l"))
+            part = both.select("_a", "_b", "n", F.aggregate("_l", F.array_repeat(F.lit(0.0), len(langs)), lambda x, y: F.zip_with(x, y, lambda p, q: p + q)).alias("sums"))
+        added = durable(part)
+        held.unpersist()
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                sums = np.array(batch.column("sums").to_pylist(), float)
+                pred, score, bits = _judged(sums, batch.column("n").to_numpy(), langs)
+                yield pa.RecordBatch.from_arrays([batch.column("_a"), batch.column("_b"), pa.array(pred, pa.string()), pa.array(score), pa.array(bits)], ["_a", "_b", "lang_pred", "score", "bits"])
+
+    judged = added.mapInArrow(judge, "_a long, _b long, lang_pred string, score double, bits double")
+    kept = [c for c in docs.columns if c not in ("text", "lang_pred", "score", "bits")]
+    out = keyed.select(*kept, "_a", "_b").join(judged, ["_a", "_b"], "left")
+    return out.select(*kept, F.coalesce("lang_pred", F.lit(UNKNOWN)).alias("lang_pred"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("bits", F.lit(0.0)).alias("bits"))
+
+
 def limits(scored: DataFrame) -> DataFrame:
     """(lang_pred, most_bits): the least hundredth of a bit that ACCEPT of the rows don't exceed, from rows of training documents told rightly."""
     b = scored.where("lang = lang_pred").groupBy("lang_pred", F.floor(F.col("bits") * 100).alias("bin")).agg(F.count("*").alias("n"))
@@ -286,11 +391,16 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def identify(docs: DataFrame) -> DataFrame:
+def identify(docs: DataFrame, cells: int = CELLS) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, bits, accepted) of rows (doc_id, lang, text)."""
     docs = docs.select("doc_id", "lang", "text").withColumn("held_out", held_out(F.col("doc_id")))
-    model = train(docs.where(~F.col("held_out")))
-    scored = durable(classify(docs, model))
+    counts = durable(gram_counts(docs.where(~F.col("held_out"))))
+    langs = counts.select("lang").distinct().count()
+    if counts.count() * langs > cells:
+        scored = durable(classify_in_shards(docs, counts, ORDER, cells))
+    else:
+        by = _by_lang(counts.toArrow())  # at most cells / langs rows
+        scored = durable(classify(docs, fit(by, ORDER) if by else None))
     most = limits(scored.where(~F.col("held_out"))).select(F.col("lang_pred").alias("_l"), "most_bits")
     both = scored.join(F.broadcast(most) if most.count() <= 10_000 else most, F.col("lang_pred") == F.col("_l"), "left")
     return both.select("doc_id", "held_out", "lang_pred", "score", "bits", F.coalesce(F.col("bits") <= F.col("most_bits"), F.lit(False)).alias("accepted"))

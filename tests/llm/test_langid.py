@@ -91,3 +91,19 @@ def test_order_falls_until_the_model_fits(spark):
     assert langid.train(df.where(F.lit(False))) is None
     assert {r.lang_pred for r in langid.identify(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     assert langid.identify(df.limit(0)).collect() == []
+
+
+def test_order_is_kept_beyond_the_broadcast(spark):
+    data, i = [], 0
+    for lang, letters, seed in (("de", "abcdef", 1), ("en", "abcdeg", 2), ("fr", "éabcfg", 3)):
+        for t in language(letters, seed, 30):
+            data.append((i, t, lang))
+            i += 1
+    data += [(900, None, "de"), (901, "", "de"), (902, "12 !?", "en"), (None, "abc dzz", None), (903, "", None), data[0]]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    key = lambda r: (r.doc_id is None, r.doc_id, r.lang_pred)
+    whole, cut = (sorted(langid.identify(df, **k).collect(), key=key) for k in ({}, {"cells": 900}))
+    assert len(cut) == len(data)
+    for a, b in zip(whole, cut, strict=True):
+        assert (a.doc_id, a.held_out, a.lang_pred) == (b.doc_id, b.held_out, b.lang_pred)
+        assert b.bits == pytest.approx(a.bits, rel=1e-4) and b.score == pytest.approx(a.score, rel=1e-3)
