@@ -119,11 +119,11 @@ s AS (SELECT r, kind, place, m[i] AS m,
         (list_sum(list_transform(b[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::BIGINT AS a
       FROM i WHERE length(v[i]) >= least),
 w AS (SELECT r, a, m, unnest(range(0, length(m) - 19)) AS j FROM s WHERE kind = 'entropy'
-        AND NOT regexp_matches(m, '^[A-Za-z]?[a-z]*(?:[-_/=+]+[A-Za-z]?[a-z]*)*$') AND NOT regexp_matches(m, '^[A-Z]*(?:[-_/=+]+[A-Z]*)*$')
-        AND NOT regexp_matches(m, '^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$')
-        AND NOT regexp_matches(m, '^/?(?:[A-Za-z0-9_-]{1,16}/){2,}[A-Za-z0-9_-]{0,16}$') AND NOT regexp_matches(m, '^[0-9=_+/-]*$')),
+        AND NOT (NOT regexp_matches(m, '[A-Za-z0-9][A-Z]|[0-9][a-z]')) AND NOT regexp_matches(m, '^[A-Z_/=+-]*$')
+        AND NOT regexp_matches(m, '^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$') AND NOT regexp_matches(m, '^[0-9=_+/-]*$')),
 h AS (SELECT r, a, min(j) AS lo, max(j) AS hi FROM w
-      WHERE list_aggregate(string_split(m[j + 1:j + 20], ''), 'entropy') >= CASE WHEN regexp_matches(m, '^[0-9a-fA-F]*$') THEN 3.0 ELSE 3.9 END GROUP BY ALL),
+      WHERE list_aggregate(string_split(m[j + 1:j + 20], ''), 'entropy')
+            >= CASE WHEN regexp_matches(m, '^[0-9a-fA-F]*$') THEN 3.0 WHEN regexp_matches(m, '^[a-z0-9+/_=-]*$') OR regexp_matches(m, '^[A-Z0-9+/_=-]*$') THEN 3.5 ELSE 3.8 END GROUP BY ALL),
 z AS (SELECT r, kind, place, a, a + length(m) AS e FROM s WHERE kind <> 'entropy' UNION ALL SELECT r, 'entropy', 4, a + lo, a + hi + 20 FROM h),
 g AS (SELECT r, string_agg(kind || ':' || a || ':' || e, ',' ORDER BY a, place, e) AS spans, string_agg(kind || ':' || a || ':' || e, ',' ORDER BY a, place, e) FILTER (place < 4) AS base,
         count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex FROM z GROUP BY r)
