@@ -68,14 +68,15 @@ def count_batch(texts: pa.Array) -> list[np.ndarray]:
     full = seen[end] > seen[start] if len(start) else np.zeros(0, bool)
     start, end = start[full], end[full]
     of = np.searchsorted(offsets, start, "right") - 1
-    key = np.sort(span_hash(data, start, end, False) ^ mix(of.astype(np.uint64)))
     n_lines = np.bincount(of, minlength=len(many))
-    dup = np.zeros(len(many), np.int64)
-    if len(key) and (key[1:] == key[:-1]).any():
-        raw = span_hash(data, start, end, False)
-        order = np.lexsort((raw, of))
-        o, r = of[order], raw[order]
-        dup = np.bincount(o[1:][(o[1:] == o[:-1]) & (r[1:] == r[:-1])], minlength=len(many))
+    # only lines that share text, length and first bytes with another can be equal to one
+    size, lead = end - start, np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", lead, strides=(1,))[start] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.minimum(size, 8).astype(np.uint64) * np.uint64(8)))
+    alike = np.flatnonzero(_repeats(mix(mix(eight) ^ size.astype(np.uint64)) ^ mix(of.astype(np.uint64))))
+    raw, o = span_hash(data, start[alike], end[alike], False), of[alike]
+    order = np.lexsort((raw, o))
+    o, r = o[order], raw[order]
+    dup = np.bincount(o[1:][(o[1:] == o[:-1]) & (r[1:] == r[:-1])], minlength=len(many))
     # windows of three words
     h = words.hash
     covered = np.zeros(len(h) + 1, np.int64)

@@ -3,6 +3,8 @@ vectorised word and shingle hashing over Arrow strings, and the word rule."""
 
 from __future__ import annotations
 
+import hashlib
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -16,19 +18,18 @@ from ..session import let_workers_import
 #: Words are maximal runs of anything but space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Text bytes that one vectorised step works on; longer texts are cut at white space.
-STEP_BYTES = 1 << 19
-
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``.
 
-    A folder of our own is made only where that setting is absent, which is the
-    case in tests on one machine.
+    A folder of our own is made only where that setting is absent on one machine, as
+    in tests; on a cluster that is an error.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not held.isDefined() and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = held.get() if held.isDefined() else "file://" + tempfile.mkdtemp(prefix="shelfspark-")
     return where
 
@@ -56,7 +57,6 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
-_BASE_INV = pow(_BASE, -1, 1 << 64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -68,23 +68,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-_BYTE = mix((np.arange(256, dtype=_U) + _U(1)) * _U(_BASE))
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BYTE_LOWER = _BYTE[_LOWER]
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) < n:
-        size = max(n, STEP_BYTES + 65536)
-        for name, base in (("up", _BASE), ("down", _BASE_INV)):
-            p = np.full(size, base, _U)
-            p[0] = 1
-            _powers[name] = np.multiply.accumulate(p)
-    return _powers["up"], _powers["down"]
+#: Spans of more bytes are hashed one by one by BLAKE2b, shorter ones in step, eight bytes at a time.
+LONG_SPAN = 512
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -99,19 +88,28 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool) -> np.ndarray:
-    """A 64-bit hash of the bytes of each of some ascending spans that don't overlap."""
-    out = np.zeros(len(start), _U)
-    table = _BYTE_LOWER if lower else _BYTE
-    i = 0
-    while i < len(start):
-        j = max(i + 1, int(np.searchsorted(end, start[i] + STEP_BYTES, "right")))
-        lo, hi = int(start[i]), int(end[j - 1])
-        up, down = _power(hi - lo + 1)
-        total = np.zeros(hi - lo + 1, _U)
-        np.cumsum(table[data[lo:hi]] * up[: hi - lo], out=total[1:])
-        s, e = start[i:j] - lo, end[i:j] - lo
-        out[i:j] = mix((total[e] - total[s]) * down[s])
-        i = j
+    """A 64-bit hash of the bytes of each span.
+
+    Each eight bytes go through a bijective scrambling before the next are added, so
+    spans of equal length of up to eight bytes never collide and longer ones do only by chance.
+    """
+    if lower:
+        data = _LOWER[data]
+    size = end - start
+    out = mix(size.astype(_U) * _U(_BASE) + _U(1))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    some = np.flatnonzero((size > 0) & (size <= LONG_SPAN))
+    at = 0
+    while len(some):
+        left = np.minimum(size[some] - at, 8).astype(_U)
+        word = eight[start[some] + at] & (_U(0xFFFFFFFFFFFFFFFF) >> (_U(64) - left * _U(8)))
+        out[some] = mix(out[some] * _U(_BASE) ^ word)
+        at += 8
+        some = some[size[some] > at]
+    for i in np.flatnonzero(size > LONG_SPAN):
+        digest = hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest()
+        out[i] = mix(out[i : i + 1] ^ _U(int.from_bytes(digest, "little")))[0]
     return out
 
 
