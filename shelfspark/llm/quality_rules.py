@@ -1,13 +1,18 @@
 """Quality rules whose thresholds come from the corpus.
 
 Each document gets counts (words, symbols, repeated lines, repeated windows)
-and from them whole-numbered features. A sketch counts, per language and
-source, the documents in each bin of each feature; sketches merge by adding
-counts, so they are built with partial aggregates and merged again for languages
-and for the whole corpus. A group's threshold is its median plus SPREAD times the
-distance from there to the lower quartile, which junk above does not move, with a least
-distance for features that hardly vary; groups of fewer than LEAST_ROWS documents take that of their language, or else of the corpus. Documents
-beyond a threshold go. The base rules (too few words, mostly repeated words) stay.
+and from them whole-numbered features. A quantile sketch counts, per language and
+source, the documents in each bin of each feature. Bins are as wide as a 32nd of their
+lower edge, so a quantile is told to within 1/32 of its value and a sketch has fewer than 1,900 bins
+however many documents it holds; sketches merge by adding counts, so they are
+built with partial aggregates and merged again for languages and for the whole corpus.
+
+A group's own sketch is blended with PRIOR documents' worth of its language's, which itself is
+blended with as many of the corpus's, so small groups lean on larger ones without any
+switch by size. From the blended sketch a threshold is an upper quantile, plus SPREAD times its distance
+from a lower one, plus a tolerance for features that hardly vary; quantile and tolerance are
+the feature's (FEATURES). Documents beyond a threshold go. The base rules (too few words, mostly
+repeated words) stay.
 
 Null text has no words. Null languages and sources are groups of their own.
 Rows are judged each for itself, so repeated rows get the same verdict. Columns
@@ -24,17 +29,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import SPACE, Words, buffers, mix, pieces, small_batches, span_hash
+from .shared import SPACE, Words, buffers, durable, mix, pieces, small_batches, span_hash
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 #: Rules that hold everywhere.
 LEAST_WORDS, MOST_REPEATED = 50, 50
-#: Documents from which a group's own sketch is used; distances from the median.
-LEAST_ROWS, SPREAD = 200, 16
-#: Feature: its bins count hundredths of a character or tenths of a percent; the least distance of a threshold from the median.
-FEATURES = {"symbol_rate": 100, "dup_line_rate": 500, "repeat_rate": 400, "word_length": 200}
+#: Documents that a sketch borrows from the next larger one.
+PRIOR = 50
+#: Sub-buckets of each power of two, as a power of two.
+SUB_BITS = 5
+#: Feature: percent of the lower and upper quantile, the spread, and the tolerance. Values are hundredths of a
+#: character or tenths of a percent. Where a few percent of clean documents have any, the upper quantile lies higher.
+FEATURES = {"symbol_rate": (25, 75, 8, 60), "dup_line_rate": (50, 90, 1, 400), "repeat_rate": (50, 90, 3, 300), "word_length": (25, 75, 6, 40)}
 
 
 def _repeats(key: np.ndarray) -> np.ndarray:
@@ -105,7 +113,8 @@ def counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add COUNTS."""
     small_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c not in COUNTS]
-    return docs.withColumn("_counts", _counts(F.col(text))).select(*kept, *[F.col("_counts")[c].alias(c) for c in COUNTS])
+    counted = docs.select(*kept, _counts(F.col(text)).alias("\x00counts"))
+    return counted.select(*kept, *[F.col("\x00counts")[c].alias(c) for c in COUNTS])
 
 
 def features() -> dict[str, Column]:
@@ -118,35 +127,59 @@ def base_failed() -> Column:
     return (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MOST_REPEATED)
 
 
+def bin_of(value: Column) -> Column:
+    """The lower edge of a value's bin: the value with all but its first SUB_BITS + 1 binary digits set to 0."""
+    drop = F.greatest(F.length(F.bin(value)) - (SUB_BITS + 1), F.lit(0)).cast("int")
+    return F.call_function("shiftleft", F.call_function("shiftright", value, drop), drop)
+
+
 def sketch(counted: DataFrame) -> DataFrame:
     """(lang, source, feature, bin, n) of the documents that pass the base rules."""
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("feature"), v.alias("bin")) for k, v in features().items()]))
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("feature"), bin_of(v).alias("bin")) for k, v in features().items()]))
     binned = counted.where(~base_failed()).select("lang", "source", each.alias("x")).select("lang", "source", "x.*")
     return binned.groupBy("lang", "source", "feature", "bin").agg(F.count("*").alias("n"))
 
 
+def _whole(c: Column) -> Column:
+    return c.cast("decimal(38,0)")
+
+
+def blend(own: DataFrame, larger: DataFrame, keys: list[str], shared: list[str], prior: int = PRIOR) -> DataFrame:
+    """(keys, feature, bin, n): sketches own by keys plus prior documents of the larger sketches by shared keys.
+
+    Counts are whole numbers, scaled by the total of the larger sketch, so that no rounding depends on the order of sums.
+    """
+    of_larger = W.partitionBy(*shared, "feature")
+    big = larger.withColumn("_all", F.sum("n").over(of_larger)).select(*[F.col(c).alias(f"_{c}") for c in shared], F.col("feature").alias("_f"), F.col("bin").alias("_bin"), _whole(F.col("n")).alias("_n"), _whole(F.col("_all")).alias("_all"))
+    same = F.col("feature") == F.col("_f")
+    for c in shared:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    groups = own.select(*keys, "feature").distinct()
+    lent = groups.join(F.broadcast(big) if not shared else big, same).select(*keys, "feature", F.col("_bin").alias("bin"), (F.col("_n") * prior).cast("decimal(38,0)").alias("n"))
+    totals = big.groupBy(*[f"_{c}" for c in shared], "_f").agg(F.max("_all").alias("_all"))
+    mine = own.join(F.broadcast(totals) if not shared else totals, same).select(*keys, "feature", "bin", (_whole(F.col("n")) * F.col("_all")).cast("decimal(38,0)").alias("n"))
+    return mine.unionByName(lent).groupBy(*keys, "feature", "bin").agg(F.sum("n").cast("decimal(38,0)").alias("n"))
+
+
 def quantiles(sketches: DataFrame, *group: str) -> DataFrame:
-    """(group, feature, rows, q25, q50) of sketches merged by group: the smallest bins that so many rows do not exceed."""
-    merged = sketches.groupBy(*group, "feature", "bin").agg(F.sum("n").alias("n"))
+    """(group, feature, lo, hi) of sketches: the smallest bins that the feature's shares of the documents do not exceed."""
     whole = W.partitionBy(*group, "feature")
     upto = whole.orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
-    m = merged.withColumn("_sum", F.sum("n").over(upto)).withColumn("_all", F.sum("n").over(whole))
-    at = lambda q: F.min(F.when(F.col("_sum") * 100 >= F.col("_all") * q, F.col("bin")))
-    return m.groupBy(*group, "feature").agg(F.max("_all").alias("rows"), at(25).alias("q25"), at(50).alias("q50"))
+    m = sketches.withColumn("_sum", _whole(F.sum("n").over(upto))).withColumn("_all", _whole(F.sum("n").over(whole)))
+    share = lambda i: F.create_map(*[x for k, v in FEATURES.items() for x in (F.lit(k), F.lit(v[i]))])[F.col("feature")]
+    at = lambda i: F.min(F.when(F.col("_sum") * 100 >= F.col("_all") * share(i), F.col("bin")))
+    return m.groupBy(*group, "feature").agg(at(0).alias("lo"), at(1).alias("hi"))
 
 
 def thresholds(counted: DataFrame) -> DataFrame:
-    """One row per language and source: the highest bin of each feature that is kept."""
-    s = sketch(counted)
-    own = quantiles(s, "lang", "source")
-    lang = quantiles(s, "lang").select(F.col("lang").alias("_l"), F.col("feature").alias("_f"), F.struct("rows", "q25", "q50").alias("_lang"))
-    every = quantiles(s).select(F.col("feature").alias("_e"), F.struct("rows", "q25", "q50").alias("_every"))
-    t = own.join(lang, F.col("lang").eqNullSafe(F.col("_l")) & (F.col("feature") == F.col("_f"))).join(F.broadcast(every), F.col("feature") == F.col("_e"))
-    use = F.when(F.col("rows") >= LEAST_ROWS, F.struct("rows", "q25", "q50")).when(F.col("_lang.rows") >= LEAST_ROWS, F.col("_lang")).otherwise(F.col("_every"))
-    t = t.withColumn("_use", use)
-    least = F.create_map(*[x for k, v in FEATURES.items() for x in (F.lit(k), F.lit(v))])[F.col("feature")]
-    most = F.col("_use.q50") + F.greatest((F.col("_use.q50") - F.col("_use.q25")) * SPREAD, least)
-    return t.groupBy("lang", "source").agg(*[F.max(F.when(F.col("feature") == k, most)).alias(f"most_{k}") for k in FEATURES])
+    """One row per language and source: the highest value of each feature that is kept."""
+    s = durable(sketch(counted))
+    every = s.groupBy("feature", "bin").agg(F.sum("n").alias("n"))
+    lang = blend(s.groupBy("lang", "feature", "bin").agg(F.sum("n").alias("n")), every, ["lang"], [])
+    q = quantiles(blend(s, lang, ["lang", "source"], ["lang"]), "lang", "source")
+    part = lambda i: F.create_map(*[x for k, v in FEATURES.items() for x in (F.lit(k), F.lit(v[i]))])[F.col("feature")]
+    most = F.col("hi") + (F.col("hi") - F.col("lo")) * part(2) + part(3)
+    return q.groupBy("lang", "source").agg(*[F.max(F.when(F.col("feature") == k, most)).alias(f"most_{k}") for k in FEATURES])
 
 
 #: Groups up to which thresholds are broadcast; beyond it they are joined by shuffle.

@@ -145,16 +145,23 @@ f AS (SELECT t.r, doc_id, lang, source, len(w)::BIGINT AS n_words, length(regexp
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
         1000 * n_symbols // greatest(n_words, 1) AS x1, 1000 * n_dup_lines // greatest(n_lines, 1) AS x2,
         1000 * n_repeat_words // greatest(n_words, 1) AS x3, 100 * word_chars // greatest(n_words, 1) AS x4 FROM f),
-u AS (SELECT lang, source, k, x FROM (SELECT lang, source, unnest([1, 2, 3, 4]) AS k, unnest([x1, x2, x3, x4]) AS x FROM b WHERE NOT base_failed)),
-q AS (SELECT lang, source, k, 1 AS level, count(*) AS n, quantile_disc(x, 0.25) AS a, quantile_disc(x, 0.5) AS m FROM u GROUP BY ALL
-      UNION ALL SELECT lang, NULL, k, 2, count(*), quantile_disc(x, 0.25), quantile_disc(x, 0.5) FROM u GROUP BY ALL
-      UNION ALL SELECT NULL, NULL, k, 3, count(*), quantile_disc(x, 0.25), quantile_disc(x, 0.5) FROM u GROUP BY ALL),
-z AS (SELECT o.lang, o.source, o.k,
-        CASE WHEN o.n >= 200 THEN o.m WHEN p.n >= 200 THEN p.m ELSE e.m END AS m,
-        CASE WHEN o.n >= 200 THEN o.a WHEN p.n >= 200 THEN p.a ELSE e.a END AS a
-      FROM q o JOIN q p ON o.lang IS NOT DISTINCT FROM p.lang AND o.k = p.k AND p.level = 2 JOIN q e ON o.k = e.k AND e.level = 3 WHERE o.level = 1),
-y AS (SELECT lang, source, max(CASE WHEN k = 1 THEN m + greatest((m - a) * 16, 100) END) AS t1, max(CASE WHEN k = 2 THEN m + greatest((m - a) * 16, 500) END) AS t2,
-        max(CASE WHEN k = 3 THEN m + greatest((m - a) * 16, 400) END) AS t3, max(CASE WHEN k = 4 THEN m + greatest((m - a) * 16, 200) END) AS t4 FROM z GROUP BY ALL)
+u AS (SELECT lang, source, k, (x >> greatest(length(bin(x)) - 6, 0)::BIGINT) << greatest(length(bin(x)) - 6, 0)::BIGINT AS x
+      FROM (SELECT lang, source, unnest([1, 2, 3, 4]) AS k, unnest([x1, x2, x3, x4]) AS x FROM b WHERE NOT base_failed)),
+f1 AS (SELECT lang, source, k, x, count(*)::HUGEINT AS n FROM u GROUP BY ALL),
+f2 AS (SELECT lang, k, x, count(*)::HUGEINT AS n FROM u GROUP BY ALL),
+f3 AS (SELECT *, (sum(n) OVER (PARTITION BY k))::HUGEINT AS t FROM (SELECT k, x, count(*)::HUGEINT AS n FROM u GROUP BY ALL)),
+g2 AS (SELECT lang, k, x, sum(n)::HUGEINT AS n FROM (
+         SELECT lang, k, x, n * t AS n FROM f2 JOIN (SELECT DISTINCT k, t FROM f3) USING (k)
+         UNION ALL SELECT lang, k, x, n * 50 FROM (SELECT DISTINCT lang, k FROM f2) JOIN f3 USING (k)) GROUP BY ALL),
+h2 AS (SELECT *, (sum(n) OVER (PARTITION BY lang, k))::HUGEINT AS t FROM g2),
+g1 AS (SELECT lang, source, k, x, sum(n)::HUGEINT AS n FROM (
+         SELECT f1.lang, source, f1.k, x, n * t AS n FROM f1 JOIN (SELECT DISTINCT lang, k, t FROM h2) h ON f1.lang IS NOT DISTINCT FROM h.lang AND f1.k = h.k
+         UNION ALL SELECT h2.lang, source, h2.k, x, n * 50 FROM (SELECT DISTINCT lang, source, k FROM f1) h JOIN h2 ON h2.lang IS NOT DISTINCT FROM h.lang AND h2.k = h.k) GROUP BY ALL),
+h1 AS (SELECT *, (sum(n) OVER (PARTITION BY lang, source, k ORDER BY x))::HUGEINT AS s, (sum(n) OVER (PARTITION BY lang, source, k))::HUGEINT AS t FROM g1),
+r(k, lo, hi, spread, least) AS (VALUES (1, 25, 75, 8, 60), (2, 50, 90, 1, 400), (3, 50, 90, 3, 300), (4, 25, 75, 6, 40)),
+z AS (SELECT lang, source, k, min(x) FILTER (s * 100 >= t * lo) AS a, min(x) FILTER (s * 100 >= t * hi) AS m, any_value(spread) AS spread, any_value(least) AS least FROM h1 JOIN r USING (k) GROUP BY ALL),
+y AS (SELECT lang, source, max(CASE WHEN k = 1 THEN m + (m - a) * spread + least END) AS t1, max(CASE WHEN k = 2 THEN m + (m - a) * spread + least END) AS t2,
+        max(CASE WHEN k = 3 THEN m + (m - a) * spread + least END) AS t3, max(CASE WHEN k = 4 THEN m + (m - a) * spread + least END) AS t4 FROM z GROUP BY ALL)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT coalesce(x1 > t1, false) AND NOT coalesce(x2 > t2, false) AND NOT coalesce(x3 > t3, false) AND NOT coalesce(x4 > t4, false) AS kept
 FROM b LEFT JOIN y ON b.lang IS NOT DISTINCT FROM y.lang AND b.source IS NOT DISTINCT FROM y.source""",
