@@ -6,7 +6,8 @@ the schedule takes the van der Corput point of k; the points, counted in units
 of one block, fall on the cumulative numbers of blocks that the sources'
 targets ask for, so that each source gets exactly its blocks, evenly spread.
 Slots are ranked within their source, and the slot of rank r takes block r of
-its source's stream; the last block of a source ends where its target is met.
+its source's stream; the last block of a source ends where its target is met. The slots
+are the order in which the mix is read: any stretch of them holds the sources in proportion.
 
 All of it is DataFrame code. Prefix sums and ranks are made in two levels, over
 buckets and then within each, so a source with most of the rows is dealt out
@@ -73,11 +74,17 @@ def streams(docs: DataFrame) -> DataFrame:
     return d.withColumn("begin", F.col("_base") + F.col("_within")).drop("_bs", "_bb", "_base", "_within", "_key", "_bucket")
 
 
+def slot_bits(plan: DataFrame, block: int = BLOCK) -> int:
+    """The slots are numbers of so many binary digits."""
+    return int(plan.select(F.coalesce(F.sum(F.ceil(F.round("target") / block)), F.lit(0))).first()[0]).bit_length() or 1
+
+
 def schedule(plan: DataFrame, block: int = BLOCK) -> DataFrame:
     """From (source, target), the slots: (slot, source, rank), rank from 0 within the source.
 
     Slot k of 2^m looks at the point whose bits are those of k reversed. Points
-    beyond the last source's blocks stay empty.
+    beyond the last source's blocks stay empty. Among the first k slots, a source holds its
+    share of them but for m + 1 at most.
     """
     n = plan.withColumn("_blocks", F.ceil(F.round("target") / block).cast("long")).where("_blocks > 0")
     upto = W.partitionBy(F.lit(0)).orderBy("_place").rowsBetween(W.unboundedPreceding, 0)
@@ -123,10 +130,12 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, block: int = BLO
 
 
 def taken_words(placed: DataFrame, taken: DataFrame) -> DataFrame:
-    """Per document the words that all slots take together, 0 where none does.
+    """Per document the words that all slots take together, 0 where none does, the first of those slots, and the number of runs that slots take.
 
     A document's begin and source tell it from all others but those of size 0.
     """
-    sums = taken.groupBy("source", "begin").agg(F.sum("n_words").alias("_taken")).withColumnRenamed("source", "_ts").withColumnRenamed("begin", "_tb")
+    sums = taken.groupBy("source", "begin").agg(F.sum("n_words").alias("taken"), F.min("slot").alias("first_slot"), F.count("*").alias("n_runs"))
+    sums = sums.select(F.col("source").alias("_ts"), F.col("begin").alias("_tb"), F.struct("taken", "first_slot", "n_runs").alias("_t"))
     both = placed.join(sums, F.col("source").eqNullSafe(F.col("_ts")) & (F.col("begin") == F.col("_tb")) & (F.col("size") > 0), "left")
-    return both.withColumn("taken", F.coalesce("_taken", F.lit(0)).cast("long")).drop("_taken", "_ts", "_tb")
+    none = F.lit(0).cast("long")
+    return both.select(*placed.columns, F.coalesce("_t.taken", none).cast("long").alias("taken"), F.col("_t.first_slot").alias("first_slot"), F.coalesce("_t.n_runs", none).cast("long").alias("n_runs"))

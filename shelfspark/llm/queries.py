@@ -27,7 +27,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
     placed, taken = mixing.mix(docs)
-    return mixing.taken_words(placed, taken).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.taken_words(placed, taken).select("doc_id", "size", "source_size", "target", "taken", "first_slot", "n_runs")
 
 
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,9 +87,17 @@ m AS (SELECT arg_min(level, (ratio, place)) AS level FROM l WHERE level <= ratio
 t AS (SELECT l.source, l.source_size, least(l.cap, coalesce(m.level, 0) * l.wt)::DOUBLE AS target FROM l, m),
 p AS (SELECT d.doc_id, d.source, d.size, t.source_size, t.target, round(t.target)::BIGINT AS goal,
         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id NULLS FIRST, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+n AS (SELECT *, sum(blocks) OVER (ORDER BY place) AS hi, length(bin((sum(blocks) OVER ())::BIGINT)) AS bits
+      FROM (SELECT t.source, place, ceil(round(target)::BIGINT / 2048)::BIGINT AS blocks FROM t JOIN w ON t.source IS NOT DISTINCT FROM w.source)),
+o AS (SELECT source, bits, unnest(range((hi - blocks)::BIGINT, hi::BIGINT)) AS point FROM n WHERE blocks > 0),
+k AS (SELECT source, list_sum(list_transform(range(bits), lambda i: ((point >> i) & 1) << (bits - 1 - i)))::BIGINT AS slot FROM o),
+r AS (SELECT source, slot, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS rank FROM k)
 SELECT doc_id, size, source_size, target,
-       (least(greatest(goal - a, 0), size) + least(greatest(goal - a - source_size, 0), size))::BIGINT AS taken FROM p""",
+       (least(greatest(goal - a, 0), size) + least(greatest(goal - a - source_size, 0), size))::BIGINT AS taken, r.slot AS first_slot,
+       (CASE WHEN size > 0 AND a < goal THEN (least(a + size, goal) - 1) // 2048 - a // 2048 + 1 ELSE 0 END
+        + CASE WHEN size > 0 AND a + source_size < goal THEN (least(a + source_size + size, goal) - 1) // 2048 - (a + source_size) // 2048 + 1 ELSE 0 END)::BIGINT AS n_runs
+FROM p LEFT JOIN r ON p.size > 0 AND p.a < p.goal AND p.source IS NOT DISTINCT FROM r.source AND p.a // 2048 = r.rank""",
     "op5_ngram_join": """
 WITH RECURSIVE t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 g AS (SELECT DISTINCT r, array_to_string(w[i:i + 4], chr(10)) AS g FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM t WHERE len(w) > 0)),

@@ -60,6 +60,31 @@ def test_slots_are_a_permutation_evenly_spread(spark):
     assert max(gaps) <= 4
 
 
+@pytest.mark.parametrize("targets", [(5000.0, 2500.0, 10.0), (70.0, 9000.0, 333.0, 1.0), (40960.0,)])
+def test_any_stretch_of_slots_holds_the_sources_in_proportion(spark, targets):
+    plan = spark.createDataFrame([(f"s{i}", t, i + 1) for i, t in enumerate(targets)], "source string, target double, _place int")
+    slots = mixing.schedule(plan, 10).collect()
+    bits = mixing.slot_bits(plan, 10)
+    blocks = {f"s{i}": -(-round(t) // 10) for i, t in enumerate(targets)}
+    assert len(slots) == sum(blocks.values()) and all(0 <= x.slot < 1 << bits for x in slots)
+    for source, n in blocks.items():
+        mine = sorted(x.slot for x in slots if x.source == source)
+        for k, at in enumerate(mine):
+            assert abs(k - n * at / 2**bits) <= bits + 1
+
+
+def test_documents_are_read_in_slot_order(spark):
+    # the result depends on the schedule: the first slot of each document is that of the block where it begins
+    df = spark.createDataFrame([(i, "ab"[i % 2], 37) for i in range(200)], "doc_id long, source string, size long")
+    placed, taken = mixing.mix(df, block=16)
+    rows = mixing.taken_words(placed, taken).collect()
+    slots = {(x.source, x["rank"]): x.slot for x in mixing.schedule(mixing.targets(df.groupBy("source").agg(F.sum("size").alias("source_size"))), 16).collect()}
+    for x in rows:
+        assert x.first_slot == (slots[x.source, x.begin // 16] if x.taken else None)
+        assert (x.n_runs == 0) == (x.taken == 0) and x.n_runs <= 8
+    assert len({x.first_slot for x in rows if x.taken}) > 100
+
+
 def test_empty_and_wordless(spark):
     empty = spark.createDataFrame([], "doc_id long, source string, size long")
     assert mixing.taken_words(*mixing.mix(empty)).collect() == []
