@@ -91,8 +91,19 @@ def test_run_over_nothing(spark, tmp_path):
     assert pipeline.run(spark, str(tmp_path)).collect() == []
 
 
+def test_mixed_rows_come_in_the_order_of_slots(spark, tmp_path):
+    r = random.Random(5)
+    data = [(i, nasty.prose(r, 700), "en", "ab"[i % 2], 0) for i in range(60)]
+    spark.createDataFrame(data, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    rows = pipeline.mixed(spark, docs, str(tmp_path)).collect()
+    # both sources from the first rows on, in about the shares of their targets
+    share = [sum(x.source == "a" for x in rows[:k]) / k for k in (20, 40, len(rows))]
+    assert all(abs(x - share[-1]) < 0.2 for x in share) and len(rows) > 80
+
+
 def test_nasty_rows_do_not_crash(spark, tmp_path):
-    df = nasty.table(spark).select("doc_id", "text", "lang", "source", "n_chars")
+    df = nasty.table(spark)  # with columns of clashing names
     df.write.parquet(str(tmp_path / "documents.parquet"))
     rows = pipeline.run(spark, str(tmp_path)).collect()
     assert rows and all(r.n_tokens > 0 for r in rows)
