@@ -2,17 +2,19 @@
 
 A page is read once into text blocks, in order, without building a tree of its elements. A
 block is described by its words and link density, those of the blocks before and
-behind it, and what the markup says of its place: the nearest enclosing
-container that speaks for an article, or for a menu, advert, notice, form or
-comment. A small decision tree, trained on a labelled table of blocks, says which blocks
+behind it, what the rest of the page holds, the kind of its element, the landmarks of HTML
+around it (article and main, or nav, aside, footer, form and the like), and, as one weak feature, whether
+class names, ids and roles of the nearest container that says anything speak more for or
+against an article. A small decision tree, trained on a labelled table of blocks, says which blocks
 are the article's. The table is laid out by rule (label_table): pages of several
-layouts whose blocks are labelled as they are written.
+layouts whose blocks are labelled as they are written; many have no names at all, and in some
+the article itself stands under a name that speaks against it, so that no name decides alone.
 
 Character references are decoded, white space inside a block becomes one space,
 and the blocks kept are joined by one space. Null and empty pages give an empty
 text. Damaged markup is read as far as it makes sense: an unclosed element ends
-with the container around it, an unfinished tag at the end is dropped. Rows are
-read each for itself.
+with the container around it, an unfinished tag at the end is dropped; the work grows with
+the length of the page, however deep it is nested. Rows are read each for itself.
 """
 
 from __future__ import annotations
@@ -21,7 +23,9 @@ import functools
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +43,7 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Words in class names, ids and roles that speak for and against an article.
 GOOD_WORDS = frozenset("article body content entry main post story text".split())
 BAD_WORDS = frozenset(
-    "ad ads adbox advert advertisement advertising banner breadcrumb breadcrumbs caption comment comments consent contact contentinfo complementary cookie cookies copyright credits dialog discussion disqus dropdown feedback foot footer form gdpr head header hero legal login masthead menu menubar meta modal nav navbar navigation newsletter notice notices notification outbrain overlay pager pagination paywall popup privacy promo promoted promotion recommend recommended related replies reply respond response search share sharing shoutbox sidebar signup skip skyscraper social sponsor sponsored subscribe subscription taboola tags tail teaser toolbar tools topbar tracking widget".split()
+    "ad ads adbox advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent contentinfo complementary cookie cookies copyright disqus footer gdpr login masthead menu menubar modal nav navbar navigation newsletter notice notices notification outbrain overlay pager pagination popup promo promoted promotion recommended related replies reply share sharing shoutbox sidebar signup skyscraper social sponsor sponsored subscribe subscription taboola teaser toolbar topbar widget".split()
 )
 GOOD_TAGS, BAD_TAGS = frozenset(["article", "main"]), frozenset(["nav", "footer", "aside", "form", "fieldset", "dialog", "menu", "header"])
 
@@ -47,60 +51,69 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "heading", "good", "bad", "page_good", "longest")
-
-
-def _speaks(tag: str, attributes: str, inside_good: bool) -> int:
-    """1 for a container that speaks for an article, -1 for one that speaks against, else 0."""
-    if tag in GOOD_TAGS:
-        word = 1
-    elif tag in BAD_TAGS:
-        word = 0 if tag == "header" and inside_good else -1
-    else:
-        word = 0
-    if "=" in attributes or "hidden" in attributes.lower():
-        if _HIDDEN.search(attributes):
-            return -1
-        names = {x.lower() for m in _NAMES.finditer(attributes) for x in _SPLIT.split(next(filter(None, m.groups()), ""))}
-        if names & BAD_WORDS and tag not in ("body", "main", "article"):
-            return word if tag == "header" and inside_good else -1
-        if names & GOOD_WORDS and word == 0:
-            return 1
-    return word
-
-
-def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
-    """(text, characters in links, heading, article, boilerplate) of each text block.
-
-    article counts the enclosing containers that speak for an article, and
-    boilerplate is 1 if the nearest container that speaks at all, or any inside the nearest article, speaks against.
-    """
-    out: list[tuple[str, int, int, int, int]] = []
-    stack: list[tuple[str, int]] = []
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "heading", "paragraph", "article", "page_article", "landmark", "names", "page_rest", "page_longest", "page_prose")
+
+
+def _names(attributes: str) -> int:
+    """1 where names of a container speak more for an article than against it, -1 where less, else 0."""
+    if "=" not in attributes:
+        return 0
+    words = {x.lower() for m in _NAMES.finditer(attributes) for x in _SPLIT.split(next(filter(None, m.groups()), ""))}
+    good, bad = len(words & GOOD_WORDS), len(words & BAD_WORDS)
+    return (good > bad) - (good < bad)
+
+
+@dataclass(frozen=True)
+class Block:
+    text: str
+    linked: int  #: characters in links
+    heading: int
+    paragraph: int  #: the nearest block element is p, li, pre, blockquote or the like
+    article: int  #: inside article or main
+    landmark: int  #: inside a landmark that is no article, or a hidden element
+    names: int  #: what names of the nearest container that says anything speak for
+
+
+@dataclass(frozen=True)
+class _Open:
+    """An open container, with what holds inside it."""
+
+    tag: str
+    article: int = 0
+    landmark: int = 0
+    names: int = 0
+    links: int = 0
+    unseen: int = 0
+
+
+PROSE = frozenset("p li pre blockquote dd dt td th figcaption".split())
+
+
+def blocks(page: str) -> list[Block]:
+    """The text blocks of a page, in order."""
+    out: list[Block] = []
+    stack, many = [_Open("")], Counter()
     held: list[str] = []
-    linked = unseen = heading = 0
+    linked = heading = paragraph = 0
 
     def flush() -> None:
         nonlocal linked, held
         if held:
             text = " ".join("".join(held).split())
             if text:
-                good = sum(1 for _, s in stack if s > 0)
-                nearest = next((s for _, s in reversed(stack) if s), 0)
-                out.append((text, linked, heading, good, int(nearest < 0)))
+                top = stack[-1]
+                out.append(Block(text, linked, heading, paragraph, int(top.article > 0), int(top.landmark > 0), top.names))
         held, linked = [], 0
 
-    at, links = 0, 0
-    size = len(page)
-
     def take(lo: int, hi: int) -> None:
         nonlocal linked
-        if lo < hi and not unseen:
+        if lo < hi and not stack[-1].unseen:
             text = html.unescape(page[lo:hi])
             held.append(text)
-            if links:
+            if stack[-1].links:
                 linked += len(text.strip())
 
+    at, size = 0, len(page)
     while at < size:
         m = _TOKEN.search(page, at)
         if m is None:
@@ -108,12 +121,13 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
             break
         take(at, m.start())
         at = m.end()
-        tag = m[2]
-        if tag is None:
+        if m[2] is None:
             continue
-        tag = tag.lower()
+        tag = m[2].lower()
         if tag in BLOCKS:
             flush()
+            if tag != "br":
+                paragraph = int(not m[1] and tag in PROSE)
         if not m[1]:
             if tag in RAW:
                 end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|$)", re.I).search(page, at)
@@ -122,35 +136,43 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
             if tag in HEADINGS:
                 heading = 1
             if tag in CONTAINERS and not m[3].endswith("/"):
-                if tag == "a":
-                    links += 1
-                    unseen_here = 0
-                else:
-                    unseen_here = int(tag in UNSEEN)
-                unseen += unseen_here
-                stack.append((tag, _speaks(tag, m[3], any(s > 0 for _, s in stack))))
+                top = stack[-1]
+                good, hidden = tag in GOOD_TAGS, bool(_HIDDEN.search(m[3]))
+                # a header inside an article is the article's own
+                bad = hidden or tag in BAD_TAGS and not (tag == "header" and top.article and not top.landmark)
+                names = 0 if tag in ("a", "body") else _names(m[3])
+                stack.append(_Open(tag, top.article + good, 0 if good and not hidden else top.landmark + bad, names or (0 if good else top.names), top.links + (tag == "a"), top.unseen + (tag in UNSEEN)))
+                many[tag] += 1
         else:
             if tag in HEADINGS:
                 heading = 0
-            if tag in CONTAINERS and any(t == tag for t, _ in stack):
-                while stack:
-                    top, _ = stack.pop()
-                    links -= top == "a"
-                    unseen -= top in UNSEEN
-                    if top == tag:
+            if many[tag]:
+                while True:
+                    top = stack.pop()
+                    many[top.tag] -= 1
+                    if top.tag == tag:
                         break
     flush()
     return out
 
 
-def describe(found: list[tuple[str, int, int, int, int]]) -> np.ndarray:
-    """FEATURES of the blocks of a page."""
+def describe(found: list[Block]) -> np.ndarray:
+    """FEATURES of the blocks of a page.
+
+    page_rest counts the words of other blocks that nothing speaks against; page_prose those outside links and landmarks.
+    """
     n = len(found)
-    words = np.array([len(x[0].split()) for x in found], float)
-    links = np.array([min(1.0, x[1] / max(len(x[0]), 1)) for x in found])
+    if not n:
+        return np.zeros((0, len(FEATURES)))
+    words = np.array([len(x.text.split()) for x in found], float)
+    links = np.array([min(1.0, x.linked / max(len(x.text), 1)) for x in found])
+    heading, paragraph, article, landmark, names = (np.array([getattr(x, c) for x in found], float) for c in ("heading", "paragraph", "article", "landmark", "names"))
     before, after = (lambda v: np.concatenate([[0.0], v[:-1]])), (lambda v: np.concatenate([v[1:], [0.0]]))
-    good = np.array([x[3] for x in found], float)
-    return np.stack([words, links, before(words), before(links), after(words), after(links), np.array([x[2] for x in found], float), np.minimum(good, 1), np.array([x[4] for x in found], float), np.full(n, float((good > 0).any())), np.full(n, words.max(initial=0))], axis=1) if n else np.zeros((0, len(FEATURES)))
+    plain = (landmark == 0) & (links < 0.5)
+    fine = plain & (names >= 0)
+    rest = (words * fine).sum() - words * fine
+    every = np.ones(n)
+    return np.stack([words, links, before(words), before(links), after(words), after(links), heading, paragraph, article, every * article.max(), landmark, names, rest, every * words.max(), every * (words * plain).sum()], axis=1)
 
 
 # ------------------------------------------------------------ decision tree
@@ -201,36 +223,50 @@ def judge(tree: list[tuple], x: np.ndarray) -> np.ndarray:
 # ----------------------------------------------------------- labelled table
 
 
-def label_table(pages: int = 800, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """Described blocks and their labels, from pages laid out by rule.
+def label_table(pages: int = 1500, seed: int = 11, named: float = 0.6) -> tuple[np.ndarray, np.ndarray]:
+    """Described blocks and their labels, from pages laid out by rule; named: the share of containers with class names.
 
-    Each page draws one layout for its article and any of the usual surroundings; a
-    block's text starts with its label, which is dropped before it is described.
+    A block's text starts with its label, which is dropped before it is described.
     """
     r = random.Random(seed)
     text = lambda label, lo, hi: " ".join([label, *("w" * r.randint(2, 9) for _ in range(r.randint(lo, hi)))])
     p = lambda label, lo, hi: f"<p>{text(label, lo, hi)}</p>"
     links = lambda n: "".join(f"<li><a href='/'>{text('N', 1, 4)}</a></li>" for _ in range(n))
 
-    def article() -> str:
-        return r.choice(["", f"<h1>{text('Y', 2, 14)}</h1>"]) + "".join(r.choice([p("Y", 1, 8), p("Y", 10, 90), p("Y", 10, 90), f"<h2>{text('Y', 1, 6)}</h2>", f"<ul><li>{text('Y', 2, 15)}</li></ul>", f"<p>{text('Y', 5, 30)} <a href='/'>link</a> w w</p>", f"<p><b>{text('Y', 5, 30)}<br>"]) for _ in range(r.randint(1, 9)))
+    def name(*choice: str) -> str:
+        return f" {r.choice(['class', 'class', 'id'])}='{r.choice(choice)}{r.choice(['', '', '-1', ' x9'])}'" if r.random() < named else ""
+
+    def article(short: bool = False) -> str:
+        kinds = [p("Y", 1, 8), p("Y", 10, 90), p("Y", 10, 90), p("Y", 25, 120), f"<h2>{text('Y', 1, 6)}</h2>", f"<ul><li>{text('Y', 2, 15)}</li><li>{text('Y', 2, 15)}</li></ul>", f"<p>{text('Y', 5, 30)} <a href='/'>link</a> w w</p>", f"<p><b>{text('Y', 5, 30)}<br>"]
+        body = [p("Y", 3, 12)] if short else [p("Y", 20, 90), *(r.choice(kinds) for _ in range(r.randint(0, 8)))]
+        r.shuffle(body)
+        return r.choice(["", f"<h1>{text('Y', 2, 14)}</h1>"]) + "".join(body)
 
-    def junk() -> str:
-        return r.choice([f"<div class='ad'>{text('N', 2, 25)}</div>", f"<div class='cookie-notice'>{text('N', 3, 30)}</div>", f"<aside>{p('N', 3, 30)}</aside>", f"<div id='sidebar'><h3>{text('N', 1, 4)}</h3><ul>{links(3)}</ul></div>", f"<form>{text('N', 1, 8)}<input></form>", f"<section class='comments'>{p('N', 3, 50)}{p('N', 3, 50)}</section>", f"<div class='share'><a href='/'>{text('N', 1, 3)}</a></div>", f"<ul>{links(4)}</ul>"])
+    def junk(inside: bool = False) -> str:
+        kinds = [
+            f"<div{name('ad', 'sponsor-box', 'promo')}>{text('N', 2, 12)}</div>", f"<div{name('cookie-bar', 'consent', 'notice')}>{text('N', 3, 12)}</div>", f"<aside>{p('N', 3, 30)}</aside>", f"<div{name('sidebar', 'widget')}><ul>{links(3)}</ul></div>",
+            f"<form>{text('N', 1, 8)}<input></form>", f"<div{name('share', 'social')}><a href='/'>{text('N', 1, 3)}</a></div>", f"<ul>{links(4)}</ul>",
+        ]
+        if r.random() < 0.5:  # what only its place or its name tells apart has one
+            kinds = [f"<section class='{r.choice(['comments', 'replies', 'reader-comments'])}'>{p('N', 3, 60)}{p('N', 3, 60)}</section>", f"<div class='{r.choice(['advert', 'newsletter', 'related'])}'>{p('N', 8, 40)}</div>", f"<div id='{r.choice(['sidebar', 'popup'])}'><h3>{text('N', 1, 4)}</h3>{p('N', 3, 30)}</div>"]
+        return r.choice(kinds)
 
     rows, labels = [], []
     for _ in range(pages):
-        inner = article() + "".join(junk() for _ in range(r.choice([0, 0, 0, 1, 2])))
-        body = r.choice([f"<article>{inner}</article>", f"<main>{inner}</main>", f"<div class='post-content'>{inner}</div>", f"<div>{inner}</div>"])
-        plain = "".join(p("N", 2, 40) for _ in range(r.randint(0, 2))) if not body.startswith("<div>") else ""
-        head = r.choice(["", f"<header>{p('N', 1, 10)}</header>"]) + (f"<nav><ul>{links(r.randint(2, 6))}</ul></nav>" if r.random() < 0.7 else "")
-        foot = f"<footer>{text('N', 3, 20)}</footer>" if r.random() < 0.7 else ""
-        around = [*("" if r.random() < 0.5 else junk() for _ in range(4)), plain if r.random() < 0.5 else "", plain if r.random() < 0.5 else ""]
-        page = f"<body>{around[4]}{head}{around[0]}{around[1]}{body}{around[2]}{around[3]}{around[5]}{foot}</body>"
-        found = blocks(page)
-        keep = [x for x in found if x[0][:2] in ("Y ", "N ") or x[0] in ("Y", "N")]
-        rows.append(describe([(x[0][2:] or "w", max(0, x[1] - 2), *x[2:]) for x in keep]))
-        labels += [float(x[0][0] == "Y") for x in keep]
+        layout = r.choice(["article", "article", "main", "named", "bare", "bare", "misnamed"])
+        alone = r.random() < 0.1  # a page of nothing else
+        inner = p("Y", 0, 8) if alone and r.random() < 0.7 else article(short=layout == "article" and r.random() < 0.15)
+        if layout != "misnamed" and not alone:
+            inner += "".join(junk(True) for _ in range(r.choice([0, 0, 0, 1, 2])))
+        body = {"article": f"<article>{inner}</article>", "main": f"<main{name('content', 'page')}>{inner}</main>", "named": f"<div class='{r.choice(['post-content', 'entry', 'story', 'response-body'])}'>{inner}</div>", "bare": f"<div{name('c1', 'wrap', 'col')}>{inner}</div>", "misnamed": f"<div class='{r.choice(['notice', 'reply', 'related', 'widget', 'promo', 'share'])}'>{inner}</div>"}[layout]
+        head = r.choice(["", f"<header>{p('N', 1, 10)}</header>"]) + (f"<nav><ul>{links(r.randint(2, 6))}</ul></nav>" if r.random() < 0.6 else f"<div{name('menu')}><ul>{links(r.randint(3, 7))}</ul></div>")
+        foot = f"<footer>{text('N', 3, 20)}</footer>" if r.random() < 0.7 else f"<div{name('footer', 'copyright')}>{text('N', 2, 8)}</div>"
+        loose = [p("N", 2, 40) if layout in ("article", "main") and r.random() < 0.3 else "" for _ in range(2)]
+        around = ["" if r.random() < 0.5 or layout == "misnamed" else junk() for _ in range(4)]
+        page = body + loose[1] if alone else f"<body>{head}{around[0]}{around[1]}{loose[0]}{body}{loose[1]}{around[2]}{around[3]}{foot}</body>"
+        found = [x for x in blocks(page) if x.text[:2] in ("Y ", "N ") or x.text in ("Y", "N")]
+        rows.append(describe([replace(x, text=x.text[2:] or "w", linked=max(0, x.linked - 2)) for x in found]))
+        labels += [float(x.text[0] == "Y") for x in found]
     return np.concatenate(rows), np.array(labels)
 
 
@@ -244,7 +280,7 @@ def extract_texts(pages: list[str | None], tree: list[tuple]) -> list[str]:
     x = np.concatenate([np.zeros((0, len(FEATURES))), *map(describe, found)])
     keep = judge(tree, x)
     at = np.concatenate([[0], np.cumsum([len(f) for f in found])])
-    return [" ".join(b[0] for b, k in zip(f, keep[at[i] : at[i + 1]], strict=True) if k) for i, f in enumerate(found)]
+    return [" ".join(b.text for b, k in zip(f, keep[at[i] : at[i + 1]], strict=True) if k) for i, f in enumerate(found)]
 
 
 def extract(pages: DataFrame, markup: str = "html", out: str = "text") -> DataFrame:

@@ -1,8 +1,15 @@
+import re
+import time
+from html import unescape
+from pathlib import Path
+
+import pyarrow.parquet as pq
 import pytest
 
 from shelfspark.llm import html_extract as h
 
 TREE = list(h.trained())
+PAGES_TABLE = Path("/root/testdata/sf0.01/pages.parquet")
 
 PAGES = [
     ("<html><head><title>T</title><style>p{}</style><script>var a='</p>';</script></head><body><nav><a href=/>Home</a></nav><header><p>Site name</p></header><article><h1>Head &amp; line</h1><p>One\n  two<br>three <b>fo</b>ur.</p><p>5 &lt; 6&nbsp;7</p><div class='comments'><p>Nice post, thanks a lot!</p></div></article><aside>More to read here</aside><footer>&copy; 2024</footer></body>", "Head & line One two three four. 5 < 6 7"),
@@ -24,6 +31,51 @@ def test_main_text(page, want):
 def test_held_out_blocks():
     x, y = h.label_table(200, seed=99)
     assert len(y) > 1000 and (h.judge(TREE, x) == (y > 0.5)).mean() >= 0.98
+    # without any names: laid out without them, and with what they say taken away
+    x, y = h.label_table(200, seed=98, named=0.0)
+    assert (h.judge(TREE, x) == (y > 0.5)).mean() >= 0.98
+    x[:, h.FEATURES.index("names")] = 0
+    assert (h.judge(TREE, x) == (y > 0.5)).mean() >= 0.88
+
+
+def test_the_tree_sees_the_text():
+    used = {h.FEATURES[f] for f, *_ in TREE if f >= 0}
+    assert used & {"words", "words_before", "words_after"} and used & {"links", "links_before", "links_after"} and used & {"page_rest", "page_prose", "page_longest"}
+
+
+@pytest.mark.parametrize("name", ["response-body", "legal", "contact", "notice", "share", "reply", "x"])
+def test_no_article_is_dropped_for_a_word_in_a_name(name):
+    text = "Some words of the article that goes on. " * 10
+    page = f"<body><nav><a href=/>Home</a><a href=/b>Away</a></nav><div class='{name}'><h1>The head line</h1><p>{text}</p><p>{text}</p></div><footer>c 2024</footer></body>"
+    assert h.extract_texts([page], TREE) == [f"The head line {text * 2}".strip()]
+
+
+def brute(page):
+    """The article of a page of the tables, by cutting the string."""
+    if "<article>" not in (page or ""):
+        return ""
+    part = page.split("<article>", 1)[1].split("</article>", 1)[0]
+    part = re.sub(r"(?s)<!--.*?-->|<(script|style)\b.*?</\1>", "", part)
+    return " ".join(unescape(re.sub(r"<[^>]*>", "\n", re.sub(r"</?(?:b|i|em|strong|a|span)\b[^>]*>", "", part))).split())
+
+
+@pytest.mark.skipif(not PAGES_TABLE.exists(), reason="no test tables here")
+def test_pages_of_the_tables_against_brute_force():
+    pages = [x or "" for x in pq.read_table(PAGES_TABLE).column("html").to_pylist()]
+    want = [brute(x) for x in pages]
+    assert sum(map(bool, want)) > 100 and h.extract_texts(pages, TREE) == want
+    bare = [re.sub(r"""\s(?:class|id|role)=(?:"[^"]*"|'[^']*'|[^\s>]+)""", "", x) for x in pages]
+    assert h.extract_texts(bare, TREE) == want
+
+
+def test_deep_nesting_takes_time_in_proportion():
+    def seconds(n):
+        began = time.perf_counter()
+        h.blocks("<div>x" * n)
+        return time.perf_counter() - began
+
+    assert seconds(40_000) < 12 * max(seconds(8_000), 0.05)
+    assert len(h.blocks("<div>x</span></p>" * 5000 + "</div>" * 5000)) == 5000
 
 
 def test_all_rows_come_back(spark):
