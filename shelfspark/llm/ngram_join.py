@@ -8,22 +8,29 @@ one too, so that any pair that can link shares a band. There, H is the most that
 the set can differ from a partner.
 
 A segment of a set can absorb one difference less than its value: value 1 means
-that its content is indexed as it is, so that it must be equal; value 2 that the
-contents with one element left out are indexed besides, so that it may differ in one element. If
-all segments of a linked pair differed by their values or more, they would
+that its content is indexed as it is, so that it must be equal; value 2, for two elements
+or more, that the contents with one element left out are indexed besides, so that it may differ in one
+element. If all segments of a linked pair differed by their values or more, they would
 differ in more than H elements once the values add up to H + 1. So each set
 indexes segments in one common order until their values exceed H, and a linked
-pair meets in the first segment that both have within its value. The order is
-by cost: segments with common shingles, as counted over all
-documents, come last and are hardly ever indexed. In bands of small sets,
-segments with two elements or more have value 2; in bands of large sets there are
-enough segments without that. Should a set run out of segments first (the hash would have to
-throw nearly all its elements together), the universe is cut anew with another seed.
+pair meets in the first segment that both have within its value.
+
+Order and values are allocated by cost: segments with common shingles, as counted over all
+documents, come last and are hardly ever indexed; and in each band the neighbourhoods of
+one deletion are used for segments up to that cost at which what all sets of the band together
+index is expected to be cheapest (allocate).
+
+A set whose segments hold too little value (the hash threw too many of its elements together) is
+indexed again by another hash, and so is any that could link with such a set: as a
+difference changes the value by one at most, that is each set whose value exceeds H by no more than H.
+Both of a pair go on from hash to hash like that until neither lacks value, and meet there.
 
 Documents with the same set are one node. Nodes that share an indexed content
 are candidates. The contents with the same first node are taken together as
-one group, so that pairs which share many contents are looked at once. Large
-groups are dealt out as pairs of blocks. Within a block pair, a bound on the overlap, from
+one group, so that pairs which share many contents are looked at once. Groups of more than
+a block are compared with one block of theirs first; as only components
+matter, just the nodes that this did not connect with most of the group are then compared
+with all of it. Within a block pair, a bound on the overlap, from
 counts of shingles by hash range, rules most pairs out; only for nodes that have
 a partner left are the sets themselves fetched, and compared exactly unless the two are
 connected already. A block pair sends on no more links than join its nodes.
@@ -53,8 +60,10 @@ SHINGLE, SIMILARITY = 5, Fraction(3, 4)
 COST_BITS = 17
 #: Tasks that add up the counts of all.
 COUNT_TASKS = 32
-#: Bands below this have more segments, with one-deletion neighbourhoods.
-SMALL_BAND = 6
+#: A band of sets of up to 2^(b + 1) elements has 2^(b + SEGMENT_BITS) segments.
+SEGMENT_BITS = 2
+#: Distinct sets that a task keeps in mind so as not to index them again.
+SEEN = 1 << 20
 _U = np.uint64
 
 
@@ -102,55 +111,108 @@ def levels(counts: np.ndarray) -> np.ndarray:
     return np.maximum(np.ceil(np.log2(np.maximum(counts, 1) / usual / 1.5)), 0).astype(np.int64)
 
 
-def bands(n: int) -> list[tuple[int, int]]:
-    """(band, H) of a set of n elements in each band where it can meet a partner."""
-    band, most = n.bit_length() - 1, 4 * n // 3
-    out = [(band, (n + min(most, 2 ** (band + 1) - 1)) // 7)]
-    if most >= 2 ** (band + 1):
-        out.append((band + 1, (n + most) // 7))
+def bands(n: int) -> list[tuple[int, int, int]]:
+    """(band, H, the most H of a partner) of a set of n elements in each band where it can meet a partner."""
+    out = []
+    for band in (n.bit_length() - 1, n.bit_length()):
+        top = 2 ** (band + 1) - 1
+        if band == n.bit_length() - 1 or 4 * n // 3 >= 2**band:
+            most = lambda k, top=top: (k + min(4 * k // 3, top)) // 7
+            out.append((band, most(n), most(min(4 * n // 3, top))))
     return out
 
 
-def signatures(s: np.ndarray, cost: np.ndarray, seed: int) -> tuple[np.ndarray, bool]:
-    """The hashes under which a set is indexed, and whether its segments sufficed."""
-    if seed:
-        s = np.sort(mix(s ^ _U(seed)))
-    out, enough = [], True
-    for band, most in bands(len(s)):
-        small = band < SMALL_BAND
-        bits = band + (3 if small else 1)
-        segment = (s >> _U(64 - bits)).astype(np.int64)
-        start = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))
-        size = np.diff(np.append(start, len(s)))
-        element = mix(s + _U(band + 1))
-        total = np.add.reduceat(element, start)
-        which = segment[start]
-        level = cost[which >> (bits - COST_BITS)] if bits >= COST_BITS else cost.reshape(1 << bits, -1).max(axis=1)[which]
-        value = np.where(size >= 2, 2, 1) if small else np.ones(len(size), np.int64)
-        order = np.argsort(level, kind="stable")
-        upto = np.cumsum(value[order])
-        enough &= bool(upto[-1] > most)
-        order = order[: int(np.searchsorted(upto, most, "right")) + 1]
-        tag = mix(which[order].astype(_U) + _U((band + 1) << 40))
-        out.append(mix(total[order] ^ tag))
-        for i in np.flatnonzero(value[order] == 2):
-            k = order[i]
-            out.append(mix((total[k] - element[start[k] : start[k] + size[k]]) ^ tag[i]))
-    return np.unique(np.concatenate(out)), enough
-
-
-def _index(batches: Iterator[pa.RecordBatch], size: int, cost: np.ndarray, seed: int) -> Iterator[pa.RecordBatch]:
+def allocate(cost: np.ndarray) -> np.ndarray:
+    """For each band, the highest cost of segments whose neighbourhoods of one deletion are indexed; -1 for none.
+
+    Reckoned for a set in the middle of the band whose elements fall evenly: segments are
+    gone through by rising cost until their values reach H + 1, each indexed content counting 2^cost.
+    """
+    out = []
+    for band in range(40):
+        bits = band + SEGMENT_BITS
+        level = cost.reshape(1 << bits, -1).max(axis=1) if bits < COST_BITS else cost
+        n = 1.5 * 2**band
+        need = (n + min(4 * n / 3, 2 ** (band + 1) - 1)) / 7 + 1
+        rate = n / 2**bits
+        one, some = rate * np.exp(-rate), 1 - np.exp(-rate)
+        more = some - one
+        # values and contents of a segment on average, without and with neighbourhoods
+        plain, deep = (some, some), (one + 2 * more, some + rate - one)
+        share = np.bincount(level) / len(level) * 2**bits
+        best = (np.inf, -1)
+        for limit in range(-1, len(share)):
+            left, total = need, 0.0
+            for c, many in enumerate(share):
+                value, rows = deep if c <= limit else plain
+                part = min(1.0, left / (value * many)) if many else 0.0
+                left, total = left - part * value * many, total + part * rows * many * 2.0**c
+                if left <= 1e-9:
+                    break
+            best = min(best, (total + max(left, 0) * 2.0 ** len(share) * 4, limit))
+        out.append(best[1])
+    return np.array(out)
+
+
+def _indexed(s: np.ndarray, band: int, most: int, level: np.ndarray | None, limit: int, seed: int) -> tuple[list[np.ndarray], int]:
+    """The hashes under which a set is indexed in a band, and the value of all its segments."""
+    bits = band + SEGMENT_BITS
+    segment = (s >> _U(64 - bits)).astype(np.int64)
+    start = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))
+    size = np.diff(np.append(start, len(s)))
+    element = mix(s + _U(band + 1))
+    total = np.add.reduceat(element, start)
+    which = segment[start]
+    if level is None:
+        cost = np.zeros(len(which), np.int64)
+    else:
+        cost = level[which >> (bits - COST_BITS)] if bits >= COST_BITS else level[which]
+    value = np.where((size >= 2) & (cost <= limit), 2, 1)
+    order = np.argsort(cost, kind="stable")
+    upto = np.cumsum(value[order])
+    order = order[: int(np.searchsorted(upto, most, "right")) + 1]
+    tag = mix(which[order].astype(_U) + _U(((band + 1) << 40) + (seed << 48)))
+    out = [mix(total[order] ^ tag)]
+    for i in np.flatnonzero(value[order] == 2):
+        k = order[i]
+        out.append(mix((total[k] - element[start[k] : start[k] + size[k]]) ^ tag[i]))
+    return out, int(upto[-1])
+
+
+class Allocation:
+    """Costs of segments by band, and up to which of them neighbourhoods are used."""
+
+    def __init__(self, cost: np.ndarray):
+        self.limit = allocate(cost)
+        self.level = {band: cost.reshape(1 << (band + SEGMENT_BITS), -1).max(axis=1) if band + SEGMENT_BITS < COST_BITS else cost for band in range(40)}
+
+
+def signatures(s: np.ndarray, by: Allocation) -> np.ndarray:
+    """The hashes under which a set is indexed."""
+    out = []
+    for band, most, other in bands(len(s)):
+        seed, value = 0, 0
+        while value <= most + other:
+            turned = np.sort(mix(s ^ _U(seed))) if seed else s
+            level, limit = (by.level[band], int(by.limit[band])) if not seed else (None, 0)
+            some, value = _indexed(turned, band, most, level, limit, seed)
+            out += some
+            seed += 1
+    return np.unique(np.concatenate(out))
+
+
+def _index(batches: Iterator[pa.RecordBatch], size: int, by: Allocation) -> Iterator[pa.RecordBatch]:
+    seen: set[int] = set()
     for batch in pieces(batches, "text"):
-        sig, fp, seen = [], [], set()
+        sig, fp = [], []
         for s in sets_of(batch.column("text"), size):
             if len(s) and (f := fingerprint(s)) not in seen:
                 seen.add(f)
-                some, enough = signatures(s, cost, seed)
-                sig += [some.view(np.int64)]
-                fp += [np.full(len(some), f, np.int64)]
-                if not enough:
-                    sig += [np.zeros(1, np.int64)]
-                    fp += [np.zeros(1, np.int64)]
+                some = signatures(s, by)
+                sig.append(some.view(np.int64))
+                fp.append(np.full(len(some), f, np.int64))
+        if len(seen) > SEEN:
+            seen.clear()
         if sig:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig)), pa.array(np.concatenate(fp))], ["sig", "fp"])
 
@@ -258,16 +320,43 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-#: Rows in a block; bits of the filter by which texts are told that no set is wanted of.
-BLOCK, FILTER_BITS = 1_024, 25
+#: Rows in a block; bits of a filter for each key, and at most.
+BLOCK, KEY_BITS, MOST_BITS = 1_024, 8, 27
+
+
+def hub_pairs(rows: DataFrame) -> DataFrame:
+    """Deal rows (leader, fp, blocks) out as pairs (i, j) of blocks: each block of a group with the group's block 0."""
+    side = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("blocks")).cast("int")
+    last = F.col("blocks").cast("int") - 1
+    dealt = rows.withColumn("side", side).withColumn("j", F.explode(F.when(F.col("side") == 0, F.sequence(F.lit(0), last)).otherwise(F.array("side"))))
+    return dealt.select("leader", F.lit(0).alias("i"), "j", "side", "fp")
 
 
-def block_pairs(members: DataFrame) -> DataFrame:
-    """Deal rows (leader, ...) out as pairs of blocks: each row once for each block that its own is paired with."""
-    blocks = F.ceil(F.count("*").over(W.partitionBy("leader")) / BLOCK).cast("int")
-    m = members.withColumn("_blocks", blocks).withColumn("side", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("_blocks")).cast("int"))
-    m = m.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    return m.withColumn("i", F.least("side", "_other")).withColumn("j", F.greatest("side", "_other")).drop("_blocks", "_other")
+def outer_pairs(rows: DataFrame) -> DataFrame:
+    """Deal rows (leader, fp, outer) out: the blocks of each group's outer rows, i below 0, with all blocks of the group."""
+    sizes = rows.groupBy("leader").agg(F.count("*").alias("all"), F.sum(F.col("outer").cast("long")).alias("some")).where("some > 0")
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    r = rows.join(sizes.select("leader", blocks("all").alias("_all"), blocks("some").alias("_some")), "leader")
+    r = r.withColumn("_i", -1 - F.pmod(F.xxhash64("fp", F.lit(8)), F.col("_some")).cast("int")).withColumn("_j", F.pmod(F.xxhash64("fp", F.lit(9)), F.col("_all")).cast("int"))
+    left = r.where("outer").select("leader", F.col("_i").alias("i"), F.explode(F.sequence(F.lit(0), F.col("_all") - 1)).alias("j"), F.col("_i").alias("side"), "fp")
+    right = r.select("leader", F.explode(F.sequence(-F.col("_some"), F.lit(-1))).alias("i"), F.col("_j").alias("j"), F.col("_j").alias("side"), "fp")
+    return left.unionByName(right)
+
+
+def connect(rows: DataFrame, compare) -> DataFrame:
+    """Links (a, b) that connect the rows (leader, fp, blocks) of each group as all links between them do.
+
+    compare gives such links of dealt rows (leader, i, j, side, fp).
+    """
+    links = durable(compare(hub_pairs(rows)))
+    large = rows.where("blocks > 1")
+    if large.isEmpty():
+        return links
+    root = F.coalesce("root", "fp").alias("root")
+    named = large.select("leader", "fp").join(components(links).select(F.col("node").alias("fp"), "root"), "fp", "left").select("leader", "fp", root)
+    main = named.groupBy("leader", "root").agg(F.count("*").alias("n")).groupBy("leader").agg(F.max(F.struct("n", "root"))["root"].alias("main"))
+    outer = durable(named.join(main, "leader").select("leader", "fp", (F.col("root") != F.col("main")).alias("outer")))
+    return links.unionByName(compare(outer_pairs(outer)))
 
 
 def grouped(rows: DataFrame) -> DataFrame:
@@ -275,20 +364,33 @@ def grouped(rows: DataFrame) -> DataFrame:
     return rows.repartition(*BLOCK_KEYS).sortWithinPartitions(*BLOCK_KEYS, "fp")
 
 
-def key_filter(keys: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """A filter of 2^bits bits with those of the column key set, folded in Spark to as many words at most."""
+def key_filter(keys: DataFrame) -> np.ndarray | None:
+    """A filter with the bits of the column key set, KEY_BITS for each key, folded in Spark; None where that would exceed 2^MOST_BITS.
+
+    Without it nothing is left out before the join that follows, which decides in any case.
+    """
+    count = keys.count()
+    bits = max(10, (count * KEY_BITS).bit_length())
+    if bits > MOST_BITS:
+        return None
     slot = F.col("key").bitwiseAND(F.lit((1 << bits) - 1))
-    words = keys.select(F.shiftright(slot, 5).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(key & 31 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
+    words = keys.select(F.shiftright(slot, 5).cast("int").alias("word"), F.expr("shiftleft(1L, cast(key & 31 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
     out = np.zeros(1 << (bits - 5), np.uint32)
     out[words.column("word").to_numpy()] = words.column("bit").to_numpy().astype(np.uint32)
     return out
 
 
-def _sets(batches: Iterator[pa.RecordBatch], size: int, wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
+def passes(key: np.ndarray, bits: np.ndarray | None) -> np.ndarray:
+    """Which keys a filter lets through."""
+    if bits is None:
+        return np.ones(len(key), bool)
+    slot = key & (len(bits) * 32 - 1)
+    return ((bits[slot >> 5] >> (key & 31).astype(np.uint32)) & 1) == 1
+
+
+def _sets(batches: Iterator[pa.RecordBatch], size: int, wanted: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        key = batch.column("text_key").to_numpy()
-        slot = key & (len(wanted) * 32 - 1)
-        batch = batch.filter(pa.array((wanted[slot >> 5] >> (key & 31).astype(np.uint32)) & 1 == 1))
+        batch = batch.filter(pa.array(passes(batch.column("text_key").to_numpy(), wanted)))
         for part in pieces(iter([batch]), "text"):
             sets = sets_of(part.column("text"), size)
             offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
@@ -312,30 +414,31 @@ def classes(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     usual = few.select(F.posexplode("counts").alias("bin", "n")).groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
     cost = np.zeros(1 << COST_BITS, np.int64)  # as many rows as there are bins
     cost[usual.column("bin").to_numpy()] = usual.column("n").to_numpy()
-    cost = spark.sparkContext.broadcast(levels(cost))
-
-    seed = 0
-    while True:
-        rows = docs.select("text").mapInArrow(lambda b, seed=seed: _index(b, size, cost.value, seed), "sig long, fp long")
-        by = W.partitionBy("sig")
-        met = rows.withColumn("leader", F.min("fp").over(by)).withColumn("_last", F.max("fp").over(by))
-        met = durable(met.where("leader <> _last OR fp = 0 AND sig = 0").select("leader", "fp").distinct())
-        if met.where("fp = 0").isEmpty():
-            break
-        seed += 1
+    by = spark.sparkContext.broadcast(Allocation(levels(cost)))
+    rows = docs.select("text").mapInArrow(lambda b: _index(b, size, by.value), "sig long, fp long")
+    # a task indexes a set once, so a content has about as many rows as distinct sets, or tasks
+    same = W.partitionBy("sig")
+    met = rows.withColumn("leader", F.min("fp").over(same)).withColumn("_last", F.max("fp").over(same))
+    met = met.where("leader <> _last").select("leader", "fp").distinct()
     nodes = durable(summary.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("text_key").alias("text_key"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
-    # in a group, nodes without any of a size that can link; then blocks; the sketches come last, as they are the widest
-    sized = W.partitionBy("leader").orderBy("n", "fp")
-    fits = lambda a, b: a * SIMILARITY.denominator >= b * SIMILARITY.numerator
-    partner = fits(F.lag("n").over(sized), F.col("n")) | fits(F.col("n"), F.lead("n").over(sized))
-    candidates = met.join(nodes.select("fp", "n"), "fp").withColumn("_fits", partner).where("_fits").drop("_fits")
-    candidates = block_pairs(candidates).join(nodes.select("fp", "sketch"), "fp")
-    alive = durable(grouped(candidates.select(*BLOCK_KEYS, "side", "fp", "n", "sketch")).mapInArrow(_prune, "leader long, i int, j int, side int, fp long"))
-    wanted = nodes.join(alive.select("fp").distinct(), "fp", "left_semi").select("fp", F.col("text_key").alias("key"))
-    bits = spark.sparkContext.broadcast(key_filter(wanted))
-    sets = keyed.select("text_key", "text").mapInArrow(lambda b: _sets(b, size, bits.value), "fp long, set array<long>")
-    sets = sets.join(wanted.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.first("set").alias("set"))
-    links = grouped(alive.join(sets, "fp")).mapInArrow(_verify, "a long, b long")
+    # a cell holds sizes within a factor of 4/3, so sets that link stand in the same or in neighbouring cells
+    cell = F.floor(F.log(F.col("n").cast("double")) / float(np.log(4 / 3))).cast("int")
+    met = durable(met.join(nodes.select("fp", cell.alias("cell")), "fp"))
+    groups = met.groupBy("leader", "cell").agg(F.count("*").alias("n")).groupBy("leader").agg(F.collect_list(F.struct("cell", "n")).alias("cells"), F.sum("n").alias("all"))
+    beside = F.aggregate(F.filter("cells", lambda x: F.abs(x["cell"] - F.col("cell")) <= 1), F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    candidates = met.join(groups, "leader").where(beside > 1).select("leader", "fp", F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"))
+
+    def compare(dealt: DataFrame) -> DataFrame:
+        # the sketches come last, as they are the widest
+        wide = dealt.join(nodes.select("fp", "n", "sketch"), "fp").select(*BLOCK_KEYS, "side", "fp", "n", "sketch")
+        alive = durable(grouped(wide).mapInArrow(_prune, "leader long, i int, j int, side int, fp long"))
+        wanted = nodes.join(alive.select("fp").distinct(), "fp", "left_semi").select("fp", F.col("text_key").alias("key"))
+        bits = spark.sparkContext.broadcast(key_filter(wanted))
+        sets = keyed.select("text_key", "text").mapInArrow(lambda b: _sets(b, size, bits.value), "fp long, set array<long>")
+        sets = sets.join(wanted.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.first("set").alias("set"))
+        return grouped(alive.join(sets, "fp")).mapInArrow(_verify, "a long, b long")
+
+    links = connect(candidates, compare)
     roots = components(links)
     named = nodes.select("fp", "least").join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))

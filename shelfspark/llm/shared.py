@@ -6,6 +6,7 @@ from __future__ import annotations
 import hashlib
 import re
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +43,13 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage of df with a table written in the shared folder, which is smaller than a checkpoint."""
+    where = f"{shared_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound the rows that one Arrow batch carries to a Python worker, and let workers import this package.
 

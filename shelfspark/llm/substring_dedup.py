@@ -6,8 +6,8 @@ begin at anchors. An anchor is a word whose pair hash is the least for some
 words around, ties included, so that a passage has the same anchors wherever it stands,
 and one that repeats a few words has one in each period. A
 paragraph is the set of its five-word shingles. MinHash values in bands give the keys under
-which paragraphs meet: eight bands of two for lines, which finds 99.9 % of pairs of
-similarity 3/4, and one band of two for stretches, of which any passage has several. Paragraphs that meet are
+which paragraphs meet: for lines as many bands as find LINE_RECALL of the pairs of
+similarity 3/4, and one band for stretches, of which any passage has several, and which are equal in copies. Paragraphs that meet are
 compared exactly and linked at a similarity of 3/4; components of links are clusters.
 
 A cluster with paragraphs of two documents or more is a repeated passage: it stays in the
@@ -21,6 +21,7 @@ Rows without an id are left out. Rows of the same id and text give the same span
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,14 +31,24 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .components import components
-from .ngram_join import _verify, block_pairs, grouped, key_filter
-from .shared import SPACE, Words, buffers, durable, mix, pieces, shingles, small_batches
+from .ngram_join import BLOCK, _verify, connect, grouped, key_filter, passes
+from .shared import Words, buffers, durable, mix, pieces, shingles, small_batches, stored
 
 SHINGLE = 5
 #: Words of a line from which it is a paragraph; words of a stretch; words on each side that no anchor exceeds.
-LEAST_WORDS, WINDOW, REACH = 24, 24, 3
-#: (bands, rows) for lines and for stretches.
-LINE_BANDS, WINDOW_BANDS = (8, 2), (1, 2)
+LEAST_WORDS, WINDOW, REACH = 24, 24, 2
+#: Least similarity of a link, and the share of pairs at that similarity that bands of lines must find.
+SIMILARITY, LINE_RECALL = 0.75, 0.998
+
+
+def tuned(rows: int, recall: float, similarity: float = SIMILARITY) -> tuple[int, int]:
+    """(bands, rows): the fewest bands of so many rows that find that share of the pairs of a similarity."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows)), rows
+
+
+LINE_BANDS, WINDOW_BANDS = tuned(2, LINE_RECALL), (1, 4)
+#: Rows of keys that a task folds together before it sends them on.
+FOLD = 1 << 20
 _U = np.uint64
 _FACTORS = mix(np.arange(32, dtype=_U) + _U(4242)) | _U(1)
 
@@ -116,7 +127,18 @@ def paragraphs(data: np.ndarray, offsets: np.ndarray, words: Words, keyed: bool
     return out
 
 
+def _folded(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    """(key, fp, least, most): each key and fingerprint once, with the smallest and largest document."""
+    key, fp, doc = (np.concatenate(c) for c in zip(*held, strict=True))
+    order = np.lexsort((fp, key))
+    key, fp, doc = key[order], fp[order], doc[order]
+    start = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])]))
+    return pa.RecordBatch.from_arrays([pa.array(key[start]), pa.array(fp[start]), pa.array(np.minimum.reduceat(doc, start)), pa.array(np.maximum.reduceat(doc, start))], ["key", "fp", "least", "most"])
+
+
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What a line common to many documents gives is folded to a row for each run of FOLD rows."""
+    held, size = [], 0
     for batch in pieces(batches, "text"):
         ids = batch.column("doc_id").to_numpy()
         data, offsets = buffers(batch.column("text"))
@@ -124,19 +146,20 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # a passage that repeats inside a text gives the same rows again and again
             _, once = np.unique(mix(fp.view(_U)) ^ text.astype(_U), return_index=True)
             n = keys.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(keys[once].reshape(-1).view(np.int64)), pa.array(np.repeat(fp[once], n)), pa.array(np.repeat(ids[text[once]], n))], ["key", "fp", "doc_id"])
-
-
-def _passes(fp: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    slot = fp & (len(bits) * 32 - 1)
-    return ((bits[slot >> 5] >> (fp & 31).astype(np.uint32)) & 1) == 1
+            held.append((keys[once].reshape(-1).view(np.int64), np.repeat(fp[once], n), np.repeat(ids[text[once]], n)))
+            size += n * len(once)
+        if size >= FOLD:
+            yield _folded(held)
+            held, size = [], 0
+    if size:
+        yield _folded(held)
 
 
 def _sets(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, "text"):
         data, offsets = buffers(batch.column("text"))
         for _, _, _, fp, _, of in paragraphs(data, offsets, Words(data, offsets, lower=True)):
-            some = np.flatnonzero(_passes(fp, bits))
+            some = np.flatnonzero(passes(fp, bits))
             _, once = np.unique(fp[some], return_index=True)
             some = some[once]
             if len(some):
@@ -151,7 +174,7 @@ def _spans(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.R
         words = Words(data, offsets, lower=True)
         ids = batch.column("doc_id").to_numpy()
         for text, start, end, fp, _, _ in paragraphs(data, offsets, words):
-            k = np.flatnonzero(_passes(fp, bits))
+            k = np.flatnonzero(passes(fp, bits))
             k = k[np.lexsort((start[k], fp[k], text[k]))]
             t, a, b, f = text[k], start[k], end[k], fp[k]
             # equal stretches of a text that overlap or touch, as in a word over and over, are one
@@ -173,23 +196,30 @@ def repeats(docs: DataFrame) -> DataFrame:
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     by = W.partitionBy("key")
-    met = docs.mapInArrow(_index, "key long, fp long, doc_id long")
-    met = met.withColumn("leader", F.min("fp").over(by)).withColumn("_fp", F.max("fp").over(by)).withColumn("_a", F.min("doc_id").over(by)).withColumn("_b", F.max("doc_id").over(by))
-    met = durable(met.where("_a <> _b").select("leader", "fp", "doc_id", (F.col("leader") != F.col("_fp")).alias("near")).distinct())
+    met = docs.mapInArrow(_index, "key long, fp long, least long, most long")
+    met = met.withColumn("leader", F.min("fp").over(by)).withColumn("_fp", F.max("fp").over(by)).withColumn("_a", F.min("least").over(by)).withColumn("_b", F.max("most").over(by))
+    near = F.max((F.col("leader") != F.col("_fp")).cast("int")).alias("near")
+    met = durable(met.where("_a <> _b").groupBy("leader", "fp").agg(near, F.min("least").alias("least"), F.max("most").alias("most")))
     # paragraphs that meet others: compared exactly, in blocks
-    near = durable(met.where("near").select("leader", "fp").distinct())
-    bits = spark.sparkContext.broadcast(key_filter(near.select(F.col("fp").alias("key"))))
-    sets = docs.select("text").mapInArrow(lambda b: _sets(b, bits.value), "fp long, set array<long>").groupBy("fp").agg(F.first("set").alias("set"))
-    links = grouped(block_pairs(near).join(sets, "fp")).mapInArrow(_verify, "a long, b long")
-    roots = components(links).select(F.col("node").alias("fp"), "root")
+    rows = met.where("near = 1").select("leader", "fp")
+    sizes = rows.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+
+    def compare(dealt: DataFrame) -> DataFrame:
+        fps = durable(dealt.select("fp").distinct())
+        bits = spark.sparkContext.broadcast(key_filter(fps.select(F.col("fp").alias("key"))))
+        sets = docs.select("text").mapInArrow(lambda b: _sets(b, bits.value), "fp long, set array<long>").groupBy("fp").agg(F.first("set").alias("set"))
+        return grouped(dealt.join(sets, "fp")).mapInArrow(_verify, "a long, b long")
+
+    roots = components(connect(rows.join(sizes, "leader"), compare)).select(F.col("node").alias("fp"), "root")
     # clusters of two documents or more
-    member = met.select("fp", "doc_id").distinct().join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    member = durable(member)
-    each = member.select("root", "doc_id").distinct().groupBy("root").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n_docs")).where("n_docs > 1")
-    shared = durable(member.select("fp", "root").distinct().join(each, "root").select("fp", "first_doc", "n_docs"))
+    member = met.groupBy("fp").agg(F.min("least").alias("least"), F.max("most").alias("most")).join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    each = member.groupBy("root").agg(F.min("least").alias("first_doc"), F.max("most").alias("_last")).where("first_doc <> _last").drop("_last")
+    shared = durable(member.select("fp", "root").join(each, "root"))
     wanted = spark.sparkContext.broadcast(key_filter(shared.select(F.col("fp").alias("key"))))
     spans = docs.mapInArrow(lambda b: _spans(b, wanted.value), "doc_id long, fp long, start long, end long, from_word long, to_word long").join(shared, "fp")
-    spans = spans.withColumn("removed", F.col("doc_id") != F.col("first_doc"))
+    spans = stored(spans.select("doc_id", "fp", "start", "end", "from_word", "to_word", "root", "first_doc"))
+    counts = spans.select("root", "doc_id").distinct().groupBy("root").agg(F.count("*").alias("n_docs"))
+    spans = spans.join(counts, "root").withColumn("removed", F.col("doc_id") != F.col("first_doc"))
     # merge what overlaps or touches
     order = W.partitionBy("doc_id", "removed").orderBy("from_word", "to_word", "fp")
     ends = F.max("to_word").over(order.rowsBetween(W.unboundedPreceding, -1))

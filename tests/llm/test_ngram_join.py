@@ -63,20 +63,53 @@ def test_empty_table(spark):
     assert got(spark, []) == []
 
 
-@pytest.mark.parametrize("n", [1, 2, 3, 4, 7, 20, 63, 64, 300, 2000])
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 7, 20, 63, 64, 96, 300, 2000])
 def test_similar_sets_share_a_signature(n):
     r = np.random.default_rng(n)
     cost = np.zeros(1 << ngram_join.COST_BITS, np.int64)
-    cost[r.integers(0, len(cost), 20_000)] = 3
-    for _ in range(40):
+    cost[r.integers(0, len(cost), 60_000)] = r.integers(1, 6, 60_000)
+    by = ngram_join.Allocation(cost)
+    for k in range(60):
         a = np.unique(r.integers(0, 2**64, n, dtype=np.uint64))
+        if k % 3 == 0:  # thrown together into few segments
+            a = np.unique((a >> np.uint64(5)) | np.uint64(0xA8 << 56))
         drop = int(r.integers(0, len(a) // 4 + 1))
         add = int(r.integers(0, max(1, (4 * (len(a) - drop) - 3 * len(a)) // 3 + 1)))
         b = np.unique(np.concatenate([r.permutation(a)[drop:], r.integers(0, 2**64, add, dtype=np.uint64)]))
         both = len(np.intersect1d(a, b))
-        x, y = ngram_join.signatures(a, cost, 0), ngram_join.signatures(b, cost, 0)
-        if both and 4 * both >= 3 * (len(a) + len(b) - both) and x[1] and y[1]:
-            assert len(np.intersect1d(x[0], y[0]))
+        x, y = ngram_join.signatures(a, by), ngram_join.signatures(b, by)
+        if both and 4 * both >= 3 * (len(a) + len(b) - both):
+            assert len(np.intersect1d(x, y))
+
+
+def test_seven_shingles_in_one_segment():
+    by = ngram_join.Allocation(np.zeros(1 << ngram_join.COST_BITS, np.int64))
+    a = np.arange(7, dtype=np.uint64) + np.uint64(5)
+    for k in range(7):
+        b = np.delete(a, k)
+        assert len(np.intersect1d(ngram_join.signatures(a, by), ngram_join.signatures(b, by)))
+
+
+def test_allocation_weighs_costs_in_every_band():
+    r = np.random.default_rng(1)
+    even = ngram_join.allocate(np.zeros(1 << ngram_join.COST_BITS, np.int64))
+    assert set(even[3:]) == {-1}  # contents alone are cheapest where nothing is common
+    steep = np.where(r.random(1 << ngram_join.COST_BITS) < 0.3, 0, 6)
+    assert (ngram_join.allocate(steep)[14:20] >= 0).all()  # neighbourhoods of cheap segments rather than dear segments
+
+
+def test_large_groups_of_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    r = random.Random(3)
+    base, data = nasty.prose(r, 80).split(), []
+    for i in range(90):  # two clusters that share many shingles but do not link, and stragglers at the ends of chains
+        words = list(base)
+        if i % 2:
+            words[30:62] = nasty.prose(random.Random(1), 32).split()
+        for _ in range(i % 4):
+            words[r.randrange(len(words))] = f"w{i}"
+        data.append((i, " ".join(words)))
+    assert got(spark, data) == brute(data)
 
 
 def test_components_of_a_long_path_and_a_hub(spark):
