@@ -2,7 +2,8 @@
 
 Each table turns a vector by three rounds of random signs and a fast Hadamard
 transform and takes the nearest corner of the cross-polytope: the coordinate of
-largest size, and its sign. HASHES such corners, of turns of their own, make a bucket. Each
+largest size, and its sign. Several such corners, of turns of their own, make a bucket; how many, and
+how many tables, follows from the number of vectors and the recall wanted (plan). Each
 vector goes to its own bucket and, as probes, to those where one corner is the
 runner-up, so that a pair is missed only if it falls apart in all tables.
 
@@ -19,22 +20,25 @@ each other. Only ids that aren't null name components.
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .components import components
-from .ngram_join import BLOCK_KEYS, _groups, block_pairs, grouped
+from .ngram_join import BLOCK, BLOCK_KEYS, _groups, grouped
 from .shared import durable, mix, small_batches
 
 #: Least cosine of a link.
 COSINE = 0.95
-#: Tables, corners in a bucket, runners-up tried for each corner.
-TABLES, HASHES, PROBES = 8, 2, 2
+#: Runners-up tried for each corner; vectors in a bucket on average; share of pairs at the least cosine that must meet.
+PROBES, PER_BUCKET, RECALL = 2, 64, 1 - 1e-9
+#: Tables where no vector says how many there should be.
+TABLES = 8
 _U = np.uint64
 
 
@@ -58,7 +62,7 @@ def turned(x: np.ndarray, seed: int) -> np.ndarray:
     return x
 
 
-def buckets(x: np.ndarray, tables: int = TABLES, hashes: int = HASHES, probes: int = PROBES) -> np.ndarray:
+def buckets(x: np.ndarray, tables: int = TABLES, hashes: int = 2, probes: int = PROBES) -> np.ndarray:
     """The buckets of each row: tables * (1 + hashes * probes) of them, its own before its probes."""
     n, d = x.shape
     wide = np.zeros((n, max(2, 1 << (d - 1).bit_length())))
@@ -142,22 +146,57 @@ def _link(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.Recor
             yield pa.RecordBatch.from_arrays([pa.array(a), b, pa.array(np.concatenate([links[some], np.zeros(len(joined), np.int64)]))], ["a", "b", "n"])
 
 
-def link(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLES, hashes: int = HASHES, probes: int = PROBES) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of rows (vec_id, embedding)."""
+@functools.lru_cache(64)
+def chance(d: int, hashes: int, cosine: float = COSINE, probes: int = PROBES, pairs: int = 2_000) -> float:
+    """The share of pairs at that cosine that meet in one table, measured on pairs drawn from a seed."""
+    r = np.random.default_rng(17)
+    x, y = r.standard_normal((pairs, d)), r.standard_normal((pairs, d))
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y /= np.maximum(np.sqrt((y * y).sum(axis=1, keepdims=True)), 1e-300)
+    one, two = buckets(x, 1, hashes, probes), buckets(cosine * x + np.sqrt(1 - cosine**2) * y, 1, hashes, probes)
+    return float((one[:, :, None] == two[:, None, :]).any(axis=(1, 2)).mean())
+
+
+def plan(n: int, d: int, cosine: float = COSINE, recall: float = RECALL) -> tuple[int, int]:
+    """(tables, hashes) for n vectors of d components.
+
+    There are so many hashes that a bucket holds PER_BUCKET vectors on average if they fall
+    evenly, two at least, and so many tables that the share of pairs at the least cosine that meet is the recall.
+    """
+    corners = 2 * max(2, 1 << (d - 1).bit_length())
+    hashes = max(2, math.ceil(math.log(max(n / PER_BUCKET, 1)) / math.log(corners)))
+    p = chance(d, hashes, cosine)
+    return (math.ceil(math.log(1 - recall) / math.log(1 - p)) if 0 < p < 1 else TABLES), hashes
+
+
+def block_pairs(members: DataFrame) -> DataFrame:
+    """Deal rows (leader, node) out as pairs of blocks: each row once for each block that its own is paired with."""
+    sizes = members.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks"))
+    m = members.join(sizes, "leader").withColumn("side", F.pmod(F.xxhash64("node", F.lit(7)), F.col("_blocks")).cast("int"))
+    m = m.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    return m.withColumn("i", F.least("side", "_other")).withColumn("j", F.greatest("side", "_other")).drop("_blocks", "_other")
+
+
+def link(vectors: DataFrame, cosine: float = COSINE, tables: int | None = None, hashes: int | None = None, probes: int = PROBES) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) of rows (vec_id, embedding). Tables and hashes that aren't given come from plan()."""
     small_batches(vectors.sparkSession, 4000)
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     good = F.coalesce((F.size("vector") > 0) & finite & F.exists("vector", lambda x: x != 0), F.lit(False))
     v = durable(v.withColumn("good", good).withColumn("vector", F.when(F.col("good"), F.transform("vector", lambda x: x + F.lit(0.0)))).withColumn("node", F.when(F.col("good"), F.xxhash64("vector"))))
     nodes = durable(v.where("good").groupBy("node").agg(F.first("vector").alias("vector"), F.count("*").alias("weight"), F.min("vec_id").alias("least")))
-    by = W.partitionBy("bucket")
-    met = nodes.select("node", "vector").mapInArrow(lambda b: _hash(b, tables, hashes, probes), "bucket long, node long")
-    met = met.withColumn("leader", F.min("node").over(by)).withColumn("_last", F.max("node").over(by)).where("leader <> _last")
-    met = durable(met.select("leader", "node").distinct())
+    if tables is None or hashes is None:
+        size = nodes.agg(F.count("*").alias("n"), F.percentile_approx(F.size("vector"), 0.5).alias("d")).first()
+        planned = plan(size["n"], size["d"], cosine) if size["n"] else (TABLES, 2)
+        tables, hashes = tables or planned[0], hashes or planned[1]
+    met = durable(nodes.select("node", "vector").mapInArrow(lambda b: _hash(b, tables, hashes, probes), "bucket long, node long"))
+    # two reduced keys for each bucket, so that a bucket of many vectors is no task's alone
+    first = met.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("_last")).where("leader <> _last")
+    met = durable(met.join(first.select("bucket", "leader"), "bucket").select("leader", "node").distinct())
     # a node has as many groups as buckets at most
     leaders = met.groupBy("node").agg(F.sort_array(F.collect_set("leader")).alias("leaders"))
-    dealt = block_pairs(met.select("leader", F.col("node").alias("fp"))).withColumnRenamed("fp", "node")
-    rows = dealt.join(nodes.select("node", "vector", "weight").join(leaders, "node"), "node")
+    rows = block_pairs(met.select("leader", "node")).join(nodes.select("node", "vector", "weight").join(leaders, "node"), "node")
     rows = grouped(rows.withColumn("fp", F.col("node"))).select(*BLOCK_KEYS, "side", "node", "weight", "vector", "leaders")
     found = durable(rows.mapInArrow(lambda b: _link(b, cosine), "a long, b long, n long"))
     counts = found.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))

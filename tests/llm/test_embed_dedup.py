@@ -55,9 +55,7 @@ def test_like_all_pairs(spark):
 
 
 def test_blocks_of_a_large_group(spark, monkeypatch):
-    from shelfspark.llm import ngram_join
-
-    monkeypatch.setattr(ngram_join, "BLOCK", 40)
+    monkeypatch.setattr(e, "BLOCK", 40)
     r = np.random.default_rng(5)
     c = r.normal(size=16)
     data = [(i, (c + r.normal(size=16) * 0.12).tolist()) for i in range(200)]
@@ -83,3 +81,22 @@ def test_transform_keeps_lengths():
     assert np.allclose((e.turned(x, 3) ** 2).sum(1), (x**2).sum(1))
     h = e.hadamard(np.eye(8)) * np.sqrt(8)
     assert set(np.unique(h.round(9))) == {-1.0, 1.0} and np.allclose(h @ h.T, 8 * np.eye(8))
+
+
+def test_more_vectors_get_more_hashes_at_the_same_recall():
+    plans = [e.plan(n, 64) for n in (0, 10**3, 10**6, 10**9)]
+    assert [h for _, h in plans] == sorted(h for _, h in plans) and plans[-1][1] > plans[0][1] == 2
+    for tables, hashes in plans:
+        assert 1 - (1 - e.chance(64, hashes)) ** tables >= e.RECALL
+        assert 10**9 / 128 ** plans[-1][1] <= e.PER_BUCKET
+
+
+@pytest.mark.parametrize("hashes", [2, 3])
+def test_planned_recall_holds(hashes):
+    r = np.random.default_rng(16)
+    tables = int(np.ceil(np.log(1 - 0.999) / np.log(1 - e.chance(64, hashes))))
+    x = e.unit(r.normal(size=(3000, 64)))
+    z = r.normal(size=x.shape)
+    z = e.unit(z - (z * x).sum(1, keepdims=True) * x)
+    a, b = e.buckets(x, tables, hashes), e.buckets(0.95 * x + np.sqrt(1 - 0.95**2) * z, tables, hashes)
+    assert np.mean([len(np.intersect1d(p, q)) > 0 for p, q in zip(a, b)]) >= 0.997
