@@ -1,4 +1,7 @@
+import gzip
 import hashlib
+import uuid
+from base64 import b32encode
 
 import pytest
 
@@ -31,13 +34,56 @@ def test_empty_table(spark):
 
 def test_files_and_damage(spark, tmp_path):
     block = b"hello"
-    one = warc.record("response", "u", block, hashlib.sha1(block).hexdigest(), 3, None, 5)
-    (tmp_path / "a.warc.gz").write_bytes(one * 3)
-    assert [(r.page_id, bytes(r.payload)) for r in warc.read_files(spark, str(tmp_path)).collect()] == [(3, b"hello")] * 3
+    one = warc.record("response", "http://a/x y", block, hashlib.sha1(block).hexdigest(), 3, None, 5)
+    (tmp_path / "a.warc.gz").write_bytes(warc.information("a.warc.gz") + one * 3)
+    got = [(r.page_id, r.url, r.record_type, bytes(r.payload)) for r in warc.read_files(spark, str(tmp_path)).collect()]
+    assert got[1:] == [(3, "http://a/x%20y", "response", b"hello")] * 3 and got[0][0] is None and got[0][2] == "warcinfo"
     assert len(list(warc.members(one * 3, step=7))) == 3
     with pytest.raises(warc.Damaged):
         list(warc.members(one[:-3]))
     member = next(warc.members(one))
-    for bad in (member.replace(b"hello", b"hellx"), member.replace(b"Content-Length: 5", b"Content-Length: 4"), b"x" + member):
+    assert b"Content-Type: application/http; msgtype=response\r\n" in member and b"X-" not in member
+    for bad in (member.replace(b"hello", b"hellx"), member.replace(b"\r\nContent-Length: ", b"\r\nContent-Length: 1", 1), b"x" + member):
         with pytest.raises(warc.Damaged):
-            warc.parse(bad)
+            list(warc.parse(bad))
+
+
+@pytest.mark.parametrize("page_id", [0, 1, 15, 16, 2**40 + 7, 2**63 - 1, -1, -(2**63)])
+def test_record_ids_hold_page_ids(page_id):
+    uri = warc.record_id(page_id)
+    assert warc.page_of(f"<{uri}>") == page_id and uuid.UUID(uri.removeprefix("urn:uuid:")).version == 8
+    assert warc.record_id(page_id) != uri and warc.record_id(page_id, 5) == warc.record_id(page_id, 5)
+    assert warc.page_of(f"urn:uuid:{uuid.uuid4()}") is None and warc.page_of("urn:x") is None and warc.page_of(None) is None
+
+
+def hand_made(kind, block, *fields, version="WARC/1.0"):
+    lines = [version, f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:92283950-ef2f-4d72-b224-f54c6ec90bb0>", "WARC-Date: 2020-02-02T02:02:02Z", *fields, f"Content-Length: {len(block)}"]
+    return gzip.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+
+def test_archives_of_other_writers(spark):
+    body, http = b"<html>page</html>", "Content-Type: application/http; msgtype=response"
+    sha = lambda name, data: f"{name}:{b32encode(hashlib.new(name, data).digest()).decode()}"
+    response = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n" + body
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n5\r\n<html\r\nc;a=b\r\n>page</html>\r\n0\r\n\r\n"
+    content = b"".join([
+        hand_made("warcinfo", b"software: other\r\n", "Content-Type: application/warc-fields"),
+        hand_made("request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", "Content-Type: application/http; msgtype=request", "WARC-Target-URI: <http://a/>"),
+        hand_made("response", response, http, "WARC-Target-URI: http://a/", f"WARC-Payload-Digest: {sha('sha1', body)}", f"WARC-Block-Digest: {sha('sha1', response)}"),
+        hand_made("response", response, http, "WARC-Target-URI:", "  http://b/", f"WARC-Payload-Digest: {sha('sha256', body)}", version="WARC/1.1"),
+        hand_made("response", chunked, http, f"WARC-Payload-Digest: sha1:{hashlib.sha1(body).hexdigest()}"),
+        hand_made("response", response, http),
+        hand_made("response", response[:-3], http, f"WARC-Payload-Digest: {sha('sha1', body)}", "WARC-Truncated: length"),
+        hand_made("revisit", b"", f"WARC-Payload-Digest: {sha('sha1', body)}", f"WARC-Profile: {warc.PROFILE}", "WARC-Refers-To: <urn:uuid:16da6da0-bcdc-49c3-927e-57494593dddd>"),
+        hand_made("resource", body, "Content-Type: text/html"),
+        gzip.compress(b"".join(gzip.decompress(hand_made("resource", x, "Content-Type: text/plain")) for x in (b"one", b"", b"three"))),
+    ])
+    rows = warc.read(spark.createDataFrame([("a", content)], "archive string, content binary")).collect()
+    assert [r.record_type for r in rows] == ["warcinfo", "request", *["response"] * 5, "revisit", *["resource"] * 4]
+    assert [bytes(r.payload) for r in rows] == [b"software: other\r\n", b"", body, body, body, body, body[:-3], b"", body, b"one", b"", b"three"]
+    assert [r.url for r in rows[1:4]] == ["http://a/", "http://a/", "http://b/"]
+    assert all(r.page_id is None and r.refers_to is None and r.record_id for r in rows)
+    assert all(r.payload_digest == hashlib.sha1(body).hexdigest() for r in rows[2:6] + rows[7:9])
+    for bad in (hand_made("response", response, http, f"WARC-Payload-Digest: {sha('sha1', b'x')}"), hand_made("resource", body, f"WARC-Block-Digest: {sha('sha256', b'x')}")):
+        with pytest.raises(warc.Damaged):
+            [warc.payload_of(*x) for m in warc.members(bad) for x in warc.parse(m)]
