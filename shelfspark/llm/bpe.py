@@ -5,7 +5,8 @@ each from its own arbitrary start. A match of the pattern depends only on the
 text from its start to two characters past its end, so as soon as a chunk and
 its successor agree on one pre-token boundary inside their overlap, all later
 boundaries of the successor are those of the whole text. The text is cut at the
-first such place of each overlap that follows a letter or digit; there the pieces can be encoded on their own. Chunks from the first
+first such place of each overlap that follows a letter or digit; there the pieces can be encoded on their own,
+each by itself wherever it is, and only their ids are put together by text. Chunks from the first
 overlap without such a place onwards are joined into one piece, so that the
 result is exact whatever the text. A text of one chunk is one piece. Decoding
 concatenates the bytes of the ids.
@@ -120,16 +121,6 @@ def _encoder(path: str, pattern: str):
     return encode
 
 
-def _pieces_encoder(path: str, pattern: str):
-    @F.arrow_udf("array<int>")
-    def encode(texts: pa.Array) -> pa.Array:
-        ids = encode_texts(texts.flatten().to_pylist(), path, pattern)
-        firsts = np.concatenate([[0], np.cumsum(texts.value_lengths().to_numpy(zero_copy_only=False))])
-        return pa.ListArray.from_arrays(pa.array(ids.offsets.to_numpy()[firsts].astype(np.int32)), ids.values)
-
-    return encode
-
-
 def _decoder(path: str):
     @F.arrow_udf("binary")
     def decode(ids: pa.Array) -> pa.Array:
@@ -145,9 +136,10 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: st
     size = F.coalesce(F.length(F.col(text)), F.lit(0))
     rest = [c for c in docs.columns if c not in (text, out)]
     one = docs.where(size <= step + overlap).withColumn(out, _encoder(path, pattern)(F.col(text))).select(*rest, out)
+    # the other columns travel as one, so that none of their names matters
+    long = docs.where(size > step + overlap).select(F.sha2(F.col(text), 256).alias("_row"), F.col(text).alias("_text"), F.struct(F.lit(0).alias("\x00"), *rest).alias("_rest"))
     # long texts go by their digest, so that equal ones are encoded once; only chunks travel with text
-    long = docs.where(size > step + overlap).withColumn("_row", F.sha2(F.col(text), 256))
-    cut = long.select("_row", F.col(text).alias("_text")).mapInArrow(lambda b: _cut(b, step, overlap), "_row string, _seq int, _start long, _last boolean, _chunk string")
+    cut = long.select("_row", "_text").mapInArrow(lambda b: _cut(b, step, overlap), "_row string, _seq int, _start long, _last boolean, _chunk string")
     chunks = cut.groupBy("_row", "_seq").agg(*[F.first(c).alias(c) for c in ("_start", "_last", "_chunk")])
     marks = chunks.mapInArrow(lambda b: _marks(b, pattern, step, overlap), "_row string, _seq int, _start long, _last boolean, _chunk string, _head array<long>, _tail array<long>")
     by = W.partitionBy("_row").orderBy("_seq")
@@ -163,10 +155,9 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: st
     taken = F.expr("substring(_chunk, int(_from - _start + 1), int(coalesce(_to - _from, length(_chunk))))")
     parts = placed.select("_row", "_piece", "_seq", taken.alias("_part"))
     piece = parts.groupBy("_row", "_piece").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_seq", "_part"))), lambda x: x["_part"]), "").alias("_text"))
-    pieces = piece.groupBy("_row").agg(F.transform(F.array_sort(F.collect_list(F.struct("_piece", "_text"))), lambda x: x["_text"]).alias("_pieces"))
-    # joined before they are encoded: what Python returns has no known partitioning and would be shuffled again
-    many = long.select(F.col("_row").alias("_of"), *rest).join(pieces, F.col("_of") == F.col("_row"))
-    many = many.withColumn(out, _pieces_encoder(path, pattern)(F.col("_pieces"))).select(*rest, out)
+    coded = piece.select("_row", "_piece", _encoder(path, pattern)(F.col("_text")).alias("_ids"))
+    whole = coded.groupBy("_row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_piece", "_ids"))), lambda x: x["_ids"])).alias("_ids"))
+    many = long.select(F.col("_row").alias("_of"), "_rest").join(whole, F.col("_of") == F.col("_row")).select(*[F.col("_rest")[c].alias(c) for c in rest], F.col("_ids").alias(out))
     return one.unionByName(many)
 
 
