@@ -17,7 +17,7 @@ shards by the last character of the context, which an n-gram, its shorter ends a
 their contexts share; only single characters, discounts and the alphabet are common to
 all. The shards are broadcast one after the other, each adds up its part of each text's
 cross-entropy, and the parts are added by text, so the order is the same at any size. The n-grams
-of one context character are the unit that must fit. train() alone can still lower the order to fit.
+of one context character are the unit that must fit. train() makes the whole model at once.
 
 Null texts and texts without a letter get the language und, score 0, and are
 not accepted. Rows are judged each for itself. Documents without an id count as
@@ -233,16 +233,9 @@ def _by_lang(table: pa.Table) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     return by
 
 
-def train(docs: DataFrame, order: int = ORDER, cells: int = CELLS) -> Model | None:
-    """The model of all rows (lang, text) that have both; None without any."""
-    counts = durable(gram_counts(docs, order))
-    langs = counts.select("lang").distinct().count()
-    while order > 1 and counts.count() * max(langs, 1) > cells:
-        order -= 1
-        short = F.col("gram").bitwiseAND(F.lit((1 << 16 * order) - 1))
-        counts = durable(counts.withColumn("gram", short).groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    table = counts.toArrow()  # at most cells / langs rows
-    by = _by_lang(table)
+def train(docs: DataFrame, order: int = ORDER) -> Model | None:
+    """The whole model of all rows (lang, text) that have both, on the driver; None without any."""
+    by = _by_lang(gram_counts(docs, order).toArrow())
     return fit(by, order) if by else None
 
 

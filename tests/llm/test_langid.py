@@ -83,11 +83,10 @@ def test_held_out_accuracy_and_und(spark):
     assert [by[d].lang_pred for d in (9000, 9001, 9002)] == ["und"] * 3 and by[9003].lang_pred in ("de", "en", "fr")
 
 
-def test_order_falls_until_the_model_fits(spark):
+def test_train_and_documents_without_languages(spark):
     data = [(i, t, "en") for i, t in enumerate(language("abcdef", 1, 40))]
     df = spark.createDataFrame(data, "doc_id long, text string, lang string")
     assert langid.train(df).order == langid.ORDER
-    assert langid.train(df, cells=60).order < langid.ORDER
     assert langid.train(df.where(F.lit(False))) is None
     assert {r.lang_pred for r in langid.identify(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     assert langid.identify(df.limit(0)).collect() == []
@@ -107,3 +106,23 @@ def test_order_is_kept_beyond_the_broadcast(spark):
     for a, b in zip(whole, cut, strict=True):
         assert (a.doc_id, a.held_out, a.lang_pred) == (b.doc_id, b.held_out, b.lang_pred)
         assert b.bits == pytest.approx(a.bits, rel=1e-4) and b.score == pytest.approx(a.score, rel=1e-3)
+
+
+def test_a_hundred_languages_keep_order_four_in_bounded_shards(spark, monkeypatch):
+    r, data, held = random.Random(40), [], []
+    letters = "abcdefghijklmnopqrstuvwxyzéßñö"
+    for k in range(100):
+        parts = ["".join(r.choice(letters) for _ in range(r.randint(2, 3))) for _ in range(40)]
+        say = lambda n: " ".join("".join(r.choice(parts) for _ in range(r.randint(1, 3))) for _ in range(n))  # noqa: B023,E731
+        data += [(k * 10 + i, f"l{k:02}", say(60)) for i in range(6)]
+    seen, fit = [], langid.fit
+    monkeypatch.setattr(langid, "fit", lambda by, order, whole=None: seen.append((order, sum(len(g) for g, _ in by.values()))) or fit(by, order, whole))
+    df = spark.createDataFrame(data, "doc_id long, lang string, text string")
+    cells = 4_000_000
+    rows = langid.identify(df, cells=cells).collect()
+    # no shard holds more than the bound, but for a single context character, and none is of a lower order
+    assert len(seen) > 1 and all(order == langid.ORDER and n * 100 <= cells for order, n in seen)
+    lang = {i: x for i, x, _ in data}
+    held = [x for x in rows if x.held_out]
+    assert len(rows) == 600 and len(held) > 150
+    assert sum(x.lang_pred == lang[x.doc_id] for x in held) / len(held) >= 0.98
