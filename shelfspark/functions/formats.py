@@ -113,3 +113,47 @@ def render_family(ext: Column) -> Column:
     for name, exts in RENDERED.items():
         out = F.when(ext.isin(*exts), F.lit(name)).otherwise(out)
     return out
+
+
+#: Bytes of a file's beginning and of its end that its signature samples; files of up to twice as many are read whole.
+SAMPLE = 256 * 1024
+
+
+def content_signature(content: Column, length: Column, sample: int = SAMPLE) -> Column:
+    """The length in hex and a hash of a file's bytes, the same wherever the file lies and whenever it was written; missing if bytes are."""
+    n = F.octet_length(content)
+    ends = F.concat(F.substring(content, 1, sample), F.substring(content, -sample, sample))
+    hashed = F.sha2(F.when(n > 2 * sample, ends).otherwise(content), 256)
+    whole = content.isNotNull() & length.eqNullSafe(n.cast("long"))
+    return F.when(whole, F.concat(F.lower(F.hex(length)), F.lit(":"), F.substring(hashed, 1, 32))).otherwise(F.lit("missing"))
+
+
+def caps_version(parts: Column) -> Column:
+    """A hash of an array of capabilities (names with versions), whatever their order."""
+    ends = F.transform(F.array_sort(F.array_distinct(F.filter(parts, lambda x: x.isNotNull()))), lambda x: F.concat(x, F.lit("\x00")))
+    return F.substring(F.sha2(F.array_join(ends, "").cast("binary"), 256), 1, 16)
+
+
+def read_capped(content: Column, most: int) -> Column:
+    """struct(text, truncated, bytes): no more than so many bytes of UTF-8, cut between characters."""
+    head = F.substring(content, 1, most)
+    # a character that the cut goes through ends in one to three bytes that don't make it whole
+    tail = F.hex(F.substring(head, -3, 3))
+    cut = F.when(tail.rlike("(?:[CDEF][0-9A-F])$"), 1).when(tail.rlike("(?:[EF][0-9A-F][89AB][0-9A-F])$"), 2).when(tail.rlike("F[0-9A-F][89AB][0-9A-F][89AB][0-9A-F]$"), 3).otherwise(0)
+    over = F.octet_length(content) > most
+    kept = F.when(over, F.substring(head, F.lit(1), F.lit(most) - cut)).otherwise(content)
+    return F.struct(F.decode(kept, "UTF-8").alias("text"), over.alias("truncated"), F.octet_length(content).cast("long").alias("bytes"))
+
+
+#: How a file is shown if a copy of the kind exists: extension, kind of the copy.
+SHOWN = (("pages", "pdf"), ("pdf", "ocr"), ("webarchive", "html"), ("rtf", "html"), ("odt", "html"), ("doc", "html"))
+
+
+def display_paths(files, copies):
+    """(path, shown): rows (path) with the copy that is shown in place of each, from copies (path, kind, copy_path); else the file itself."""
+    best = copies.groupBy("path", "kind").agg(F.min("copy_path").alias("copy_path")).withColumnRenamed("path", "_p").withColumnRenamed("kind", "_k")
+    want = F.lit(None).cast("string")
+    for ext, kind in SHOWN:
+        want = F.when(ext_of(F.col("path")) == ext, F.lit(kind)).otherwise(want)
+    j = files.select("path").join(best, (F.col("path") == F.col("_p")) & (want == F.col("_k")), "left")
+    return j.select("path", F.coalesce("copy_path", "path").alias("shown"))

@@ -11,6 +11,10 @@ import io
 import json
 import plistlib
 import re
+import shutil
+import struct
+import subprocess
+import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
@@ -23,13 +27,18 @@ from pyspark.sql import functions as F
 from ..functions import formats as fm
 from ..functions.formats import FAMILY
 from ..session import let_workers_import
+from . import mobi, pdf
 
 #: (heading or None, body)
 Section = tuple[str | None, str]
 #: Characters from which a section stands alone.
 FLOOR = 480
 #: Why a format is not read here.
-SKIPPED = {"xps": "unsupported format: xps", "pdf": "no reader of pdf here", "mobi": "no reader of mobi here", "azw3": "no reader of mobi here", "doc": "needs a converter", "pages": "needs a converter", "djvu": "needs a converter"}
+SKIPPED = {"xps": "unsupported format: xps"}
+#: Format: programs that turn it into text on their standard output, the first that is installed; {} is the file.
+CONVERTERS = {"doc": (("antiword", "-w", "0", "{}"), ("catdoc", "-w", "{}")), "djvu": (("djvutxt", "{}"),)}
+#: Seconds that a converter may take.
+CONVERT_SECONDS = 120
 
 
 class Unreadable(ValueError):
@@ -311,6 +320,54 @@ def webarchive(data: bytes) -> list[Section]:
     return html(decode(page))
 
 
+def mobi_book(data: bytes) -> tuple[list[Section], str | None]:
+    """A book without chapters, and its title."""
+    try:
+        page, title = mobi.read(data)
+    except (mobi.Broken, struct.error) as e:
+        raise Unreadable(str(e)) from e
+    text = "\n\n".join(x for h, b in html(page) for x in (h, b) if x)
+    return [(None, text)], title
+
+
+def pdf_pages(data: bytes) -> tuple[list[tuple[int, str]], str | None, str | None]:
+    """((page, cleaned text) of the pages that have any, author, title)."""
+    try:
+        pages, author, title = pdf.read(data)
+    except Unreadable:
+        raise
+    except Exception as e:  # whatever a damaged file makes a parser do
+        raise Unreadable(str(e) if isinstance(e, pdf.Broken) else f"{type(e).__name__}: {e}") from e
+    kept = [(i, t) for i, x in pages if (t := clean(x))]
+    if not kept:
+        raise Unreadable("no extractable text")
+    return kept, author, title
+
+
+def pages_preview(data: bytes) -> bytes:
+    """The PDF inside a Pages document."""
+    try:
+        packed = zipfile.ZipFile(io.BytesIO(data))
+        return packed.read(next(n for n in packed.namelist() if n.lower().endswith("preview.pdf")))
+    except (zipfile.BadZipFile, StopIteration) as e:
+        raise Unreadable("no preview inside") from e
+
+
+def converted(ext: str, data: bytes) -> list[Section]:
+    """What an installed converter makes of a file."""
+    for command in CONVERTERS[ext]:
+        if shutil.which(command[0]):
+            with tempfile.NamedTemporaryFile(suffix=f".{ext}") as f:
+                f.write(data)
+                f.flush()
+                try:
+                    done = subprocess.run([x.replace("{}", f.name) for x in command], capture_output=True, timeout=CONVERT_SECONDS, check=True)
+                except (subprocess.SubprocessError, OSError) as e:
+                    raise Unreadable(f"{command[0]}: {e}") from e
+            return [(None, decode(done.stdout))]
+    raise Unreadable(f"needs a converter: {' or '.join(c[0] for c in CONVERTERS[ext])}")
+
+
 def section_floor(sections: list[Section], floor: int = FLOOR) -> list[Section]:
     """Sections with short bodies join the one before, their headings as text; the first always stays."""
     out: list[Section] = []
@@ -342,6 +399,13 @@ def parse(ext: str, data: bytes) -> tuple[list[Section], str | None, str | None]
             sections = TEXT[ext](decode(data))
         elif ext in BINARY:
             sections = BINARY[ext](data)
+        elif ext in CONVERTERS:
+            sections = converted(ext, data)
+        elif ext in ("pdf", "pages"):
+            pages, author, title = pdf_pages(data if ext == "pdf" else pages_preview(data))
+            return [(None, t) for _, t in pages], author, title
+        elif ext in ("mobi", "azw3"):
+            sections, title = mobi_book(data)
         elif ext == "epub":
             sections, author, title = epub(data)
         elif ext in ("fb2", "fb2.zip"):
@@ -362,7 +426,7 @@ def parse(ext: str, data: bytes) -> tuple[list[Section], str | None, str | None]
     return kept, author, title
 
 
-BLOCKS = "path string, book_id string, title string, author string, format string, pos long, chapter string, text string, reason string"
+BLOCKS = "path string, book_id string, title string, author string, format string, pos long, chapter string, page long, text string, reason string"
 
 
 def read_blocks(files: DataFrame) -> DataFrame:
@@ -375,16 +439,25 @@ def read_blocks(files: DataFrame) -> DataFrame:
         for pdf in batches:
             for x in pdf.itertuples():
                 try:
-                    sections, author, title = parse(x.ext, bytes(x.content))
-                    rows = [(x.path, x.book_id, title or x.stem, author, FAMILY[x.ext], i, h, b, None) for i, (h, b) in enumerate(sections)]
+                    data = bytes(x.content)
+                    if x.ext in ("pdf", "pages"):
+                        pages, author, title = pdf_pages(data if x.ext == "pdf" else pages_preview(data))
+                        parts = [(None, page, text) for page, text in pages]
+                    else:
+                        sections, author, title = parse(x.ext, data)
+                        parts = [(h, None, b) for h, b in sections]
+                    rows = [(x.path, x.book_id, title or x.stem, author, FAMILY[x.ext], i, h, page, b, None) for i, (h, page, b) in enumerate(parts)]
                 except Unreadable as e:
-                    rows = [(x.path, x.book_id, x.stem, None, FAMILY[x.ext], None, None, None, str(e))]
+                    rows = [(x.path, x.book_id, x.stem, None, FAMILY[x.ext], None, None, None, None, str(e))]
                 out = pd.DataFrame(rows, columns=[c.split()[0] for c in BLOCKS.split(", ")])
-                yield out.astype({"pos": "Int64"})
+                yield out.astype({"pos": "Int64", "page": "Int64"})
 
     return f.mapInPandas(run, BLOCKS)
 
 
 def discover(spark: SparkSession, *roots: str) -> DataFrame:
-    """(path, content, length, modificationTime) of all files below roots; unreadable ones are passed over."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").load(list(roots))
+    """(path, content, length, modificationTime) of all files of known formats below roots, each once; unreadable ones are passed over."""
+    plain = sorted({r.rstrip("/") for r in roots})
+    outer = [r for r in plain if not any(r != x and r.startswith(f"{x}/") for x in plain)]  # a root inside another would give its files twice
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").load(outer)
+    return files.where(fm.ext_of(F.col("path")).isNotNull())

@@ -1,7 +1,8 @@
-"""The passage table: fixed columns, strict imports, snapshot writes."""
+"""Tables of fixed columns in buckets, changed by snapshots, and the passage table among them."""
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,34 +12,158 @@ from ..functions import formats as fm
 
 SCHEMA = "id string, book_id string, title string, author string, source_path string, format string, chapter string, page long, loc_start long, loc_end long, text string, vector array<float>"
 META = ("id", "book_id", "title", "author", "source_path", "format", "chapter")
+#: Buckets of a table. A change of few keys rewrites few of them.
+BUCKETS = 256
+
+
+class Files:
+    """What is done to files and folders, by Hadoop's file systems, so on any store that Spark writes."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def at(self, *parts: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.path, *parts]))
+
+    def fs(self):
+        return self.at().getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def names(self, *parts: str) -> list[str]:
+        return sorted(x.getPath().getName() for x in self.fs().listStatus(self.at(*parts))) if self.fs().exists(self.at(*parts)) else []
+
+    def read_text(self, *parts: str) -> str:
+        stream = self.fs().open(self.at(*parts))
+        try:
+            return bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+        finally:
+            stream.close()
+
+    def create(self, text: str, *parts: str, overwrite: bool = False) -> bool:
+        """Write a file in one step; False if it is there already and not to be overwritten."""
+        temporary, target = self.at(*parts[:-1], f".{uuid.uuid4().hex}"), self.at(*parts)
+        out = self.fs().create(temporary, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        if self.fs().exists(target):
+            if not overwrite:
+                self.fs().delete(temporary, False)
+                return False
+            self.fs().delete(target, False)
+        return bool(self.fs().rename(temporary, target))
+
+    def lock(self, *parts: str) -> bool:
+        """Make an empty file; False if it is there already. The store decides between two who try at once."""
+        self.fs().mkdirs(self.at(*parts[:-1]))
+        try:
+            return bool(self.fs().createNewFile(self.at(*parts)))
+        except Exception:  # some stores raise instead
+            return False
+
+    def delete(self, *parts: str) -> None:
+        self.fs().delete(self.at(*parts), True)
+
+
+class Table:
+    """A table whose rows lie in buckets by a hash of one column.
+
+    A snapshot is a file that names the folders of each bucket. A change writes the
+    buckets that it touches into new folders, and then a new snapshot, so that
+    readers and a job that fails half way never see a mixture, and work does not grow
+    with the buckets that stay.
+    """
 
+    def __init__(self, spark: SparkSession, path: str, schema: str, by: str, buckets: int = BUCKETS):
+        self.spark, self.path, self.schema, self.by, self.buckets = spark, path.rstrip("/"), schema, by, buckets
+        self.files = Files(spark, path)
+        self.columns = [x.split()[0] for x in schema.split(", ")]
 
-class Store:
-    """A folder of snapshots of one passage table; the newest complete one is read.
+    def snapshots(self) -> list[str]:
+        return sorted((n for n in self.files.names("snapshots") if n.endswith(".json")), key=lambda n: int(n.split("-")[0]))
 
-    A change writes a whole new snapshot beside the old one, so that readers and
-    a job that fails half way never see a mixture.
-    """
+    def folders(self) -> dict[int, list[str]]:
+        """The folders of each bucket in the newest snapshot."""
+        names = self.snapshots()
+        return {int(k): v for k, v in json.loads(self.files.read_text("snapshots", names[-1])).items()} if names else {}
 
-    def __init__(self, spark: SparkSession, path: str, dim: int | None = None):
-        self.spark, self.path, self.dim = spark, path.rstrip("/"), dim
+    def _load(self, folders: list[str]) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/{f}" for f in folders]) if folders else self.spark.createDataFrame([], self.schema)
 
-    def _fs(self):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+    def read(self, buckets: list[int] | None = None) -> DataFrame:
+        """All rows, or those of some buckets; an empty table if there is none yet."""
+        return self._load([f for k, v in self.folders().items() if buckets is None or k in buckets for f in v])
 
-    def snapshots(self) -> list[str]:
-        fs, p = self._fs()
-        if not fs.exists(p):
-            return []
-        done = [s.getPath() for s in fs.listStatus(p) if s.isDirectory()]
-        done = [x for x in done if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS"))]
-        return sorted((x.getName() for x in done), key=lambda n: int(n.split("-")[0]))
-
-    def read(self) -> DataFrame:
-        """All rows; an empty table if there is none yet."""
+    def _put(self, rows: DataFrame) -> dict[int, list[str]]:
+        """Write rows into folders of their own, one for each bucket."""
+        name = f"data/{uuid.uuid4().hex}"
+        bucket = F.pmod(F.xxhash64(self.by), F.lit(self.buckets)).cast("int")
+        rows.select(*self.columns, bucket.alias("bucket")).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.path}/{name}")
+        found = [n for n in self.files.names(name) if n.startswith("bucket=")]
+        return {int(n.removeprefix("bucket=")): [f"{name}/{n}"] for n in found}
+
+    def _commit(self, folders: dict[int, list[str]]) -> None:
         names = self.snapshots()
-        return self.spark.read.schema(SCHEMA).parquet(f"{self.path}/{names[-1]}") if names else self.spark.createDataFrame([], SCHEMA)
+        n = int(names[-1].split("-")[0]) + 1 if names else 0
+        self.files.create(json.dumps(folders), "snapshots", f"{n}-{uuid.uuid4().hex}.json")
+
+    def write(self, rows: DataFrame) -> None:
+        """Make rows the table, and so compact it: a bucket has one folder again."""
+        self._commit(self._put(rows))
+
+    def append(self, rows: DataFrame) -> None:
+        folders = self.folders()
+        for k, v in self._put(rows).items():
+            folders[k] = folders.get(k, []) + v
+        self._commit(folders)
+
+    def replace(self, rows: DataFrame, on: list[str]) -> None:
+        """rows in place of those with the same values of the columns on, among which is the one of the buckets."""
+        if self.by not in on:
+            raise ValueError(f"{self.by} decides the bucket, so rows are replaced by it and others")
+        folders, fresh = self.folders(), self._put(rows)
+        old = [f for k in fresh for f in folders.get(k, [])]
+        if old:
+            keys = self._load([f for v in fresh.values() for f in v]).select(*on).distinct()
+            same = [F.col(f"_o.{c}").eqNullSafe(F.col(f"_k.{c}")) for c in on]
+            condition = same[0]
+            for c in same[1:]:
+                condition = condition & c
+            kept = self._put(self._load(old).alias("_o").join(keys.alias("_k"), condition, "left_anti"))
+            for k in fresh:
+                fresh[k] = fresh[k] + kept.get(k, [])
+        self._commit(folders | fresh)
+
+    def change(self, matching: DataFrame, on: list[str], transform) -> None:
+        """Put transform(rows) in place of the rows of all buckets that hold a row with the keys of matching."""
+        bucket = F.pmod(F.xxhash64(self.by), F.lit(self.buckets)).cast("int")
+        touched = [r[0] for r in self.read().join(matching.select(*on).distinct(), on, "left_semi").select(bucket).distinct().collect()]  # a row for each bucket at most
+        if not touched:
+            return
+        folders = self.folders()
+        fresh = self._put(transform(self.read(touched)))
+        rest = {k: v for k, v in folders.items() if k not in touched}
+        for k, v in fresh.items():  # a changed row may move to another bucket
+            rest[k] = rest.get(k, []) + v
+        self._commit(rest)
+
+    def count(self) -> int:
+        return self.read().count()
+
+    def vacuum(self, keep: int = 2) -> None:
+        """Delete all but the newest snapshots, and the folders that none of those names."""
+        for name in self.snapshots()[:-keep]:
+            self.files.delete("snapshots", name)
+        used = {f.split("/")[1] for n in self.snapshots() for v in json.loads(self.files.read_text("snapshots", n)).values() for f in v}
+        for name in self.files.names("data"):
+            if name not in used:
+                self.files.delete("data", name)
+
+
+class Store(Table):
+    """The passage table, in buckets by path."""
+
+    def __init__(self, spark: SparkSession, path: str, dim: int | None = None, buckets: int = BUCKETS):
+        super().__init__(spark, path, SCHEMA, "source_path", buckets)
+        self.dim = dim
 
     def meta(self) -> DataFrame:
         return self.read().select(*META)
@@ -56,34 +181,16 @@ class Store:
             wrong = F.coalesce(F.size("vector") != self.dim, F.lit(True))
             rows = rows.withColumn("vector", F.when(wrong, F.raise_error(F.concat(F.lit("vector of the wrong length at "), "id")).cast("array<float>")).otherwise(F.col("vector")))
         blank = {"author": "", "chapter": "", "page": -1}
-        names = [x.split()[0] for x in SCHEMA.split(", ")]
-        return rows.fillna(blank).select(*[F.col(n).cast(k) for n, k in (x.split(" ", 1) for x in SCHEMA.split(", "))]).toDF(*names)
-
-    def write(self, rows: DataFrame, partitions: int | None = None) -> None:
-        """Make rows the table; partitions compacts it into so many files."""
-        n = int(self.snapshots()[-1].split("-")[0]) + 1 if self.snapshots() else 0
-        rows = rows.repartition(partitions, "book_id") if partitions else rows
-        rows.write.parquet(f"{self.path}/{n}-{uuid.uuid4().hex}")
+        return rows.fillna(blank).select(*[F.col(n).cast(k) for n, k in (x.split(" ", 1) for x in SCHEMA.split(", "))]).toDF(*self.columns)
 
     def append(self, rows: DataFrame) -> None:
-        self.write(self.read().unionByName(self.checked(rows)))
-
-    def replace(self, rows: DataFrame) -> None:
-        """rows in place of all rows at their paths."""
-        from ..operators.state import replace_books
+        super().append(self.checked(rows))
 
-        self.write(replace_books(self.read(), self.checked(rows)))
+    def replace(self, rows: DataFrame, on: list[str] | None = None) -> None:
+        """rows in place of all rows at their paths, whatever their ids."""
+        super().replace(self.checked(rows), on or ["source_path"])
 
     def import_parquet(self, path: str) -> int:
         rows = self.spark.read.parquet(path)
         self.append(rows)
         return rows.count()
-
-    def count(self) -> int:
-        return self.read().count()
-
-    def vacuum(self, keep: int = 2) -> None:
-        """Delete all but the newest snapshots."""
-        fs, p = self._fs()
-        for name in self.snapshots()[:-keep]:
-            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(p, name), True)
