@@ -6,9 +6,10 @@ begin at anchors. An anchor is a word whose pair hash is the least for some
 words around, ties included, so that a passage has the same anchors wherever it stands,
 and one that repeats a few words has one in each period. A
 paragraph is the set of its five-word shingles. MinHash values in bands give the keys under
-which paragraphs meet: for lines as many bands as find LINE_RECALL of the pairs of
-similarity 3/4, and one band for stretches, of which any passage has several, and which are equal in copies. Paragraphs that meet are
-compared exactly and linked at a similarity of 3/4; components of links are clusters.
+which lines meet: as many as find LINE_RECALL of the pairs of similarity 3/4. Lines that meet are
+compared exactly and linked at a similarity of 3/4; components of links are clusters. A stretch has
+its set's fingerprint as its only key, so equal stretches meet: with one word of 24 changed the similarity is 3/5,
+so a near copy of a passage inside other lines is told by the equal stretches around its changes.
 
 A cluster with paragraphs of two documents or more is a repeated passage: it stays in the
 document of the smallest id, and is to be removed from the others. Spans of a
@@ -46,7 +47,7 @@ def tuned(rows: int, recall: float, similarity: float = SIMILARITY) -> tuple[int
     return math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows)), rows
 
 
-LINE_BANDS, WINDOW_BANDS = tuned(2, LINE_RECALL), (1, 4)
+LINE_BANDS = tuned(2, LINE_RECALL)
 #: Rows of keys that a task folds together before it sends them on.
 FOLD = 1 << 20
 _U = np.uint64
@@ -71,7 +72,7 @@ def _fingerprints(sets: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def paragraphs(data: np.ndarray, offsets: np.ndarray, words: Words, keyed: bool = False) -> list[tuple[np.ndarray, ...]]:
-    """Of the lines and the stretches of a batch: text number, first word, behind the last word, fingerprint, band keys if asked for, and a function that gives the set of each."""
+    """Of the lines and the stretches of a batch: text number, first word, behind the last word, fingerprint, band keys if asked for, and a function that gives the set of each line."""
     shingle, at = shingles(words, SHINGLE)
     first, many = words.first, np.diff(words.first)
     of_word = np.repeat(np.arange(len(many)), many)
@@ -121,9 +122,9 @@ def paragraphs(data: np.ndarray, offsets: np.ndarray, words: Words, keyed: bool
         table = np.sort(shingle[(start + shift[text])[:, None] + np.arange(WINDOW - SHINGLE + 1)], axis=1)
         distinct = np.ones(table.shape, bool)
         distinct[:, 1:] = table[:, 1:] != table[:, :-1]
-        n = WINDOW_BANDS[0] * WINDOW_BANDS[1]
-        keys = _keys(np.stack([(table * _FACTORS[i]).min(axis=1) for i in range(n)], axis=1) if len(table) else np.zeros((0, n), _U), WINDOW_BANDS, 2) if keyed else None
-        out.append((text, start, start + WINDOW, _fingerprints(table, distinct), keys, lambda i: table[i][distinct[i]]))
+        fp = _fingerprints(table, distinct)
+        keys = mix(fp.view(_U) ^ _U(2 * 97)).reshape(-1, 1) if keyed else None
+        out.append((text, start, start + WINDOW, fp, keys, None))
     return out
 
 
@@ -159,6 +160,8 @@ def _sets(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.Re
     for batch in pieces(batches, "text"):
         data, offsets = buffers(batch.column("text"))
         for _, _, _, fp, _, of in paragraphs(data, offsets, Words(data, offsets, lower=True)):
+            if of is None:
+                continue
             some = np.flatnonzero(passes(fp, bits))
             _, once = np.unique(fp[some], return_index=True)
             some = some[once]
