@@ -34,27 +34,37 @@ def feed(inside: bool, held: str, piece: str) -> tuple[bool, str, str, str]:
         inside, text = not inside, after
 
 
-def split_stream(pieces: DataFrame) -> DataFrame:
-    """(message, said, thought) of a stream (message, seq, piece, last); what is held is let go with the last piece."""
+#: Milliseconds of processing time without a piece after which a message is given up.
+IDLE_MS = 120_000
+
+
+def split_stream(pieces: DataFrame, idle_ms: int = IDLE_MS) -> DataFrame:
+    """(message, said, thought, ended) of a stream (message, seq, piece, last).
+
+    ended is open while more may come, done with the last piece, and idle if none came for so long; what is held is let go with either.
+    """
     let_workers_import(pieces.sparkSession)
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         inside, held = state.get if state.exists else (False, "")
         said = thought = ""
-        ended = False
-        for pdf in frames:
+        ended = state.hasTimedOut
+        for pdf in () if ended else frames:
             for x in pdf.sort_values("seq").itertuples():
                 inside, held, a, b = feed(inside, held, x.piece or "")
                 said, thought = said + a, thought + b
                 ended = ended or bool(x.last)
         if ended:
             said, thought = (said, thought + held) if inside else (said + held, thought)
+            over = "idle" if state.hasTimedOut else "done"
             state.remove()
         else:
+            over = "open"
             state.update((inside, held))
-        yield pd.DataFrame({"message": [key[0]], "said": [said], "thought": [thought]})
+            state.setTimeoutDuration(idle_ms)
+        yield pd.DataFrame({"message": [key[0]], "said": [said], "thought": [thought], "ended": [over]})
 
-    return pieces.groupBy("message").applyInPandasWithState(run, "message long, said string, thought string", "inside boolean, held string", "append", GroupStateTimeout.NoTimeout)
+    return pieces.groupBy("message").applyInPandasWithState(run, "message long, said string, thought string, ended string", "inside boolean, held string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def split_whole(text: Column) -> tuple[Column, Column]:

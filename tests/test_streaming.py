@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from shelfspark.sources.store import Store
@@ -26,7 +28,20 @@ def test_split_stream(spark, tmp_path):
     stream = spark.readStream.schema("message long, seq int, piece string, last boolean").parquet(str(tmp_path / "in"))
     q = think.split_stream(stream).writeStream.format("memory").queryName("split").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
-    assert {tuple(x) for x in spark.table("split").collect()} == {(1, "ac<", "b"), (2, "plain", "")}
+    assert {tuple(x) for x in spark.table("split").collect()} == {(1, "ac<", "b", "done"), (2, "plain", "", "done")}
+
+
+def test_a_message_without_a_last_piece_is_given_up(spark, tmp_path):
+    schema = "message long, seq int, piece string, last boolean"
+    spark.createDataFrame([(1, 0, "a<th", False)], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    q = think.split_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), 1500).writeStream.format("memory").queryName("idle").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="1 second").start()
+    try:
+        until = time.monotonic() + 60
+        while time.monotonic() < until and {x.ended for x in spark.table("idle").collect()} != {"open", "idle"}:
+            time.sleep(0.5)
+        assert {tuple(x) for x in spark.table("idle").collect()} == {(1, "a", "", "open"), (1, "<th", "", "idle")}
+    finally:
+        q.stop()
 
 
 def test_ingest_takes_only_what_is_new(spark, tmp_path):
