@@ -58,23 +58,32 @@ def _python(name, kind):
 
         return t.documents.select("doc_id", f("text").alias("value"))
 
-    return query(name=name)(run)
+    return query(SQL.get(name), name)(run)
 
 
 def _rst(text):
     from ..sources import readers
 
-    return len(readers.rst("\n".join(x + ("\n" + "=" * len(x) if i % 3 == 1 else "") for i, x in enumerate(text.split("\n")))))
+    ruled = "\n".join(x + ("\n" + "=" * len(x) if i % 3 == 1 else "") for i, x in enumerate(text.split("\n")))
+    return "\n".join(f"{h or ''}|{len(b)}" for h, b in readers.rst(ruled))
 
 
 FUNCTIONS = {
     "rst_sections": _rst,
     "md_match": lambda text: models.md_match(text, models.md_blocks("# Head\n\n" + text)),
-    "slice_offsets": lambda text: len(models.slices(text.replace("\n", "\n\n"), 500)),
+    "slice_offsets": lambda text: ",".join(map(str, models.slices(text.replace("\n", "\n\n"), 500))),
     "trim_tail": lambda text: models.trim_tail(text, 101),
     "decode_text": lambda text: __import__("shelfspark.sources.readers", fromlist=["decode"]).decode(text.encode("utf-8")),
 }
-for _name, _kind in (("rst_sections", "long"), ("md_match", "boolean"), ("slice_offsets", "long"), ("trim_tail", "string"), ("decode_text", "string")):
+SQL = {
+    "trim_tail": "SELECT doc_id, right(text, list_max(list_filter(range(0, 102), lambda k: strlen(right(text, k::INT)) <= 101))::INT) AS value FROM documents",
+    "slice_offsets": """WITH RECURSIVE t AS (SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS x FROM documents),
+  s(doc_id, x, pos) AS (SELECT doc_id, x, 0::BIGINT FROM t UNION ALL
+    SELECT doc_id, x, pos + 500 + strpos(substr(x, pos + 501), chr(10) || chr(10)) + 1 FROM s WHERE pos + 500 < length(x) AND strpos(substr(x, pos + 501), chr(10) || chr(10)) > 0)
+  SELECT doc_id, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS value FROM s GROUP BY doc_id""",
+    "decode_text": "SELECT doc_id, text AS value FROM documents",
+}
+for _name, _kind in (("rst_sections", "string"), ("md_match", "boolean"), ("slice_offsets", "string"), ("trim_tail", "string"), ("decode_text", "string")):
     _python(_name, _kind)
 
 

@@ -225,10 +225,10 @@ def cosine_pairs(t):
     return a.join(b, F.col("b.vec_id") == F.col("a.vec_id") + 1).select(F.col("a.vec_id").alias("a"), F.col("b.vec_id").alias("b"), F.round(tx.cosine(F.col("a.embedding"), F.col("b.embedding")), 6).alias("cosine"))
 
 
-@query("SELECT vec_id, round(v[1] / n, 6) AS head, round(v[64] / n, 6) AS tail FROM (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS n FROM (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x * 3) AS v FROM embeddings))")
+@query("SELECT vec_id, i - 1 AS pos, round(v[i] / n, 6) AS value FROM (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS n, unnest(range(1, len(v) + 1)) AS i FROM (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x * 3) AS v FROM embeddings))")
 def l2_normalize(t):
     v = t.embeddings.withColumn("v", tx.l2_normalize(F.transform("embedding", lambda x: x.cast("double") * 3)))
-    return v.select("vec_id", F.round(F.element_at("v", 1), 6).alias("head"), F.round(F.element_at("v", 64), 6).alias("tail"))
+    return v.select("vec_id", F.posexplode("v").alias("pos", "value")).select("vec_id", F.col("pos").cast("long").alias("pos"), F.round("value", 6).alias("value"))
 
 
 @query("SELECT event_id, round(1.0 / (1.0 + exp(-value / 10)), 9) AS p FROM events")
