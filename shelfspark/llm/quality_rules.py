@@ -188,12 +188,13 @@ BROADCAST_GROUPS = 100_000
 
 def judge(counted: DataFrame, limits: DataFrame) -> DataFrame:
     """Add base_failed and kept to rows with COUNTS, lang and source."""
-    t = limits.withColumnRenamed("lang", "_l").withColumnRenamed("source", "_s")
+    # names that no column of the input has
+    most = {k: f"\x00most_{k}" for k in FEATURES}
+    t = limits.select(F.col("lang").alias("\x00lang"), F.col("source").alias("\x00source"), *[F.col(f"most_{k}").alias(v) for k, v in most.items()])
     t = F.broadcast(t) if limits.count() <= BROADCAST_GROUPS else t
-    both = counted.drop("base_failed", "kept").join(t, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s")), "left")
-    beyond = [v > F.col(f"most_{k}") for k, v in features().items()]
+    kept = [c for c in counted.columns if c not in ("base_failed", "kept")]
+    both = counted.join(t, F.col("lang").eqNullSafe(F.col("\x00lang")) & F.col("source").eqNullSafe(F.col("\x00source")), "left")
     fine = F.lit(True)
-    for x in beyond:
-        fine = fine & ~F.coalesce(x, F.lit(False))
-    both = both.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & fine)
-    return both.drop("_l", "_s", *[f"most_{k}" for k in FEATURES])
+    for k, v in features().items():
+        fine = fine & ~F.coalesce(v > F.col(most[k]), F.lit(False))
+    return both.select(*kept, base_failed().alias("base_failed"), (~base_failed() & fine).alias("kept"))

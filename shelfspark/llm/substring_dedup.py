@@ -17,7 +17,8 @@ document that overlap or touch are merged. Only documents with a repeated
 passage are in the result. Paragraphs of few distinct shingles (a word over and over) are compared like others.
 
 Null and empty texts have no paragraphs. A passage that repeats inside one document only is none.
-Rows without an id are left out. Rows of the same id and text give the same spans once.
+Rows of the same id and text give the same spans once. Rows without an id are told apart by their texts, come
+behind all others where the first document is chosen, and have a null id in the result; ids lie below NAMELESS.
 """
 
 from __future__ import annotations
@@ -48,6 +49,8 @@ def tuned(rows: int, recall: float, similarity: float = SIMILARITY) -> tuple[int
 
 
 LINE_BANDS = tuned(2, LINE_RECALL)
+#: From here on numbers stand for documents without an id.
+NAMELESS = 1 << 62
 #: Rows of keys that a task folds together before it sends them on.
 FOLD = 1 << 20
 _U = np.uint64
@@ -197,7 +200,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+    nameless = F.xxhash64("text").bitwiseAND(F.lit(NAMELESS - 1)) + F.lit(NAMELESS)
+    docs = docs.withColumn("doc_id", F.coalesce("doc_id", nameless))
     by = W.partitionBy("key")
     met = docs.mapInArrow(_index, "key long, fp long, least long, most long")
     met = met.withColumn("leader", F.min("fp").over(by)).withColumn("_fp", F.max("fp").over(by)).withColumn("_a", F.min("least").over(by)).withColumn("_b", F.max("most").over(by))
@@ -228,4 +233,5 @@ def repeats(docs: DataFrame) -> DataFrame:
     ends = F.max("to_word").over(order.rowsBetween(W.unboundedPreceding, -1))
     spans = spans.withColumn("_island", F.sum(F.when(F.col("from_word") <= ends, 0).otherwise(1)).over(order.rowsBetween(W.unboundedPreceding, 0)))
     merged = spans.groupBy("doc_id", "removed", "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max("to_word") - F.min("from_word")).alias("n_words"), F.min("first_doc").alias("first_doc"), F.max("n_docs").alias("n_docs"))
-    return merged.select("doc_id", "start", "end", "n_words", "first_doc", "n_docs", "removed")
+    named = lambda c: F.when(F.col(c) < NAMELESS, F.col(c)).alias(c)
+    return merged.select(named("doc_id"), "start", "end", "n_words", named("first_doc"), "n_docs", "removed")
