@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import catalog, citations, state
+from ..operators import catalog, citations, conversations, state, themes
 from .registry import Library, query
 from .text_queries import CHAPTERS_SQL, PROBE_SQL, _labels, chapter_sql
 
@@ -208,8 +208,38 @@ def visible_convs(t):
     """Shown with a selection of collections: those of no collection, or of one that is selected."""
     k = F.col("conv_id")
     mine = F.when(k % 4 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("c"), (k % 3).cast("string"))))
-    chosen = F.array(F.lit("c0"), F.lit("c2"))
-    return t.conversations.select("conv_id").distinct().select("conv_id", ((F.size(mine) == 0) | F.arrays_overlap(mine, chosen)).alias("visible"))
+    return t.conversations.select("conv_id").distinct().select("conv_id", conversations.visible(mine, F.array(F.lit("c0"), F.lit("c2"))).alias("visible"))
+
+
+@query("""WITH a AS (SELECT conv_id, turn, unnest(range(0, 4)) AS n FROM conversations WHERE role = 'assistant'),
+  s AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rank, length(text)::BIGINT AS size FROM conversations WHERE role = 'user')
+SELECT a.conv_id, a.turn, a.n::BIGINT AS n, s.size FROM a LEFT JOIN s ON a.conv_id = s.conv_id AND a.n = s.rank""")
+def citation_sources(t):
+    """[0] to [3] in each answer; its sources are the user's turns of the conversation, by rank."""
+    c = t.conversations
+    answers = c.where("role = 'assistant'").select("conv_id", "turn", F.concat(F.lit("[0] "), F.lit("[[1]] and [2], [3]")).alias("text"))
+    rank = F.row_number().over(W.partitionBy("conv_id").orderBy("turn")).cast("long")
+    asked = c.where("role = 'user'").select("conv_id", rank.alias("rank"), F.length("text").cast("long").alias("size"))
+    sources = answers.select("conv_id", "turn").join(asked, "conv_id")
+    return conversations.citation_links(answers, sources, ["conv_id", "turn"]).select("conv_id", "turn", "n", "size")
+
+
+@query("""WITH p AS (SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN [] WHEN 1 THEN [r_name] WHEN 2 THEN [r_name, n_name] ELSE [r_name, n_name, 'coast'] END AS p FROM nation JOIN region ON n_regionkey = r_regionkey)
+SELECT n_nationkey, CASE WHEN len(p) <= 1 THEN 'Sum up ' || coalesce(nullif(array_to_string(p, ' › '), ''), 'the library') || ' as the library has it.'
+  WHEN len(p) = 2 THEN 'Explain "' || p[2] || '" as a part of ' || p[1] || ': its ideas, and what ties them together.'
+  ELSE 'Go into "' || p[len(p)] || '" under ' || array_to_string(p[1:len(p) - 1], ' › ') || ': how it works, what it costs, and the details.' END AS question,
+  CASE WHEN len(p) > 0 THEN 'In a library, take this path of topics: ' || array_to_string(p, ' › ') || '. Split "' || p[len(p)] || '" into four to six narrower topics, none of them named like it, each with one sentence.' || chr(10) || 'Answer with JSON alone: [{"name": "...", "blurb": "..."}]' END AS deepen
+FROM p""")
+def theme_questions(t):
+    k = F.col("n_nationkey") % 4
+    path = F.when(k == 0, F.array().cast("array<string>")).when(k == 1, F.array("r_name")).when(k == 2, F.array("r_name", "n_name")).otherwise(F.array("r_name", "n_name", F.lit("coast")))
+    p = t.nation.join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", path.alias("path"))
+    return p.select("n_nationkey", themes.level_question(F.col("path")).alias("question"), themes.deepen_prompt(F.col("path")).alias("deepen"))
+
+
+@query("SELECT p_name AS topic, a.angle, replace(a.q, '{}', p_name) AS question FROM (SELECT DISTINCT p_name FROM part), (VALUES " + ", ".join(f"('{k}', '{q}')" for k, q in themes.ANGLES.items()) + ") a(angle, q)")
+def theme_angles(t):
+    return themes.angles(t.part.select(F.col("p_name").alias("topic")).distinct())
 
 
 @query("SELECT conv_id, turn, n::BIGINT AS n, n BETWEEN 1 AND 5 AS known FROM (SELECT conv_id, turn, unnest(range(0, turn + 1)) AS n FROM conversations WHERE role = 'assistant')")
@@ -222,10 +252,11 @@ def citation_links(t):
     return n.join(F.broadcast(sources), F.col("n") == F.col("rank"), "left").select("conv_id", "turn", "n", F.col("rank").isNotNull().alias("known"))
 
 
-@query("SELECT item_id, '[' || (item_id + 1) || '] ' || text AS block, sum(length(text)) OVER (ORDER BY item_id)::BIGINT AS upto FROM benchmark")
+@query("SELECT item_id, '[' || (item_id + 1) || '] ' || text AS block, sum(length(text)) OVER (PARTITION BY item_id // 8 ORDER BY item_id)::BIGINT AS upto FROM benchmark")
 def prompt_blocks(t):
+    """Numbered sources, and how long a question's sources are up to each; eight items are those of one question."""
     b = t.benchmark
-    upto = F.sum(F.length("text")).over(W.partitionBy(F.lit(0)).orderBy("item_id"))
+    upto = F.sum(F.length("text")).over(W.partitionBy(F.floor(F.col("item_id") / 8)).orderBy("item_id"))
     return b.select("item_id", F.concat(F.lit("["), (F.col("item_id") + 1).cast("string"), F.lit("] "), "text").alias("block"), upto.cast("long").alias("upto"))
 
 
