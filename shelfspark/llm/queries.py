@@ -127,7 +127,7 @@ s AS (SELECT r, kind, place, m[i] AS m,
         (list_sum(list_transform(b[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::BIGINT AS a
       FROM i WHERE length(v[i]) >= least),
 w AS (SELECT r, a, m, unnest(range(0, length(m) - 19)) AS j FROM s WHERE kind = 'entropy'
-        AND NOT (NOT regexp_matches(m, '[A-Za-z0-9][A-Z]|[0-9][a-z]')) AND NOT regexp_matches(m, '^[A-Z_/=+-]*$')
+        AND regexp_matches(m, '[A-Za-z0-9][A-Z]|[0-9][a-z]') AND NOT regexp_matches(m, '^[A-Z_/=+-]*$')
         AND NOT regexp_matches(m, '^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$') AND NOT regexp_matches(m, '^[0-9=_+/-]*$')),
 h AS (SELECT r, a, min(j) AS lo, max(j) AS hi FROM w
       WHERE list_aggregate(string_split(m[j + 1:j + 20], ''), 'entropy')
