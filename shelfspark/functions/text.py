@@ -215,15 +215,16 @@ def progress_line(line: Column) -> Column:
 
 
 def chat_error(status: Column, body: Column) -> Column:
-    snippet = F.when(F.trim(body) == "", "").otherwise(F.concat(F.lit(" — "), F.substring(F.trim(body), 1, 200)))
-    say = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
-    code = status.cast("string")
+    """What to tell the reader when a provider answers with an error status, and the beginning of what it said."""
+    said = F.when(F.trim(body) == "", "").otherwise(F.concat(F.lit(": "), F.substring(F.trim(body), 1, 200)))
+    code = F.concat(F.lit(" ("), status.cast("string"), F.lit(")"))
+    say = lambda text, more: F.concat(F.lit(text), code, more)
     return (
-        F.when(status.isin(401, 403), say("That model doesn't support chat — image and embedding models return ", code, ". Pick a chat model, or check the API key in Settings.", snippet))
-        .when(status == 404, say("Model not found (", code, "). Check the model id in Settings.", snippet))
-        .when(status == 400, say("The provider rejected the request (", code, ").", snippet))
-        .when(status == 429, say("Rate limited (", code, "). Try again in a moment."))
-        .otherwise(say("Provider error (", code, ").", snippet))
+        F.when(status.isin(401, 403), say("The key was refused, or this model cannot chat", said))
+        .when(status == 404, say("The provider has no model of that name", said))
+        .when(status == 400, say("The request was not accepted", said))
+        .when(status == 429, say("Too many requests, wait a little", F.lit("")))
+        .otherwise(say("The provider failed", said))
     )
 
 

@@ -318,8 +318,9 @@ def parse_llm_lines(t):
     return t.events.select("event_id", tx.stream_line(line, provider).alias("x")).select("event_id", "x.*")
 
 
-@query("""SELECT event_id, CASE WHEN s IN (401, 403) THEN 'That model doesn''t support chat — image and embedding models return ' || s || '. Pick a chat model, or check the API key in Settings. — ' || event_type WHEN s = 404 THEN 'Model not found (404). Check the model id in Settings. — ' || event_type
-  WHEN s = 400 THEN 'The provider rejected the request (400). — ' || event_type WHEN s = 429 THEN 'Rate limited (429). Try again in a moment.' ELSE 'Provider error (' || s || '). — ' || event_type END AS error FROM (SELECT *, [400, 401, 403, 404, 429, 500, 503][(event_id % 7 + 1)::INT] AS s FROM events)""")
+@query("""SELECT event_id, CASE WHEN s IN (401, 403) THEN 'The key was refused, or this model cannot chat' WHEN s = 404 THEN 'The provider has no model of that name' WHEN s = 400 THEN 'The request was not accepted'
+  WHEN s = 429 THEN 'Too many requests, wait a little' ELSE 'The provider failed' END || ' (' || s || ')' || CASE WHEN s = 429 THEN '' ELSE ': ' || event_type END AS error
+  FROM (SELECT *, [400, 401, 403, 404, 429, 500, 503][(event_id % 7 + 1)::INT] AS s FROM events)""")
 def chat_error(t):
     s = F.element_at(F.array(*map(F.lit, (400, 401, 403, 404, 429, 500, 503))), (F.col("event_id") % 7 + 1).cast("int"))
     return t.events.select("event_id", tx.chat_error(s, F.concat(F.lit(" "), "event_type")).alias("error"))
