@@ -31,7 +31,8 @@ def top(rows: DataFrame, by: list[str], order: list, k: int, rank: str = "rank")
 
 
 def in_blocks(queries: DataFrame, run) -> DataFrame:
-    """run over queries in blocks that are small enough to broadcast."""
+    """run over queries in blocks that are small enough to broadcast. They are kept, as they are counted here and used more than once."""
+    queries = queries.persist()
     n = queries.count()
     if n <= QUERY_BLOCK:
         return run(F.broadcast(queries))
@@ -96,7 +97,8 @@ def bm25(terms: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     def run(terms: DataFrame) -> DataFrame:
         wanted = F.broadcast(terms.select("term").distinct())
         tf = sized.select("id", "_n", F.explode("_t").alias("term")).join(wanted, "term", "left_semi").groupBy("id", "_n", "term").agg(F.count("*").alias("_tf"))
-        df = tf.groupBy("term").agg(F.count("*").alias("_df"))
+        # asks for the counts, so that the plan below is that of tf, and its shuffle is used again
+        df = tf.groupBy("term").agg(F.sum(F.least("_tf", F.lit(1).cast("long"))).alias("_df"))
         s = tf.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats)).join(terms, "term")
         idf = F.log(F.lit(1.0) + (F.col("_docs") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
         part = idf * F.col("_tf") * (K1 + 1) / (F.col("_tf") + K1 * (1 - B + B * F.col("_n") / F.col("_avg")))
