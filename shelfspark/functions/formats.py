@@ -135,14 +135,14 @@ def caps_version(parts: Column) -> Column:
 
 
 def read_capped(content: Column, most: int) -> Column:
-    """struct(text, truncated, bytes): no more than so many bytes of UTF-8, cut between characters."""
+    """struct(text, truncated, bytes): no more than so many bytes of UTF-8, cut between characters; what is none becomes U+FFFD."""
     head = F.substring(content, 1, most)
     # a character that the cut goes through ends in one to three bytes that don't make it whole
     tail = F.hex(F.substring(head, -3, 3))
     cut = F.when(tail.rlike("(?:[CDEF][0-9A-F])$"), 1).when(tail.rlike("(?:[EF][0-9A-F][89AB][0-9A-F])$"), 2).when(tail.rlike("F[0-9A-F][89AB][0-9A-F][89AB][0-9A-F]$"), 3).otherwise(0)
     over = F.octet_length(content) > most
     kept = F.when(over, F.substring(head, F.lit(1), F.lit(most) - cut)).otherwise(content)
-    return F.struct(F.decode(kept, "UTF-8").alias("text"), over.alias("truncated"), F.octet_length(content).cast("long").alias("bytes"))
+    return F.struct(F.make_valid_utf8(kept.cast("string")).alias("text"), over.alias("truncated"), F.octet_length(content).cast("long").alias("bytes"))
 
 
 #: How a file is shown if a copy of the kind exists: extension, kind of the copy.
