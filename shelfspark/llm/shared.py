@@ -3,6 +3,8 @@ vectorised word and shingle hashing over Arrow strings, and the word rule."""
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import hashlib
 import re
 import tempfile
@@ -50,8 +52,12 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(where)
 
 
+#: Bytes of one Arrow batch; rows of long texts, or of their sets, fill it sooner than they count to the rows of a batch.
+BATCH_BYTES = 4 << 20
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the rows that one Arrow batch carries to a Python worker, and let workers import this package.
+    """Bound the rows and bytes that one Arrow batch carries to a Python worker, and let workers import this package.
 
     Texts are wide, so the columnar reader takes fewer rows at once too: with its
     usual batch, a column of texts is one array of many megabytes.
@@ -59,6 +65,7 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     let_workers_import(spark)
     spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", 512)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 # ----------------------------------------------------------------- hashing
@@ -171,9 +178,20 @@ def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     return mix(out), at
 
 
+@functools.lru_cache(1)
+def _trim():
+    """The C library's way to give free memory back, if it has one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return None
+
+
 def release() -> None:
-    """Give back what Arrow's memory pool holds in reserve, as a worker that waits for its next task would keep it."""
+    """Give back what Arrow's memory pool and the C library hold in reserve, as a worker that waits for its next task would keep it."""
     pa.default_memory_pool().release_unused()
+    if _trim() is not None:
+        _trim()(0)
 
 
 def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
