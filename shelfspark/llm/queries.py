@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed_dedup, html_extract, langid, mixing, ngram_join, quality_rules, secret_scan, substring_dedup, warc
+from . import bpe, embed_dedup, html_extract, importance, langid, mixing, ngram_join, quality_rules, secret_scan, substring_dedup, warc
 from .shared import durable
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -70,7 +70,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_mixing": op2_mixing, "op3_langid": op3_langid, "op4_embed_dedup": op4_embed_dedup, "op5_ngram_join": op5_ngram_join, "op6_secrets": op6_secrets, "op7_quality": op7_quality, "op8_substring_dedup": op8_substring_dedup, "op9_html": op9_html, "op10_warc": op10_warc}
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark").select("text"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_mixing": op2_mixing, "op3_langid": op3_langid, "op4_embed_dedup": op4_embed_dedup, "op5_ngram_join": op5_ngram_join, "op6_secrets": op6_secrets, "op7_quality": op7_quality, "op8_substring_dedup": op8_substring_dedup, "op9_html": op9_html, "op10_warc": op10_warc, "op13_importance": op13_importance}
 
 SQL = {
     "op2_mixing": """
