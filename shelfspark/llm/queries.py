@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed_dedup, html_extract, importance, langid, mixing, ngram_join, quality_rules, secret_scan, substring_dedup, warc
+from . import bpe, embed_dedup, html_extract, importance, langid, lexical, mixing, ngram_join, quality_rules, secret_scan, substring_dedup, warc
 from .shared import durable
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -70,12 +70,16 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = importance.resample(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark").select("text"))
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_mixing": op2_mixing, "op3_langid": op3_langid, "op4_embed_dedup": op4_embed_dedup, "op5_ngram_join": op5_ngram_join, "op6_secrets": op6_secrets, "op7_quality": op7_quality, "op8_substring_dedup": op8_substring_dedup, "op9_html": op9_html, "op10_warc": op10_warc, "op13_importance": op13_importance}
+QUERIES = {"op1_bpe": op1_bpe, "op2_mixing": op2_mixing, "op3_langid": op3_langid, "op4_embed_dedup": op4_embed_dedup, "op5_ngram_join": op5_ngram_join, "op6_secrets": op6_secrets, "op7_quality": op7_quality, "op8_substring_dedup": op8_substring_dedup, "op9_html": op9_html, "op10_warc": op10_warc, "op12_lexical": op12_lexical, "op13_importance": op13_importance}
 
 SQL = {
     "op2_mixing": """
@@ -185,4 +189,15 @@ SELECT p.page_id, p.n AS payload_bytes, p.d AS payload_digest,
        CASE WHEN m.last IS NULL OR m.last = p.page_id THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN m.last <> p.page_id THEN m.last END AS refers_to
 FROM p LEFT JOIN m ON p.d = m.d""",
+    "op12_lexical": """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM documents),
+p AS (SELECT r, any_value(doc_id) AS doc_id, term, count(*)::BIGINT AS tf FROM d GROUP BY r, term),
+n AS (SELECT r, sum(tf)::BIGINT AS n FROM p GROUP BY r),
+g AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS length FROM n),
+f AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, g GROUP BY term, docs),
+i AS (SELECT DISTINCT k, item_id, term FROM (SELECT row_number() OVER () AS k, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark)),
+s AS (SELECT k, item_id, p.r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * docs) // length)))))::BIGINT AS score
+      FROM i JOIN f USING (term) JOIN p USING (term) JOIN n ON p.r = n.r, g GROUP BY k, item_id, p.r, doc_id),
+o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, doc_id ASC NULLS LAST, r)::INT AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 10""",
 }
