@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed_dedup, html_extract, importance, langid, lexical, mixing, ngram_join, quality_rules, secret_scan, substring_dedup, warc
+from . import bpe, embed_dedup, html_extract, importance, langid, lexical, mixing, ngram_join, nn_descent, quality_rules, secret_scan, substring_dedup, warc
 from .shared import durable
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -70,6 +70,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.nearest(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0, 20)
+
+
 def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.rank(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
@@ -79,7 +83,7 @@ def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_mixing": op2_mixing, "op3_langid": op3_langid, "op4_embed_dedup": op4_embed_dedup, "op5_ngram_join": op5_ngram_join, "op6_secrets": op6_secrets, "op7_quality": op7_quality, "op8_substring_dedup": op8_substring_dedup, "op9_html": op9_html, "op10_warc": op10_warc, "op12_lexical": op12_lexical, "op13_importance": op13_importance}
+QUERIES = {"op1_bpe": op1_bpe, "op2_mixing": op2_mixing, "op3_langid": op3_langid, "op4_embed_dedup": op4_embed_dedup, "op5_ngram_join": op5_ngram_join, "op6_secrets": op6_secrets, "op7_quality": op7_quality, "op8_substring_dedup": op8_substring_dedup, "op9_html": op9_html, "op10_warc": op10_warc, "op11_ann": op11_ann, "op12_lexical": op12_lexical, "op13_importance": op13_importance}
 
 SQL = {
     "op2_mixing": """
