@@ -228,8 +228,8 @@ def _spread(batches, groups: int):
         q, lists = batch.column("q").to_numpy(), batch.column("near")
         many = np.diff(lists.offsets.to_numpy())
         b, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(q)), many)
-        first = np.searchsorted(q, q, "left")  # rows of a query follow each other
-        row, g = first[row], b % groups
+        _, first, same = np.unique(q, return_index=True, return_inverse=True)
+        row, g = first[same][row], b % groups
         o = np.lexsort((b, g, row))
         row, g, b = row[o], g[o], b[o]
         new = np.concatenate([[True], (row[1:] != row[:-1]) | (b[1:] != b[:-1])])[: len(b)]
