@@ -39,8 +39,9 @@ LINKS, BACK = 32, 16
 TREES, LEAF = 8, 1_024
 #: Rounds end when a smaller share of links is new, or after so many.
 SETTLED, ROUNDS = 0.1, 8
-#: Nodes (of a graph, of a block of vectors) that one group of a task has, and queries that meet a block at once.
-GROUP, ASKING = 512, 8_192
+#: Nodes whose links one group of a task keeps; vectors of a block that queries are compared with, and queries that meet it at once. A query's
+#: vector is sent to each block that it needs, so a block holds many.
+GROUP, BLOCK, ASKING = 512, 2_048, 2_048
 #: Nodes of a query that are expanded at least; queries compared with all vectors, and the share of their nearest that must be found.
 BEAM, PROBES, RECALL = 160, 64, 0.95
 #: Nodes drawn by hash, and longest vectors, at which every query starts.
@@ -57,9 +58,9 @@ class Graph:
     size: int
 
 
-def group_of(node: str, size: int) -> Column:
-    """Nodes are hashes, so their remainders are even."""
-    return F.pmod(F.col(node), F.lit(max(1, math.ceil(size / GROUP)))).cast("int")
+def group_of(node: str, size: int, each: int) -> Column:
+    """The group of about so many nodes; nodes are hashes, so their remainders are even."""
+    return F.pmod(F.col(node), F.lit(max(1, math.ceil(size / each)))).cast("int")
 
 
 def _by_length(values: np.ndarray, at: np.ndarray):
@@ -206,8 +207,8 @@ def build(vectors: DataFrame, k: int = LINKS) -> Graph:
     empty = codes.select("node", F.array().cast("array<long>").alias("near"), F.array().cast("array<float>").alias("s"))
 
     def kept(graph: DataFrame, gained: DataFrame) -> DataFrame:
-        held = graph.select("node", "near", "s").groupBy(group_of("node", size).alias("g"))
-        return stored(held.cogroup(gained.groupBy(group_of("a", size).alias("g"))).applyInArrow(lambda x, y: _keep(x, y, k), GRAPH))
+        held = graph.select("node", "near", "s").groupBy(group_of("node", size, GROUP).alias("g"))
+        return stored(held.cogroup(gained.groupBy(group_of("a", size, GROUP).alias("g"))).applyInArrow(lambda x, y: _keep(x, y, k), GRAPH))
 
     graph = kept(empty, gained)
     for turn in range(ROUNDS):
@@ -216,7 +217,7 @@ def build(vectors: DataFrame, k: int = LINKS) -> Graph:
             break
         floor = F.when(F.size("near") >= k, F.array_min("s")).otherwise(F.lit(-2.0)).cast("float")
         known = codes.join(graph.select("node", floor.alias("floor")), "node").withColumnRenamed("node", "member")
-        rows = meetings(graph, turn).join(known, "member").withColumn("g", group_of("centre", size))
+        rows = meetings(graph, turn).join(known, "member").withColumn("g", group_of("centre", size, GROUP))
         graph = kept(graph, rows.groupBy("g").applyInArrow(lambda t: _join(t, k), "a long, b long, s float"))
     links = meetings(graph, ROUNDS).groupBy(F.col("centre").alias("node")).agg(F.collect_set("member").alias("near"))
     return Graph(nodes, v.select("vec_id", "node"), stored(links), size)
@@ -267,12 +268,12 @@ def _score(asked: pa.Table, block: pa.Table) -> pa.Table:
 
 def compared(graph: Graph, asked: DataFrame) -> DataFrame:
     """(q, node, score) of rows (q, vector, floor, near) that follow each other by query."""
-    groups = max(1, math.ceil(graph.size / GROUP))
+    groups = max(1, math.ceil(graph.size / BLOCK))
     pairs = stored(asked.select("q", "vector", "floor", "near").mapInArrow(lambda b: _spread(b, groups), "g int, q long, vector array<double>, floor double, near array<long>"))
     # a block that many queries ask for is sent to several tasks, each with some of these
     parts = pairs.groupBy("g").agg(F.ceil(F.count("*") / ASKING).cast("int").alias("parts"))
     left = pairs.join(parts, "g").withColumn("part", F.pmod(F.xxhash64("q", "g"), F.col("parts")).cast("int")).drop("parts")
-    right = graph.nodes.withColumn("g", group_of("node", graph.size)).join(parts, "g").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    right = graph.nodes.withColumn("g", group_of("node", graph.size, BLOCK)).join(parts, "g").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     return left.groupBy("g", "part").cogroup(right.groupBy("g", "part")).applyInArrow(_score, "q long, node long, score double")
 
 

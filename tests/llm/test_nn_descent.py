@@ -52,6 +52,8 @@ def check(spark, data, k=20, every=20, least=0.95):
 def test_groups_and_noise(spark, monkeypatch):
     monkeypatch.setattr(nn, "LEAF", 128)
     monkeypatch.setattr(nn, "GROUP", 64)
+    monkeypatch.setattr(nn, "BLOCK", 100)
+    monkeypatch.setattr(nn, "ASKING", 20)
     r = np.random.default_rng(3)
     data = [(i, r.normal(size=24).tolist()) for i in range(900)]
     data += [(1000 + 50 * g + j, (c + r.normal(size=24) * 0.2).tolist()) for g, c in enumerate(r.normal(size=(10, 24)) * 2) for j in range(50)]
@@ -84,14 +86,12 @@ def test_few_rows(spark):
 
 def test_a_beam_too_narrow_is_widened(spark, monkeypatch):
     monkeypatch.setattr(nn, "LEAF", 64)
-    monkeypatch.setattr(nn, "SETTLED", 0.6)
     r = np.random.default_rng(6)
-    data = [(i, r.normal(size=32).tolist()) for i in range(1500)]
-    df = frame(spark, data)
-    want = brute(data, 10, 20)
+    data = [(i, r.normal(size=64).tolist()) for i in range(2000)]
+    df, want = frame(spark, data), brute(data, 10, 20)
     narrow = got(nn.nearest(df, F.col("vec_id") % 20 == 0, 10, beam=11, recall=0.0))
-    wide = got(nn.nearest(df, F.col("vec_id") % 20 == 0, 10, beam=11, recall=0.97))
-    assert recall(wide, want) >= 0.95 > recall(narrow, want)
+    wide = got(nn.nearest(df, F.col("vec_id") % 20 == 0, 10, beam=11, recall=1.0))
+    assert recall(wide, want) >= 0.99 and recall(narrow, want) < recall(wide, want)
 
 
 def test_codes_keep_the_angles():
