@@ -18,21 +18,25 @@ from .sources.store import Store
 from .streaming import ingest
 
 
-def search(store: Store, question: str, settings: Settings = Settings()):
-    """Vector, full-text and fuzzy search, fused, with the question repaired and the hits reranked."""
+def search(store: Store, question: str, settings: Settings = Settings(), prior: str | None = None):
+    """Vector, full-text and fuzzy search, fused, with the question repaired and the hits reranked; prior is the question before it."""
     asked = store.spark.createDataFrame([(0, question)], "qid long, q string")
-    best = ask.retrieve(asked, store.read(), settings, models.hashed_words)
+    before = store.spark.createDataFrame([(0, prior)], "qid long, prior string") if prior else None
+    best = ask.retrieve(asked, store.read(), settings, models.hashed_words, before, index=store.index)
     return best.join(store.view().drop("vector"), "id").orderBy("rank")
 
 
-def answer(store: Store, question: str, settings: Settings = Settings(), generator=ask.extractive, provider: str = "ollama", notes: str = ""):
-    """(prompt row, answer row) for a question."""
-    hits = search(store, question, settings)
+def answer(store: Store, question: str, settings: Settings = Settings(), generator=ask.extractive, provider: str = "ollama", notes: str = "", history=None):
+    """(prompt row, answer row) for a question; history (turn, role, text) are the turns of its conversation before it."""
+    turns = [] if history is None else history.orderBy("turn").collect()  # one conversation
+    prior = next((t["text"] for t in reversed(turns) if t["role"] == "user"), None)
+    hits = search(store, question, settings, prior)
     cited = tx.citation(F.col("title"), F.col("author"), F.col("chapter"), F.col("page"), F.col("format"), F.col("loc_start"))
     sources = hits.select(F.lit(0).cast("long").alias("qid"), "rank", cited.alias("citation"), "text")
     asks = store.spark.createDataFrame([(0, question)], "qid long, question string")
     noted = store.spark.createDataFrame([(0, notes)], "qid long, note string") if notes else None
-    prompts = prompt.prompts(asks, sources, None, noted, settings).persist()
+    said = None if history is None else history.select(F.lit(0).cast("long").alias("qid"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    prompts = prompt.prompts(asks, sources, said, noted, settings).persist()
     try:
         return prompts.first(), ask.answers(ask.answer_lines(prompts, generator), provider).first()
     finally:
@@ -59,13 +63,14 @@ def main(argv: list[str] | None = None) -> None:
     commands.add_parser("ask").add_argument("question")
     commands.choices["ask"].add_argument("--generator", type=_named, default=ask.extractive, help="module:name of a function that makes a generator")
     commands.choices["ask"].add_argument("--provider", default="ollama")
+    commands.choices["ask"].add_argument("--conversation", help="id of a conversation that the question goes on; question and answer become its next turns")
     commands.add_parser("import").add_argument("parquet")
-    for name in ("titles", "stop", "events"):
+    for name in ("titles", "stop", "events", "reindex"):
         commands.add_parser(name)
     args = parser.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
     work = f"{args.store.rstrip('/')}-work"
-    store, manifest = Store(spark, args.store), Manifest(spark, f"{work}/manifest")
+    store, manifest = Store(spark, args.store, indexed=True), Manifest(spark, f"{work}/manifest")
     settings = sinks.read_settings(spark, work)
     engine = ingest.Engine(store, manifest, settings=settings)
 
@@ -85,9 +90,16 @@ def main(argv: list[str] | None = None) -> None:
     elif args.command == "search":
         search(store, args.question, settings).select("rank", "score", "title", "chapter", "text").show(truncate=80)
     elif args.command == "ask":
-        asked, said = answer(store, args.question, settings, args.generator, args.provider, sinks.read_notebook(spark, work))
+        turns = manifest.turns(args.conversation) if args.conversation else None
+        asked, said = answer(store, args.question, settings, args.generator, args.provider, sinks.read_notebook(spark, work), turns)
+        if args.conversation and said.error is None:
+            manifest.say(args.conversation, [("user", args.question), ("assistant", said.said or "")])
         print(said.said if said.error is None else f"no answer: {said.error}")
         print(f"({asked.prompt_tokens} tokens asked, {said.out_tokens or 0} answered)")
+    elif args.command == "reindex":
+        store.reindex()
+        store.tidy()
+        print(store.index.passages.count(), "passages indexed")
     elif args.command == "titles":
         catalog.titles(store.read()).orderBy(F.desc("n"), "title").show(50, truncate=80)
     elif args.command == "audit":

@@ -22,10 +22,16 @@ IDLE = 120.0
 Generator = Callable[[str], Iterable[str]]
 
 
-def pools(asked: DataFrame, chunks: DataFrame, settings: Settings, embedder: Callable[[], models.Embedder] | None) -> DataFrame:
-    """The fused hits (qid, id, score, rank) of questions (qid, q) in chunks (id, text, vector): vector, full-text and fuzzy lists."""
+def pools(asked: DataFrame, chunks: DataFrame, settings: Settings, embedder: Callable[[], models.Embedder] | None, index=None) -> DataFrame:
+    """The fused hits (qid, id, score, rank) of questions (qid, q) in chunks (id, text, vector): vector, full-text and fuzzy lists.
+
+    With an index (sources.postings) of the chunks, full-text lists come from it and no text is read for them.
+    """
     docs = chunks.select("id", "text")
-    lists = [r.bm25(r.terms_of(asked), docs, settings.hybrid_k), r.bm25(r.fuzzy_terms(asked, docs), docs, settings.hybrid_k)]
+    if index is None:
+        lists = r.bm25_lists([r.terms_of(asked), r.fuzzy_terms(asked, docs)], docs, settings.hybrid_k)
+    else:
+        lists = [index.search(r.terms_of(asked), settings.hybrid_k), index.search(index.fuzzy_terms(asked), settings.hybrid_k)]
     if embedder is not None:
         # the search goes by numbers
         keyed = chunks.where(F.size("vector") > 0).withColumn("_key", F.xxhash64("id"))
@@ -46,17 +52,17 @@ def widened(asked: DataFrame, prior: DataFrame, embedder: Callable[[], models.Em
     return both.where(tx.fuse_followup(F.col("q"), cosine)).select("qid", F.concat("prior", F.lit("\n"), "q").alias("q"))
 
 
-def retrieve(asked: DataFrame, chunks: DataFrame, settings: Settings = Settings(), embedder: Callable[[], models.Embedder] | None = None, prior: DataFrame | None = None, score=r.overlap) -> DataFrame:
+def retrieve(asked: DataFrame, chunks: DataFrame, settings: Settings = Settings(), embedder: Callable[[], models.Embedder] | None = None, prior: DataFrame | None = None, score=r.overlap, index=None) -> DataFrame:
     """The best chunks (qid, id, score, rank, ...) of questions (qid, q).
 
     Words that the library does not know are repaired, and a repaired question is searched anew in all lists in place
     of what was asked. A question that leans on the one before it is searched together with that too; reranking goes by the question alone.
     """
     docs = chunks.select("id", "text")
-    fixed = r.correct(asked, r.vocabulary(docs)).select("qid", "q")
-    pool = pools(fixed, chunks, settings, embedder)
+    fixed = r.correct(asked, r.vocabulary(docs) if index is None else index.vocabulary()).select("qid", "q")
+    pool = pools(fixed, chunks, settings, embedder, index)
     if prior is not None:
-        more = pools(widened(fixed, prior, embedder), chunks, settings, embedder)
+        more = pools(widened(fixed, prior, embedder), chunks, settings, embedder, index)
         pool = pool.select("qid", "id", "score").unionByName(more.select("qid", "id", "score")).groupBy("qid", "id").agg(F.max("score").alias("score"))
     ranked = r.rerank(pool.select("qid", "id"), fixed, docs, settings.hybrid_k, score)
     return r.tiers(ranked, settings.min_relevance, settings.final_k)

@@ -24,6 +24,22 @@ def _first_by(state: DataFrame, key: str, prefix: str, paths: DataFrame) -> Data
     return s.select(f"{prefix}_key", F.col("book_id").alias(f"{prefix}_id"), path.alias(f"{prefix}_path"), (F.col("source_path") == "").alias(f"{prefix}_empty"), F.col("content_sig").alias(f"{prefix}_csig"), F.col("chunker_ver").alias(f"{prefix}_ver"))
 
 
+def lookups(found: DataFrame, states, skips, store, collection: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What the planner asks of bucketed tables for candidates: (state, skips, store), read from the buckets that may hold it.
+
+    Skips go by path. A state row goes by its id, its fingerprint or its signature, and a stored book by its path, its id, or
+    the id of such a state row; by all but the bucket's own column through the filters of the snapshot (sources.store.Table).
+    """
+    ids, paths, mine = found.select("book_id"), found.select("path"), F.col("collection_id") == collection
+    some = {*states.buckets_of(ids), *states.may_hold("fingerprint", found.select("fp")), *states.may_hold("content_sig", found.select("csig"))}
+    state = states.read(sorted(some)).where(mine)
+    same = [found.select(F.col(c).alias(key)).distinct() for c, key in (("fp", "fingerprint"), ("csig", "content_sig"))]
+    hits = state.join(same[0], "fingerprint", "left_semi").select("book_id").unionByName(state.join(same[1], "content_sig", "left_semi").select("book_id"))
+    held = {*store.buckets_of(paths), *store.may_hold("book_id", ids.unionByName(hits))}
+    stored = store.read(sorted(held)).select("book_id", "source_path").distinct()
+    return state, skips.read(skips.buckets_of(paths)).where(mine), stored
+
+
 def plan(candidates: DataFrame, state: DataFrame, skips: DataFrame, store: DataFrame, pipeline: str, caps: str, rechunk: bool = False) -> DataFrame:
     """(pos, path, book_id, action, other_id, forced) for candidates (pos, path, book_id, fp, csig).
 

@@ -8,7 +8,7 @@ each partition are. Ties go by id.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -86,17 +86,14 @@ def terms_of(queries: DataFrame) -> DataFrame:
     return queries.select("qid", F.explode(F.array_distinct(tokens(F.col("q")))).alias("term"))
 
 
-def bm25(terms: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """(qid, id, score, rank) of rows (id, text) for terms (qid, term[, weight]).
+def ranked(terms: DataFrame, postings: Callable[[DataFrame], DataFrame], stats: DataFrame, k: int) -> DataFrame:
+    """(qid, id, score, rank) for terms (qid, term) by BM25.
 
-    Only the occurrences of query terms leave the scan, counted before they are shuffled.
+    postings gives the rows (id, _n, term, _tf) of some terms (term), stats is one row (_docs, _avg).
     """
-    sized = docs.withColumn("_t", tokens(F.col("text"))).withColumn("_n", F.size("_t"))
-    stats = sized.agg(F.count("*").alias("_docs"), F.avg("_n").alias("_avg"))
 
     def run(terms: DataFrame) -> DataFrame:
-        wanted = F.broadcast(terms.select("term").distinct())
-        tf = sized.select("id", "_n", F.explode("_t").alias("term")).join(wanted, "term", "left_semi").groupBy("id", "_n", "term").agg(F.count("*").alias("_tf"))
+        tf = postings(F.broadcast(terms.select("term").distinct()))
         # asks for the counts, so that the plan below is that of tf, and its shuffle is used again
         df = tf.groupBy("term").agg(F.sum(F.least("_tf", F.lit(1).cast("long"))).alias("_df"))
         s = tf.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats)).join(terms, "term")
@@ -107,19 +104,100 @@ def bm25(terms: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     return top(in_blocks(terms, run), ["qid"], [F.desc("score"), "id"], k)
 
 
+def bm25(terms: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(qid, id, score, rank) of rows (id, text) for terms (qid, term).
+
+    Only the occurrences of query terms leave the scan, counted before they are shuffled.
+    """
+    sized = docs.withColumn("_t", tokens(F.col("text"))).withColumn("_n", F.size("_t"))
+    stats = sized.agg(F.count("*").alias("_docs"), F.avg("_n").alias("_avg"))
+
+    def found(wanted: DataFrame) -> DataFrame:
+        return sized.select("id", "_n", F.explode("_t").alias("term")).join(wanted, "term", "left_semi").groupBy("id", "_n", "term").agg(F.count("*").alias("_tf"))
+
+    return ranked(terms, found, stats, k)
+
+
+def bm25_lists(lists: list[DataFrame], docs: DataFrame, k: int) -> list[DataFrame]:
+    """bm25 for several relations of terms (qid, term) at once, so that the texts are read for all of them together."""
+    tagged = [x.select(F.struct(F.lit(i).alias("list"), "qid").alias("qid"), "term") for i, x in enumerate(lists)]
+    found = bm25(reduce(DataFrame.unionByName, tagged), docs, k)
+    return [found.where(F.col("qid.list") == i).select(F.col("qid.qid").alias("qid"), "id", "score", "rank") for i in range(len(lists))]
+
+
 def vocabulary(docs: DataFrame) -> DataFrame:
     """(word, n) of alphabetic words of three bytes or more, in lower case."""
     words = F.filter(F.split("text", r"[^\p{L}\p{N}]+"), lambda w: w.rlike(r"^\p{L}+$") & (F.octet_length(w) >= 3))
     return docs.select(F.explode(words).alias("w")).groupBy(F.lower("w").alias("word")).agg(F.count("*").alias("n"))
 
 
-def fuzzy_terms(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """(qid, term): words of the corpus within the distance that a query word's length allows, with its first letter."""
+#: Edits between two words at most. Known words of more characters meet others by thirds of them instead of by what is left after deletions.
+EDITS, LONG = 2, 24
+
+
+def deletions(word: Column, most: Column) -> Column:
+    """What is left of a word after up to so many (two at most) of its characters but the first are deleted."""
+
+    def less(w: Column) -> Column:
+        return F.transform(F.sequence(F.lit(2), F.greatest(F.length(w), F.lit(2))), lambda i: F.concat(w.substr(F.lit(1), i - 1), w.substr(i + 1, F.length(w))))
+
+    none = F.array().cast("array<string>")
+    twice = F.flatten(F.transform(less(word), less))
+    return F.array_distinct(F.concat(F.array(word), F.when(most >= 1, less(word)).otherwise(none), F.when(most >= 2, twice).otherwise(none)))
+
+
+def thirds(word: Column, size: Column, shift: Column) -> Column:
+    """The three parts of a known word of so many characters, read from a word with a shift, each with the size and its place."""
+    part = F.floor(size / 3).cast("int")
+    wide = lambda i: F.when(i == 2, size - 2 * part).otherwise(part)
+    read = lambda i: word.substr(F.greatest(part * i + 1 + shift, F.lit(1)), wide(i))
+    return F.transform(F.array(F.lit(0), F.lit(1), F.lit(2)), lambda i: F.concat_ws(":", size.cast("string"), i.cast("string"), read(i)))
+
+
+def meeting_keys(word: Column, most: Column, asks: bool) -> Column:
+    """Keys of which a word that asks and a known one share one if they begin alike and most (EDITS at most) edits turn one into the other.
+
+    What two words have in common is what is left of either after the deletion of what they have not. Of the thirds of a
+    long word, two edits leave one as it was, no more than two places further on in the word that asks.
+    """
+    n, none = F.length(word), F.array().cast("array<string>")
+    if asks:
+        short, long = n <= LONG + EDITS, n > LONG - EDITS
+        shifts = F.array(*[F.lit(x) for x in range(-EDITS, EDITS + 1)])
+        parts = F.flatten(F.transform(F.sequence(n - EDITS, n + EDITS), lambda size: F.flatten(F.transform(shifts, lambda shift: thirds(word, size, shift)))))
+    else:
+        short, long = n <= LONG, n > LONG
+        parts = thirds(word, n, F.lit(0))
+    keys = F.concat(F.when(short, deletions(word, most)).otherwise(none), F.when(long, F.array_distinct(parts)).otherwise(none))
+    return F.transform(keys, lambda k: F.xxhash64(k))
+
+
+def neighbourhoods(known: DataFrame, term: str) -> DataFrame:
+    """The index of a vocabulary: each row once for each of its keys."""
+    return known.withColumn("_key", F.explode(meeting_keys(F.col(term), F.lit(EDITS), False)))
+
+
+def meet(asked: DataFrame, index: DataFrame, word: str, term: str, d: str) -> DataFrame:
+    """Rows of asked (word, d, ...) with those of an index (term, ...) that begin with the same letter, within d edits.
+
+    The words that ask are a block and broadcast with their keys, which are a few hundred each; the index is looked up as it is scanned.
+    """
+    keyed = asked.withColumn("_key", F.explode(meeting_keys(F.col(word), F.col(d), True)))
+    near = (F.substring(word, 1, 1) == F.substring(term, 1, 1)) & F.levenshtein(word, term).between(0, F.col(d))
+    return index.join(F.broadcast(keyed), "_key").drop("_key").where(near).distinct()
+
+
+def near_terms(queries: DataFrame, known: DataFrame) -> DataFrame:
+    """(qid, term): known words (term) within the distance that a query word's length allows, with its first letter."""
     words = F.array_distinct(F.filter(F.split(F.lower("q"), "[^0-9a-z]+"), lambda w: w != ""))
     q = queries.select("qid", F.explode(words).alias("w")).withColumn("d", F.when(F.length("w") <= 2, 0).when(F.length("w") <= 5, 1).otherwise(2))
-    known = docs.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).distinct().where(F.col("term").rlike("^[0-9a-z]+$"))
-    near = (F.substring("w", 1, 1) == F.substring("term", 1, 1)) & (F.abs(F.length("w") - F.length("term")) <= F.col("d"))
-    return in_blocks(q, lambda q: known.join(q, near & F.levenshtein("w", "term").between(0, F.col("d")))).select("qid", "term").distinct()
+    plain = known.where(F.col("term").rlike("^[0-9a-z]+$"))
+    return in_blocks(q, lambda q: meet(q, neighbourhoods(plain, "term"), "w", "term", "d")).select("qid", "term").distinct()
+
+
+def fuzzy_terms(queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """(qid, term): words of the corpus within the distance that a query word's length allows, with its first letter."""
+    return near_terms(queries, docs.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).distinct())
 
 
 def fuse(lists: list[DataFrame], k: int) -> DataFrame:
@@ -136,9 +214,7 @@ def corrections(queries: DataFrame, vocab: DataFrame) -> DataFrame:
     q = q.withColumn("d", F.when(F.octet_length("low") > 5, 2).otherwise(1))
 
     def run(q: DataFrame) -> DataFrame:
-        near = (F.substring("low", 1, 1) == F.substring("v", 1, 1)) & (F.abs(F.octet_length("low") - F.octet_length("v")) <= F.col("d"))
-        v = vocab.select(F.col("word").alias("v"), "n")
-        pairs = v.join(q, near).withColumn("dist", F.levenshtein("low", "v")).where(F.col("dist") <= F.col("d"))
+        pairs = meet(q, neighbourhoods(vocab.select(F.col("word").alias("v"), "n"), "v"), "low", "v", "d").where(F.abs(F.octet_length("low") - F.octet_length("v")) <= F.col("d")).withColumn("dist", F.levenshtein("low", "v"))
         # a word that is known has distance 0 and needs no repair
         best = pairs.groupBy("qid", "pos").agg(F.min(F.struct("dist", -F.col("n"), "v")).alias("m"))
         return q.join(best, ["qid", "pos"], "left").select("qid", "pos", "word", F.when((F.octet_length("low") >= 4) & (F.col("m.dist") > 0), F.col("m.v")).alias("best"))

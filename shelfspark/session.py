@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -18,3 +20,13 @@ def let_workers_import(spark: SparkSession) -> SparkSession:
     if where not in known.split(":"):
         spark.sparkContext.environment["PYTHONPATH"] = f"{known}:{where}".strip(":")
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share, ``spark.checkpoint.dir``; one of our own only on one machine where it is unset, as in tests."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="shelfspark-")
+    return where.rstrip("/")

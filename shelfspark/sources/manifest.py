@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ TABLES = {
     "events": ("run string, seq long, at timestamp, kind string, path string, detail string, done long, total long", ["run", "seq"], "run"),
 }
 BUCKETS = 64
+#: Columns by which rows are looked up besides that of the buckets.
+FILTERS = {"book_state": ("fingerprint", "content_sig")}
 
 
 class Busy(RuntimeError):
@@ -31,10 +35,14 @@ class Manifest:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         self.files = Files(spark, path)
-        self.tables = {name: Table(spark, f"{self.path}/{name}", schema, by, BUCKETS) for name, (schema, _, by) in TABLES.items()}
+        self.tables = {name: Table(spark, f"{self.path}/{name}", schema, by, BUCKETS, FILTERS.get(name, ())) for name, (schema, _, by) in TABLES.items()}
+
+    def read(self, name: str, buckets: list[int] | None = None) -> DataFrame:
+        return self.tables[name].read(buckets)
 
-    def read(self, name: str) -> DataFrame:
-        return self.tables[name].read()
+    def tidy(self) -> None:
+        for table in self.tables.values():
+            table.tidy()
 
     def upsert(self, name: str, rows: DataFrame) -> None:
         """rows in place of those with the same keys; of rows with one key the last by all columns."""
@@ -61,6 +69,20 @@ class Manifest:
         if not rest.isEmpty():
             self.upsert("conversations", rest.withColumn("collection_ids", F.array_remove("collection_ids", collection_id)))
 
+    def turns(self, conv_id: str) -> DataFrame:
+        """(turn, role, text) of a conversation; only its bucket is read."""
+        table = self.tables["messages"]
+        one = self.spark.createDataFrame([(conv_id,)], "conv_id string")
+        return table.read(table.buckets_of(one)).where(F.col("conv_id") == conv_id).select("turn", "role", "text")
+
+    def say(self, conv_id: str, said: list[tuple[str, str]]) -> None:
+        """Add turns (role, text) to the end of a conversation."""
+        last = self.turns(conv_id).agg(F.max("turn")).first()[0]
+        first = 0 if last is None else last + 1
+        now = int(time.time())
+        rows = [(conv_id, first + i, role, text, now) for i, (role, text) in enumerate(said)]
+        self.upsert("messages", self.spark.createDataFrame(rows, TABLES["messages"][0]))
+
     def acquire(self) -> None:
         if not self.files.lock("lock"):
             raise Busy(f"{self.path} is being written to; delete {self.path}/lock if that writer is gone")

@@ -8,14 +8,13 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions import formats as fm
 from ..operators import models
 from ..operators import state as st
-from ..operators.planner import CURRENT_VERSION, plan
+from ..operators.planner import CURRENT_VERSION, lookups, plan
 from ..operators.sections import chunk_books
 from ..sources.manifest import TABLES, Manifest
 from ..sources.readers import read_blocks
@@ -54,17 +53,18 @@ class Engine:
 
 
 def candidates(files: DataFrame) -> DataFrame:
-    """(pos, path, book_id, fp, csig) of a batch of files."""
-    pos = F.row_number().over(W.partitionBy(F.lit(0)).orderBy("path")).cast("long")  # BATCH_FILES rows
+    """(pos, path, book_id, fp, csig) of files, in order of their paths; sorted by ranges, so that no task numbers all of them."""
     seconds = F.floor(F.unix_micros("modificationTime") / 1_000_000)
-    return files.select(pos.alias("pos"), "path", fm.book_id(F.col("path")).alias("book_id"), fm.fingerprint(F.col("length"), seconds).alias("fp"), fm.content_signature(F.col("content"), F.col("length")).alias("csig"))
+    rows = files.select("path", fm.book_id(F.col("path")).alias("book_id"), fm.fingerprint(F.col("length"), seconds).alias("fp"), fm.content_signature(F.col("content"), F.col("length")).alias("csig"))
+    return rows.orderBy("path").select(F.monotonically_increasing_id().alias("pos"), "path", "book_id", "fp", "csig")
 
 
 def planned(engine: Engine, files: DataFrame) -> DataFrame:
     """The plan of a batch, with fp and csig."""
-    m, mine = engine.manifest, F.col("collection_id") == engine.collection
     found = candidates(files).persist()
-    steps = plan(found, m.read("book_state").where(mine), m.read("skip_state").where(mine), engine.store.read().select("book_id", "source_path").distinct(), engine.pipeline, engine.caps, engine.rechunk)
+    tables = engine.manifest.tables
+    held = lookups(found, tables["book_state"], tables["skip_state"], engine.store, engine.collection)
+    steps = plan(found, *held, engine.pipeline, engine.caps, engine.rechunk)
     return steps.join(found.select("pos", "fp", "csig"), "pos")
 
 
@@ -136,12 +136,17 @@ def ingest_batch(engine: Engine, outcomes: str, batch: DataFrame, batch_id: int)
             ids = engine.spark.createDataFrame([(r["book_id"],) for r in fresh], "book_id string")
             old = m.read("book_state").where(F.col("collection_id") == engine.collection).join(ids, "book_id", "left_semi")
             m.upsert("book_state", st.refresh(old, _state_rows(engine, fresh, None).drop("chunker_ver")))
-        for r in by("remap"):
-            move = engine.spark.createDataFrame([(r["other_id"], r["book_id"], r["path"])], "old_id string, new_id string, path string")
-            engine.store.change(move.select(F.col("old_id").alias("book_id")), ["book_id"], lambda t, move=move: st.remap(t, move))
-            old = m.read("book_state").where((F.col("collection_id") == engine.collection) & (F.col("book_id") == r["other_id"])).select("chunker_ver").first()
-            m.delete("book_state", engine.spark.createDataFrame([(engine.collection, r["other_id"])], "collection_id string, book_id string"))
-            m.upsert("book_state", _state_rows(engine, [r], old[0] if old else 0))
+        moves = by("remap")
+        if moves:  # all in one change
+            moved = engine.spark.createDataFrame([(r["other_id"], r["book_id"], r["path"]) for r in moves], "old_id string, new_id string, path string")
+            old_ids = moved.select(F.col("old_id").alias("book_id"))
+            engine.store.change(old_ids, ["book_id"], lambda t: st.remap(t, moved))
+            states = m.tables["book_state"]
+            known = states.read(states.buckets_of(old_ids)).where(F.col("collection_id") == engine.collection).join(old_ids, "book_id", "left_semi")
+            versions = {r["book_id"]: r["chunker_ver"] for r in known.select("book_id", "chunker_ver").collect()}  # a row for each file of the batch
+            m.delete("book_state", old_ids.select(F.lit(engine.collection).alias("collection_id"), "book_id"))
+            for version in {versions.get(r["other_id"], 0) for r in moves}:
+                m.upsert("book_state", _state_rows(engine, [r for r in moves if versions.get(r["other_id"], 0) == version], version))
         result |= bisect(by("embed"), lambda some, size: embed_books(engine, files, some, size), m.stopping)
         over = [r for r in steps if result.get(r["path"], ("",))[0] in ("skipped", "quarantined")]
         if over:
@@ -153,6 +158,8 @@ def ingest_batch(engine: Engine, outcomes: str, batch: DataFrame, batch_id: int)
         told = [(outcomes, batch_id * 1000 + i, now, outcome, path, reason, i + 1, len(rows)) for i, (path, outcome, reason) in enumerate(rows)]
         if told:
             m.upsert("events", engine.spark.createDataFrame(told, TABLES["events"][0]))
+        engine.store.tidy()
+        m.tidy()
     finally:
         files.unpersist()
 
