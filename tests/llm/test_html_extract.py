@@ -50,6 +50,47 @@ def test_no_article_is_dropped_for_a_word_in_a_name(name):
     assert h.extract_texts([page], TREE) == [f"The head line {text * 2}".strip()]
 
 
+NAV, FOOT = "<nav><ul><li><a href=/>Home</a></li><li><a href=/b>News of today</a></li></ul></nav>", "<footer>Copyright 2024 all rights reserved</footer>"
+#: Layouts that the label table does not write, by hand: {n} is a text of n words, [n] one that is not the article's.
+LAYOUTS = {
+    "divisions in an article": "@<article><div>{80}</div><div>{60}</div></article>#",
+    "lines between breaks": "@<main>{60}<br><br>{60}</main>#",
+    "lines in a division": "@<div>{60}<br>{9}<br>{50}</div>#",
+    "divisions under a name": "@<div class='post-content'><div>{60}</div><div>{60}</div></div>#",
+    "divisions alone": "<div>{80}</div><div>{90}</div>",
+    "spans": "@<div><span>{60}</span><br><span>{40}</span></div>#",
+    "a division between paragraphs": "@<article><p>{60}</p><div>{40}</div><p>{60}</p></article>#",
+    "links that the article lists": "@<article><p>{60}</p><ul><li><a href=/1>{5}</a></li><li><a href=/2>{5}</a></li></ul><p>{60}</p></article>#",
+    "a table for the layout": "<table><tr><td><a href=/>[1]</a></td><td>{90}</td></tr><tr><td></td><td>{40}</td></tr></table>",
+    "sections in sections": "@<section><section><h2>{4}</h2><div>{70}</div></section><section><div>{20}</div></section></section>#",
+    "fixed type": "@<article><pre>{60}</pre><p>{30}</p></article>#",
+    "comments without a name inside": "@<article><p>{80}</p><p>{60}</p><div><h3>Comments</h3><p>[12]</p><p>[20]</p></div></article>#",
+    "comments without a name behind": "@<article><p>{80}</p></article><div><h3>3 Comments</h3><div>[12]</div><div>[40]</div></div>#",
+    "related links inside": "@<article><p>{80}</p><p>{60}</p><h3>Related</h3><ul><li><a href=/1>[4]</a></li><li><a href=/2>[5]</a></li></ul></article>#",
+    "text in the body": "{60}<br>{60}",
+    "a list of definitions": "@<main><dl><dt>{1}</dt><dd>{30}</dd></dl><div>{80}</div></main>#",
+    "text right in an article": "@<article>{40}</article>#",
+    "links without a name beside": "@<div><div>{70}</div><div>{70}</div></div><div><ul><li><a href=/>[3]</a></li><li><a href=/>[2]</a></li></ul></div>#",
+}
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_layouts_that_the_label_table_lacks(layout):
+    mine = []
+
+    def put(m):
+        words = " ".join(f"{'word' if m[1] == '{' else 'other'}{len(mine)}" for _ in range(int(m[2])))
+        mine.append((m[1] == "{", words))
+        return words
+
+    page = re.sub(r"([{\[])(\d+)[}\]]", put, LAYOUTS[layout]).replace("@", NAV).replace("#", FOOT)
+    assert h.extract_texts([f"<html><body>{page}</body></html>"], TREE) == [" ".join(w for good, w in mine if good)]
+
+
+def test_addresses_that_end_in_a_slash_close_nothing():
+    assert [b.linked for b in h.blocks("<p><a href=/>four</a></p><p><a name='x'/>five<br/>six</p>")] == [4, 0, 0]
+
+
 def brute(page):
     """The article of a page of the tables, by cutting the string."""
     if "<article>" not in (page or ""):
