@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import words_of
-from ..session import let_workers_import
+from ..session import let_workers_import, shared_dir
 
 
 def _in_order(value: Column, order: str, sep: str) -> Column:
@@ -83,79 +86,158 @@ def preview(rows: DataFrame, key: str, order: str, label: str, text: str) -> Dat
 # --------------------------------------------------- windows that look back
 
 
-def pack(tokens: list[int], target: int, overlap: int, least: int) -> list[tuple[int, int]]:
-    """Runs of units, of about target tokens, each going back over about overlap tokens; a short last run joins the one before."""
-    runs: list[tuple[int, int]] = []
-    i, n = 0, len(tokens)
-    while i < n:
-        j, total = i, 0
-        while j < n and (j == i or total + tokens[j] <= target):
-            total += tokens[j]
-            j += 1
-        runs.append((i, j))
-        if j >= n:
-            break
-        back, held = 0, 0
-        while back < j - i and held < overlap:
-            back += 1
-            held += tokens[j - back]
-        i = max(i + 1, j - back)
-    if len(runs) > 1 and sum(tokens[slice(*runs[-1])]) < least:
-        runs[-2:] = [(runs[-2][0], runs[-1][1])]
-    return runs
+#: Units of a segment on average, the number that several tasks share a long book by.
+SEGMENT = 16_384
+CHUNK = "id string, book_id string, chapter string, page long, loc_start long, loc_end long, text string"
+UNIT = "book_id string, pos long, u int, chapter string, page long, start long, piece string, tokens long"
+
+
+def units(blocks: DataFrame, target: int) -> DataFrame:
+    """UNITs of rows (book_id, pos, chapter, page, text): paragraphs, or runs of target words of those that are longer; start counts from the block's."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for book, pos, chapter, page, text in zip(*(pdf[c].astype(object).where(pdf[c].notna(), None) for c in ("book_id", "pos", "chapter", "page", "text")), strict=True):
+                text, at, u = text or "", 0, 0
+                for m in [*re.finditer(r"\n[ \t]*\n", text), None]:
+                    part = text[at : m.start() if m else len(text)]
+                    words, start = part.split(), at + len(part) - len(part.lstrip())
+                    for k in range(0, len(words), target):
+                        some = words[k : k + target]
+                        piece = part.strip() if len(words) <= target else " ".join(some)
+                        out.append((book, pos, u, chapter, page, start, piece, len(some)))
+                        start, u = start + len(piece) + 1, u + 1
+                    at = m.end() if m else len(text)
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in UNIT.split(", ")]).astype({"page": "Int64", "pos": "Int64"})
+
+    return blocks.select("book_id", "pos", "chapter", "page", "text").mapInPandas(run, UNIT)
+
+
+class Windows:
+    """Windows over units in order, each a function of the unit it starts at.
+
+    A run is what is next to each other of one book and chapter; no window leaves it, and each run's first unit starts one. head: the first unit starts a run.
+    For each unit: end and next, the window from it and the start of the one behind; tail, that it belongs to the window
+    before as it is the last of its run and small; whole, the end with such a tail.
+    """
+
+    def __init__(self, run: np.ndarray, tokens: np.ndarray, head: bool, target: int, overlap: int, least: int):
+        n, at = len(tokens), np.arange(len(tokens))
+        c = np.concatenate([[0], np.cumsum(tokens)])
+        first = np.concatenate([[head], run[1:] != run[:-1]])
+        ends = np.append(np.flatnonzero(run[1:] != run[:-1]) + 1, n)
+        last = ends[np.searchsorted(ends, at, "right")]
+        end = np.minimum(np.maximum(np.searchsorted(c, c[at] + target, "right") - 1, at + 1), last)
+        back = np.maximum(np.searchsorted(c, c[end] - overlap, "right") - 1, at) if overlap > 0 else end
+        self.next = np.where(end >= last, last, np.maximum(at + 1, back))
+        self.tail = (end >= last) & (c[end] - c[at] < least) & ~first
+        self.whole = np.where((self.next < last) & self.tail[np.minimum(self.next, n - 1)], last, end)
+
+    def path(self, at: int, until: int) -> tuple[list[int], int]:
+        """The units before until at which the windows from one on start, without tails, and where the next one starts."""
+        out = []
+        while at < until:
+            if not self.tail[at]:
+                out.append(at)
+            at = int(self.next[at])
+        return out, at
 
 
 def chunk_books(blocks: DataFrame, target: int = 350, overlap: int = 60, least: int = 80) -> DataFrame:
     """(id, book_id, chapter, page, loc_start, loc_end, text) of rows (book_id, pos, chapter, page, text).
 
     Blocks are cut into paragraphs, and these, if they are too long, into runs of words;
-    runs of one chapter are packed into chunks, which never cross chapters. The packing
-    looks back at what it has packed, so a book's blocks go to one task in order; it
-    holds one book at a time.
-    """
-    let_workers_import(blocks.sparkSession)
-    columns = ["id", "book_id", "chapter", "page", "loc_start", "loc_end", "text"]
-
-    def units_of(rows: list[tuple]) -> list[tuple]:
-        units, offset = [], 0
-        for chapter, page, text in rows:
-            text, at = text or "", 0
-            for m in [*re.finditer(r"\n[ \t]*\n", text), None]:
-                part = text[at : m.start() if m else len(text)]
-                words, start = part.split(), offset + at + len(part) - len(part.lstrip())
-                for k in range(0, len(words), target):
-                    some = words[k : k + target]
-                    piece = part.strip() if len(words) <= target else " ".join(some)
-                    units.append((chapter, page, start, piece, len(some)))
-                    start += len(piece) + 1
-                at = m.end() if m else len(text)
-            offset += len(text) + 2
-        return units
-
-    def chunks_of(book: str, rows: list[tuple]) -> list[tuple]:
-        units, out, i = units_of(rows), [], 0
-        while i < len(units):
-            j = i
-            while j < len(units) and units[j][0] == units[i][0]:
-                j += 1
-            for a, z in pack([u[4] for u in units[i:j]], target, overlap, least):
-                group = units[i + a : i + z]
-                out.append((f"{book}:{len(out)}", book, group[0][0], group[0][1], group[0][2], group[-1][2] + len(group[-1][3]), "\n\n".join(u[3] for u in group)))
-            i = j
-        return out
+    runs of one chapter are packed into chunks, which never cross chapters.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come in the order of books and positions; a book may go on in the next batch."""
-        book, held = None, []
-        for pdf in batches:
-            out = []
-            for b, chapter, page, text in zip(pdf.book_id, pdf.chapter.astype(object).where(pdf.chapter.notna(), None), pdf.page.astype(object).where(pdf.page.notna(), None), pdf.text, strict=True):
-                if b != book:
-                    out += chunks_of(book, held)
-                    book, held = b, []
-                held.append((chapter, page, text))
-            yield pd.DataFrame(out, columns=columns).astype({"page": "Int64"})
-        yield pd.DataFrame(chunks_of(book, held), columns=columns).astype({"page": "Int64"})
-
-    ordered = blocks.where("book_id IS NOT NULL").select("book_id", "pos", "chapter", "page", "text").repartition("book_id").sortWithinPartitions("book_id", "pos")
-    return ordered.mapInPandas(run, "id string, book_id string, chapter string, page long, loc_start long, loc_end long, text string")
+    A chunk's end and the start of the next depend on where it starts alone. So all units, in order, are dealt to
+    tasks in segments, whatever the size of a book, each with as many of the units behind it as two chunks may need. A segment tells for
+    each place where the chunks of those before may hand over to it where it hands over in turn; the driver follows these
+    numbers from segment to segment, and then each segment makes the chunks that start in it.
+    """
+    spark = let_workers_import(blocks.sparkSession)
+    blocks = blocks.where("book_id IS NOT NULL")
+    sizes = blocks.groupBy("book_id", "pos").agg(F.sum(F.coalesce(F.length("text"), F.lit(0)) + 2).alias("_n"))
+    before = F.sum("_n").over(W.partitionBy("book_id").orderBy("pos").rowsBetween(W.unboundedPreceding, -1))
+    offsets = sizes.select(F.col("book_id").alias("_b"), F.col("pos").alias("_p"), F.coalesce(before, F.lit(0)).alias("_at"))
+    order = ["book_id", "pos", "u", "start"]
+    found = units(blocks, target).persist()
+    try:
+        placed = found.join(offsets, (F.col("book_id") == F.col("_b")) & F.col("pos").eqNullSafe(F.col("_p"))).withColumn("start", F.col("start") + F.col("_at")).drop("_b", "_p", "_at")
+        dealt = placed.repartitionByRange(-(-found.count() // SEGMENT) or 1, *order).sortWithinPartitions(*order)
+        where = f"{shared_dir(spark)}/units-{uuid.uuid4().hex}"
+        dealt.select("*", F.spark_partition_id().alias("seg"), (F.monotonically_increasing_id() % F.lit(1 << 33)).alias("i")).write.parquet(where)
+    finally:
+        found.unpersist()
+    held = spark.read.schema(f"{UNIT}, seg int, i long").parquet(where)
+    counts = dict(sorted(tuple(r) for r in held.groupBy("seg").agg(F.count("*")).collect()))  # a row for each segment
+    if not counts:
+        return spark.createDataFrame([], CHUNK)
+    starts = np.concatenate([[0], np.cumsum(list(counts.values()))]).astype(np.int64)
+    numbers = np.array(list(counts))
+    halo = 2 * target + 2  # units have a token at least, so two chunks have no more of them
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each unit for its own segment, for those that end shortly before it, and the last of a segment for the one behind, too."""
+        for batch in batches:
+            own = np.searchsorted(numbers, batch.column("seg").to_numpy())
+            i = batch.column("i").to_numpy() + starts[own]
+            low = np.minimum(np.searchsorted(starts[1:], i - halo, "right"), own)
+            high = np.minimum(own + (starts[own + 1] == i + 1), len(starts) - 2)
+            many = high - low + 1
+            take = np.repeat(np.arange(len(i)), many)
+            part = low[take] + np.arange(len(take)) - np.repeat(np.cumsum(many) - many, many)
+            names = [c for c in batch.schema.names if c not in ("seg", "i")]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(i[take]), *[batch.column(c).take(pa.array(take)) for c in names]], ["part", "i", *names])
+
+    def segments(*columns: str):
+        some = held.select("seg", "i", "book_id", "chapter", "tokens", *columns)
+        return some.mapInArrow(spread, some.select(F.lit(0).alias("part"), *some.drop("seg").columns).schema).groupBy("part")
+
+    def opened(pdf: pd.DataFrame) -> tuple[pd.DataFrame, int, int, Windows]:
+        """The units of a segment and those behind it, its number, how many are its own, and their windows."""
+        part = int(pdf["part"].iloc[0])
+        pdf = pdf.sort_values("i", ignore_index=True)
+        names = list(zip(pdf.book_id, pdf.chapter.astype(object).where(pdf.chapter.notna(), None), strict=True))
+        run = np.cumsum([0, *(a != b for a, b in zip(names[1:], names[:-1], strict=True))])
+        ahead = int(pdf["i"].iloc[0] < starts[part])  # the last unit of the segment before
+        head = ahead == 0 or bool(run[ahead] != run[0])
+        pdf = pdf.iloc[ahead:].reset_index(drop=True)
+        return pdf, part, int(starts[part + 1] - starts[part]), Windows(run[ahead:], pdf.tokens.to_numpy(), head, target, overlap, least)
+
+    def hand_over(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, part, n, w = opened(pdf)
+        leaves = np.arange(n + halo + 1)
+        for i in range(n - 1, -1, -1):
+            leaves[i] = leaves[w.next[i]]
+        return pd.DataFrame({"part": [part], "leaves": [(leaves[: halo + 1] - n).tolist()]})
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, part, n, w = opened(pdf)
+        book = pdf.book_id.to_numpy()[:n]
+        made = sum(book[i] == book[-1] for i in w.path(entries[part], n)[0])
+        return pd.DataFrame({"part": [part], "first": [book[0]], "last": [book[-1]], "made": [made]})
+
+    def make(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, part, n, w = opened(pdf)
+        out, book, k = [], pdf.book_id.iloc[0], ordinals[part]
+        pages = pdf.page.astype(object).where(pdf.page.notna(), None)
+        for i in w.path(entries[part], n)[0]:
+            if pdf.book_id[i] != book:
+                book, k = pdf.book_id[i], 0
+            z = int(w.whole[i])
+            end = int(pdf.start[z - 1]) + len(pdf.piece[z - 1])
+            out.append((f"{book}:{k}", book, pdf.chapter[i], pages[i], int(pdf.start[i]), end, "\n\n".join(pdf.piece[i:z])))
+            k += 1
+        return pd.DataFrame(out, columns=[x.split()[0] for x in CHUNK.split(", ")]).astype({"page": "Int64"})
+
+    # what the driver holds is a few hundred numbers for each segment that begins inside a run
+    entries, ordinals = [0], [0]
+    if len(starts) > 2:
+        for r in segments().applyInPandas(hand_over, "part int, leaves array<long>").orderBy("part").toLocalIterator():
+            entries.append(int(r["leaves"][entries[-1]]))
+        told = segments().applyInPandas(count, "part int, first string, last string, made long").orderBy("part").collect()
+        for one, two in zip(told, told[1:], strict=False):
+            so_far = one["made"] + (ordinals[-1] if one["first"] == one["last"] else 0)
+            ordinals.append(so_far if one["last"] == two["first"] else 0)
+    return segments("page", "start", "piece").applyInPandas(make, CHUNK)

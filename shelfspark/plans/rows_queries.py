@@ -17,7 +17,23 @@ def _blocks(t):
     return d.withColumn("chapter", F.concat(F.lit("Ch "), F.floor(F.col("pos") / 5).cast("string"))).withColumn("page", F.lit(None).cast("long"))
 
 
-@query()
+CHUNKS_SQL = """WITH RECURSIVE b AS (SELECT doc_id, unnest(range(len(ls))) AS pos, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
+  o AS (SELECT *, coalesce(sum(length(line) + 2) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(line) - length(regexp_replace(line, '^\\s+', '')) AS lead_in, list_filter(regexp_split_to_array(line, '\\s+'), lambda x: x <> '') AS w FROM b),
+  k AS (SELECT doc_id, pos, pos // 5 AS ch, lead_in, line, w, unnest(range((len(w) + 99) // 100)) AS k FROM o),
+  p AS (SELECT doc_id, pos, ch, k, lead_in, CASE WHEN len(w) <= 100 THEN regexp_replace(line, '^\\s+|\\s+$', '', 'g') ELSE array_to_string(w[k * 100 + 1:(k + 1) * 100], ' ') END AS piece, least(len(w) - k * 100, 100) AS tokens FROM k),
+  u AS (SELECT *, lead_in + coalesce(sum(length(piece) + 1) OVER (PARTITION BY doc_id, pos ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, sum(tokens) OVER (PARTITION BY doc_id, ch ORDER BY pos, k) AS upto FROM p),
+  r AS (SELECT doc_id, ch, list(piece ORDER BY pos, k) AS pieces, list(start ORDER BY pos, k) AS starts, list_prepend(0::HUGEINT, list(upto ORDER BY pos, k)) AS c FROM u GROUP BY doc_id, ch),
+  s AS (SELECT doc_id, ch, c, 0::BIGINT AS i, greatest(1, len(list_filter(c, lambda x: x <= 100)) - 1)::BIGINT AS j FROM r
+    UNION ALL
+    SELECT doc_id, ch, c, n AS i, greatest(n + 1, len(list_filter(c, lambda x: x <= c[n + 1] + 100)) - 1)::BIGINT AS j
+    FROM (SELECT doc_id, ch, c, greatest(i + 1, len(list_filter(c, lambda x: x <= c[j + 1] - 20)) - 1)::BIGINT AS n FROM s WHERE j < len(c) - 1)),
+  l AS (SELECT *, j = len(c) - 1 AND i > 0 AND c[j + 1] - c[i + 1] < 25 AS tail FROM s),
+  f AS (SELECT doc_id, ch, i, CASE WHEN coalesce(lead(tail) OVER (PARTITION BY doc_id, ch ORDER BY i), false) THEN len(c) - 1 ELSE j END AS j, tail FROM l)
+  SELECT doc_id || ':' || (row_number() OVER (PARTITION BY doc_id ORDER BY ch, i) - 1) AS id, doc_id::VARCHAR AS book_id, 'Ch ' || ch AS chapter, NULL::BIGINT AS page, starts[i + 1]::BIGINT AS loc_start, (starts[j] + length(pieces[j]))::BIGINT AS loc_end, array_to_string(pieces[i + 1:j], chr(10) || chr(10)) AS text
+  FROM f JOIN r USING (doc_id, ch) WHERE NOT tail"""
+
+
+@query(CHUNKS_SQL)
 def chunks(t):
     return chunk_books(_blocks(t), 100, 20, 25)
 

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -5,7 +7,7 @@ from shelfspark.functions import formats as fm
 from shelfspark.functions import text as tx
 from shelfspark.operators import citations, planner, state
 from shelfspark.operators.models import copy_key, dehyphenate, md_blocks, md_match, slices, trim_tail
-from shelfspark.operators.sections import pack
+from shelfspark.operators import sections
 
 
 def one(spark, column, *values):
@@ -78,6 +80,28 @@ def test_upsert_is_idempotent(spark):
     assert sorted(once.collect(), key=str) == sorted(state.upsert(once, r, ["k"]).collect(), key=str) == [(1, "a"), (2, "c"), (3, None)]
 
 
+def pack(tokens: list[int], target: int, overlap: int, least: int) -> list[tuple[int, int]]:
+    """Runs of units, of about target tokens, each going back over about overlap tokens; a short last run joins the one before."""
+    runs: list[tuple[int, int]] = []
+    i, n = 0, len(tokens)
+    while i < n:
+        j, total = i, 0
+        while j < n and (j == i or total + tokens[j] <= target):
+            total += tokens[j]
+            j += 1
+        runs.append((i, j))
+        if j >= n:
+            break
+        back, held = 0, 0
+        while back < j - i and held < overlap:
+            back += 1
+            held += tokens[j - back]
+        i = max(i + 1, j - back)
+    if len(runs) > 1 and sum(tokens[slice(*runs[-1])]) < least:
+        runs[-2:] = [(runs[-2][0], runs[-1][1])]
+    return runs
+
+
 @pytest.mark.parametrize("tokens,want", [([], []), ([5], [(0, 1)]), ([4, 4, 4], [(0, 2), (1, 3)]), ([20, 1], [(0, 2)]), ([6, 6, 6, 1], [(0, 1), (1, 2), (2, 4)])])
 def test_pack(tokens, want):
     assert pack(tokens, 10, 3, 3) == want
@@ -93,3 +117,39 @@ def test_markdown_matching():
     assert blocks == ["Head", "text bold and  code goes on", "item", "one", "x = 1"]
     assert md_match("Head\ntext bold and  code", blocks) and not md_match("elsewhere", blocks)
     assert slices("ab\n\ncd\n\nef", 3) == [0, 8] and trim_tail("aéé", 3) == "é"
+
+
+@pytest.mark.parametrize("segment", [5, 40, 10**6])
+def test_chunks_do_not_depend_on_segments(spark, monkeypatch, segment):
+    monkeypatch.setattr(sections, "SEGMENT", segment)
+    r = random.Random(3)
+    blocks = []
+    for book in ("a", "b", None, "c"):
+        for pos in range(120 if book == "b" else 12):
+            text = r.choice([None, "", " ", "w " * r.randint(1, 9), " word" * r.randint(1, 30) + "\n \n" + "x " * r.randint(0, 4)])
+            blocks.append((book, pos, None if pos < 3 else f"c{pos // (90 if book == 'b' else 5)}", None, text))
+    got = sections.chunk_books(spark.createDataFrame(blocks, "book_id string, pos long, chapter string, page long, text string"), 10, 3, 4).collect()
+    want = []
+    for book in ("a", "b", "c"):
+        units, offset, k = [], 0, 0
+        for _, _, chapter, _, text in (x for x in blocks if x[0] == book):
+            text, at = text or "", 0
+            for part in text.split("\n \n"):
+                words, start = part.split(), offset + at + len(part) - len(part.lstrip())
+                for j in range(0, len(words), 10):
+                    piece = part.strip() if len(words) <= 10 else " ".join(words[j : j + 10])
+                    units.append((chapter, start, piece, len(words[j : j + 10])))
+                    start += len(piece) + 1
+                at += len(part) + 3
+            offset += len(text) + 2
+        i = 0
+        while i < len(units):
+            j = i
+            while j < len(units) and units[j][0] == units[i][0]:
+                j += 1
+            for a, z in pack([u[3] for u in units[i:j]], 10, 3, 4):
+                some = units[i + a : i + z]
+                want.append((f"{book}:{k}", book, some[0][0], None, some[0][1], some[-1][1] + len(some[-1][2]), "\n\n".join(u[2] for u in some)))
+                k += 1
+            i = j
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
