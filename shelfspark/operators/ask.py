@@ -37,7 +37,7 @@ def pools(asked: DataFrame, chunks: DataFrame, settings: Settings, embedder: Cal
         keyed = chunks.where(F.size("vector") > 0).withColumn("_key", F.xxhash64("id"))
         vectors = keyed.select(F.col("_key").alias("id"), F.col("vector").cast("array<double>").alias("v"))
         wanted = models.embed(asked, embedder, text="q", out="v").select("qid", F.col("v").cast("array<double>").alias("v"))
-        found = r.vector_search(wanted, vectors, settings.hybrid_k).withColumnRenamed("id", "_key")
+        found = r.vector_search(wanted, vectors, settings.hybrid_k, own=True).withColumnRenamed("id", "_key")
         lists.append(found.join(keyed.select("_key", "id"), "_key").select("qid", "id", "score", "rank"))
     return r.fuse(lists, settings.hybrid_k)
 

@@ -42,6 +42,28 @@ def classify_pdf(page: Column, probe: Column, on: Column, near: Column, whole: C
     )
 
 
+RUNGS = ("page", "page before", "page behind", "prefix")
+#: Words that are looked for where all of them are not found.
+SHORT = 4
+
+
+def ladder(cites: DataFrame, pages: DataFrame) -> DataFrame:
+    """(id, rung, found): where the words of a citation (id, path, page, words) are found in the pages (path, page, text) of its file.
+
+    All words, with any white space between them and in either case, on the cited page, the one before, the one
+    behind; else the first SHORT of more on the cited page; else none. A join by path and page meets three pages for each citation.
+    """
+    pattern = lambda words: F.concat(F.lit("(?is)"), F.array_join(F.transform(words, lambda w: F.concat(F.lit("\\Q"), w, F.lit("\\E"))), "\\s*"))
+    c = cites.where(F.size("words") > 0).withColumn("_whole", pattern(F.col("words"))).withColumn("_short", F.when(F.size("words") > SHORT, pattern(F.slice("words", 1, SHORT))))
+    near = c.withColumn("_page", F.explode(F.array(F.col("page") - 1, F.col("page"), F.col("page") + 1))).join(pages.select(F.col("path").alias("_path"), F.col("page").alias("_p"), "text"), (F.col("path") == F.col("_path")) & (F.col("_page") == F.col("_p")))
+    whole = F.regexp_like("text", F.col("_whole"))
+    here = F.col("_p") == F.col("page")
+    rung = F.when(here & whole, 1).when((F.col("_p") < F.col("page")) & whole, 2).when((F.col("_p") > F.col("page")) & whole, 3).when(here & F.coalesce(F.regexp_like("text", F.col("_short")), F.lit(False)), 4)
+    best = near.select("id", rung.alias("_r"), "_p").where("_r IS NOT NULL").groupBy("id").agg(F.min(F.struct("_r", "_p")).alias("x"))
+    named = F.coalesce(*[F.when(F.col("x._r") == i + 1, name) for i, name in enumerate(RUNGS)], F.lit("none"))
+    return cites.join(best, "id", "left").select("id", named.alias("rung"), F.col("x._p").alias("found"))
+
+
 def label_tier(stored: Column, label: Column) -> tuple[Column, Column]:
     """(tier, score) at which a stored label fits one of a table of contents; tier null if it doesn't. Both are normalized."""
     words = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda w: F.length(w) >= 3))

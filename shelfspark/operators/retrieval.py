@@ -41,12 +41,23 @@ def in_blocks(queries: DataFrame, run) -> DataFrame:
     return reduce(DataFrame.unionByName, [run(F.broadcast(part.where(F.col("_block") == i).drop("_block"))) for i in range(blocks)])
 
 
-def vector_search(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """(qid, id, score, rank) by inner product of (qid, v) with (id, v); a row is not its own match.
+def vector_search(queries: DataFrame, vectors: DataFrame, k: int, own: bool = False) -> DataFrame:
+    """(qid, id, score, rank) by inner product of (qid, v) with (id, v). Unless own, qid and id name the same rows, and a row is not its own match.
 
-    Each partition multiplies its vectors with the block of queries and sends on its best k.
+    Each partition multiplies its vectors with the block of queries and sends on its best k. Vectors that are null,
+    empty, hold null or non-finite components, or have another length than the query find nothing and are not found.
     """
     let_workers_import(vectors.sparkSession)
+    whole = lambda c: F.coalesce((F.size(c) > 0) & F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
+    queries = queries.where(whole("v")).withColumn("_d", F.size("v"))
+    vectors = vectors.where(whole("v"))
+    lengths = [r["_d"] for r in queries.select("_d").distinct().collect()]  # a model has one
+    if not lengths:
+        return vectors.select(F.lit(0).cast("long").alias("qid"), F.lit(0).cast("long").alias("id"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
+    return reduce(DataFrame.unionByName, [_vector_search(queries.where(F.col("_d") == d), vectors.where(F.size("v") == d), k, own) for d in lengths])
+
+
+def _vector_search(queries: DataFrame, vectors: DataFrame, k: int, own: bool) -> DataFrame:
     n = queries.count()
     found = []
     for lo in range(0, n, QUERY_BLOCK):
@@ -62,7 +73,8 @@ def vector_search(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
                 ids = batch.column("id").to_numpy()
                 x = batch.column("v").flatten().to_numpy().astype(float).reshape(batch.num_rows, -1)
                 s = q @ x.T
-                s[ids[None, :] == qid[:, None]] = -np.inf
+                if not own:
+                    s[ids[None, :] == qid[:, None]] = -np.inf
                 new_ids, new = np.broadcast_to(ids, s.shape), s
                 if best is not None:
                     new_ids, new = np.concatenate([best[0], new_ids], axis=1), np.concatenate([best[1], s], axis=1)

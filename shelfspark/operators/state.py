@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import formats as fm
+from ..session import stored
 
 
 def upsert(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -79,8 +80,38 @@ def multi_id(rows: DataFrame, manifest: DataFrame) -> DataFrame:
     return g.withColumn("keep_id", keep).select("source_path", "keep_id", F.array_join(F.filter("_ids", lambda i: i != F.col("keep_id")), ",").alias("remove_ids"))
 
 
-def nearest_rank(values: str, share: int) -> Column:
-    """The value at index n * share / 100 of all in order, without interpolation."""
-    v = F.sort_array(F.collect_list(values))
-    at = F.least(F.floor(F.size(v) * share / 100).cast("int"), F.size(v) - 1)
-    return F.element_at(v, at + 1)
+#: Bins that a range of values is cut into by one pass.
+BINS = 1_024
+
+
+def nearest_ranks(rows: DataFrame, by: list[str], value: str, shares: list[int]) -> DataFrame:
+    """(by..., p<share>...): of each group the value at index n * share / 100 of all in order, without interpolation; nulls don't count.
+
+    Selection by counting: each pass counts the values of a group's range by bin and goes on with the bin that
+    holds the index, from its smallest to its largest value, until these are one. No group is sorted or gathered;
+    what is shuffled is a row for each task, group and bin.
+    """
+    rows = rows.select(*by, F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
+    none = F.array().cast("array<int>")
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    at = F.least(F.floor(F.col("_n") * F.col("_share") / 100), F.col("_n") - 1)
+    wanted = stored(sizes.withColumn("_share", F.explode(F.array(*map(F.lit, shares)) if shares else none)).select(*by, "_share", at.alias("_at"), "_lo", "_hi"))
+    keys = [*by, "_share"]
+    while not (still := wanted.where("_lo < _hi")).isEmpty():
+        asked = still.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], "_share", "_lo", "_hi")
+        same = F.col("_v").between(F.col("_lo"), F.col("_hi"))
+        for i, c in enumerate(by):
+            same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+        # halves, as the difference of two large numbers may be no number; that of two tiny ones may be 0
+        wide = F.col("_hi") / 2 - F.col("_lo") / 2
+        place = F.try_divide(F.col("_v") / 2 - F.col("_lo") / 2, wide)
+        bin_ = F.when(wide > 0, F.least(F.floor(place * BINS), F.lit(BINS - 1))).otherwise((F.col("_v") > F.col("_lo")).cast("long"))
+        counted = rows.join(asked, same).groupBy(*keys, bin_.alias("_bin")).agg(F.count("*").alias("_c"), F.min("_v").alias("_a"), F.max("_v").alias("_z"))
+        upto = F.sum("_c").over(W.partitionBy(*keys).orderBy("_bin"))  # of BINS rows at most
+        counted = counted.withColumn("_upto", upto).select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], "_c", "_a", "_z", "_upto")
+        held = (F.col("_upto") > F.col("_at")) & (F.col("_upto") - F.col("_c") <= F.col("_at"))
+        for i, c in enumerate(keys):
+            held = held & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+        narrowed = still.join(counted, held).select(*keys, (F.col("_at") - F.col("_upto") + F.col("_c")).alias("_at"), F.col("_a").alias("_lo"), F.col("_z").alias("_hi"))
+        wanted = stored(wanted.where("NOT (_lo < _hi)").unionByName(narrowed))
+    return wanted.groupBy(*by).agg(*[F.max(F.when(F.col("_share") == s, F.col("_lo"))).alias(f"p{s}") for s in shares])

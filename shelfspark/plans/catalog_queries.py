@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import catalog, citations, conversations, state, themes
+from ..operators import catalog, citations, conversations, scans, state, themes
 from .registry import Library, query
 from .text_queries import CHAPTERS_SQL, PROBE_SQL, _labels, chapter_sql
 
@@ -135,14 +135,27 @@ def token_usage(t):
 
 @query("SELECT event_type, v[(len(v) // 2 + 1)::INT] AS p50, v[(least(len(v) * 95 // 100, len(v) - 1) + 1)::INT] AS p95, v[len(v)] AS most FROM (SELECT event_type, list_sort(list(value)) AS v FROM events GROUP BY event_type)")
 def nearest_rank_pct(t):
-    return t.events.groupBy("event_type").agg(state.nearest_rank("value", 50).alias("p50"), state.nearest_rank("value", 95).alias("p95"), F.max("value").alias("most"))
+    return state.nearest_ranks(t.events, ["event_type"], "value", [50, 95, 100]).withColumnRenamed("p100", "most")
 
 
-@query("SELECT source, line FROM (SELECT source, doc_id, regexp_replace(lower(trim(regexp_replace(line, '\\s+', ' ', 'g'))), '[0-9]+', '#', 'g') AS line FROM (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)) WHERE line <> '' GROUP BY source, line HAVING count(DISTINCT doc_id) >= 5")
+PAGES_SQL = "pg AS (SELECT doc_id, unnest(range(1, greatest(n, 1) + 1)) AS page, text, n FROM (SELECT doc_id, text, (length(text) + 399) // 400 AS n FROM documents)), pl AS (SELECT doc_id, page, 'Part ' || (doc_id % 3) || ' page ' || page || chr(10) || text[(page - 1) * 400 + 1:page * 400] AS text FROM pg)"
+
+
+def _pages(t: Library):
+    """Documents as files of pages of 400 characters, under a head that counts them; (doc_id, page, text)."""
+    d = t.documents.select("doc_id", "text", F.ceil(F.length("text") / 400).cast("int").alias("n"))
+    d = d.withColumn("page", F.explode(F.sequence(F.lit(1), F.greatest("n", F.lit(1)))))
+    part = F.col("text").substr((F.col("page") - 1) * 400 + 1, F.lit(400))
+    head = F.concat(F.lit("Part "), (F.col("doc_id") % 3).cast("string"), F.lit(" page "), F.col("page").cast("string"), F.lit("\n"))
+    return d.select("doc_id", F.col("page").cast("long").alias("page"), F.concat(head, part).alias("text"))
+
+
+@query(f"""WITH {PAGES_SQL}, l AS (SELECT DISTINCT doc_id, page, regexp_replace(lower(trim(regexp_replace(line, '\\s+', ' ', 'g'))), '[0-9]+', '#', 'g') AS line FROM (SELECT doc_id, page, unnest(string_split(text, chr(10))) AS line FROM pl)),
+  n AS (SELECT doc_id, count(*) AS n FROM pg GROUP BY doc_id)
+  SELECT doc_id, line, count(*) AS pages FROM l JOIN n USING (doc_id) WHERE line <> '' AND n >= 5 GROUP BY doc_id, line, n HAVING count(*) >= greatest(5, floor(n * 0.3))""")
 def repeated_lines(t):
-    lines = t.documents.select("source", "doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    n = lines.select("source", "doc_id", tx.line_norm(F.col("line")).alias("line")).where("line <> ''").distinct()
-    return n.groupBy("source", "line").agg(F.count("*").alias("n")).where("n >= 5").select("source", "line")
+    """Running heads: lines on at least 5 pages and three tenths of the pages of a file of at least 5 pages."""
+    return scans.running_heads(_pages(t), "doc_id").select("doc_id", "line", "pages")
 
 
 @query("SELECT r_name AS node, count(*) AS weight FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY 1 UNION ALL SELECT n_name, 1 FROM nation")
@@ -336,17 +349,26 @@ def cite_tally(t):
     return n.withColumn("percent", F.round(F.lit(100.0) * F.col("n") / F.sum("n").over(W.partitionBy("family", "lang")), 6))
 
 
-@query(f"WITH {CITE_SQL} SELECT lang, outcome, count(*) AS n FROM kb JOIN documents USING (doc_id) GROUP BY ROLLUP (lang, outcome)")
-def cite_metric(t):
-    return _book_outcomes(t).join(t.documents.select("doc_id", "lang"), "doc_id").rollup("lang", "outcome").agg(F.count("*").alias("n"))
+LADDER_SQL = f"""{PAGES_SQL}, c0 AS (SELECT doc_id, min(page) AS p FROM pl WHERE page >= 2 OR doc_id % 2 = 0 GROUP BY doc_id), pr AS (SELECT c0.doc_id, p, string_split(trim(regexp_replace(pl.text, '\\s+', ' ', 'g')), ' ')[6:13] AS w FROM c0 JOIN pl ON c0.doc_id = pl.doc_id AND c0.p = pl.page),
+  ct AS (SELECT doc_id, CASE doc_id % 5 WHEN 1 THEN p + 1 WHEN 2 THEN p - 1 WHEN 3 THEN p + 7 ELSE p END AS page, CASE WHEN doc_id % 5 = 4 THEN list_concat(w[1:4], ['nowhere']) ELSE w END AS w FROM pr),
+  rx AS (SELECT doc_id, page, array_to_string(list_transform(w, lambda x: regexp_escape(x)), '\\s*') AS whole, CASE WHEN len(w) > 4 THEN array_to_string(list_transform(w[1:4], lambda x: regexp_escape(x)), '\\s*') END AS short FROM ct WHERE len(w) > 0),
+  hit AS (SELECT rx.doc_id, CASE WHEN pl.page = rx.page AND regexp_matches(pl.text, whole, 'i') THEN 1 WHEN pl.page = rx.page - 1 AND regexp_matches(pl.text, whole, 'i') THEN 2 WHEN pl.page = rx.page + 1 AND regexp_matches(pl.text, whole, 'i') THEN 3 WHEN pl.page = rx.page AND short IS NOT NULL AND regexp_matches(pl.text, short, 'i') THEN 4 END AS rung, pl.page FROM rx JOIN pl ON rx.doc_id = pl.doc_id AND abs(pl.page - rx.page) <= 1)"""
 
 
-@query(f"WITH {CITE_SQL} SELECT doc_id, CASE WHEN probe = '' THEN 'none' WHEN contains(whole, probe) THEN 'page' WHEN contains(whole, array_to_string(string_split(probe, ' ')[1:4], ' ')) THEN 'prefix' ELSE 'none' END AS rung FROM x")
+@query(f"WITH {LADDER_SQL} SELECT ct.doc_id, coalesce(['page', 'page before', 'page behind', 'prefix'][m.rung], 'none') AS rung, m.page FROM ct LEFT JOIN (SELECT doc_id, min(rung) AS rung, arg_min(page, rung) AS page FROM hit WHERE rung IS NOT NULL GROUP BY doc_id) m USING (doc_id)")
 def pdf_ladder(t):
-    """The reader's ladder: the whole probe, else its first four words, else nothing."""
-    short = F.array_join(F.slice(F.split("probe", " "), 1, 4), " ")
-    rung = F.when(F.col("probe") == "", "none").when(F.contains("whole", "probe"), "page").when(F.contains(F.col("whole"), short), "prefix").otherwise("none")
-    return _cited(t).select("doc_id", rung.alias("rung"))
+    """The reader's ladder over files of pages: the cited page, the one before, the one behind, then the first words on the cited one.
+
+    Citations are right, one page off either way, far off, or right with other words at their end.
+    """
+    pages = _pages(t)
+    first = pages.where((F.col("page") >= 2) | (F.col("doc_id") % 2 == 0)).groupBy("doc_id").agg(F.min("page").alias("page"))
+    words = F.slice(F.split(tx.one_line(F.col("text")), " "), 6, 8)
+    k = F.col("doc_id") % 5
+    off = F.when(k == 1, F.col("page") + 1).when(k == 2, F.col("page") - 1).when(k == 3, F.col("page") + 7).otherwise(F.col("page"))
+    said = F.when(k == 4, F.concat(F.slice("w", 1, 4), F.array(F.lit("nowhere")))).otherwise(F.col("w"))
+    cites = pages.join(first, ["doc_id", "page"]).withColumn("w", words).select(F.col("doc_id").alias("id"), F.col("doc_id").alias("path"), off.alias("page"), said.alias("words"))
+    return citations.ladder(cites, pages.withColumnRenamed("doc_id", "path")).select(F.col("id").alias("doc_id"), "rung", F.col("found").alias("page"))
 
 
 # ------------------------------------------------------ relational checks

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import formats as fm
 from ..functions import text as tx
+from ..operators import scans
 from .registry import Library, query
 
 EXT_SQL = f"nullif(regexp_extract(lower(regexp_extract(path, '([^/\\\\]*)$', 1)), '^.+?\\.({fm.EXT_PATTERN})$', 1, 's'), '')"
@@ -375,10 +376,29 @@ def ocr_prefer(t):
     return b.join(cache, b.doc_id == cache.d, "left").select("doc_id", F.coalesce("copy", "path").alias("path"))
 
 
-@query("""SELECT source, count(*) FILTER (n < 200) AS thin, count(*) AS pages, count(*) FILTER (n < 200) / count(*) >= 0.1 AS scanned FROM (SELECT source, length(text) AS n FROM documents) GROUP BY source""")
+@query("""WITH b AS (SELECT doc_id // 10 AS file, doc_id % 10 + 1 AS page, CASE WHEN doc_id // 10 % 2 = 0 THEN text[1:80] ELSE text[1:doc_id * 7 % 90] END AS text FROM documents WHERE doc_id % 10 < 7), n AS (SELECT DISTINCT doc_id // 10 AS file, CASE WHEN doc_id // 10 % 7 = 5 THEN 0 ELSE 9 END AS pages FROM documents),
+  f AS (SELECT file, count(*) AS full_pages FROM (SELECT file, page FROM b GROUP BY file, page HAVING sum(length(text)) >= 50) JOIN n USING (file) WHERE page <= pages GROUP BY file), h AS (SELECT file, count(*) AS blocks FROM b GROUP BY file)
+  SELECT file, (pages - coalesce(full_pages, 0))::BIGINT AS thin, pages::BIGINT AS pages, CASE WHEN pages = 0 THEN coalesce(blocks, 0) = 0 ELSE (pages - coalesce(full_pages, 0)) / pages >= 0.6 END AS scanned FROM n LEFT JOIN f USING (file) LEFT JOIN h USING (file)""")
 def looks_scanned(t):
-    thin = F.count_if(F.length("text") < 200)
-    return t.documents.groupBy("source").agg(thin.alias("thin"), F.count("*").alias("pages"), (thin / F.count("*") >= 0.1).alias("scanned"))
+    """Ten documents as the pages of a file, of which some have little text and two none; the files count nine pages, or do not say."""
+    file = F.floor(F.col("doc_id") / 10)
+    part = F.when(file % 2 == 0, F.substring("text", 1, 80)).otherwise(F.col("text").substr(F.lit(1), (F.col("doc_id") * 7 % 90).cast("int")))
+    blocks = t.documents.where("doc_id % 10 < 7").select(file.alias("file"), (F.col("doc_id") % 10 + 1).alias("page"), part.alias("text"))
+    totals = t.documents.select(file.alias("file")).distinct().withColumn("pages", F.when(F.col("file") % 7 == 5, 0).otherwise(9).cast("long"))
+    return scans.looks_scanned(blocks, totals, "file")
+
+
+DASHED = "(SELECT doc_id, i, line FROM (SELECT doc_id, unnest(range(len(ls))) AS i, unnest(ls) AS line FROM (SELECT doc_id, string_split(replace(replace(text, 'th ', 'th-' || chr(10)), '. ', '.' || chr(10)), chr(10)) AS ls FROM documents)))"
+
+
+@query(f"""WITH l AS (SELECT *, coalesce(regexp_matches(lag(line) OVER w, '\\pL-$') AND regexp_matches(line, '^\\pL'), false) AS joins FROM {DASHED} WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+  g AS (SELECT *, sum((NOT joins)::INT) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM l), e AS (SELECT *, i = max(i) OVER (PARTITION BY doc_id, g) AS final FROM g)
+  SELECT doc_id, min(i) AS i, string_agg(CASE WHEN final THEN line ELSE regexp_replace(line, '-$', '') END, '' ORDER BY i) AS line FROM e GROUP BY doc_id, g""")
+def dehyphenated(t):
+    """Texts whose lines end in hyphens here and there, put together again."""
+    text = F.replace(F.replace("text", F.lit("th "), F.lit("th-\n")), F.lit(". "), F.lit(".\n"))
+    lines = t.documents.select("doc_id", F.posexplode(F.split(text, "\n")).alias("i", "line"))
+    return scans.dehyphenated(lines.withColumn("i", F.col("i").cast("long")), "doc_id", "i", "line")
 
 
 @query("""SELECT doc_id, h::UBIGINT::VARCHAR AS hash FROM (SELECT doc_id, list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(string_split('b' || doc_id, ''), lambda c: ascii(c)::HUGEINT)), lambda a, c: (xor(a, c) * 1099511628211) % 18446744073709551616) AS h FROM documents)""")
