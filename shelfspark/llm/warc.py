@@ -91,21 +91,43 @@ def record(kind: str, url: str | None, payload: bytes, digest: str, page_id: int
     return _member([*lines, "Content-Type: application/http; msgtype=response"], http + (payload if kind == "response" else b""))
 
 
-def members(content: bytes | memoryview, step: int = 1 << 16) -> Iterator[bytes]:
-    """Each gzip member of an archive, inflated from pieces of step bytes."""
+#: Bytes of a member that are inflated at once, and of a record's headers at most.
+PIECE, HEADERS = 1 << 20, 1 << 20
+
+
+def streams(content: bytes | memoryview, step: int = 1 << 16) -> Iterator[Iterator[bytes]]:
+    """Each gzip member of an archive as the pieces that it inflates to, PIECE bytes at most; each is read to its end before the next."""
     view, at = memoryview(content), 0
-    while at < len(view):
-        inflate, out = zlib.decompressobj(wbits=31), []
+
+    def inflated() -> Iterator[bytes]:
+        nonlocal at
+        inflate = zlib.decompressobj(wbits=31)
         while not inflate.eof:
-            if at >= len(view):
+            held = inflate.unconsumed_tail
+            some = held or view[at : at + step]
+            if not held and not len(some):
                 raise Damaged("the archive ends inside a member")
-            some = view[at : at + step]
             try:
-                out.append(inflate.decompress(some))
+                piece = inflate.decompress(some, PIECE)
             except zlib.error as e:
                 raise Damaged(str(e)) from e
-            at += len(some) - len(inflate.unused_data)
-        yield b"".join(out)
+            if not held:
+                at += len(some)
+            if inflate.eof:
+                at -= len(inflate.unused_data)
+            if piece:
+                yield piece
+
+    while at < len(view):
+        member = inflated()
+        yield member
+        for _ in member:  # what the reader has left
+            pass
+
+
+def members(content: bytes | memoryview, step: int = 1 << 16) -> Iterator[bytes]:
+    """Each gzip member of an archive as a whole."""
+    return (b"".join(pieces) for pieces in streams(content, step))
 
 
 def _fields(lines: list[str]) -> dict[str, str]:
@@ -140,20 +162,43 @@ def _agrees(said: str, data: bytes) -> bool:
     return known is None or hashlib.new(known[0], data).digest() == known[1]
 
 
-def parse(member: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers by lower-case name, and the block, of each record of a member; raises Damaged unless framing and digest are right."""
-    rest = member
-    while rest:
-        head, gap, rest = rest.partition(b"\r\n\r\n")
-        lines = head.decode("utf-8", "replace").split("\r\n")
-        if not gap or not lines[0].startswith("WARC/"):
+def parse(member: bytes | Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers by lower-case name, and the block, of each record of a member, framed as its pieces come; raises Damaged unless framing and digest are right.
+
+    Only the record at hand and a piece beyond it are held.
+    """
+    pieces = iter([member]) if isinstance(member, bytes) else member
+    held, at = bytearray(), 0
+
+    def upto(size: int) -> bool:
+        """Have so many bytes from at on; False if the member ends before."""
+        while len(held) - at < size:
+            piece = next(pieces, None)
+            if piece is None:
+                return False
+            held.extend(piece)
+        return True
+
+    while upto(1):
+        if at > PIECE:
+            del held[:at]
+            at = 0
+        seen = at
+        while (end := held.find(b"\r\n\r\n", seen)) < 0:
+            seen = max(at, len(held) - 3)
+            if len(held) - at > HEADERS or not upto(len(held) - at + 1):
+                raise Damaged("no WARC header")
+        lines = held[at:end].decode("utf-8", "replace").split("\r\n")
+        if not lines[0].startswith("WARC/"):
             raise Damaged("no WARC header")
         headers = _fields(lines[1:])
         said = headers.get("content-length", "")
         n = int(said) if said.isdecimal() else -1
-        if n < 0 or rest[n : n + 4] != b"\r\n\r\n":
+        at = end + 4
+        if n < 0 or not upto(n + 4) or held[at + n : at + n + 4] != b"\r\n\r\n":
             raise Damaged("Content-Length does not frame the block")
-        block, rest = rest[:n], rest[n + 4 :]
+        block = bytes(memoryview(held)[at : at + n])
+        at += n + 4
         if not _agrees(headers.get("warc-block-digest", ""), block):
             raise Damaged("the block does not match its digest")
         yield headers, block
@@ -249,8 +294,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             rows, size = [], 0
-            for member in members(content.as_buffer()):
-                for h, block in parse(member):
+            for pieces in streams(content.as_buffer()):
+                for h, block in parse(pieces):
                     kind, own = h.get("warc-type", ""), h.get("warc-record-id", "").strip("<>") or None
                     payload, length = payload_of(h, block)
                     known = _digest(h.get("warc-payload-digest", "")) if kind == "revisit" else None

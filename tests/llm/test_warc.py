@@ -87,3 +87,26 @@ def test_archives_of_other_writers(spark):
     for bad in (hand_made("response", response, http, f"WARC-Payload-Digest: {sha('sha1', b'x')}"), hand_made("resource", body, f"WARC-Block-Digest: {sha('sha256', b'x')}")):
         with pytest.raises(warc.Damaged):
             [warc.payload_of(*x) for m in warc.members(bad) for x in warc.parse(m)]
+
+
+def test_many_records_in_one_member_are_framed_as_they_inflate(monkeypatch):
+    import gzip
+    import time
+
+    def text(i, n=1000):
+        block = bytes([65 + i % 26]) * n
+        return b"WARC/1.0\r\nWARC-Type: resource\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (n, block)
+
+    archive = gzip.compress(b"".join(text(i) for i in range(20_000)), 1) + gzip.compress(text(7, 0)) + gzip.compress(b"")
+    began = time.perf_counter()
+    found = [len(block) for pieces in warc.streams(archive) for _, block in warc.parse(pieces)]
+    assert found == [1000] * 20_000 + [0] and time.perf_counter() - began < 10
+    # pieces of any size give the same, and a member that blows up is framed without being held
+    for piece in (1, 7, 300):
+        monkeypatch.setattr(warc, "PIECE", piece)
+        assert [b for p in warc.streams(gzip.compress(text(1) + text(2, 3)), 5) for _, b in warc.parse(p)] == [b"B" * 1000, b"CCC"]
+    monkeypatch.setattr(warc, "PIECE", 1 << 16)
+    bomb = gzip.compress(b"x" * (1 << 26))
+    with pytest.raises(warc.Damaged):
+        for pieces in warc.streams(bomb):
+            list(warc.parse(pieces))
