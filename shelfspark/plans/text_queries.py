@@ -58,10 +58,10 @@ def content_sig(t):
     return t.documents.select("doc_id", F.concat(F.lower(F.hex(n)), F.lit(":"), F.sha2(body.cast("binary"), 256)).alias("csig"))
 
 
-@query("SELECT source, sha256(string_agg(lang, chr(10) ORDER BY lang)) AS caps FROM (SELECT DISTINCT source, lang FROM documents) GROUP BY source")
+@query("SELECT source, substr(sha256(string_agg(lang || chr(0), '' ORDER BY lang)), 1, 16) AS caps FROM (SELECT DISTINCT source, lang FROM documents) GROUP BY source")
 def caps_hash(t):
-    langs = F.sort_array(F.collect_set("lang"))
-    return t.documents.groupBy("source").agg(F.sha2(F.array_join(langs, "\n").cast("binary"), 256).alias("caps"))
+    """The version of what a source can do, its languages standing for the capabilities."""
+    return t.documents.groupBy("source").agg(fm.caps_version(F.collect_set("lang")).alias("caps"))
 
 
 SPACED_SQL = "(SELECT doc_id, ' ' || replace(replace(text, 'th ', 'th-' || chr(10)), '. ', '.  ' || chr(9) || chr(10) || chr(10) || chr(10) || chr(10)) AS text FROM documents)"
@@ -261,9 +261,12 @@ def noise_line(t):
     return _lines(t).groupBy("doc_id").agg(F.count_if(tx.is_noise_line(F.col("line"))).alias("noise"))
 
 
-@query("SELECT doc_id, 0.0::DOUBLE AS mix FROM documents")
+@query("""SELECT doc_id, CASE WHEN len(w) = 0 THEN 0.0::DOUBLE ELSE len(list_filter(w, lambda x: regexp_matches(x, '[Ѐ-ӿ]') AND regexp_matches(x, '[A-Za-z]'))) / len(w) END AS mix
+  FROM (SELECT doc_id, list_filter(regexp_split_to_array(CASE WHEN doc_id % 3 = 0 THEN replace(text, 'a', 'а') ELSE text END, '\\s+'), lambda x: length(x) >= 3) AS w FROM documents)""")
 def script_mix(t):
-    return t.documents.select("doc_id", tx.script_mix(F.col("text")).alias("mix"))
+    """In every third text a Cyrillic letter stands for the Latin one that looks like it."""
+    text = F.when(F.col("doc_id") % 3 == 0, F.replace("text", F.lit("a"), F.lit("а"))).otherwise(F.col("text"))
+    return t.documents.select("doc_id", tx.script_mix(text).alias("mix"))
 
 
 @query("SELECT item_id, round(levenshtein(lower(a), lower(b)) / greatest(length(a), 1), 9) AS cer FROM (SELECT item_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS a, trim(regexp_replace(replace(text, 'th', 'tb'), '\\s+', ' ', 'g')) AS b FROM benchmark)")
