@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 import uuid
 from collections.abc import Iterator
@@ -14,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import words_of
-from ..session import let_workers_import, shared_dir
+from ..session import let_workers_import, shared_dir, stored
 
 
 def _in_order(value: Column, order: str, sep: str) -> Column:
@@ -88,28 +89,43 @@ def preview(rows: DataFrame, key: str, order: str, label: str, text: str) -> Dat
 
 #: Units of a segment on average, the number that several tasks share a long book by.
 SEGMENT = 16_384
+#: Characters of a book that one task packs.
+LONG_BOOK = 8 << 20
 CHUNK = "id string, book_id string, chapter string, page long, loc_start long, loc_end long, text string"
 UNIT = "book_id string, pos long, u int, chapter string, page long, start long, piece string, tokens long"
 
 
+def _rows(pdf: pd.DataFrame) -> list[tuple]:
+    """(book_id, pos, chapter, page, text) of blocks, with None where there is nothing."""
+    return list(zip(*(pdf[c].astype(object).where(pdf[c].notna(), None) for c in ("book_id", "pos", "chapter", "page", "text")), strict=True))
+
+
+def _units(rows: list[tuple], target: int, on: bool) -> Iterator[tuple]:
+    """(book_id, pos, u, chapter, page, start, piece, tokens) of blocks: paragraphs, or runs of target words of those that are longer.
+
+    start counts on from block to block, or from the beginning of its own.
+    """
+    base = 0
+    for book, pos, chapter, page, text in rows:
+        text, at, u = text or "", 0, 0
+        for m in [*re.finditer(r"\n[ \t]*\n", text), None]:
+            part = text[at : m.start() if m else len(text)]
+            words, start = part.split(), base + at + len(part) - len(part.lstrip())
+            for k in range(0, len(words), target):
+                some = words[k : k + target]
+                piece = part.strip() if len(words) <= target else " ".join(some)
+                yield book, pos, u, chapter, page, start, piece, len(some)
+                start, u = start + len(piece) + 1, u + 1
+            at = m.end() if m else len(text)
+        base += (len(text) + 2) * on
+
+
 def units(blocks: DataFrame, target: int) -> DataFrame:
-    """UNITs of rows (book_id, pos, chapter, page, text): paragraphs, or runs of target words of those that are longer; start counts from the block's."""
+    """UNITs of rows (book_id, pos, chapter, page, text)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for book, pos, chapter, page, text in zip(*(pdf[c].astype(object).where(pdf[c].notna(), None) for c in ("book_id", "pos", "chapter", "page", "text")), strict=True):
-                text, at, u = text or "", 0, 0
-                for m in [*re.finditer(r"\n[ \t]*\n", text), None]:
-                    part = text[at : m.start() if m else len(text)]
-                    words, start = part.split(), at + len(part) - len(part.lstrip())
-                    for k in range(0, len(words), target):
-                        some = words[k : k + target]
-                        piece = part.strip() if len(words) <= target else " ".join(some)
-                        out.append((book, pos, u, chapter, page, start, piece, len(some)))
-                        start, u = start + len(piece) + 1, u + 1
-                    at = m.end() if m else len(text)
-            yield pd.DataFrame(out, columns=[x.split()[0] for x in UNIT.split(", ")]).astype({"page": "Int64", "pos": "Int64"})
+            yield pd.DataFrame(_units(_rows(pdf), target, False), columns=[x.split()[0] for x in UNIT.split(", ")]).astype({"page": "Int64", "pos": "Int64"})
 
     return blocks.select("book_id", "pos", "chapter", "page", "text").mapInPandas(run, UNIT)
 
@@ -150,13 +166,55 @@ def chunk_books(blocks: DataFrame, target: int = 350, overlap: int = 60, least:
     Blocks are cut into paragraphs, and these, if they are too long, into runs of words;
     runs of one chapter are packed into chunks, which never cross chapters.
 
-    A chunk's end and the start of the next depend on where it starts alone. So all units, in order, are dealt to
+    A book of up to LONG_BOOK characters is packed by one task, which holds one such book at a time. Longer ones are shared:
+    a chunk's end and the start of the next depend on where it starts alone. So all units, in order, are dealt to
     tasks in segments, whatever the size of a book, each with as many of the units behind it as two chunks may need. A segment tells for
     each place where the chunks of those before may hand over to it where it hands over in turn; the driver follows these
     numbers from segment to segment, and then each segment makes the chunks that start in it.
     """
-    spark = let_workers_import(blocks.sparkSession)
-    blocks = blocks.where("book_id IS NOT NULL")
+    let_workers_import(blocks.sparkSession)
+    blocks = blocks.where("book_id IS NOT NULL").select("book_id", "pos", "chapter", "page", "text")
+    long = blocks.groupBy("book_id").agg(F.sum(F.coalesce(F.length("text"), F.lit(0)) + 2).alias("_n")).where(F.col("_n") > LONG_BOOK).select("book_id")
+    if long.isEmpty():
+        return _whole_books(blocks, target, overlap, least)
+    long = stored(long)
+    return _whole_books(blocks.join(long, "book_id", "left_anti"), target, overlap, least).unionByName(_shared_books(blocks.join(long, "book_id", "left_semi"), target, overlap, least))
+
+
+def _whole_books(blocks: DataFrame, target: int, overlap: int, least: int) -> DataFrame:
+    names = [x.split()[0] for x in CHUNK.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come in the order of books and positions; a book may go on in the next batch."""
+        held: list[tuple] = []
+        for pdf in batches:
+            rows, out = _rows(pdf), []
+            for book, some in itertools.groupby(rows, lambda r: r[0]):
+                if held and held[0][0] != book:
+                    out += _packed(list(_units(held, target, True)), target, overlap, least)
+                    held = []
+                held += some
+            yield pd.DataFrame(out, columns=names).astype({"page": "Int64"})
+        yield pd.DataFrame(_packed(list(_units(held, target, True)), target, overlap, least), columns=names).astype({"page": "Int64"})
+
+    return blocks.repartition("book_id").sortWithinPartitions("book_id", "pos").mapInPandas(run, CHUNK)
+
+
+def _packed(found: list[tuple], target: int, overlap: int, least: int) -> list[tuple]:
+    """The chunks of a whole book's units."""
+    if not found:
+        return []
+    run = np.cumsum([0, *(a[3] != b[3] for a, b in zip(found[1:], found[:-1], strict=True))])
+    w = Windows(run, np.array([u[7] for u in found]), True, target, overlap, least)
+    out = []
+    for k, i in enumerate(w.path(0, len(found))[0]):
+        some = found[i : int(w.whole[i])]
+        out.append((f"{some[0][0]}:{k}", some[0][0], some[0][3], some[0][4], some[0][5], some[-1][5] + len(some[-1][6]), "\n\n".join(u[6] for u in some)))
+    return out
+
+
+def _shared_books(blocks: DataFrame, target: int, overlap: int, least: int) -> DataFrame:
+    spark = blocks.sparkSession
     sizes = blocks.groupBy("book_id", "pos").agg(F.sum(F.coalesce(F.length("text"), F.lit(0)) + 2).alias("_n"))
     before = F.sum("_n").over(W.partitionBy("book_id").orderBy("pos").rowsBetween(W.unboundedPreceding, -1))
     offsets = sizes.select(F.col("book_id").alias("_b"), F.col("pos").alias("_p"), F.coalesce(before, F.lit(0)).alias("_at"))

@@ -119,9 +119,10 @@ def test_markdown_matching():
     assert slices("ab\n\ncd\n\nef", 3) == [0, 8] and trim_tail("aéé", 3) == "é"
 
 
-@pytest.mark.parametrize("segment", [5, 40, 10**6])
-def test_chunks_do_not_depend_on_segments(spark, monkeypatch, segment):
+@pytest.mark.parametrize("segment,long", [(5, 0), (40, 300), (10**6, 0), (10**6, 10**6)])
+def test_chunks_do_not_depend_on_segments(spark, monkeypatch, segment, long):
     monkeypatch.setattr(sections, "SEGMENT", segment)
+    monkeypatch.setattr(sections, "LONG_BOOK", long)
     r = random.Random(3)
     blocks = []
     for book in ("a", "b", None, "c"):
