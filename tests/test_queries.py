@@ -52,3 +52,14 @@ def test_the_entry(spark):
     assert entry.entry(spark).columns == ["qid", "id", "score", "rank"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(plans.QUERIES) <= set(entry.queries())
+
+
+STORED = ["backfill_paths", "backfill_state", "delete_by_path", "ids_by_path", "index_plan", "index_plan_rechunk", "maint_multi_id", "maint_orphans", "orphans_manifest", "orphans_store", "plan_stage3", "root_affected"]
+
+
+@pytest.mark.parametrize("name", STORED)
+def test_the_stored_books_are_found_by_keys(spark, name):
+    """No row of the derived store is compared with all candidates."""
+    plan = plans.QUERIES[name](spark, str(SF))._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan
+    assert "Cartesian" not in plan
