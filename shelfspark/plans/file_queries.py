@@ -87,6 +87,7 @@ def webarchive(head: str, text: str) -> bytes:
 def pdf(head: str, text: str) -> bytes:
     """A page for each 2,000 characters, in a font whose codes are numbered as characters come."""
     codes = {c: i + 1 for i, c in enumerate(dict.fromkeys(text))}
+    shown_as = {ord(c): f"{i:04X}" for c, i in codes.items()}
     pairs = list(codes.items())
     cmap = "1 begincodespacerange <0000> <FFFF> endcodespacerange\n"
     for k in range(0, len(pairs), 100):
@@ -101,7 +102,7 @@ def pdf(head: str, text: str) -> bytes:
     objects[5] = stream(cmap)
     parts = [text[k : k + 2000] for k in range(0, len(text), 2000)] or [""]
     for i, part in enumerate(parts):
-        shown = "".join(f"<{''.join(f'{codes[c]:04X}' for c in x)}> Tj T* " for x in part.splitlines())
+        shown = "".join(f"<{x.translate(shown_as)}> Tj T* " for x in part.splitlines())
         objects[10 + 2 * i] = b"<< /Type /Page /Parent 2 0 R /Contents %d 0 R >>" % (11 + 2 * i)
         objects[11 + 2 * i] = stream(f"BT /F 12 Tf {shown}ET")
     kids = " ".join(f"{10 + 2 * i} 0 R" for i in range(len(parts)))
