@@ -34,3 +34,22 @@ def test_long_words_keep_documents_apart():
         counts = dict(zip(quality_rules.COUNTS, quality_rules.count_batch(pa.array([f"{a}\n{b}\n{a} x {b} x {a} x"]))))
         assert counts["n_dup_lines"][0] == 0 and counts["n_lines"][0] == 3
     assert hashlib.sha1(a.encode()).digest() != hashlib.sha1(b.encode()).digest()
+
+
+def test_shuffles_go_with_the_query_that_made_them(spark):
+    """What a checkpointed or written step shuffled does not lie on the executors' disks until the driver collects garbage."""
+    from shelfspark.llm import shared
+
+    def shuffled():
+        manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        files = manager.getAllFiles()
+        return {files.apply(i).getPath() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+    before = shuffled()
+    held = spark.conf.get(shared.SWEEP)
+    rows = spark.range(10_000).repartition(3, "id")
+    kept = [shared.durable(rows), shared.stored(rows)]
+    assert shuffled() <= before
+    assert spark.conf.get(shared.SWEEP) == held
+    assert [x.count() for x in kept] == [10_000, 10_000]
+    assert rows.count() == rows.count() == 10_000
