@@ -44,3 +44,11 @@ def test_texts_that_are_null_or_come_twice_are_ranked_as_they_were(spark):
     got = sorted((r["qid"], r["id"] or 0, r["rank"]) for r in retrieval.bm25(terms, docs, 10).collect())
     assert got == [(7, 0, 2), (7, 1, 1), (7, 3, 3), (9, 1, 1), (9, 3, 2)]
     assert retrieval.bm25(terms.where("qid = 8"), docs, 10).count() == 0
+
+
+def test_known_words_have_few_keys_however_long(spark):
+    from pyspark.sql import functions as F
+
+    words = spark.createDataFrame([("a" * 3 + "bcdefghij" * n,) for n in range(4)] + [("abcdefgh"[:n],) for n in range(1, 9)], "w string")
+    keys = words.select(F.size(retrieval.meeting_keys(F.col("w"), F.lit(2), False)).alias("n")).collect()
+    assert max(r["n"] for r in keys) <= 11
