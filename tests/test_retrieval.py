@@ -52,3 +52,26 @@ def test_known_words_have_few_keys_however_long(spark):
     words = spark.createDataFrame([("a" * 3 + "bcdefghij" * n,) for n in range(4)] + [("abcdefgh"[:n],) for n in range(1, 9)], "w string")
     keys = words.select(F.size(retrieval.meeting_keys(F.col("w"), F.lit(2), False)).alias("n")).collect()
     assert max(r["n"] for r in keys) <= 11
+
+
+def test_only_queries_that_are_ranked_anew_are_compared_with_all_vectors(spark, monkeypatch):
+    from shelfspark.plans import retrieval_queries as rq
+    from shelfspark.plans.registry import Library
+
+    rows = {
+        "documents": spark.createDataFrame([(i, f"word{i} other") for i in range(30)], "doc_id long, text string"),
+        "benchmark": spark.createDataFrame([(0, "word1 word2"), (20, "word3")], "item_id long, text string"),
+        "embeddings": spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(400)], "vec_id long, embedding array<float>"),
+    }
+
+    class Small(Library):
+        def __getattr__(self, name):
+            return rows[name]
+
+    seen = []
+    search = rq.r.vector_search
+    monkeypatch.setattr(rq.r, "vector_search", lambda queries, *rest: seen.append(queries.count()) or search(queries, *rest))
+    t = Small(spark, "")
+    got = rq._reranked(t).collect()
+    whole = rq.r.rerank(rq._hybrid(t), rq._queries(t), rq._docs(t), 12).collect()
+    assert seen == [2, 20] and sorted(got) == sorted(whole) and got
