@@ -75,3 +75,21 @@ def test_only_queries_that_are_ranked_anew_are_compared_with_all_vectors(spark,
     got = rq._reranked(t).collect()
     whole = rq.r.rerank(rq._hybrid(t), rq._queries(t), rq._docs(t), 12).collect()
     assert seen == [2, 20] and sorted(got) == sorted(whole) and got
+
+
+def test_postings_are_shuffled_only_as_they_are_written(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from shelfspark.sources.postings import Postings
+
+    texts = [("p1", "b a b"), ("p2", ""), ("p3", None), ("p4", "c c c"), ("p4", "c d e")]
+    fresh = spark.createDataFrame(texts, "id string, text string").withColumn("_t", retrieval.tokens(F.col("text"))).withColumn("n", F.size("_t").cast("long")).withColumn("gen", F.lit(0).cast("long"))
+    index = Postings(spark, f"file://{tmp_path}/index", 2)
+    once = index._counted(fresh.where("id <> 'p4'"))
+    assert {(r["id"], r["n"], r["term"], r["tf"]) for r in once.collect()} == {("p1", 3, "a", 1), ("p1", 3, "b", 2)}
+    assert "Exchange" not in once._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["term"], r["tf"]) for r in index._counted(fresh).where("id = 'p4'").collect()) == [("c", 4), ("d", 1), ("e", 1)]
+    index.postings.append(once)
+    assert "Exchange" not in index.live()._jdf.queryExecution().executedPlan().toString()
+    index.dead.append(spark.createDataFrame([("p1", 0)], "id string, gen long"))
+    assert index.live().count() == 0
