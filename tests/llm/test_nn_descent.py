@@ -99,3 +99,45 @@ def test_codes_keep_the_angles():
     y = nn.directions([c.tobytes() for c in nn.coded(x)])
     u = nn.unit(x)
     assert np.abs(y @ y.T - u @ u.T).max() < 0.01
+
+
+def shuffled(spark):
+    """Bytes that all stages so far have shuffled."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._gateway.jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_vectors_travel_a_few_times_only(spark):
+    r = np.random.default_rng(8)
+    data = [(i, r.normal(size=32).tolist()) for i in range(4000)]
+    df, before = frame(spark, data), shuffled(spark)
+    found = got(nn.nearest(df, F.col("vec_id") % 20 == 0, 20))
+    assert shuffled(spark) - before < 12 * 4000 * 32 * 4
+    assert recall(found, brute(data, 20, 20)) >= 0.95
+
+
+def test_later_cells_send_back_what_is_nearer(spark, monkeypatch):
+    for name, value in {"LEAF": 32, "FEW": 1, "WIDER": 2, "ASKING": 16, "SAMPLE": 24}.items():
+        monkeypatch.setattr(nn, name, value)
+    r = np.random.default_rng(9)
+    # two heaps far from each other, rows of several sizes, whole numbers with equal scores, copies
+    data = [(i, (r.normal(size=12) + 20 * (i % 2)).tolist()) for i in range(900)] + [(1000 + i, (r.normal(size=12) * r.lognormal(0, 1)).tolist()) for i in range(500)]
+    data += [(2000 + i, r.integers(-1, 2, 12).astype(float).tolist()) for i in range(300)] + [(3000 + i, data[40][1]) for i in range(25)]
+    check(spark, data)
+
+
+def test_a_walk_reaches_what_the_graph_does_not():
+    r = np.random.default_rng(10)
+    mean = r.normal(size=(40, 8)).astype(np.float32)
+    alone = nn.Cells(np.arange(40, dtype=np.int32), np.zeros(40, np.int32), mean, np.arange(40, dtype=np.int32)[:, None], np.array([3]), 1)
+    x = r.normal(size=(5, 8)).astype(np.float32)
+    way = nn.ways(x, np.arange(5), alone, 10)
+    assert (way == np.argsort(-(x @ mean.T), axis=1)[:, :10]).all()
+
+
+def test_sizes_beyond_single_precision(spark):
+    r = np.random.default_rng(11)
+    data = [(i, (r.normal(size=6) * 10.0 ** r.integers(-25, 25)).astype(np.float32).astype(float).tolist()) for i in range(300)]
+    found, want = got(nn.nearest(frame(spark, data), F.col("vec_id") % 20 == 0, 5, recall=1.0)), brute(data, 5, 20)
+    assert {q: [j for j, _ in rows] for q, rows in found.items()} == {q: [j for j, _ in w] for q, w in want.items()}
