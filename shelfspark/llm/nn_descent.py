@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by inner product: NN-descent builds a graph of cells, queries walk it.
 
-Rows near each other share a cell of about LEAF of them: distinct vectors are dealt to groups, and within these to
-cells, by the nearest of centres fitted on a sample of about SAMPLE rows a cell (vectors of other lengths, or of other
+Rows near each other share a cell of about LEAF of them: distinct vectors are dealt to the cell of the nearest centre, which
+are fitted on a sample of about SAMPLE rows a cell, first within groups of cells, then among all (vectors of other lengths, or of other
 sizes, have their own). A product of two blocks costs less than moving one row, so a node of the graph is a cell.
 
 Every cell starts with its best neighbours among those that share a leaf with its centre, a leaf being the signs of some
@@ -48,9 +48,9 @@ GROUP, BLOCK, ASKING = 512, 1_024, 2_048
 BEAM, PROBES, RECALL = 8, 64, 0.95
 #: Cells drawn by chance, and those of the longest means, at which every query starts.
 STARTS = 8
-#: Rows of a cell, and of a group, that centres are fitted on; turns of the fit. Beyond so many cells, or components of their centres, which go along with the
+#: Rows of a cell, and of a group, that centres are fitted on; turns of the fit within a group, and among all cells. Beyond so many cells, or components of their centres, which go along with the
 #: tasks, cells hold more rows.
-SAMPLE, TURNS, CELLS, COMPONENTS = 48, 10, 16_384, 1 << 22
+SAMPLE, TURNS, MOVES, CELLS, COMPONENTS = 48, 10, 3, 16_384, 1 << 22
 #: Groups up to which queries go to all of their cells at once; otherwise they go to so many times as many as before.
 FEW, WIDER = 8, 16
 
@@ -299,26 +299,22 @@ def centres(x: np.ndarray, k: int) -> np.ndarray:
 
 
 def nearest_of(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return np.concatenate([np.argmax(x[lo : lo + 4_096] @ c.T, axis=1) for lo in range(0, len(x), 4_096)]) if len(x) else np.zeros(0, np.int64)
+    return np.concatenate([np.argmax(x[lo : lo + 256] @ c.T, axis=1) for lo in range(0, len(x), 256)]) if len(x) else np.zeros(0, np.int64)
 
 
-def _dealt(batches, dtype: str, groups: dict, cells: dict | None):
-    """Each row with its group, and its cell if there are cells: {(d, band): (numbers, centres)} and {group: (numbers, centres)}."""
+def _dealt(batches, dtype: str, places: dict, groups: np.ndarray | None):
+    """Each row with the number of its place: {(d, band): (numbers, centres)}; g, or cell and the g of these."""
     for batch in batches:
         values, at = unpacked(batch.column("vector"), dtype)
-        band, g, cell = batch.column("band").to_numpy(), np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows, np.int32)
+        band, place = batch.column("band").to_numpy(), np.zeros(batch.num_rows, np.int32)
         for rows, x in _by_length(values, at):
             x = unit(x.astype(float)).astype(np.float32)
             for b in np.unique(band[rows]):
                 mine = np.flatnonzero(band[rows] == b)
-                numbers, c = groups[x.shape[1], int(b)]
-                g[rows[mine]] = numbers[nearest_of(x[mine], c)]
-                for n in np.unique(g[rows[mine]]) if cells else ():
-                    inner = mine[g[rows[mine]] == n]
-                    numbers, c = cells[int(n)]
-                    cell[rows[inner]] = numbers[nearest_of(x[inner], c)]
-        names = [n for n in batch.schema.names if n not in ("d", "band")] if cells else batch.schema.names
-        yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(g), *([pa.array(cell)] if cells else [])], [*names, "g", *(["cell"] if cells else [])])
+                numbers, c = places[x.shape[1], int(b)]
+                place[rows[mine]] = numbers[nearest_of(x[mine], c)]
+        more = {"g": place} if groups is None else {"g": groups[place], "cell": place}
+        yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, more.values())], [*batch.schema.names, *more])
 
 
 def _split(table: pa.Table, dtype: str, each: dict) -> pa.Table:
@@ -337,6 +333,18 @@ def _split(table: pa.Table, dtype: str, each: dict) -> pa.Table:
     return pa.table([g, packed(c[some].astype(np.float32)), packed(means.astype(np.float32))], ["g", "centre", "mean"])
 
 
+def _mean(batches, dtype: str):
+    """The mean of each cell's rows in a partition that holds all of them, in order."""
+    rows = pa.Table.from_batches(batches)
+    if rows.num_rows:
+        cell = rows.column("cell").to_numpy()
+        first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+        values, at = unpacked(rows.column("vector"), dtype)
+        ends = np.append(first[1:], len(cell))
+        means = [values[at[a] : at[b]].reshape(b - a, -1).mean(axis=0, dtype=float).astype(np.float32).tobytes() for a, b in zip(first, ends, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(cell[first]), pa.array(means, pa.binary())], ["cell", "mean"])
+
+
 @dataclass(frozen=True)
 class Cells:
     """What a query of d components needs to walk: numbers, groups and mean of its cells, their neighbours (places, own where there are fewer), and where to start."""
@@ -392,18 +400,28 @@ def index(vectors: DataFrame, k: int) -> Index:
     mine: dict = {}
     for g, c, m in zip(*(found.column(x).to_pylist() for x in ("g", "centre", "mean")), strict=True):
         mine.setdefault(g, []).append((np.frombuffer(c, np.float32), np.frombuffer(m, np.float32)))
-    cells, of, group, mean, centre = {}, [], [], [], []
+    of, group, mean, centre, places = [], [], [], [], {}
     for kind, (numbers, c) in groups.items():
+        first = len(of)
         for g, own in zip(numbers.tolist(), c, strict=True):
             # no row of the sample is in this group: its own centre is that of its cell
             lists = mine.get(g) or [(own, (own * 2.0 ** (kind[1] / 2)).astype(np.float32))]
-            cells[g] = np.arange(len(of), len(of) + len(lists), dtype=np.int32), np.stack([x for x, _ in lists])
             of += [kind[0]] * len(lists)
             group += [g] * len(lists)
             centre += [x for x, _ in lists]
             mean += [m for _, m in lists]
+        places[kind] = np.arange(first, len(of), dtype=np.int32), np.stack(centre[first:])
+    group = np.array(group, np.int32)
+    # rows may be nearer to a cell of another group: centres follow the rows that are nearest among all
+    for _ in range(MOVES if n > FEW else 0):
+        dealt = sample.mapInArrow(lambda b, places=places: _dealt(b, dtype, places, group), KEPT + ", g int, cell int")
+        for r in dealt.select("cell", "vector").repartition("cell").sortWithinPartitions("cell").mapInArrow(lambda b: _mean(b, dtype), "cell int, mean binary").toArrow().to_pylist():
+            m = np.frombuffer(r["mean"], np.float32)
+            if m.any():
+                mean[r["cell"]], centre[r["cell"]] = m, unit(m[None].astype(float))[0].astype(np.float32)
+        places = {kind: (numbers, np.stack([centre[c] for c in numbers])) for kind, (numbers, _) in places.items()}
     nodes = v.groupBy("node").agg(F.first("d").alias("d"), F.first("band").alias("band"), F.min("vec_id").alias("id"), F.count("*").alias("many"), F.first("vector").alias("vector"))
-    nodes = stored(nodes.mapInArrow(lambda b: _dealt(b, dtype, groups, cells), "node long, id long, many long, vector binary, g int, cell int"))
+    nodes = stored(nodes.mapInArrow(lambda b: _dealt(b, dtype, places, group), "node long, d int, band int, id long, many long, vector binary, g int, cell int"))
     held = np.zeros(len(of), np.int64)
     for r in nodes.groupBy("cell").agg(F.count("*").alias("n")).collect():
         held[r["cell"]] = r["n"]
@@ -421,7 +439,7 @@ def index(vectors: DataFrame, k: int) -> Index:
         first = np.union1d(np.random.default_rng(0).permutation(len(number))[:STARTS], np.argsort(-(m.astype(float) ** 2).sum(axis=1), kind="stable")[:STARTS])
         # so many cells hold more than k rows, whichever they are
         least = int(np.searchsorted(np.cumsum(np.sort(held[number])), k + 1)) + 1
-        out[d] = Cells(number, np.array(group, np.int32)[number], m, links, first, least)
+        out[d] = Cells(number, group[number], m, links, first, least)
     return Index(nodes, v.select("vec_id", "node"), out, int(held.sum()), n, dtype)
 
 
@@ -450,33 +468,26 @@ def ways(x: np.ndarray, home: np.ndarray, cells: Cells, width: int) -> np.ndarra
     """The places of the `width` cells (all, if fewer) that each query visits, the most promising first."""
     n, m = len(x), len(cells.number)
     width = min(max(width, cells.least), m)
-    mean, x = cells.mean, x.astype(np.float32)
-    s, opened = np.full((n, m), -np.inf, np.float32), np.zeros((n, m), bool)
     with np.errstate(over="ignore", invalid="ignore"):
-        if width == m:
-            s = np.nan_to_num(x @ mean.T, neginf=-3e38)
-            return np.argsort(-s, axis=1, kind="stable").astype(np.int32)
-        seen = np.zeros((n, m), bool)
-        seen[:, cells.starts] = True
-        seen[np.arange(n), home] = True
-        while True:
-            q, c = np.nonzero(seen & np.isneginf(s))
-            for lo in range(0, len(q), 16_384):
-                i, j = q[lo : lo + 16_384], c[lo : lo + 16_384]
-                s[i, j] = np.nan_to_num(np.einsum("ij,ij->i", x[i], mean[j]), neginf=-3e38)
-            pool = np.argpartition(-s, width - 1, axis=1)[:, :width]
-            i, j = np.nonzero(~np.isneginf(np.take_along_axis(s, pool, axis=1)) & ~np.take_along_axis(opened, pool, axis=1))
-            if not len(i):
-                break
-            j = pool[i, j]
-            opened[i, j] = True
-            for lo in range(0, len(i), 16_384):
-                seen[i[lo : lo + 16_384, None], cells.links[j[lo : lo + 16_384]]] = True
-        # the graph may be in pieces
-        lost = np.flatnonzero((~np.isneginf(s)).sum(axis=1) < width)
-        if len(lost):
-            s[lost] = np.nan_to_num(x[lost] @ mean.T, neginf=-3e38)
-            pool = np.argpartition(-s, width - 1, axis=1)[:, :width]
+        every = np.nan_to_num(x.astype(np.float32) @ cells.mean.T, neginf=-3e38)
+    if width == m:
+        return np.argsort(-every, axis=1, kind="stable").astype(np.int32)
+    s, opened = np.full((n, m), -np.inf, np.float32), np.zeros(n * m, bool)
+    seen = (np.arange(n)[:, None] * m + np.append(np.broadcast_to(cells.starts, (n, len(cells.starts))), home[:, None], axis=1)).ravel()
+    while True:
+        s.ravel()[seen] = every.ravel()[seen]
+        pool = np.argpartition(-s, width - 1, axis=1)[:, :width]
+        at = (np.arange(n)[:, None] * m + pool).ravel()
+        at = at[~opened[at] & ~np.isneginf(s.ravel()[at])]
+        if not len(at):
+            break
+        opened[at] = True
+        seen = (at[:, None] + (cells.links[at % m] - (at % m)[:, None])).ravel()
+    # the graph may be in pieces
+    lost = np.flatnonzero((~np.isneginf(s)).sum(axis=1) < width)
+    if len(lost):
+        s[lost] = every[lost]
+        pool = np.argpartition(-s, width - 1, axis=1)[:, :width]
     order = np.argsort(-np.take_along_axis(s, pool, axis=1), axis=1, kind="stable")
     return np.take_along_axis(pool, order, axis=1).astype(np.int32)
 
@@ -488,7 +499,7 @@ def _walk(batches, dtype: str, cells: dict[int, Cells], width: int):
         home = batch.column("cell").to_numpy()
         for rows, x in _by_length(values, at):
             c = cells[x.shape[1]]
-            step = max(1, min(BLOCK, (1 << 22) // len(c.number)))
+            step = max(1, min(BLOCK, (1 << 22) // len(c.number), (1 << 22) // (width * c.links.shape[1])))
             for lo in range(0, len(rows), step):
                 some = rows[lo : lo + step]
                 way = ways(x[lo : lo + step], np.searchsorted(c.number, home[some]), c, width)
@@ -561,20 +572,21 @@ def _visit(asked: pa.Table, block: pa.Table, dtype: str, k: int) -> pa.Table:
     slack = 0.0 if x.dtype == float else 3e-7 * x.shape[1]
     long_x, long_y = (np.sqrt(np.einsum("ij,ij->i", z, z, dtype=float)) for z in (x, y))
     got: list = []
+    tile = np.empty(512 * BLOCK, x.dtype)
     for c in np.unique(of):
         rows, first, last = row[np.searchsorted(of, c) : np.searchsorted(of, c, "right")], np.searchsorted(cell, c), np.searchsorted(cell, c, "right")
         for lo in range(first, last, BLOCK):
             there = slice(lo, min(lo + BLOCK, last))
             for at in range(0, len(rows), 512):
                 r = rows[at : at + 512]
-                s = y[r] @ x[there].T
+                s = np.matmul(y[r], x[there].T, out=tile[: len(r) * (there.stop - lo)].reshape(len(r), -1))
                 loose = slack * long_y[r] * long_x[there].max()
                 above = s >= (floor[r] - loose)[:, None].astype(s.dtype)
                 if s.shape[1] > k and np.count_nonzero(above) > 2 * k * len(r):
                     best = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
                     floor[r] = np.maximum(floor[r], best - loose)
                     above = s >= (floor[r] - loose)[:, None].astype(s.dtype)
-                i, j = np.nonzero(above)
+                i, j = np.divmod(np.flatnonzero(above), s.shape[1])  # numpy finds places in two dimensions four times slower
                 j += lo
                 exact = np.empty(len(i))
                 for part in range(0, len(i), 16_384):
