@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from shelfspark.llm import ngram_join
@@ -117,3 +118,25 @@ def test_components_of_a_long_path_and_a_hub(spark):
     roots = {x.node: x.root for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert len({roots[i] for i in range(301)}) == 1 and len({roots[1000 + i] for i in range(300)}) == 1 and roots[0] != roots[1000]
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_sets_are_shuffled_in_turns_and_hashes_in_parts(spark, monkeypatch):
+    for name, value in (("PART_LEAST", 0), ("TURN_LEAST", 3000), ("SET_SHARE", 1 << 40), ("BLOCK", 8)):
+        monkeypatch.setattr(ngram_join, name, value)
+    turns, held = [], ngram_join.key_filter
+    monkeypatch.setattr(ngram_join, "key_filter", lambda keys: turns.append(1) or held(keys))
+    r = random.Random(12)
+    base, data = nasty.prose(r, 80).split(), []
+    for i in range(40):
+        words = list(base)
+        for _ in range(i % 4):
+            words[r.randrange(len(words))] = f"w{i}"
+        data.append((i, " ".join(words)))
+    assert got(spark, data) == brute(data) and len(turns) > 2
+
+
+def test_a_row_on_both_sides_is_no_partner_of_its_own():
+    s = np.unique(np.random.default_rng(2).integers(0, 2**64, 50, dtype=np.uint64))
+    columns = [[7, 7], [-1, -1], [0, 0], [-1, 0], [5, 5], [len(s)] * 2, [ngram_join.sketch(s)] * 2]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [*ngram_join.BLOCK_KEYS, "side", "fp", "n", "sketch"])
+    assert list(ngram_join._prune(iter([batch]))) == []
